@@ -22,15 +22,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemos.llm.common import text_of
+from mnemos.llm.common import small_batches, text_of
 
 #: Chunks whose ids a task keeps; beyond that it starts anew.
-KEPT = 500_000
+KEPT = 400_000
 #: Ranks in a span of the index.
 SPAN = 1024
 NONE = 1 << 31
 #: Stands before a chunk that has no space before it.
-FIRST = "\ud800"
+FIRST = "\0"
 #: A space that doesn't begin a chunk of its own: between white space, or the last character after white space.
 ODD = re.compile(r"\s \s|\s \Z")
 
@@ -43,12 +43,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def chunks(text: str) -> list[str]:
     """The text cut at its spaces, each of which belongs to the chunk after it; the first chunk has FIRST instead.
 
-    No match of a byte-level BPE pattern spans a cut. Texts with ODD spaces stay whole, after FIRST.
+    No match of a byte-level BPE pattern spans a cut. Texts with ODD spaces or FIRST itself stay whole, after FIRST.
     """
     if not text:
         return []
+    whole = FIRST in text or ODD.search(text)
     text = FIRST + text
-    return [text] if ODD.search(text) else text.split(" ")
+    return [text] if whole else text.split(" ")
 
 
 class Replay:
@@ -69,7 +70,7 @@ class Replay:
                     found[a * self.width + b] = rank
         self.pairs = np.array(sorted(found), dtype=np.int64)
         self.pair_rank = np.array([found[k] for k in self.pairs.tolist()], dtype=np.int64)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair's token, NONE where there is none."""
@@ -77,14 +78,14 @@ class Replay:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.pair_rank[at], NONE)
 
-    def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each word, all words merged together in rank order."""
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word (little-endian 32-bit integers), all words merged together in rank order."""
         whole = [self.ranks.get(w) for w in words]
         rest = [w for w, r in zip(words, whole, strict=True) if r is None and w]
         merged = iter(self._merge(rest)) if rest else iter(())
-        return [(r,) if r is not None else next(merged) if w else () for w, r in zip(words, whole, strict=True)]
+        return [r.to_bytes(4, "little") if r is not None else next(merged) if w else b"" for w, r in zip(words, whole, strict=True)]
 
-    def _merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
+    def _merge(self, words: list[bytes]) -> list[bytes]:
         sizes = np.array([len(w) for w in words])
         ends = np.cumsum(sizes)
         sym = self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
@@ -112,9 +113,9 @@ class Replay:
             if not listed:
                 continue
             top = (span + 1) * SPAN
-            here = np.unique(np.concatenate(listed))
+            here = np.sort(np.concatenate(listed))
             listed.clear()
-            here = here[now[here] < top]
+            here = here[(now[here] < top) & np.append(True, here[1:] != here[:-1])]
             while len(here):
                 # each word's next merge: the lowest rank, then the leftmost place
                 first = np.flatnonzero(np.append(True, np.diff(word[here]) != 0))
@@ -134,14 +135,14 @@ class Replay:
                 here = here[now[here] < top]
                 came = near[(was >= top) & (now[near] < top)]
                 if len(came):
-                    here = np.union1d(here, came)
+                    here = np.sort(np.concatenate([here, came]), kind="stable")
         alive = sym >= 0
-        cuts = np.cumsum(np.add.reduceat(alive, ends - sizes)).tolist()
-        flat = sym[alive].tolist()
-        return [tuple(flat[a:b]) for a, b in zip([0, *cuts], cuts, strict=False)]
+        cuts = (4 * np.cumsum(np.add.reduceat(alive, ends - sizes))).tolist()
+        flat = sym[alive].astype("<u4").tobytes()
+        return [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text of a block."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text of a block, as little-endian 32-bit integers."""
         cut = [chunks(t) for t in texts]
         known = self.known
         new = set(chain.from_iterable(cut)).difference(known)
@@ -149,13 +150,16 @@ class Replay:
             known.clear()
             new = set(chain.from_iterable(cut))
         if new:
-            find = self.pattern.findall
-            words = {c: find(c[1:] if c[:1] == FIRST else " " + c) for c in new}
-            distinct = list(dict.fromkeys(chain.from_iterable(words.values())))
+            # letters after a space are one word
+            plain = [c for c in new if c.isalpha()]
+            spaced = [" " + c for c in plain]
+            other = [c for c in new if not c.isalpha()]
+            found = [*map(self.pattern.findall, [c[1:] if c[:1] == FIRST else " " + c for c in other])]
+            distinct = list(dict.fromkeys(chain(spaced, chain.from_iterable(found))))
             ids = dict(zip(distinct, self.replay([w.encode() for w in distinct]), strict=True))
-            for c, own in words.items():
-                known[c] = ids[own[0]] if len(own) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, own)))
-        return [list(chain.from_iterable(map(known.__getitem__, x))) for x in cut]
+            known.update(zip(plain, map(ids.__getitem__, spaced), strict=True))
+            known.update((c, b"".join(map(ids.__getitem__, own))) for c, own in zip(other, found, strict=True))
+        return [b"".join(map(known.__getitem__, x)) for x in cut]
 
 
 @functools.cache
@@ -165,12 +169,13 @@ def replay_of(path: str, pattern: str) -> Replay:
 
 
 @functools.cache
-def vocab_of(path: str) -> list[bytes]:
+def vocab_of(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens' bytes one after the other, and where each begins."""
     ranks = read_ranks(path)
     vocab = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         vocab[rank] = token
-    return vocab
+    return np.frombuffer(b"".join(vocab), dtype=np.uint8), np.cumsum([0, *map(len, vocab)])
 
 
 def blocks(texts: list[str], most: int = 4 << 20):
@@ -185,6 +190,12 @@ def blocks(texts: list[str], most: int = 4 << 20):
         yield texts[at:]
 
 
+def lists(found: list[bytes]) -> pa.Array:
+    """Arrow lists of the ids that the bytes hold."""
+    sizes = np.cumsum([0, *[len(x) // 4 for x in found]], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the column ``ids`` (array of int): the whole text's token ids, without special tokens.
 
@@ -197,11 +208,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         coder, out = replay_of(path, pattern), []
         for block in blocks(texts.to_pylist()):
             found = coder.encode(block)
-            sizes = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(sizes[-1]))
-            out.append(pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)))
+            out.append(lists(found))
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
+    small_batches(df.sparkSession)
     return df.withColumn(ids, encoded.asNondeterministic()(text_of(text)))
 
 
@@ -210,8 +220,18 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
 
     @F.arrow_udf("binary")
     def joined(lists: pa.Array) -> pa.Array:
-        vocab = vocab_of(path).__getitem__
-        return pa.array([b"".join(map(vocab, x or ())) for x in lists.to_pylist()], pa.binary())
+        data, place = vocab_of(path)
+        sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        flat, ends, out = lists.flatten().to_numpy(), np.cumsum(sizes), []
+        for own, end in zip(sizes.tolist(), ends.tolist(), strict=True):
+            parts = []
+            for at in range(end - own, end, 1 << 18):
+                ids = flat[at : min(end, at + (1 << 18))]
+                size = place[ids + 1] - place[ids]
+                stops = np.cumsum(size)
+                parts.append(data[np.repeat(place[ids] - stops + size, size) + np.arange(stops[-1])].tobytes())
+            out.append(b"".join(parts))
+        return pa.array(out, pa.binary())
 
     return df.withColumn(decoded, joined.asNondeterministic()(F.col(ids)))
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -21,15 +22,14 @@ def test_replay_equals_the_library(library):
     texts = ["".join(random.choice(signs) for _ in range(random.randint(0, 30))) for _ in range(5000)]
     texts += ["", " ", "a" * 3000, "  a  ", " a\n ", "<|endoftext|>", "x " * 2000]
     coder = bpe.Replay(bpe.read_ranks(PATH), P.PATTERN)
-    assert coder.encode(texts) == [library.encode_ordinary(t) for t in texts]
-    assert coder.encode(texts[:50]) == [library.encode_ordinary(t) for t in texts[:50]]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
 def test_many_words_empty_the_cache(monkeypatch, library):
     monkeypatch.setattr(bpe, "KEPT", 3)
     coder = bpe.Replay(bpe.read_ranks(PATH), P.PATTERN)
     for text in ["one two three four", "four five", "one six seven"]:
-        assert coder.encode([text]) == [library.encode_ordinary(text)]
+        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == library.encode_ordinary(text)
 
 
 def test_operator_on_odd_tables(spark, library):
