@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from mnemos.llm import bpe, exact_dedup, mixing, quality_rules, simhash, tokens
+from mnemos.llm import bpe, exact_dedup, license_scan, mixing, quality_rules, simhash, suffix_dedup, tokens
 
 QUERIES: dict[str, Callable] = {
     "op2_token_files": tokens.op2_token_files,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op5_license_scan": license_scan.op5_license_scan,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_bpe_merge_replay": bpe.op7_bpe_merge_replay,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op5_license_scan": license_scan.OP5_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
