@@ -121,6 +121,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     order = F.struct(F.col("key").isNull(), "key", "row")
     again = rows.join(found.select("fingerprint"), "fingerprint", "left_semi")
     best = again.groupBy("fingerprint", "sha").agg(F.min(order).alias("best"), F.count("*").alias("size"))
+    best = materialize(best, "best")  # so that both sides of the join are dealt anew and a hot group can be split
     out = rows.join(best, ["fingerprint", "sha"], "left")
     return out.select(
         F.col("key").alias(key),
