@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from mnemos.llm import bpe, exact_dedup, license_scan, mixing, quality_rules, simhash, suffix_dedup, tokens
+from mnemos.llm import bpe, exact_dedup, kneser_ney, license_scan, mixing, quality_rules, simhash, suffix_dedup, tokens, url_filter
 
 QUERIES: dict[str, Callable] = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op2_token_files": tokens.op2_token_files,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable] = {
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_bpe_merge_replay": bpe.op7_bpe_merge_replay,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_kneser_ney_quality": kneser_ney.op9_kneser_ney_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 

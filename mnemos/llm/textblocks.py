@@ -8,10 +8,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemos.llm.common import materialize, small_batches, text_of
+from mnemos.llm.common import materialize, scratch, small_batches, text_of
 
 #: Text bytes of a block; a longer document is a block of its own.
 BLOCK = 4 << 20
+#: Bytes of input for each bucket of a bucketed table, and its buckets at most.
+WIDTH, MOST = 16 << 20, 4096
 SCHEMA = "block long, keys array<long>, tags array<string>, sizes array<long>, n_bytes long, data binary"
 
 
@@ -20,6 +22,11 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", tag: str | None
 
     Null keys and tags stay null; null texts are empty.
     """
+    return materialize(packed(df, key, text, tag, size), "blocks")
+
+
+def packed(df: DataFrame, key: str, text: str, tag: str | None, size: int) -> DataFrame:
+    """Not yet materialized: a second run could number the blocks in another way."""
 
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
@@ -46,7 +53,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", tag: str | None
 
     small_batches(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("key"), (F.col(tag).cast("string") if tag else F.lit(None).cast("string")).alias("tag"), text_of(text).alias("text"))
-    return materialize(rows.mapInArrow(run, SCHEMA), "blocks")
+    return rows.mapInArrow(run, SCHEMA)
 
 
 def unpack(data: bytes, n_bytes: int) -> bytes:
@@ -56,3 +63,14 @@ def unpack(data: bytes, n_bytes: int) -> bytes:
 def starts(sizes) -> np.ndarray:
     """Where each text begins in the block, and the block's end."""
     return np.concatenate([[0], np.cumsum(np.asarray(sizes, dtype=np.int64))]).astype(np.int64)
+
+
+def kept_blocks(df: DataFrame, key: str = "doc_id", text: str = "text", tag: str | None = None, size: int = BLOCK) -> DataFrame:
+    """As pack(), but in a table bucketed by ``block``: joins by block then move the other side only, not the texts."""
+    spark = df.sparkSession
+    path = scratch(spark, "blocks")
+    name = "mnemos_" + path.rpartition("-")[2]
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(spark.sparkContext.defaultParallelism, min(MOST, -(-estimate // WIDTH)))
+    packed(df, key, text, tag, size).write.bucketBy(n, "block").option("path", path).saveAsTable(name)
+    return spark.table(name)
