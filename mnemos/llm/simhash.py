@@ -70,7 +70,9 @@ def cells(prints: DataFrame, distance: int, groups: int) -> DataFrame:
         at += 2 * n
     chosen = [sum(masks[i] for i in own) for own in combinations(range(groups), groups - distance)]
     signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
-    counts = F.col("f") - F.shiftrightunsigned("f", 1).bitwiseAND(F.lit(0x5555555555555555))
+    half = F.lit(0x5555555555555555)
+    one, other = F.col("f").bitwiseAND(half), F.shiftrightunsigned("f", 1).bitwiseAND(half)
+    counts = one.bitwiseXOR(other).bitwiseOR(F.shiftleft(one.bitwiseAND(other), 1))  # the sum of each two bits
     rows = prints.select("f", counts.alias("e"))
     return rows.select("f", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("e").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])).alias("cell"))
 
@@ -175,6 +177,13 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     return rows.join(own, "f").select(F.col("key").alias(key), "f", "component_id")
 
 
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``df`` with the smallest key of their component; of components with null keys only, all rows."""
+    found = near_groups(df, key, text, **how)
+    gone = materialize(found.where(F.col("component_id").isNotNull() & ~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__k")).distinct(), "gone")
+    return df.join(gone, df[key].eqNullSafe(gone["__k"]), "left_anti").select(df.columns)
+
+
 def op4_simhash_near_dedup(spark, sf_dir) -> DataFrame:
     found = near_groups(table(spark, sf_dir, "documents"), shingle=4, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
