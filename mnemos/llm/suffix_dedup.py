@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemos.llm.common import materialize, table
-from mnemos.llm.textblocks import BLOCK, pack, starts, unpack
+from mnemos.llm.textblocks import BLOCK, kept_blocks, starts, unpack
 
 LENGTH = 100
 ANCHOR = 32
@@ -114,11 +114,13 @@ def dump_run(entries: list[tuple]) -> bytes:
         np.array([e[2] for e in entries], "<u1"), np.array([e[3] for e in entries], "<u1"),
         np.array([e[4] for e in entries], "<i8"), np.array([e[5] for e in entries], "<u4"), np.array([e[6] for e in entries], "<u8"),
     ]
-    return b"".join([len(entries).to_bytes(4, "little"), *[a.tobytes() for a in arrays], *rest, *[e[1] for e in entries]])
+    data = b"".join([len(entries).to_bytes(4, "little"), *[a.tobytes() for a in arrays], *rest, *[e[1] for e in entries]])
+    return len(data).to_bytes(4, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
 def load_run(data: bytes) -> tuple[list[int], list[bytes], list[tuple]]:
     """The suffixes' known shared prefixes, the suffixes, and (before, low, high, key, document, place) of each."""
+    data = unpack(data[4:], int.from_bytes(data[:4], "little"))
     n, at = int.from_bytes(data[:4], "little"), 4
     columns = []
     for kind in ("<u1", "<u1", "<u1", "<u1", "<u1", "<i8", "<u4", "<u8"):
@@ -391,7 +393,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", hot:
     last; rows with the same key follow each other in the order in which they were packed, so of two alike one stays
     whole. Null texts count as empty; texts under LENGTH bytes stay. An empty table gives no rows.
     """
-    blocks = pack(df, key, text, size=block)
+    blocks = kept_blocks(df, key, text, size=block)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(8, -(-2 * total // ((LENGTH - ANCHOR + 2) * BUCKET)))
     asked = blocks.select("block", "sizes", "n_bytes", "data").mapInArrow(_ask(buckets), "bucket long, block long, hashes binary")

@@ -71,6 +71,7 @@ def kept_blocks(df: DataFrame, key: str = "doc_id", text: str = "text", tag: str
     path = scratch(spark, "blocks")
     name = "mnemos_" + path.rpartition("-")[2]
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = max(spark.sparkContext.defaultParallelism, min(MOST, -(-estimate // WIDTH)))
+    n = min(MOST, -(-estimate // WIDTH)) if estimate < 1 << 60 else int(spark.conf.get("spark.sql.shuffle.partitions"))  # that large: unknown
+    n = max(spark.sparkContext.defaultParallelism, n)
     packed(df, key, text, tag, size).write.bucketBy(n, "block").option("path", path).saveAsTable(name)
     return spark.table(name)
