@@ -132,6 +132,20 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
 
 
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay; of rows with one key and one text exactly one."""
+    found = groups(df, key, text).select(F.col(key).alias("__k"), F.col("text_sha256").alias("__s"), "kept")
+    marked = df.withColumn("__sha", F.sha2(normalised(text), 256))
+    kept = materialize(found.groupBy("__k", "__s").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "kept")
+    same = [marked[key].eqNullSafe(F.col("__k")), F.col("__sha") == F.col("__s")]
+    once = marked.join(kept.where("kept and n = 1").select("__k", "__s"), same, "left_semi")
+    again = kept.where("kept and n > 1")
+    if not again.isEmpty():
+        more = marked.join(again.select("__k", "__s"), same, "left_semi").dropDuplicates([key, "__sha"])
+        once = once.unionByName(more)
+    return once.select(df.columns)
+
+
 def op10_exact_dedup(spark, sf_dir) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"))
 

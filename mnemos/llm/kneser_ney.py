@@ -20,7 +20,7 @@ from mnemos.llm.textblocks import kept_blocks, starts, unpack
 #: Characters of an n-gram, and bits of a character's symbol.
 ORDER, BITS = 4, 8
 #: Trusted documents of a language that a perplexity may not exceed, and the widening of that limit (in log perplexity).
-QUANTILE, MARGIN = 0.995, 0.1
+QUANTILE, MARGIN = 0.995, 0.5
 #: Width of the bins of log perplexity in which quantiles are found.
 BIN = 0.001
 #: Trusted documents below which a language goes by all languages' limit.

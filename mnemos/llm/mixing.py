@@ -17,7 +17,7 @@ from mnemos.llm.common import materialize, table, text_of
 #: Words that a range of random keys holds, about.
 RANGE_WORDS = 2_000_000
 #: Hex digits of the random key that the finest ranges are made of.
-DIGITS = 4
+DIGITS = 3
 
 
 def words(text: str = "text") -> Column:
@@ -82,6 +82,18 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     return rows.select(F.col("key").alias(key), "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"), "row")
 
 
+def mixed(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
+    """The rows of ``df`` that the mix takes, one copy for each epoch that takes them; a row that a cut goes through stays whole.
+
+    Rows that the mix takes no word of go, those without words among them. Rows alike in key and size get the copies of
+    the one that has most.
+    """
+    copies = mix(df, key, source, text, **how).where("taken > 0").groupBy(F.col(key).alias("__key"), F.col("size").alias("__size")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__copies"))
+    sized = df.withColumn("__words", words(text))
+    met = sized.join(copies, sized[key].eqNullSafe(copies["__key"]) & (sized["__words"] == copies["__size"]))
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(df.columns)
+
+
 def op8_mix_sources(spark, sf_dir) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("row")
 

@@ -175,6 +175,11 @@ def judge(df: DataFrame, rules: list[tuple[Condition, ...]], text: str = "text",
     return out.withColumn(base, (n < 50) | (100 * again > 50 * n)).withColumn(rule, expression(rules, stats))
 
 
+def accepted(df: DataFrame, rules: list[tuple[Condition, ...]], text: str = "text") -> DataFrame:
+    """The rows of ``df`` that pass the base and that no rule fires on."""
+    return judge(df, rules, text, "__stats", "__rule", "__failed").where("not __failed and __rule = 0").select(df.columns)
+
+
 def op3_quality_rules(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = judge(docs, fit(docs, table(spark, sf_dir, "labels")))
