@@ -8,6 +8,7 @@ indexes and column chunks let a reader fetch a range of documents, or the counts
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from itertools import chain
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from mnemos.llm.bpe import FIRST, blocks, chunks, lists
 from mnemos.llm.common import scratch, small_batches, table, text_of
 
+WHITE = re.compile(r"\s")
 #: Chunks whose ids a task keeps.
 KEPT = 400_000
 #: Rows dealt to a file; more documents make more files.
@@ -34,7 +36,17 @@ class Coder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
+        #: which tokens begin with a space (in the byte alphabet of such files, the letter G with a dot)
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.tokenizer.get_vocab_size())])
+        self.known: dict[str, bytes] = {}
+
+    def _keep(self, part: list[str], ids: list[list[int]]) -> None:
+        flat = np.fromiter(chain.from_iterable(ids), dtype="<u4")
+        begins = np.flatnonzero(self.spaced[flat])
+        if len(begins) != len(part):
+            raise ValueError("a chunk's first token must begin with its space")
+        data, cuts = flat.tobytes(), [*(4 * begins).tolist(), 4 * len(flat)]
+        self.known.update(zip(part, [data[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
 
     def encode(self, texts: list[str], end: int | None = None) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, ``end`` after them."""
@@ -44,14 +56,14 @@ class Coder:
         if len(known) + len(new) > KEPT:
             known.clear()
             new = set(chain.from_iterable(cut))
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            coded = self.tokenizer.encode_batch_fast([c[1:] if c[:1] == FIRST else " " + c for c in part], add_special_tokens=False)
-            ids = [x.ids for x in coded]
-            flat = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes()
-            cuts = (4 * np.cumsum([0, *map(len, ids)])).tolist()
-            known.update(zip(part, [flat[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
+        # chunks without other white space are coded many in a text, and told apart by the tokens that begin with a space
+        joined = [c for c in new if c[:1] != FIRST and not WHITE.search(c)]
+        for at in range(0, len(joined), 100_000):
+            part = joined[at : at + 100_000]
+            texts = [" " + " ".join(part[i : i + 500]) for i in range(0, len(part), 500)]
+            self._keep(part, [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        for c in new.difference(joined):
+            known[c] = np.array(self.tokenizer.encode(c[1:] if c[:1] == FIRST else " " + c, add_special_tokens=False).ids, dtype="<u4").tobytes()
         last = b"" if end is None else int(end).to_bytes(4, "little")
         return [b"".join(map(known.__getitem__, x)) + last for x in cut]
 
