@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from mnemos.plans.queries import ORACLE as SQL
+from mnemos.plans.queries import QUERIES
 
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "a05_module_progress"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
