@@ -174,6 +174,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = roots.withColumnRenamed("node", "f").join(least, "root").select("f", "component_id")
     own = prints.join(linked, "f", "left").select("f", F.coalesce("component_id", "least").alias("component_id"))
+    own = materialize(own, "named")  # so that both sides of the join are dealt anew and a hot fingerprint can be split
     return rows.join(own, "f").select(F.col("key").alias(key), "f", "component_id")
 
 
