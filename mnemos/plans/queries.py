@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mnemos.adapters import NOW, SQL, attempts, inventory, table
 from mnemos.functions import text as fn
-from mnemos.operators import bank, geometry, registry, replay, results, sessions, topics, validators
+from mnemos.operators import bank, geometry, progress, registry, replay, results, sessions, topics, validators
 from mnemos.sources import tables
 from mnemos.streaming import replication
 
@@ -636,3 +636,116 @@ def s24_import(s, d):
 @query("SELECT page_id, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page FROM pages WHERE regexp_matches(url, '[?&]page=')", "")
 def c23_route(s, d):
     return table(s, d, "pages").select("page_id", fn.route(F.col("url"), "page").alias("page")).where("page is not null")
+
+
+# --- progress, history, lookups ---------------------------------------------------------------------------------
+
+RUNS = """WITH a AS (SELECT event_id AS attempt_id, user_id, CAST(props->>'$.k' AS INT) AS question_id, 1 + CAST(props->>'$.k' AS INT) % 3 AS generation, event_id % 17 AS progress_order, ts,
+  CASE event_type WHEN 'purchase' THEN 'correct' WHEN 'click' THEN 'partial' WHEN 'error' THEN 'incorrect' ELSE 'open' END AS state, CASE WHEN event_id % 3 = 0 THEN event_type ELSE ' ' END AS note FROM events),
+n AS (SELECT user_id, max(generation) AS generation FROM a GROUP BY user_id)
+"""
+
+
+def _runs(s, d) -> DataFrame:
+    e = attempts(s, d)
+    return e.select("attempt_id", "user_id", "question_id", (F.col("question_id") % 3 + 1).alias("generation"), (F.col("attempt_id") % 17).alias("progress_order"), "ts", "correctness")
+
+
+@query("SELECT user_id, generation, question_id, attempt_id, state FROM a JOIN n USING (user_id, generation) QUALIFY row_number() OVER (PARTITION BY user_id, question_id ORDER BY progress_order DESC, ts DESC, attempt_id DESC) = 1", RUNS)
+def w05_latest_in_run(s, d):
+    return progress.latest_in_run(_runs(s, d))
+
+
+@query("SELECT user_id, generation, question_id, attempt_id, state FROM (SELECT * FROM a WHERE attempt_id % 4 <> 1) JOIN (SELECT user_id, max(generation) AS generation FROM a WHERE attempt_id % 4 <> 1 GROUP BY user_id) USING (user_id, generation) QUALIFY row_number() OVER (PARTITION BY user_id, question_id ORDER BY progress_order DESC, ts DESC, attempt_id DESC) = 1", RUNS)
+def t22_delete_falls_back(s, d):
+    runs = _runs(s, d)
+    return progress.latest_in_run(progress.without(runs, runs.where("attempt_id % 4 = 1")))
+
+
+@query(
+    """, l AS (SELECT user_id, question_id, arg_max(note, (ts, attempt_id)) AS note FROM a WHERE trim(note) <> '' GROUP BY ALL), dr AS (SELECT DISTINCT user_id, question_id, CASE WHEN question_id % 2 = 0 THEN 'draft' ELSE '' END AS draft FROM a WHERE question_id % 5 = 0)
+SELECT user_id, question_id, coalesce(CASE WHEN draft <> '' THEN draft END, note) AS note FROM l FULL JOIN dr USING (user_id, question_id) WHERE coalesce(CASE WHEN draft <> '' THEN draft END, note) IS NOT NULL""",
+    RUNS,
+)
+def w07_latest_notes(s, d):
+    e = table(s, d, "events")
+    k = F.get_json_object("props", "$.k").cast("int").alias("question_id")
+    a = e.select("user_id", k, "ts", F.col("event_id").alias("attempt_id"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(" ").alias("note"))
+    drafts = a.where("question_id % 5 = 0").select("user_id", "question_id", F.when(F.col("question_id") % 2 == 0, "draft").otherwise("").alias("draft")).distinct()
+    return progress.latest_note(a, drafts)
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey, l_suppkey AS candidate, l_discount AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_suppkey DESC) AS n FROM lineitem)
+SELECT a.l_orderkey, CASE WHEN b.score IS NULL OR a.score - b.score > 0.015 THEN a.candidate END AS candidate FROM c a LEFT JOIN c b ON b.l_orderkey = a.l_orderkey AND b.n = 2 WHERE a.n = 1""",
+    "",
+)
+def a34_strongest_candidate(s, d):
+    c = table(s, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("candidate"), F.col("l_discount").alias("score"))
+    return progress.strongest(c, "l_orderkey", 0.015)
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS question_id, o_custkey % 40 AS alias, CASE WHEN o_orderkey % 5 = 0 THEN 'own' END AS sha FROM orders)
+SELECT question_id, coalesce(sha, CASE WHEN alias < 20 THEN 'a' || alias END, CASE WHEN question_id % 2 = 0 THEN 'q' || question_id END) AS resolved FROM o""",
+    "",
+)
+def f41_source_fallback(s, d):
+    rows = table(s, d, "orders").select(F.col("o_orderkey").alias("question_id"), (F.col("o_custkey") % 40).alias("alias"), F.when(F.col("o_orderkey") % 5 == 0, "own").alias("sha"))
+    aliases = rows.where("alias < 20").select("alias", F.concat(F.lit("a"), F.col("alias").cast("string")).alias("sha")).distinct()
+    index = rows.where("question_id % 2 = 0").select("question_id", F.concat(F.lit("q"), F.col("question_id").cast("string")).alias("sha"))
+    return progress.resolved(rows, aliases, index).select("question_id", "resolved")
+
+
+@query("SELECT o_custkey AS alias, count(DISTINCT o_orderstatus) AS hashes FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1", "")
+def s44_alias_conflicts(s, d):
+    return progress.alias_conflicts(table(s, d, "orders").select(F.col("o_custkey").alias("alias"), F.col("o_orderstatus").alias("sha")))
+
+
+@query("SELECT page, x0, y0, x1, y1, array_to_string(list_sort(list_distinct(list(owner))), ',') AS owners FROM (SELECT id % 4 AS page, floor(x0 / 50) AS x0, floor(y0 / 50) AS y0, 1.0::DOUBLE AS x1, 2.0::DOUBLE AS y1, owner FROM r) GROUP BY ALL HAVING count(DISTINCT owner) > 1", RECTS)
+def j42_shared_regions(s, d):
+    r = _rects(s, d).select((F.col("id") % 4).alias("page"), F.floor(F.col("x0") / 50).cast("double").alias("x0"), F.floor(F.col("y0") / 50).cast("double").alias("y0"), F.lit(1.0).alias("x1"), F.lit(2.0).alias("y1"), "owner")
+    return progress.shared_regions(r).withColumn("owners", F.array_join(F.col("owners").cast("array<string>"), ","))
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_type, event_id)) AS kind, arg_max(event_id, (ts, event_type, event_id)) AS id FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY user_id", "")
+def o12_resume_candidate(s, d):
+    e = table(s, d, "events").select("user_id", F.col("event_type").alias("kind"), F.col("event_id").alias("id"), F.col("ts").alias("at"))
+    return progress.resume(*[e.where(F.col("kind") == k) for k in ("click", "view", "error")])
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', source, lang, text)), 'license')", "")
+def f17_search(s, d):
+    return table(s, d, "documents").where(bank.found(F.lit("LICENSE"), "source", "lang", "text")).select("doc_id")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 5", "")
+def o08_dashboard_history(s, d):
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").alias("started_at"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("abandoned").alias("status"))
+    return sessions.history(o).limit(5).select(F.col("session_id").alias("o_orderkey"), F.col("started_at").alias("o_orderdate"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN o_orderstatus ELSE o_orderpriority END AS value FROM orders", "")
+def t28_locked_write(s, d):
+    k = F.col("o_orderkey")
+    return table(s, d, "orders").select("o_orderkey", registry.locked_write(F.col("o_orderstatus"), F.col("o_orderpriority"), k % 3 == 0, k % 2 == 0).alias("value"))
+
+
+@query("""SELECT 'customer' AS store, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'events', count(*) FROM events""", "")
+def a36_record_counts(s, d):
+    out = None
+    for t in ("customer", "orders", "events"):
+        n = table(s, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("store"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query("SELECT lang, round(avg(n_chars), 3) AS mean_chars, count(*) AS documents FROM documents GROUP BY lang", "")
+def a30_report_counters(s, d):
+    return table(s, d, "documents").groupBy("lang").agg(F.round(F.avg("n_chars"), 3).alias("mean_chars"), F.count("*").alias("documents"))
+
+
+@query("SELECT o_custkey FROM orders GROUP BY o_custkey HAVING bool_or(o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') AND bool_or(o_orderstatus = 'F' AND o_orderpriority = '5-LOW')", "")
+def f38_both_kinds(s, d):
+    x = table(s, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "5-LOW")).select("o_custkey", F.col("o_orderpriority").alias("kind"), (F.col("o_orderstatus") == "F").alias("approved"))
+    return registry.both_kinds(x, "o_custkey")
