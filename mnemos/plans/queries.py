@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mnemos.adapters import NOW, SQL, attempts, inventory, table
 from mnemos.functions import text as fn
-from mnemos.operators import bank, geometry, progress, registry, replay, results, sessions, topics, validators
+from mnemos.operators import bank, geometry, progress, registry, replay, results, review, sessions, topics, validators
 from mnemos.sources import tables
 from mnemos.streaming import replication
 
@@ -749,3 +749,110 @@ def a30_report_counters(s, d):
 def f38_both_kinds(s, d):
     x = table(s, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "5-LOW")).select("o_custkey", F.col("o_orderpriority").alias("kind"), (F.col("o_orderstatus") == "F").alias("approved"))
     return registry.both_kinds(x, "o_custkey")
+
+
+# --- review and promotion ---------------------------------------------------------------------------------------
+
+
+@query(
+    """, m AS (SELECT module, unnest(list_reverse(list_sort(list(question_id)))) AS number, generate_subscripts(list(question_id), 1) - 1 AS pos FROM inventory GROUP BY module)
+SELECT m.module, pos::INT AS pos, number, number + 1000 AS question_id FROM m WHERE number % 6 <> 0"""
+)
+def f39_parts_in_order(s, d):
+    q = inventory(s, d)
+    declared = q.groupBy("module").agg(F.sort_array(F.collect_list("question_id"), asc=False).alias("numbers"))
+    return review.parts_in_order(declared, q.where("question_id % 6 <> 0").select("module", F.col("question_id").alias("number"), (F.col("question_id") + 1000).alias("question_id")))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'm' || o_custkey ELSE o_orderpriority END AS answer, o_orderpriority AS machine, o_orderkey % 4 = 0 AS locked FROM orders", "")
+def j27_merged_confirmations(s, d):
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("answer"), "o_custkey")
+    return review.merged(o.select("id", "answer"), o.where("id % 4 = 0").select("id", F.concat(F.lit("m"), F.col("o_custkey").cast("string")).alias("answer")))
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS answer FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey % 5 <> 0", "")
+def j26_bound_confirmations(s, d):
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("hash"), F.col("o_orderpriority").alias("kind"), "o_orderstatus")
+    answers = o.where("id % 3 = 0").select("id", F.when(F.col("hash") % 5 == 0, -1).otherwise(F.col("hash")).alias("hash"), "kind", F.col("o_orderstatus").alias("answer"))
+    return review.confirmed(o.select("id", "hash", "kind"), answers, ["hash", "kind"])[0].select("id", "answer")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'missing' WHEN o_orderkey % 10 = 1 THEN 'extra' ELSE 'differs' END AS problem FROM orders WHERE o_orderkey % 10 IN (0, 1, 2)", "")
+def j30_release_differences(s, d):
+    o = table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    promoted = o.where("o_orderkey % 10 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 2, -1.0).otherwise(F.col("o_totalprice")))
+    return review.differences(promoted, o.where("o_orderkey % 10 <> 1"), "o_orderkey")
+
+
+@query("SELECT o_custkey AS key, min(o_orderpriority) AS decision FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey HAVING count(*) = 1 AND min(o_orderkey % 2) = 0", "")
+def j39_unique_decision(s, d):
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("key"), (F.col("o_orderstatus") == "F").alias("reviewed"), (F.col("o_orderkey") % 2).alias("evidence"), F.lit(0).cast("long").alias("current"), F.col("o_orderpriority").alias("decision"))
+    return review.unique_decision(o)
+
+
+@query(
+    """WITH f AS (SELECT l_orderkey AS scope, list_distinct(list(l_linenumber)) AS have FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY ALL), e AS (SELECT o_orderkey AS scope, range(1, 1 + 3 + o_orderkey % 3) AS want FROM orders WHERE o_orderkey % 5 <> 0),
+x AS (SELECT scope, coalesce(have, []) AS have, coalesce(want, []) AS want FROM f FULL JOIN e USING (scope)), y AS (SELECT scope, len(list_filter(want, lambda w: NOT list_contains(have, w))) AS missing, len(list_filter(have, lambda w: NOT list_contains(want, w))) AS extra FROM x)
+SELECT scope, missing::INT AS missing, extra::INT AS extra, CASE WHEN missing = 0 AND extra = 0 THEN 'ok' ELSE 'needs_review' END AS status FROM y""",
+    "",
+)
+def a24_coverage_downgrade(s, d):
+    found = table(s, d, "lineitem").where("l_orderkey % 4 <> 0").select(F.col("l_orderkey").alias("scope"), F.col("l_linenumber").cast("long").alias("number"))
+    o = table(s, d, "orders").where("o_orderkey % 5 <> 0")
+    return review.downgraded(found, o.select(F.col("o_orderkey").alias("scope"), F.explode(F.sequence(F.lit(1).cast("long"), 3 + F.col("o_orderkey") % 3)).alias("number")))
+
+
+@query(
+    """, p AS (SELECT DISTINCT topic, 'p' || question_id % 5 AS pattern FROM membership), q AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY pattern) AS n FROM p)
+SELECT topic, count(DISTINCT question_id) AS questions, (SELECT string_agg(pattern, '|' ORDER BY pattern) FROM q WHERE q.topic = m.topic AND n <= 3) AS patterns FROM membership m GROUP BY topic""",
+    BANK,
+)
+def a29_topic_summaries(s, d):
+    m = topics.members(_classified(s, d), _nodes(s, d))
+    return review.summaries(m, m.select("topic", F.concat(F.lit("p"), (F.col("question_id") % 5).cast("string")).alias("pattern")))
+
+
+@query("SELECT question_id AS id, array_to_string(CASE WHEN locked THEN topic_ids ELSE [question_id % 3] END, ',') AS topics, array_to_string(CASE WHEN locked THEN reasons || ['again'] ELSE ['again'] END, ',') AS reasons, locked FROM classified", BANK)
+def c10_locked_reconciliation(s, d):
+    old = _classified(s, d).select(F.col("question_id").alias("id"), F.col("topic_ids").alias("topics"), "reasons", "locked")
+    out = review.reconciled(old, old.select("id", F.array(F.col("id") % 3).alias("topics"), F.array(F.lit("again")).alias("reasons")))
+    return out.select("id", F.array_join(F.col("topics").cast("array<string>"), ",").alias("topics"), F.array_join("reasons", ",").alias("reasons"), "locked")
+
+
+@query("SELECT user_id::VARCHAR AS id, max(event_id)::VARCHAR AS mutation_id, CASE WHEN user_id % 3 = 0 THEN user_id % 9 ELSE 0 END::BIGINT AS base_revision FROM events WHERE user_id % 3 <> 1 GROUP BY user_id", "")
+def t04_acknowledge(s, d):
+    p = table(s, d, "events").groupBy("user_id").agg(F.max("event_id").alias("m"))
+    pending = p.select(F.lit("note").alias("entity"), F.col("user_id").cast("string").alias("id"), F.col("m").cast("string").alias("mutation_id"), F.lit(0).cast("long").alias("base_revision"))
+    acks = p.where("user_id % 3 <> 2").select(F.lit("note").alias("entity"), F.col("user_id").cast("string").alias("id"), F.when(F.col("user_id") % 3 == 1, F.col("m").cast("string")).otherwise("old").alias("mutation_id"), (F.col("user_id") % 9).alias("revision"))
+    return review.acknowledged(pending, acks).select("id", "mutation_id", "base_revision")
+
+
+@query("SELECT o_custkey AS id FROM orders GROUP BY o_custkey HAVING o_custkey % 7 = 0 OR o_custkey % 11 = 0", "")
+def t27_append_only(s, d):
+    old = table(s, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list(F.col("o_orderkey").cast("string"))).alias("events"))
+    new = old.where("id % 7 <> 0").withColumn("events", F.when(F.col("id") % 11 == 0, F.concat(F.array(F.lit("x")), F.col("events"))).otherwise(F.concat(F.col("events"), F.array(F.lit("new")))))
+    return review.prefix_violations(old, new)
+
+
+@query(
+    """, l AS (SELECT * FROM sources QUALIFY row_number() OVER (PARTITION BY scope ORDER BY version DESC) = 1)
+SELECT c_custkey AS scope, CASE WHEN version IS NULL THEN 'first' WHEN sha256 = (c_custkey % 50)::VARCHAR THEN 'same' ELSE 'replaces' END AS action,
+ (coalesce(version, 0) + CASE WHEN sha256 = (c_custkey % 50)::VARCHAR THEN 0 ELSE 1 END)::INT AS version, CASE WHEN sha256 <> (c_custkey % 50)::VARCHAR THEN source_id END AS supersedes FROM customer LEFT JOIN l ON scope = c_custkey""",
+    SOURCES,
+)
+def t29_register_source(s, d):
+    latest = results.last_wins(_sources(s, d).select("scope", "source_id", "version", F.col("sha256").alias("sha")), ["scope"], "version")
+    return review.registered(latest, table(s, d, "customer").select(F.col("c_custkey").alias("scope"), (F.col("c_custkey") % 50).cast("string").alias("sha")))
+
+
+@query("SELECT user_id AS run_id, count(DISTINCT question_id) AS questions, count(DISTINCT question_id) FILTER (correctness IS NOT NULL) AS done, count(DISTINCT question_id) = count(DISTINCT question_id) FILTER (correctness IS NOT NULL) AS complete FROM attempts GROUP BY user_id")
+def a19_training_completion(s, d):
+    a = attempts(s, d)
+    runs = a.groupBy(F.col("user_id").alias("run_id")).agg(F.collect_set("question_id").alias("question_ids"))
+    return review.open_runs(runs, a.select(F.col("user_id").alias("run_id"), "question_id", "correctness"))
+
+
+@query("SELECT question_id AS id FROM inventory WHERE question_id % 5 = 0 OR question_id % 8 = 1")
+def u07_retired(s, d):
+    q = inventory(s, d).select(F.col("question_id").alias("id"))
+    return review.retired(q, q.where("id % 5 <> 0"), q.where("id % 8 = 1"))
