@@ -28,8 +28,6 @@ from mnemos.llm.components import components
 CELL = 8_192
 #: In cells of at most so many rows each pair is looked at and each link reported.
 FEW = 16
-#: A cell's rows of unrelated texts, at most, that the number of groups is chosen for.
-CROWD = 32
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
 
@@ -137,24 +135,21 @@ def _verify(distance: int):
     return run
 
 
-def links(prints: DataFrame, distance: int, count: int, groups: int | None = None) -> DataFrame:
+def links(prints: DataFrame, distance: int, groups: int | None = None) -> DataFrame:
     """Links (u, v) that connect all distinct fingerprints ``f`` which are reachable by steps of at most ``distance`` bits.
 
-    ``groups``: how many groups of axes; more make more and smaller cells. By default the least with which cells of
-    ``count`` unrelated fingerprints hold CROWD rows at most. The links found are the same for any number.
+    ``groups``: how many groups of axes; more make more and smaller cells, and the links found are the same. By default
+    ``distance`` + 3: with that, ten million unrelated fingerprints share a cell with 15 others (distance 4) or 290 (6).
     """
-    groups = groups or next(g for g in range(distance + 2, 33) if g == 32 or count * 0.375 ** (32 * (g - distance) / g) <= CROWD)
-    rows = cells(prints, distance, groups)
-    sized = rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    met = rows.join(sized, "cell")
-    parts = F.ceil(F.col("n") / CELL).cast("int")
-    small = met.where(F.col("n") <= CELL).select("cell", "f")
+    rows = cells(prints, distance, groups or distance + 3)
+    large = materialize(rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL), "large")
     # larger cells: block i meets block j in the cell (i, j); a block's own links come up in each of its pairs
-    large = met.where(F.col("n") > CELL).withColumn("parts", parts).withColumn("i", F.pmod(F.xxhash64("f", F.lit(7)), F.col("parts")).cast("int"))
-    large = large.select("cell", "f", "i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j")).where("i <> j")
-    large = large.select(F.xxhash64("cell", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "f")
-    dealt = small.unionByName(large).repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(_verify(distance), "u long, v long").distinct()
+    split = rows.join(large, "cell").withColumn("parts", F.ceil(F.col("n") / CELL).cast("int"))
+    split = split.withColumn("i", F.pmod(F.xxhash64("f", F.lit(7)), F.col("parts")).cast("int"))
+    split = split.select("cell", "f", "i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j")).where("i <> j")
+    split = split.select(F.xxhash64("cell", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "f")
+    dealt = rows if large.isEmpty() else rows.join(large, "cell", "left_anti").unionByName(split)
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verify(distance), "u long, v long").distinct()
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 4, groups: int | None = None) -> DataFrame:
@@ -168,7 +163,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     rows = materialize(df.select(F.col(key).alias("key"), fingerprints(text_of(text), shingle).alias("f")), "simhash")
     prints = rows.groupBy("f").agg(F.min("key").alias("least"))
     prints = materialize(prints, "prints")
-    roots = components(links(prints.select("f"), distance, prints.count(), groups))
+    roots = components(links(prints.select("f"), distance, groups))
     # each component's smallest key, by way of its root
     named = prints.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

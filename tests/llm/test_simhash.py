@@ -42,7 +42,7 @@ def test_query_against_brute_force(spark):
 
 def links_of(spark, prints, distance, groups):
     df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in prints], "f long")
-    found = simhash.components(simhash.links(df, distance, len(prints), groups)).collect()
+    found = simhash.components(simhash.links(df, distance, groups)).collect()
     return {(r.node & (1 << 64) - 1): r.root for r in found}
 
 
