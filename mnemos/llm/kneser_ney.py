@@ -140,16 +140,16 @@ def score(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "t
     character has the same probability. An empty table gives no rows.
     """
     spark = df.sparkSession
-    blocks = kept_blocks(df, key, text, lang)
+    blocks, parts = kept_blocks(df, key, text, lang)
     places = blocks.select("block", F.posexplode("keys").alias("place", "key"))
-    good = places.join(trusted.select(F.col(key).alias("key")).distinct(), "key", "left_semi").groupBy("block").agg(F.collect_list("place").alias("trusted"))
+    good = places.join(trusted.select(F.col(key).alias("key")).distinct(), "key", "left_semi").repartition(parts, "block").groupBy("block").agg(F.collect_list("place").alias("trusted"))
     texts = blocks.select("block", "sizes", "n_bytes", "data")
     gathered = materialize(texts.join(good, "block", "left").mapInArrow(_gather(order), "block long, known array<long>, n array<long>, asked array<long>"), "ngrams")
     counts = gathered.select(F.explode(F.arrays_zip("known", "n")).alias("x")).groupBy(F.col("x.known").alias("code")).agg(F.sum("x.n").alias("n"))
     levels = model(counts, order)
     asked = gathered.select("block", F.explode("asked").alias("code"))
     p = materialize(probabilities(asked.select("code").distinct(), levels, order), "probabilities")
-    told = asked.join(p, "code").groupBy("block").agg(F.collect_list(F.struct("code", "p")).alias("x")).select("block", F.col("x.code").alias("told"), F.col("x.p").alias("p"))
+    told = asked.join(p, "code").repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("code", "p")).alias("x")).select("block", F.col("x.code").alias("told"), F.col("x.p").alias("p"))
     scored = blocks.join(told, "block", "left").select("keys", "tags", "sizes", "n_bytes", "data", "told", "p")
     out = materialize(scored.mapInArrow(_score(order), "key long, lang string, n_symbols long, log_perplexity double"), "scores")
     return out.withColumnRenamed("key", key)

@@ -393,15 +393,15 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", hot:
     last; rows with the same key follow each other in the order in which they were packed, so of two alike one stays
     whole. Null texts count as empty; texts under LENGTH bytes stay. An empty table gives no rows.
     """
-    blocks = kept_blocks(df, key, text, size=block)
+    blocks, parts = kept_blocks(df, key, text, size=block)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(8, -(-2 * total // ((LENGTH - ANCHOR + 2) * BUCKET)))
     asked = blocks.select("block", "sizes", "n_bytes", "data").mapInArrow(_ask(buckets), "bucket long, block long, hashes binary")
     again = asked.groupBy("bucket").applyInArrow(_answer(hot), "block long, again binary, hot binary")
-    again = again.groupBy("block").agg(F.collect_list("again").alias("again"), F.collect_list("hot").alias("hot"))  # no more than the block's anchors
+    again = again.repartition(parts, "block").groupBy("block").agg(F.collect_list("again").alias("again"), F.collect_list("hot").alias("hot"))  # no more than the block's anchors
     runs = blocks.join(again, "block").mapInArrow(_runs(buckets), "bucket long, block long, kind int, data binary")
     ranges = materialize(runs.groupBy("bucket").applyInArrow(_merge(few), "block long, ranges binary"), "ranges")
-    ranges = ranges.groupBy("block").agg(F.collect_list("ranges").alias("ranges"))
+    ranges = ranges.repartition(parts, "block").groupBy("block").agg(F.collect_list("ranges").alias("ranges"))
     out = blocks.join(ranges, "block", "left").select("keys", "sizes", "n_bytes", "data", "ranges").mapInArrow(_finish, "key long, n_bytes long, starts array<long>, stops array<long>, kept binary")
     return out.withColumnRenamed("key", key)
 

@@ -65,8 +65,11 @@ def starts(sizes) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.asarray(sizes, dtype=np.int64))]).astype(np.int64)
 
 
-def kept_blocks(df: DataFrame, key: str = "doc_id", text: str = "text", tag: str | None = None, size: int = BLOCK) -> DataFrame:
-    """As pack(), but in a table bucketed by ``block``: joins by block then move the other side only, not the texts."""
+def kept_blocks(df: DataFrame, key: str = "doc_id", text: str = "text", tag: str | None = None, size: int = BLOCK) -> tuple[DataFrame, int]:
+    """As pack(), but in a table bucketed by ``block``, and its number of buckets.
+
+    What is joined by block and dealt out with repartition(number, "block") meets the texts where they lie.
+    """
     spark = df.sparkSession
     path = scratch(spark, "blocks")
     name = "mnemos_" + path.rpartition("-")[2]
@@ -74,4 +77,4 @@ def kept_blocks(df: DataFrame, key: str = "doc_id", text: str = "text", tag: str
     n = min(MOST, -(-estimate // WIDTH)) if estimate < 1 << 60 else int(spark.conf.get("spark.sql.shuffle.partitions"))  # that large: unknown
     n = max(spark.sparkContext.defaultParallelism, n)
     packed(df, key, text, tag, size).write.bucketBy(n, "block").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), n
