@@ -23,6 +23,9 @@ ORDER, BITS = 4, 8
 QUANTILE, MARGIN = 0.995, 0.5
 #: Width of the bins of log perplexity in which quantiles are found.
 BIN = 0.001
+#: Bytes of text that are turned into codes at a time, about.
+SLICE = 512 << 10
+EMPTY = np.zeros(0, np.int64)
 #: Trusted documents below which a language goes by all languages' limit.
 SUPPORT = 30
 
@@ -45,6 +48,16 @@ def symbols(data: bytes, at: np.ndarray, order: int) -> tuple[np.ndarray, np.nda
     return codes, first, sizes
 
 
+def _slices(row, order: int):
+    """The block's texts some at a time, as (first, last, codes, first places, sizes): arrays of a whole block would be large."""
+    data, at = unpack(row["data"], row["n_bytes"]), starts(row["sizes"])
+    low = 0
+    while low < len(at) - 1:
+        high = max(low + 1, int(np.searchsorted(at, at[low] + SLICE, "right")) - 1)
+        yield low, high, *symbols(data, at[low : high + 1], order)
+        low = high
+
+
 def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All places from each first on, as many as its size."""
     ends = np.cumsum(sizes)
@@ -57,11 +70,18 @@ def _gather(order: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                codes, first, sizes = symbols(unpack(row["data"], row["n_bytes"]), starts(row["sizes"]), order)
-                good = np.zeros(len(sizes), bool)
-                good[row["trusted"] or []] = True
-                known, n = np.unique(codes[_ranges(first[good], sizes[good])], return_counts=True)
-                asked = np.unique(codes[_ranges(first, sizes)])
+                trusted = np.zeros(len(row["sizes"]), bool)
+                trusted[row["trusted"] or []] = True
+                known, counts, asked = [], [], []
+                for low, high, codes, first, sizes in _slices(row, order):
+                    good = trusted[low:high]
+                    own, n = np.unique(codes[_ranges(first[good], sizes[good])], return_counts=True)
+                    known.append(own)
+                    counts.append(n)
+                    asked.append(np.unique(codes[_ranges(first, sizes)]))
+                known, same = np.unique(np.concatenate(known or [EMPTY]), return_inverse=True)
+                n = np.bincount(same, weights=np.concatenate(counts or [EMPTY]), minlength=len(known))
+                asked = np.unique(np.concatenate(asked or [EMPTY]))
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([known]), pa.array([n.astype(np.int64)]), pa.array([asked])], names=["block", "known", "n", "asked"])
 
     return run
@@ -117,13 +137,15 @@ def _score(order: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                codes, first, sizes = symbols(unpack(row["data"], row["n_bytes"]), starts(row["sizes"]), order)
                 told = np.array(row["told"] or [], dtype=np.int64)
-                logs = np.log(np.array(row["p"] or [], dtype=float))
                 by = np.argsort(told)
-                own = logs[by][np.searchsorted(told, codes[_ranges(first, sizes)], sorter=by)]
-                cuts = np.cumsum(sizes) - sizes
-                mean = -np.add.reduceat(own, cuts) / sizes if len(sizes) else np.zeros(0)
+                told, logs = told[by], np.log(np.array(row["p"] or [], dtype=float))[by]
+                means, all_sizes = [], []
+                for _, _, codes, first, sizes in _slices(row, order):
+                    own = logs[np.searchsorted(told, codes[_ranges(first, sizes)])]
+                    means.append(-np.add.reduceat(own, np.cumsum(sizes) - sizes) / sizes)
+                    all_sizes.append(sizes)
+                mean, sizes = np.concatenate(means or [EMPTY]), np.concatenate(all_sizes or [EMPTY])
                 empty = sizes <= 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["keys"], pa.int64()), pa.array(row["tags"], pa.string()), pa.array(sizes - 1, pa.int64()), pa.array(mean, pa.float64(), mask=empty)], names=["key", "lang", "n_symbols", "log_perplexity"]

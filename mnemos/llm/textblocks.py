@@ -12,6 +12,8 @@ from mnemos.llm.common import materialize, scratch, small_batches, text_of
 
 #: Text bytes of a block; a longer document is a block of its own.
 BLOCK = 4 << 20
+#: Of compression: the texts lie on disk until the end.
+LEVEL = 6
 #: Bytes of input for each bucket of a bucketed table, and its buckets at most.
 WIDTH, MOST = 16 << 20, 4096
 SCHEMA = "block long, keys array<long>, tags array<string>, sizes array<long>, n_bytes long, data binary"
@@ -34,7 +36,7 @@ def packed(df: DataFrame, key: str, text: str, tag: str | None, size: int) -> Da
 
         def give():
             data = b"".join(texts)
-            row = [[(part << 32) + n], [keys], [tags], [[*map(len, texts)]], [len(data)], [pa.compress(data, "zstd", asbytes=True)]]
+            row = [[(part << 32) + n], [keys], [tags], [[*map(len, texts)]], [len(data)], [pa.Codec("zstd", compression_level=LEVEL).compress(data, asbytes=True)]]
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["block", "keys", "tags", "sizes", "n_bytes", "data"])
 
