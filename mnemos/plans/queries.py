@@ -438,6 +438,15 @@ def w09_next_question(s, d):
     return sessions.next_question(grid)
 
 
+@query(ORACLE["w09_next_question"].removeprefix(SQL).replace("(SELECT * FROM inventory WHERE question_id < 12) i", "inventory i"))
+def w09_next_question_whole(s, d):
+    """Over all questions."""
+    latest = _latest(s, d)
+    grid = latest.select("user_id").distinct().crossJoin(inventory(s, d).select("question_id"))
+    grid = grid.join(latest.select("user_id", "question_id", F.col("correctness").alias("state")), ["user_id", "question_id"], "left").withColumn("pos", F.col("question_id"))
+    return sessions.next_question(grid)
+
+
 @query("SELECT c_custkey, count(*) AS open FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'O' GROUP BY c_custkey HAVING count(*) > 1", "")
 def t15_open_twice(s, d):
     o = table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderstatus") == "O", "active").otherwise("completed").alias("status"))
@@ -574,11 +583,21 @@ SELECT scope, number, CASE WHEN c.n IS NULL THEN 'missing' WHEN e.scope IS NULL
     "",
 )
 def a21_number_coverage(s, d):
-    f = table(s, d, "lineitem").where("l_orderkey % 3 = 0").select((F.col("l_orderkey") % 200).alias("scope"), (F.col("l_linenumber") + F.col("l_partkey") % 2).cast("long").alias("number"))
-    e = table(s, d, "orders").select((F.col("o_orderkey") % 210).alias("scope")).distinct().withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(7).cast("long"))))
+    return _coverage(table(s, d, "lineitem").where("l_orderkey % 3 = 0"), table(s, d, "orders"))
+
+
+def _coverage(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    f = lines.select((F.col("l_orderkey") % 200).alias("scope"), (F.col("l_linenumber") + F.col("l_partkey") % 2).cast("long").alias("number"))
+    e = orders.select((F.col("o_orderkey") % 210).alias("scope")).distinct().withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(7).cast("long"))))
     return geometry.number_coverage(f, e)
 
 
+@query(ORACLE["a21_number_coverage"].replace(" WHERE l_orderkey % 3 = 0", ""), "")
+def a21_number_coverage_whole(s, d):
+    """Over all lines."""
+    return _coverage(table(s, d, "lineitem"), table(s, d, "orders"))
+
+
 # --- change logs and validators ---------------------------------------------------------------------------------
 
 @query(
