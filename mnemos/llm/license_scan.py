@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemos.llm import notices
 from mnemos.llm.common import table, text_of
 
 #: Spellings that count as the same, in canonical form (lower case, words with single spaces around).
@@ -40,7 +41,7 @@ TEXTS = (
     ("ISC", "Copyright <year> <owner>\n\n" + _MAY + ", provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC),
     ("0BSD", "Copyright (C) <year> by <owner>\n\n" + _MAY + ".\n\n" + _ISC),
 )
-#: Known lines; a parameter of scan().
+#: Known lines; a parameter of scan(). These five mirror the lines of the test documents; the query adds those of notices.
 STATEMENTS = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -96,10 +97,12 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", texts=TEXTS, st
     forms = F.filter(F.transform(F.split(marked(F.col("text")), "\n"), lambda x: F.trim(x)), lambda x: F.length(x).between(1, 2 * most + 8))
     rows = rows.select("key", F.sha2(whole(F.col("text")), 256).alias("text_digest"), forms.alias("forms"))
     ids = {r.digest: r.license_id for r in lines.collect()}  # the caller's own list
-    digests = F.transform("forms", lambda x: F.sha2(spelled(x), 256))
+    rows = rows.select("key", "text_digest", F.transform("forms", lambda x: F.sha2(spelled(x), 256)).alias("digests"))
     if ids:
-        table_of = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
-        found = F.filter(F.transform(digests, lambda d: F.try_element_at(table_of, d)), lambda x: x.isNotNull())
+        # the map is searched from its start: only known digests are looked up
+        table_of = F.str_to_map(F.lit("\n".join(f"{d}\t{i}" for d, i in ids.items())), F.lit("\n"), F.lit("\t"))
+        own = F.expr("filter(digests, d -> d IN ({}))".format(", ".join(f"'{d}'" for d in ids)))
+        found = F.transform(own, lambda d: F.try_element_at(table_of, d))
     else:
         found = F.array().cast("array<string>")
     rows = rows.select("key", "text_digest", found.alias("found"))
@@ -108,7 +111,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", texts=TEXTS, st
 
 
 def op5_license_scan(spark, sf_dir) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=TEXTS + notices.texts(), statements=STATEMENTS + notices.NOTICES)
 
 
 def _sql() -> str:

@@ -27,3 +27,18 @@ def test_entire_texts_in_other_spelling(spark):
 def test_no_python_in_the_plan(spark):
     plan = x.op5_license_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_known_licences_are_not_only_those_of_the_test_tables(spark, tmp_path):
+    from mnemos.llm import notices
+
+    known = dict(notices.texts())
+    lines = {
+        "Apache-2.0": '# Licensed under the Apache License, Version 2.0 (the "License");', "GPL-2.0-only": "Released under the GPL version 2", "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "AGPL-3.0-or-later": "SPDX-License-Identifier: AGPL-3.0-or-later", "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public", "GPL-3.0-or-later": "Licensed under GPLv3 or later",
+    }
+    rows = [(i, t) for i, t in enumerate([*known.values(), *["some words\n" + x + "\nmore" for x in lines.values()], "licensed under nothing that is known"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [(r.license_id, r.line_licenses) for r in x.op5_license_scan(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert [a for a, _ in found] == [*known, *[None] * (len(lines) + 1)] and {"Apache-2.0", "GPL-2.0-only", "LGPL-2.1-only", "MPL-2.0"} <= set(known)
+    assert [b for _, b in found[len(known) :]] == [*lines, ""]
