@@ -3,6 +3,9 @@
 Rows are ordered by document over all files. The token column is written without a dictionary as delta-packed
 integers, the metadata columns with a dictionary; row groups and pages are bounded, so the footers, page
 indexes and column chunks let a reader fetch a range of documents, or the counts without any token.
+
+A special token that stands literally in a text (``<|endoftext|>``) is coded as the characters it is made of, not as its
+one id: ``encode_special_tokens`` is set, which a plain call of the library leaves off. So that id is an end only.
 """
 
 from __future__ import annotations
