@@ -3,11 +3,14 @@
 Counts are tables with a row for each n-gram; the model is never gathered in one place. A document's n-grams meet the
 counts in sharded joins: each block of documents asks once for each of its distinct n-grams, the distinct questions of
 all blocks are joined order by order to counts, contexts and lower orders, and the answers return to the blocks, which
-add them up to a perplexity for each document. Documents are kept up to a quantile of their language's trusted ones.
+add them up to a perplexity for each document. Documents are kept up to a quantile of their language's trusted ones, as
+models of other trusted documents score them.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +22,10 @@ from mnemos.llm.textblocks import kept_blocks, starts, unpack
 
 #: Characters of an n-gram, and bits of a character's symbol.
 ORDER, BITS = 4, 8
-#: Trusted documents of a language that a perplexity may not exceed, and the widening of that limit (in log perplexity).
-QUANTILE, MARGIN = 0.995, 0.5
+#: Trusted documents of a language that a perplexity may not exceed.
+QUANTILE = 0.995
+#: Parts of the trusted documents; each is scored by a model of the others to find the limits.
+FOLDS = 2
 #: Width of the bins of log perplexity in which quantiles are found.
 BIN = 0.001
 #: Bytes of text that are turned into codes at a time, about.
@@ -177,24 +182,32 @@ def score(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "t
     return out.withColumnRenamed("key", key)
 
 
-def limits(scores: DataFrame, trusted: DataFrame, key: str, quantile: float, margin: float) -> DataFrame:
-    """``lang`` (null: all together) and ``most``: the quantile of the trusted documents' log perplexity, up to BIN, and the margin."""
+def limits(scores: DataFrame, trusted: DataFrame, key: str, quantile: float) -> DataFrame:
+    """``lang`` (null: all together) and ``most``: the quantile of the trusted documents' log perplexity, up to BIN."""
     own = scores.join(trusted.select(F.col(key)).distinct(), key, "left_semi").where("log_perplexity is not null")
     bins = own.groupBy("lang", F.ceil(F.col("log_perplexity") / BIN).alias("bin")).agg(F.count("*").alias("n"))
     bins = bins.where("lang is not null").select("lang", "bin", "n").unionByName(bins.groupBy(F.lit(None).cast("string").alias("lang"), "bin").agg(F.sum("n").alias("n")))
     up = W.partitionBy("lang").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     bins = bins.withColumn("upto", F.sum("n").over(up)).withColumn("all", F.sum("n").over(W.partitionBy("lang")))
     reached = bins.where((F.col("upto") >= quantile * F.col("all")) & (F.col("lang").isNull() | (F.col("all") >= SUPPORT)))
-    return reached.groupBy("lang").agg((F.min("bin") * BIN + margin).alias("most"))
+    return reached.groupBy("lang").agg((F.min("bin") * BIN).alias("most"))
+
+
+def held_out(df: DataFrame, trusted: DataFrame, key: str, text: str, lang: str, order: int) -> DataFrame:
+    """score() of the trusted documents, each by a model of the trusted ones in the other folds; a key's fold is its hash."""
+    fold = F.pmod(F.xxhash64(F.lit(9), F.col(key).cast("long")), F.lit(FOLDS))
+    own = df.join(trusted.select(key).distinct(), key, "left_semi")
+    parts = [score(own.select(key, text, lang), trusted.where(fold != i), key, text, lang, order).where(fold == i) for i in range(FOLDS)]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
-def classify(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, order: int = ORDER) -> DataFrame:
+def classify(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, order: int = ORDER) -> DataFrame:
     """score() with ``most`` (the limit of the language, or of all if it has under SUPPORT trusted documents or is null) and ``kept``.
 
     Texts without characters aren't kept; without trusted documents there is no limit and all others are.
     """
     scores = score(df, trusted, key, text, lang, order)
-    most = materialize(limits(scores, trusted, key, quantile, margin), "limits")
+    most = materialize(limits(held_out(df, trusted, key, text, lang, order), trusted, key, quantile), "limits")
     own = most.where("lang is not null")
     every = most.where("lang is null").agg(F.max("most")).first()[0]
     out = scores.join(own, "lang", "left").withColumn("most", F.coalesce("most", F.lit(every).cast("double")))

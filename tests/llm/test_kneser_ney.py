@@ -84,3 +84,14 @@ def test_odd_tables(spark):
     none = k.classify(df, trusted.limit(0)).collect()
     assert len(none) == 7 and all(r.kept == bool(r.n_symbols) and r.most is None for r in none)
     assert k.classify(df.limit(0), trusted).count() == 0
+
+
+def test_limit_is_the_quantile_of_held_out_scores(spark):
+    words = "the cat sat on a mat and the dog ran to a tree".split()
+    docs = spark.createDataFrame([(i, " ".join(words[i * j % len(words)] for j in range(3, 40)), "en") for i in range(80)], "doc_id long, text string, lang string")
+    trusted = docs.select("doc_id")
+    held = sorted(r.log_perplexity for r in k.held_out(docs, trusted, "doc_id", "text", "lang", k.ORDER).collect())
+    most = {r.most for r in k.classify(docs, trusted).collect()}
+    assert len(held) == 80 and len(most) == 1
+    want = held[math.ceil(0.995 * 80) - 1]
+    assert want <= most.pop() < want + 2 * k.BIN
