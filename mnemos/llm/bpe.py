@@ -4,16 +4,15 @@ The distinct words of a block of documents are laid out side by side as bytes. A
 ranks of token pairs (in spans of SPAN ranks) to the positions where such pairs stand, over all words. The merges are
 applied in rank order: span after span, and within a span each word's next merge in rank order, all words at once;
 merges of different words don't touch, so this is the order that each word alone would see. A merge updates only its
-two neighbours. A word's ids are then looked up wherever it occurs. Blocks are slices of a task's Arrow batches, and
-the known words are kept up to a fixed number, so memory is bounded and tasks need no shuffle and no state of each
-other: a lost executor costs its tasks only.
+two neighbours. A word's ids are then laid out wherever it occurs. Blocks are slices of a task's Arrow batches, the known
+words are kept up to a fixed number and words are merged some at a time, so memory is bounded and tasks need no shuffle
+and no state of each other: a lost executor costs its tasks only.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import re
 from itertools import chain
 
 import numpy as np
@@ -22,17 +21,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemos.llm.chunking import Memo, plain, ranges
 from mnemos.llm.common import small_batches, text_of
 
-#: Chunks whose ids a task keeps; beyond that it starts anew.
+#: Chunks whose ids a task keeps; beyond that only those of the block at hand stay.
 KEPT = 400_000
 #: Ranks in a span of the index.
 SPAN = 1024
+#: Bytes of words that are merged together, about.
+TOGETHER = 512 << 10
 NONE = 1 << 31
-#: Stands before a chunk that has no space before it.
-FIRST = "\0"
-#: A space that doesn't begin a chunk of its own: between white space, or the last character after white space.
-ODD = re.compile(r"\s \s|\s \Z")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,22 +38,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
-def chunks(text: str) -> list[str]:
-    """The text cut at its spaces, each of which belongs to the chunk after it; the first chunk has FIRST instead.
-
-    No match of a byte-level BPE pattern spans a cut. Texts with ODD spaces or FIRST itself stay whole, after FIRST.
-    """
-    if not text:
-        return []
-    whole = FIRST in text or ODD.search(text)
-    text = FIRST + text
-    return [text] if whole else text.split(" ")
-
-
-class Replay:
-    """Encodes words by the ranks; ``pattern`` cuts text into words."""
+class Replay(Memo):
+    """Encodes texts by the ranks; ``pattern`` cuts text into words, none of which may span a place where white space begins."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__(KEPT)
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.vocab = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
@@ -70,7 +57,6 @@ class Replay:
                     found[a * self.width + b] = rank
         self.pairs = np.array(sorted(found), dtype=np.int64)
         self.pair_rank = np.array([found[k] for k in self.pairs.tolist()], dtype=np.int64)
-        self.known: dict[str, bytes] = {}
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair's token, NONE where there is none."""
@@ -78,14 +64,28 @@ class Replay:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.pair_rank[at], NONE)
 
-    def replay(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word (little-endian 32-bit integers), all words merged together in rank order."""
-        whole = [self.ranks.get(w) for w in words]
-        rest = [w for w, r in zip(words, whole, strict=True) if r is None and w]
-        merged = iter(self._merge(rest)) if rest else iter(())
-        return [r.to_bytes(4, "little") if r is not None else next(merged) if w else b"" for w, r in zip(words, whole, strict=True)]
-
-    def _merge(self, words: list[bytes]) -> list[bytes]:
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another and how many each has; about TOGETHER bytes of words merged at a time in rank order."""
+        whole = np.fromiter((self.ranks.get(w, -1) for w in words), np.int64, len(words))
+        sizes = (whole >= 0).astype(np.int64)
+        rest = np.flatnonzero([r < 0 and len(w) > 0 for r, w in zip(whole.tolist(), words, strict=True)])
+        parts, low = [], 0
+        ends = np.cumsum([len(words[i]) for i in rest.tolist()])
+        while low < len(rest):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + TOGETHER, "right")))
+            flat, own = self._merge([words[i] for i in rest[low:high].tolist()])
+            parts.append(flat)
+            sizes[rest[low:high]] = own
+            low = high
+        ids = np.empty(int(sizes.sum()), np.int64)
+        merged = np.ones(len(words), bool)
+        merged[whole >= 0] = False
+        of_merged = np.repeat(merged, sizes)
+        ids[~of_merged] = whole[whole >= 0]
+        ids[of_merged] = np.concatenate(parts) if parts else []
+        return ids, sizes
+
+    def _merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(w) for w in words])
         ends = np.cumsum(sizes)
         sym = self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
@@ -137,29 +137,17 @@ class Replay:
                 if len(came):
                     here = np.sort(np.concatenate([here, came]), kind="stable")
         alive = sym >= 0
-        cuts = (4 * np.cumsum(np.add.reduceat(alive, ends - sizes))).tolist()
-        flat = sym[alive].astype("<u4").tobytes()
-        return [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text of a block, as little-endian 32-bit integers."""
-        cut = [chunks(t) for t in texts]
-        known = self.known
-        new = set(chain.from_iterable(cut)).difference(known)
-        if len(known) + len(new) > KEPT:
-            known.clear()
-            new = set(chain.from_iterable(cut))
-        if new:
-            # letters after a space are one word
-            plain = [c for c in new if c.isalpha()]
-            spaced = [" " + c for c in plain]
-            other = [c for c in new if not c.isalpha()]
-            found = [*map(self.pattern.findall, [c[1:] if c[:1] == FIRST else " " + c for c in other])]
-            distinct = list(dict.fromkeys(chain(spaced, chain.from_iterable(found))))
-            ids = dict(zip(distinct, self.replay([w.encode() for w in distinct]), strict=True))
-            known.update(zip(plain, map(ids.__getitem__, spaced), strict=True))
-            known.update((c, b"".join(map(ids.__getitem__, own))) for c, own in zip(other, found, strict=True))
-        return [b"".join(map(known.__getitem__, x)) for x in cut]
+        return sym[alive], np.add.reduceat(alive.astype(np.int64), ends - sizes)
+
+    def code(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks: letters after a space are one word, the pattern cuts the others; each distinct word is merged once."""
+        cut = [[" " + c] if c.isalpha() else self.pattern.findall(plain(c)) for c in new]
+        words = pa.array(chain.from_iterable(cut), pa.string()).dictionary_encode()
+        which, counts = words.indices.to_numpy(zero_copy_only=False), np.array([len(x) for x in cut], np.int64)
+        ids, sizes = self.replay([w.encode() for w in words.dictionary.to_pylist()])
+        first, own = (np.cumsum(sizes) - sizes)[which], sizes[which]
+        stops = np.concatenate([[0], np.cumsum(own)])[np.cumsum(counts)]
+        return ids[ranges(first, own)], np.diff(stops, prepend=0)
 
 
 @functools.cache
@@ -178,60 +166,58 @@ def vocab_of(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(vocab), dtype=np.uint8), np.cumsum([0, *map(len, vocab)])
 
 
-def blocks(texts: list[str], most: int = 4 << 20):
-    """Slices of the list with about ``most`` characters, one text at least."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield texts[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield texts[at:]
+def _joined(lists: pa.Array, path: str) -> pa.Array:
+    """The bytes of each list's ids."""
+    data, place = vocab_of(path)
+    sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat, ends, out = lists.flatten().to_numpy(), np.cumsum(sizes), []
+    for own, end in zip(sizes.tolist(), ends.tolist(), strict=True):
+        parts = []
+        for at in range(end - own, end, 1 << 18):
+            ids = flat[at : min(end, at + (1 << 18))]
+            parts.append(data[ranges(place[ids], place[ids + 1] - place[ids])].tobytes())
+        out.append(b"".join(parts))
+    return pa.array(out, pa.binary())
 
 
-def lists(found: list[bytes]) -> pa.Array:
-    """Arrow lists of the ids that the bytes hold."""
-    sizes = np.cumsum([0, *[len(x) // 4 for x in found]], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
-
-
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``df`` with the column ``ids`` (array of int): the whole text's token ids, without special tokens.
 
+    With ``decoded`` also that column (binary), the bytes that decode() makes of the ids, from the same Python worker.
     A null or empty text has no ids. Rows, other columns, ties and repeated rows pass unchanged; an empty table gives
-    an empty table; a column that already has the name ``ids`` is replaced. ``path`` is a .tiktoken file of ranks.
+    an empty table; columns that already have the names ``ids`` or ``decoded`` are replaced. ``path`` is a .tiktoken
+    file of ranks with one for each byte.
     """
 
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        coder, out = replay_of(path, pattern), []
-        for block in blocks(texts.to_pylist()):
-            found = coder.encode(block)
-            out.append(lists(found))
-        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+        return replay_of(path, pattern).lists(texts)
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        lists = replay_of(path, pattern).lists(texts)
+        return pa.StructArray.from_arrays([lists, _joined(lists, path)], names=["ids", "decoded"])
 
     small_batches(df.sparkSession)
-    return df.withColumn(ids, encoded.asNondeterministic()(text_of(text)))
+    if decoded is None:
+        return df.withColumn(ids, encoded.asNondeterministic()(text_of(text)))
+    held = "__coded"
+    while held in df.columns:
+        held += "_"
+    coded = df.withColumn(held, both.asNondeterministic()(text_of(text)))
+    return coded.withColumn(ids, F.col(held)["ids"]).withColumn(decoded, F.col(held)["decoded"]).drop(held)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``df`` with the column ``decoded`` (binary): the bytes of the ids. Null ids give empty bytes; unknown ids fail."""
+    """``df`` with the column ``decoded`` (binary): the bytes of the ids.
+
+    Null and empty lists give empty bytes; unknown and null ids fail; a column of that name is replaced; rows, ties and
+    repeated rows pass unchanged. Long lists are joined some 262,144 ids at a time.
+    """
 
     @F.arrow_udf("binary")
     def joined(lists: pa.Array) -> pa.Array:
-        data, place = vocab_of(path)
-        sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-        flat, ends, out = lists.flatten().to_numpy(), np.cumsum(sizes), []
-        for own, end in zip(sizes.tolist(), ends.tolist(), strict=True):
-            parts = []
-            for at in range(end - own, end, 1 << 18):
-                ids = flat[at : min(end, at + (1 << 18))]
-                size = place[ids + 1] - place[ids]
-                stops = np.cumsum(size)
-                parts.append(data[np.repeat(place[ids] - stops + size, size) + np.arange(stops[-1])].tobytes())
-            out.append(b"".join(parts))
-        return pa.array(out, pa.binary())
+        return _joined(lists, path)
 
     return df.withColumn(decoded, joined.asNondeterministic()(F.col(ids)))
 
@@ -242,7 +228,7 @@ def op7_bpe_merge_replay(spark, sf_dir) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids"), path)
+    coded = encode(docs, path, public_tokenizers.PATTERN, decoded="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -49,3 +49,19 @@ def test_query_against_the_library(spark, library):
         ids = library.encode_ordinary(r.text or "")
         want[r.doc_id] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
     assert {r.doc_id: tuple(r)[1:] for r in bpe.op7_bpe_merge_replay(spark, sf).collect()} == want
+
+
+def test_texts_with_odd_spaces_are_cut(library):
+    code = "def f(x):\n    if x:\n\t\treturn  x \n\n\n" * 3000
+    texts = [code, " " + code, "\x1c \x1c a\x1c b", "a\u2003\u2003 b \u00a0c", "\0 a\0 b", "x" * 5000 + " " + "y, " * 3, ""]
+    coder = bpe.Replay(bpe.read_ranks(PATH), P.PATTERN)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+    assert len(coder.known) < 60 and max(map(len, coder.known.to_pylist())) <= 256
+
+
+def test_both_columns_from_one_worker(spark, library):
+    df = spark.createDataFrame([(1, "the cat", 7), (2, None, 8)], "doc_id long, text string, __coded int")
+    got = bpe.encode(df, PATH, P.PATTERN, decoded="text")
+    assert got.columns == ["doc_id", "text", "__coded", "ids"]
+    assert [(r.doc_id, bytes(r.text), r["__coded"], r.ids) for r in got.orderBy("doc_id").collect()] == [(1, b"the cat", 7, library.encode_ordinary("the cat")), (2, b"", 8, [])]
