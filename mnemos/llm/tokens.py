@@ -27,8 +27,8 @@ from mnemos.llm.common import scratch, small_batches, table, text_of
 WHITE = re.compile(r"\s")
 #: Chunks whose ids a task keeps; beyond that only those of the block at hand stay.
 KEPT = 400_000
-#: Characters of text dealt to a file, about; more text makes more files.
-FILE_CHARS = 64 << 20
+#: Bytes of text dealt to a file, about; more text makes more files.
+FILE_BYTES = 64 << 20
 #: Characters of a text that tell ranges of rows with the same key apart.
 HEAD = 64
 
@@ -110,14 +110,14 @@ def write(
     Null keys come first; rows with the same key stand together in the order of their text, over several files where
     they are many; null texts count as empty; an empty table writes no rows. ``meta`` may not name ``n_tokens`` or
     ``tokens``, which raises ValueError. Each file covers a range of keys, so a reader can prune by footers and page
-    indexes. Files hold about FILE_CHARS characters of text each unless ``files`` gives their number.
+    indexes. Files hold about FILE_BYTES bytes of text each unless ``files`` gives their number.
     """
     if {"n_tokens", "tokens", key} & set(meta) or key in ("n_tokens", "tokens"):
         raise ValueError("n_tokens and tokens are names of the files' own columns")
     rows = df.select(F.col(key).alias("k"), F.struct(*[F.col(c) for c in meta]).alias("m") if meta else F.lit(None).alias("m"), text_of(text).alias("t"))
     if not files:
-        size = df.agg(F.sum(F.length(text_of(text)))).first()[0] or 0
-        files = max(1, df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_CHARS))
+        size = df.agg(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
+        files = max(1, df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
     rows = rows.repartitionByRange(files, "k", F.substring("t", 1, HEAD)).sortWithinPartitions("k", "t")
     rows = encode(rows, tokenizer, end, "t", "tokens", special)
     rows = rows.select(F.col("k").alias(key), F.size("tokens").alias("n_tokens"), *[F.col("m")[c].alias(c) for c in meta], "tokens")
