@@ -32,11 +32,23 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
+#: Whether Spark deletes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: the lineage ends there, and lost executors don't matter."""
-    path = scratch(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written once as Parquet in the shared folder and read back: the lineage ends there, and lost executors don't matter.
+
+    Its shuffle files go when it is written.
+    """
+    spark = df.sparkSession
+    path, was = scratch(spark, tag), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:

@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemos.llm.common import materialize, scratch, small_batches, text_of
+from mnemos.llm.common import forget, materialize, scratch, small_batches, text_of
 
 #: Text bytes of a block; a longer document is a block of its own.
 BLOCK = 4 << 20
@@ -80,3 +80,11 @@ def kept_blocks(df: DataFrame, key: str = "doc_id", text: str = "text", tag: str
     n = max(spark.sparkContext.defaultParallelism, n)
     packed(df, key, text, tag, size).write.bucketBy(n, "block").option("path", path).saveAsTable(name)
     return spark.table(name), n
+
+
+def forget_blocks(blocks: DataFrame) -> None:
+    """Deletes a table of kept_blocks() that nothing will read again, and its entry in the catalog."""
+    folders = {f.rpartition("/")[0].rpartition("-")[2] for f in blocks.inputFiles()}
+    forget(blocks)
+    for own in folders:
+        blocks.sparkSession.sql(f"DROP TABLE IF EXISTS mnemos_{own}")

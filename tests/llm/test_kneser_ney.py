@@ -95,3 +95,41 @@ def test_limit_is_the_quantile_of_held_out_scores(spark):
     assert len(held) == 80 and len(most) == 1
     want = held[math.ceil(0.995 * 80) - 1]
     assert want <= most.pop() < want + 2 * k.BIN
+
+
+def test_variety_and_whole_characters(spark):
+    words = "der Hund läuft schnell über die große Straße und 日本語 спасибо тебе".split()
+    rows = [(i, " ".join(words[(i * j + j // 7) % len(words)] for j in range(4, 30 + 9 * i))) for i in range(1, 50)] + [(90, "ja " * 3000), (91, None), (92, "语")]
+    df = spark.createDataFrame([(a, b, "de") for a, b in rows], "doc_id long, text string, lang string")
+    trusted = {k for k, _ in rows[:40]}
+    grams = Counter()
+    for key, text in rows:
+        if key in trusted:
+            s = "\0\0\0" + text + "\0"
+            grams.update(s[i : i + 4] for i in range(len(s) - 3))
+    total = sum(grams.values())
+
+    def would(n):
+        low = min(int(math.log2(n)), k.PIECE - 1)
+        a, b = (sum(-math.expm1(-c * 2.0**e / total) for c in grams.values()) for e in (low, low + 1))
+        return a + (b - a) * (n / 2**low - 1)
+
+    got = {r.doc_id: r for r in k.score(df, spark.createDataFrame([(i,) for i in trusted], "doc_id long"), bits=k.WIDE).collect()}
+    assert got[91].variety is None and got[92].log_perplexity > got[1].log_perplexity
+    for key, text in rows:
+        if text:
+            s = "\0\0\0" + text + "\0"
+            own = [s[i : i + 4] for i in range(len(s) - 3)]
+            pieces = [own[i : i + (1 << k.PIECE)] for i in range(0, len(own), 1 << k.PIECE)]
+            assert abs(got[key].variety - sum(len(set(x)) for x in pieces) / sum(would(len(x)) for x in pieces)) < 1e-9
+    assert got[90].variety < 0.1
+
+
+def test_query_judges_by_the_limits(spark):
+    sf = "/root/testdata/sf0.001"
+    found = k.op9_kneser_ney_quality(spark, sf).collect()
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in found) == sorted(rows)
+    for r in found:
+        assert r.n_symbols == len(rows[r.doc_id].text or "")
+        assert r.kept == (r.log_perplexity is not None and r.log_perplexity <= r.most and r.variety >= r.least)
