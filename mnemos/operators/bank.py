@@ -74,8 +74,7 @@ def facets(questions: DataFrame, classified: DataFrame, nodes: DataFrame) -> Dat
     """Questions of each topic with its children, empty ones dropped, and the largest count for scaling."""
     tagged = classified.select("question_id", F.explode("topic_ids").alias("member")).join(questions.select("question_id"), "question_id", "left_semi")
     counts = tagged.join(closure(nodes), "member").groupBy("topic").agg(F.count_distinct("question_id").alias("questions"))
-    most = counts.agg(F.max("questions")).first()[0]
-    return counts.withColumn("most", F.lit(most))
+    return counts.join(counts.agg(F.max("questions").alias("most")))  # one row
 
 
 def classification_counts(inventory: DataFrame, classified: DataFrame, *by: str) -> DataFrame:

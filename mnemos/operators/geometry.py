@@ -24,25 +24,27 @@ def _squares(df: DataFrame, square: float) -> DataFrame:
 
 
 def overlaps(regions: DataFrame, least: float = 1.0, square: float = SQUARE) -> DataFrame:
-    """Pairs on one page with different owners that share more than ``least`` area.
+    """Pairs on one page with different owners that share more than ``least`` area; regions without an owner don't count.
 
-    Rectangles meet in the squares of a grid that both touch, so a page with many isn't compared all against all.
+    Rectangles meet in the squares of a grid that both touch, so a page with many isn't compared all against all. A
+    pair is told only in the square that holds the first corner of what they share, so none comes twice.
     """
-    g = _squares(regions, square)
+    g = _squares(regions.where("owner is not null"), square)
     names = ("id", "owner", "x0", "y0", "x1", "y1")
     a = g.select("page", "sx", "sy", *[F.col(n).alias(f"a_{n}") for n in names])
     b = g.select("page", "sx", "sy", *[F.col(n).alias(f"b_{n}") for n in names])
-    met = a.join(b, ["page", "sx", "sy"]).where("a_id < b_id and not (a_owner <=> b_owner)").dropDuplicates(["a_id", "b_id"])
+    corner = lambda n, at: F.floor(F.greatest(f"a_{n}", f"b_{n}") / square).cast("int") == F.col(at)
+    met = a.join(b, ["page", "sx", "sy"]).where("a_id < b_id and a_owner <> b_owner").where(corner("x0", "sx") & corner("y0", "sy"))
     return met.withColumn("area", F.round(overlap_area("a_", "b_"), 6)).where(F.col("area") > least).select("page", F.col("a_id").alias("first"), F.col("b_id").alias("second"), "area")
 
 
 def texts_in(lines: DataFrame, regions: DataFrame, band: float = 6.0, square: float = SQUARE) -> DataFrame:
-    """Of each region the text of the lines whose middle lies in it, by bands from top to bottom, then left to right."""
+    """Of each region of a page the text of the lines whose middle lies in it, by bands from top to bottom, then left to right."""
     mid = lines.withColumn("mx", (F.col("x0") + F.col("x1")) / 2).withColumn("my", (F.col("y0") + F.col("y1")) / 2)
     mid = mid.select("page", "text", "mx", "my", F.col("x0").alias("lx"), F.floor(F.col("mx") / square).cast("int").alias("sx"), F.floor(F.col("my") / square).cast("int").alias("sy"))
     met = _squares(regions, square).join(mid, ["page", "sx", "sy"]).where("mx between x0 and x1 and my between y0 and y1")
     ordered = F.array_sort(F.collect_list(F.struct(F.round(F.col("my") / band).alias("band"), "lx", "text")))
-    return met.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"))
+    return met.groupBy("page", "id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text")).drop("page")
 
 
 def hulls(regions: DataFrame, *by: str) -> DataFrame:

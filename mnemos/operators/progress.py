@@ -22,11 +22,15 @@ def in_run(generation: Column, run: Column, legacy: Column) -> Column:
 
 
 def latest_in_run(attempts: DataFrame) -> DataFrame:
-    """Of (user_id, question_id, generation, progress_order, ts, attempt_id, correctness) the last attempt of the newest generation."""
-    newest = attempts.groupBy("user_id").agg(F.max("generation").alias("generation"))
-    own = attempts.join(newest, ["user_id", "generation"])
-    best = own.groupBy("user_id", "generation", "question_id").agg(F.max_by(F.struct("attempt_id", "correctness"), F.struct("progress_order", "ts", "attempt_id")).alias("x"))
-    return best.select("user_id", "generation", "question_id", "x.attempt_id", state_of(F.col("x.correctness")).alias("state"))
+    """Of (user_id, question_id, generation, progress_order, ts, attempt_id, correctness) the last attempt of the newest generation.
+
+    Generations count for each user, and for each exam and module where the attempts have these columns.
+    """
+    scope = ["user_id", *[c for c in ("exam", "module") if c in attempts.columns]]
+    newest = attempts.groupBy(*scope).agg(F.max("generation").alias("generation"))
+    own = attempts.join(newest, [*scope, "generation"])
+    best = own.groupBy(*scope, "generation", "question_id").agg(F.max_by(F.struct("attempt_id", "correctness"), F.struct("progress_order", "ts", "attempt_id")).alias("x"))
+    return best.select(*scope, "generation", "question_id", "x.attempt_id", state_of(F.col("x.correctness")).alias("state"))
 
 
 def without(attempts: DataFrame, deleted: DataFrame) -> DataFrame:

@@ -56,10 +56,16 @@ def stage_violations(events: DataFrame) -> DataFrame:
 
 
 def append(log: DataFrame, new: DataFrame, key: str, payload: str) -> tuple[DataFrame, DataFrame]:
-    """The rows to append (unknown keys), and the keys that come again with another payload; identical ones are no-ops."""
-    known = log.select(key, F.col(payload).alias("__old"))
-    x = new.join(known, key, "left")
-    return x.where("__old is null").drop("__old"), x.where(F.col("__old").isNotNull() & (F.col("__old") != F.col(payload))).select(key)
+    """The rows to append (unknown keys, each once), and the keys that come with more than one payload, in the log or among the new rows.
+
+    Identical rows are no-ops; a null payload is one like any other.
+    """
+    mark = F.sha2(F.to_json(F.struct(F.col(payload).alias("x")), {"ignoreNullFields": "false"}), 256)
+    came = new.withColumn("__mark", mark)
+    marks = came.select(key, "__mark", F.lit(False).alias("__old")).unionByName(log.select(key, mark.alias("__mark"), F.lit(True).alias("__old")))
+    bad = marks.join(new.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.min("__mark").alias("a"), F.max("__mark").alias("b")).where("a <> b").select(key)
+    fresh = came.join(log.select(key).distinct(), key, "left_anti").join(bad, key, "left_anti")
+    return fresh.dropDuplicates([key, "__mark"]).drop("__mark"), bad
 
 
 def locked_write(old: Column, new: Column, locked: Column, machine: Column) -> Column:

@@ -1,7 +1,7 @@
 """The staged replay of mistakes, in closed form over windows: no state outside the query.
 
 A wrong or partial result that isn't dismissed puts a question to stage 1; each right one raises it, up to 4 (mastered).
-Rows before a cutover come first and raise it to stage 3 at most.
+Rows before a cutover, or those that are marked as a legacy, come first and raise it to stage 3 at most.
 """
 
 from __future__ import annotations
@@ -24,13 +24,24 @@ def dismissed(results: DataFrame, marks: DataFrame) -> DataFrame:
     return results.join(marks, "user_id", "left").withColumn("dismissed", F.coalesce((F.col("correctness") != "richtig") & (F.col("ts") < F.col("until")), F.lit(False))).drop("until")
 
 
+def legacies(results: DataFrame, cutover: DataFrame) -> DataFrame:
+    """``legacy`` for the results whose ids a migration took (user_id, attempt_id)."""
+    return results.join(cutover.select("user_id", "attempt_id").distinct().withColumn("legacy", F.lit(True)), ["user_id", "attempt_id"], "left").withColumn("legacy", F.coalesce("legacy", F.lit(False)))
+
+
+def kept_states(stages: DataFrame, previous: DataFrame) -> DataFrame:
+    """The replayed states, and those stored before whose questions have no result any more."""
+    return stages.unionByName(previous.join(stages, ["user_id", "question_id"], "left_anti").select(stages.columns))
+
+
 def replay(results: DataFrame, cutover: str | None = None) -> DataFrame:
     """For each user and question with a wrong result: stage (null if all are dismissed), entered_at, last_wrong_at, wrong_count, streak.
 
-    ``results``: user_id, question_id, attempt_id, ts, correctness, and ``dismissed`` if some are.
+    ``results``: user_id, question_id, attempt_id, ts, correctness, ``dismissed`` if some are, and ``legacy`` if the
+    results before the cutover are known by their ids (see legacies()) and not by their time.
     """
     x = results if "dismissed" in results.columns else results.withColumn("dismissed", F.lit(False))
-    legacy = F.col("ts") < F.lit(cutover).cast("timestamp") if cutover else F.lit(False)
+    legacy = F.coalesce("legacy", F.lit(False)) if "legacy" in x.columns else F.col("ts") < F.lit(cutover).cast("timestamp") if cutover else F.lit(False)
     right = F.col("correctness") == "richtig"
     x = x.withColumn("legacy", legacy).withColumn("right", right).withColumn("back", ~right & ~F.col("dismissed"))
     order = W.partitionBy("user_id", "question_id").orderBy(F.desc("legacy"), "ts", "attempt_id")

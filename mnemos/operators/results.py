@@ -16,9 +16,19 @@ def eligible(invalidated="invalidated", deleted_at="deleted_at", discarded_at="d
     return ~F.coalesce(F.col(invalidated), F.lit(False)) & F.col(deleted_at).isNull() & F.col(discarded_at).isNull() & F.coalesce(F.col(valid), F.lit(True))
 
 
+def gradable(columns) -> Column:
+    """scored automatically or by its user, who then has to have assessed every sub-part; columns that are absent don't decide."""
+    flag = lambda n: F.coalesce(F.col(n), F.lit(False)) if n in columns else F.lit(None).cast("boolean")
+    scored = F.coalesce(flag("auto_scored") | flag("self_assessed"), flag("auto_scored"), flag("self_assessed"), F.lit(True))
+    if "subparts" not in columns:
+        return scored
+    parts = (F.size("subparts") > 0) & F.forall("subparts", lambda p: F.coalesce(p["correctness"].isin("richtig", "teilweise", "falsch"), F.lit(False)))
+    return scored & (~F.coalesce(flag("self_assessed"), F.lit(False)) | F.coalesce(parts, F.lit(False)))
+
+
 def formal(attempts: DataFrame, tests: DataFrame | None = None) -> DataFrame:
     """Graded practice attempts without a test, with the results of tests; of rows with one id the latest."""
-    own = attempts.where(F.col("correctness").isNotNull() & ~F.coalesce(F.col("test_linked"), F.lit(False))).select("attempt_id", "user_id", "question_id", "ts", "correctness")
+    own = attempts.where(F.col("correctness").isNotNull() & ~F.coalesce(F.col("test_linked"), F.lit(False)) & gradable(attempts.columns)).select("attempt_id", "user_id", "question_id", "ts", "correctness")
     if tests is None:
         return own
     return last_wins(own.unionByName(tests.where("correctness is not null").select(own.columns)), ["user_id", "attempt_id"], "ts", "question_id")
@@ -45,15 +55,17 @@ def measures(correct: Column) -> list[Column]:
 def by_module(latest: DataFrame, inventory: DataFrame) -> DataFrame:
     """Of each module its questions, the latest results over all users, accuracy and coverage in percent (0 if none)."""
     size = inventory.groupBy("module").agg(F.count("*").alias("total"))
-    users = latest.select("user_id").distinct().agg(F.count("*")).first()[0]
+    users = latest.agg(F.count_distinct("user_id").alias("users"))  # one row
     own = inventory.select("question_id", "module").join(latest.select("question_id", "correctness"), "question_id", "left").groupBy("module").agg(*measures(F.col("correctness")))
-    return own.join(size, "module").withColumn("coverage", F.round(F.coalesce(F.try_divide(100.0 * F.col("answered"), F.col("total") * users), F.lit(0.0)), 6))
+    covered = F.round(F.coalesce(F.try_divide(100.0 * F.col("answered"), F.col("total") * F.col("users")), F.lit(0.0)), 6)
+    return own.join(size, "module").join(users).withColumn("coverage", covered).drop("users")
 
 
 def coverage(latest: DataFrame, inventory: DataFrame) -> DataFrame:
     """For each user the share of the inventory answered, in percent, and how many questions are open."""
-    total = inventory.select("question_id").distinct().count()
-    return latest.groupBy("user_id").agg(F.count("*").alias("answered")).select("user_id", "answered", (F.lit(total) - F.col("answered")).alias("open"), F.round(F.lit(100.0) * F.col("answered") / F.lit(max(total, 1)), 6).alias("coverage"))
+    total = inventory.agg(F.count_distinct("question_id").alias("total"))  # one row
+    own = latest.groupBy("user_id").agg(F.count("*").alias("answered")).join(total)
+    return own.select("user_id", "answered", (F.col("total") - F.col("answered")).alias("open"), F.round(F.lit(100.0) * F.col("answered") / F.greatest("total", F.lit(1)), 6).alias("coverage"))
 
 
 def first_seen(results: DataFrame, since: str) -> DataFrame:
@@ -99,11 +111,10 @@ def milestones(latest: DataFrame, total: int, configured=MILESTONES) -> DataFram
 
 def lowest_module(latest: DataFrame, inventory: DataFrame) -> DataFrame:
     """For each user the module with the lowest coverage, the first of equal ones."""
-    size = inventory.groupBy("module").agg(F.count("*").alias("total"))
-    users = latest.select("user_id").distinct()
-    modules = F.array(*[F.struct(F.lit(r["module"]).alias("module"), F.lit(r["total"]).alias("total")) for r in size.orderBy("module").collect()])  # the modules are a fixed short list
+    size = inventory.groupBy("module").agg(F.count("*").alias("total")).agg(F.collect_list(F.struct("module", "total")).alias("modules"))  # one row: the modules are a short list
+    users = latest.select("user_id").distinct().join(size)
     own = latest.join(inventory.select("question_id", "module"), "question_id").groupBy("user_id", "module").agg(F.count("*").alias("answered"))
-    grid = users.select("user_id", F.explode(modules).alias("m")).select("user_id", "m.*").join(own, ["user_id", "module"], "left")
+    grid = users.select("user_id", F.explode("modules").alias("m")).select("user_id", "m.*").join(own, ["user_id", "module"], "left")
     grid = grid.withColumn("coverage", F.round(100.0 * F.coalesce("answered", F.lit(0)) / F.col("total"), 6))
     return grid.groupBy("user_id").agg(F.min_by("module", F.struct("coverage", "module")).alias("module"), F.min("coverage").alias("coverage"))
 

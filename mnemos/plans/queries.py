@@ -549,7 +549,7 @@ def a26_hulls(s, d):
     return geometry.hulls(_rects(s, d), "page", "owner")
 
 
-@query("SELECT page, id, y0 AS top, coalesce(lead(y0) OVER (PARTITION BY page ORDER BY y0), 900) AS bottom FROM r QUALIFY row_number() OVER (PARTITION BY page, y0 ORDER BY id) = 1", RECTS)
+@query(", m AS (SELECT page, y0 AS top, min(id) AS id FROM r GROUP BY page, y0) SELECT page, id, top, coalesce(lead(top) OVER (PARTITION BY page ORDER BY top), 900) AS bottom FROM m", RECTS)
 def w12_marker_bounds(s, d):
     m = _rects(s, d).groupBy("page", F.col("y0").alias("top")).agg(F.min("id").alias("id"))
     return geometry.bounds(m, 900.0).select("page", "id", "top", "bottom")

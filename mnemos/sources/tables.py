@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,16 +26,27 @@ def digest(df: DataFrame, *columns: str) -> str:
 
 
 def write_changed(df: DataFrame, path: str) -> bool:
-    """Writes Parquet, unless the rows there are the same; says whether it wrote. The new rows are written beside the old ones first."""
+    """Writes Parquet, unless the rows there are the same; says whether it wrote.
+
+    The new rows are written beside the old ones, which are then set aside and deleted last. Where a crash left no table
+    but the one set aside, that one is put back first, so at no time are both versions gone.
+    """
     spark = df.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs, aside = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration()), path.rstrip("/") + ".old"
+    if exists(spark, aside):
+        if exists(spark, path):
+            fs.delete(fs_path(aside), True)
+        else:
+            fs.rename(fs_path(aside), fs_path(path))
     if exists(spark, path) and digest(spark.read.schema(df.schema).parquet(path)) == digest(df):
         return False
     fresh = path.rstrip("/") + ".new"
     df.write.mode("overwrite").parquet(fresh)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(fs_path(path), True)
+    if exists(spark, path):
+        fs.rename(fs_path(path), fs_path(aside))
     fs.rename(fs_path(fresh), fs_path(path))
+    fs.delete(fs_path(aside), True)
     return True
 
 
@@ -46,8 +58,8 @@ def to_do(work: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
 def page(log: DataFrame, cursor: int, limit: int) -> DataFrame:
     """The next rows of a log after a cursor, with ``more`` if others follow."""
     rows = log.where(F.col("cursor") > cursor).orderBy("cursor").limit(limit + 1)
-    top = rows.count() > limit
-    return rows.orderBy("cursor").limit(limit).withColumn("more", F.lit(top))
+    place = F.row_number().over(W.orderBy("cursor"))  # over a page and one row
+    return rows.withColumns({"more": F.count("*").over(W.partitionBy()) > limit, "__at": place}).where(F.col("__at") <= limit).drop("__at")
 
 
 def merge_import(current: DataFrame, incoming: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -65,7 +77,10 @@ def export(df: DataFrame, key: str, value: Column) -> DataFrame:
 
 
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, sha256, size) of the files in ZIP archives, read where they lie; unsafe names fail."""
+    """(archive, member, sha256, size) of the files in ZIP archives, read where they lie, a megabyte at a time.
+
+    Absolute paths, parent folders, back-slashes, drive letters, links and names that differ in case only fail.
+    """
     import hashlib
     import io
     import zipfile
@@ -80,12 +95,17 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for info in z.infolist():
                         name = info.filename
-                        if name.startswith("/") or ".." in name.split("/") or name.lower() in seen:
+                        link = info.external_attr >> 16 & 0o170000 == 0o120000
+                        if link or name.startswith("/") or "\\" in info.orig_filename or ":" in name.split("/")[0] or ".." in name.split("/") or name.lower() in seen:
                             raise ValueError(f"unsafe member {name}")
                         seen.add(name.lower())
                         if not info.is_dir():
-                            data = z.read(info)
-                            rows.append((at, name, hashlib.sha256(data).hexdigest(), len(data)))
+                            mark, size = hashlib.sha256(), 0
+                            with z.open(info) as member:
+                                while part := member.read(1 << 20):
+                                    mark.update(part)
+                                    size += len(part)
+                            rows.append((at, name, mark.hexdigest(), size))
             yield pd.DataFrame(rows, columns=["archive", "member", "sha256", "size"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "archive string, member string, sha256 string, size long")

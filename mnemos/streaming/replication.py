@@ -7,6 +7,7 @@ nothing if its id has been seen. Late rows are those with a revision at or below
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemos.sources.tables import exists
@@ -25,30 +26,35 @@ def valid(mutations: DataFrame) -> DataFrame:
     return mutations.where("mutation_id is not null and entity is not null and id is not null and base_revision >= 0").where(F.octet_length(F.coalesce("value", F.lit(""))) <= LIMIT)
 
 
-def fold(mutations: DataFrame, state: DataFrame | None = None) -> DataFrame:
+def fold(mutations: DataFrame, state: DataFrame | None = None, receipts: DataFrame | None = None) -> DataFrame:
     """For each (entity, id) the revision, value, deletion and counts after its mutations, in the order of ``seq``.
 
-    ``state``: (entity, id, revision, value, deleted) before. A key's mutations fold in one row: they are what one
-    record went through since the last batch.
+    ``state``: (entity, id, revision, value, deleted) before; ``receipts``: (entity, id, mutation_id) that came before,
+    whose repetition does nothing, as within the batch. A key's mutations fold in one row: they are what one record went
+    through since the last batch.
     """
-    acts = F.array_sort(F.collect_list(F.struct("seq", "mutation_id", "base_revision", "deleted", "value")))
-    x = mutations.groupBy("entity", "id").agg(acts.alias("acts"))
+    first = F.row_number().over(W.partitionBy("entity", "id", "mutation_id").orderBy("seq", "base_revision", "deleted", "value"))
+    rows = mutations.withColumn("again", first > 1)
+    if receipts is not None:
+        known = receipts.select("entity", "id", "mutation_id").distinct().withColumn("known", F.lit(True))
+        rows = rows.join(known, ["entity", "id", "mutation_id"], "left").withColumn("again", F.col("again") | F.coalesce("known", F.lit(False)))
+    acts = F.array_sort(F.collect_list(F.when(~F.col("again"), F.struct("seq", "mutation_id", "base_revision", "deleted", "value"))))
+    x = rows.groupBy("entity", "id").agg(acts.alias("acts"), F.count_if("again").alias("repeats"))
     if state is not None:
         x = x.join(state.select("entity", "id", F.col("revision").alias("r0"), F.col("value").alias("v0"), F.col("deleted").alias("d0")), ["entity", "id"], "left")
     else:
         x = x.withColumn("r0", F.lit(None).cast("long")).withColumn("v0", F.lit(None).cast("string")).withColumn("d0", F.lit(None).cast("boolean"))
     zero = F.lit(0).cast("long")
-    start = F.struct(F.coalesce("r0", zero).alias("revision"), F.col("v0").alias("value"), F.coalesce("d0", F.lit(False)).alias("deleted"), F.array().cast("array<string>").alias("seen"), zero.alias("conflicts"), zero.alias("repeats"))
+    start = F.struct(F.coalesce("r0", zero).alias("revision"), F.col("v0").alias("value"), F.coalesce("d0", F.lit(False)).alias("deleted"), zero.alias("conflicts"))
 
     def step(s, a):
-        again = F.array_contains(s["seen"], a["mutation_id"])
-        fits = ~again & (a["base_revision"] == s["revision"])
+        fits = a["base_revision"] == s["revision"]
         return F.struct(
             (s["revision"] + fits.cast("long")).alias("revision"), F.when(fits, F.when(a["deleted"], None).otherwise(a["value"])).otherwise(s["value"]).alias("value"), F.when(fits, a["deleted"]).otherwise(s["deleted"]).alias("deleted"),
-            F.when(again, s["seen"]).otherwise(F.concat(s["seen"], F.array(a["mutation_id"]))).alias("seen"), (s["conflicts"] + (~again & ~fits).cast("long")).alias("conflicts"), (s["repeats"] + again.cast("long")).alias("repeats"),
+            (s["conflicts"] + (~fits).cast("long")).alias("conflicts"),
         )
 
-    return x.select("entity", "id", F.aggregate("acts", start, step).alias("s")).select("entity", "id", "s.revision", "s.value", "s.deleted", "s.conflicts", "s.repeats")
+    return x.select("entity", "id", F.aggregate("acts", start, step).alias("s"), "repeats").select("entity", "id", "s.revision", "s.value", "s.deleted", "s.conflicts", "repeats")
 
 
 def receive(local: DataFrame, pending: DataFrame, remote: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,8 +77,9 @@ def outbox(changes: DataFrame, conflicts: DataFrame) -> DataFrame:
 def stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, trigger: dict | None = None):
     """A stream of mutation files into the state at ``target``, one folder for each batch.
 
-    A batch joins the state of the batch before; a batch that runs again overwrites its own folder, so replays change
-    nothing. Only one query may run for a checkpoint.
+    A batch joins the state of the batch before, and the receipts of all batches before; a batch that runs again
+    overwrites its own folders, so replays change nothing, and a mutation that comes again in a later batch does nothing.
+    Only one query may run for a checkpoint.
     """
 
     def apply(batch: DataFrame, n: int) -> None:
@@ -80,9 +87,14 @@ def stream(spark: SparkSession, source: str, schema: str, target: str, checkpoin
         before = next((f"{target}/batch={i}" for i in range(n - 1, -1, -1) if exists(s, f"{target}/batch={i}/_SUCCESS")), None)
         state = s.read.parquet(before) if before else None
         columns = ["entity", "id", "revision", "value", "deleted"]
-        new = fold(valid(batch), state).select(columns)
+        fine = valid(batch).persist()
+        old = [p for i in range(n) if exists(s, p := f"{target}/receipts/batch={i}")]
+        receipts = s.read.parquet(*old) if old else None
+        new = fold(fine, state, receipts).select(columns)
         if state is not None:
             new = new.unionByName(state.select(columns).join(new.select("entity", "id"), ["entity", "id"], "left_anti"))
+        fine.select("entity", "id", "mutation_id").distinct().write.mode("overwrite").parquet(f"{target}/receipts/batch={n}")
         new.write.mode("overwrite").parquet(f"{target}/batch={n}")
+        fine.unpersist()
 
     return spark.readStream.schema(schema).json(source).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
