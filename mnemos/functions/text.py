@@ -31,8 +31,8 @@ def fold(text: Column) -> Column:
 
 
 def points(text: Column) -> Column:
-    """C17: a number of points with a decimal comma."""
-    return F.replace(F.regexp_extract(text, r"(\d+(?:,\d+)?)\s*Punkte?", 1), F.lit(","), F.lit(".")).try_cast("double")
+    """C17: a number of points with a decimal comma or point; null if there is none."""
+    return F.replace(F.regexp_extract(text, r"\b(\d+(?:[,.]\d+)?)\s*(?:Punkte|Punkt)\b", 1), F.lit(","), F.lit(".")).try_cast("double")
 
 
 def minutes(text: Column) -> Column:
@@ -50,6 +50,54 @@ def route(url: Column, key: str) -> Column:
     return F.try_parse_url(url, F.lit("QUERY"), F.lit(key))
 
 
+def route_url(base: Column, **parameters: Column) -> Column:
+    """The URL with those parameters that aren't null, in the order given."""
+    parts = [F.when(v.isNotNull(), F.concat(F.lit(f"{k}="), F.url_encode(v))) for k, v in parameters.items()]
+    rest = F.concat_ws("&", *parts)
+    return F.when(rest == "", base).otherwise(F.concat(base, F.lit("?"), rest))
+
+
+def holds_on(day: Column, begin: Column, end: Column) -> Column:
+    """C20: from ``begin`` until before ``end`` (null: open), dates as ISO text; false for what isn't a date."""
+    a, b, at = (x.try_cast("date") for x in (begin, end, day))
+    return F.coalesce((a <= at) & (end.isNull() | (at < b)), F.lit(False))
+
+
+def digest(content: Column) -> Column:
+    """Of bytes, or of a text's UTF-8."""
+    return F.sha2(content, 256)
+
+
+def canonical_json(struct: Column) -> Column:
+    """C14: JSON with nulls kept; the caller's struct has its fields in sorted order."""
+    return F.to_json(struct, {"ignoreNullFields": "false"})
+
+
+def object_digest(struct: Column) -> Column:
+    """Of the canonical JSON."""
+    return F.sha2(canonical_json(struct), 256)
+
+
+def owner_key(exam: Column, module: Column) -> Column:
+    """C25."""
+    return F.concat(exam, F.lit("/"), module)
+
+
+def initial_states(ids: Column) -> Column:
+    """Every question unanswered; an id that comes twice is one entry."""
+    return F.map_from_entries(F.transform(F.array_distinct(ids), lambda x: F.struct(x, F.lit("unanswered"))))
+
+
+def module_of(name: Column) -> Column:
+    """the module that a file name tells by its first known part."""
+    lower = F.lower(name)
+    out = F.lit("Unknown")
+    # fixed values
+    for part, module in reversed([("arbeitsplanung", "Arbeitsplanung"), ("funktionsanalyse", "Funktionsanalyse"), ("wiso", "WiSo"), ("lösung", "Solutions"), ("losung", "Solutions")]):
+        out = F.when(F.contains(lower, F.lit(part)), module).otherwise(out)
+    return out
+
+
 def half_even(x: Column, digits: int = 0) -> Column:
     """C21."""
     return F.bround(x, digits)

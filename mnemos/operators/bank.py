@@ -55,6 +55,28 @@ def needs_review(confidence: Column, reasons: Column, active: Column) -> Column:
     return active & ((confidence < SURE) | (F.size(F.filter(reasons, lambda r: ~r.isin(*ORDINARY))) > 0))
 
 
+#: Reasons that never ask for a person, and those that do so only after a confirmation (fixed values).
+SILENT = ("candidate_requires_confirmation", "text_not_trustworthy", "taxonomy_changed_since_confirmation")
+MACHINE_SILENT = ("knowledge_unclassified", "question_type_unclassified")
+
+
+def exceptional(reasons: Column, source: Column) -> Column:
+    """the reasons that ask for a person."""
+    return F.filter(reasons, lambda r: ~r.isin(*SILENT) & ((source == "human_confirmed") | ~r.isin(*MACHINE_SILENT)))
+
+
+def includes_source(chosen: Column, exam: Column) -> Column:
+    """null stands for all."""
+    return chosen.isNull() | F.array_contains(chosen, exam)
+
+
+def confirmation(knowledge: Column, primary: Column, secondary: Column) -> Column:
+    """topics without repeats, the main type not among the others, and the reasons that stay open."""
+    others = F.array_distinct(F.filter(secondary, lambda x: ~x.eqNullSafe(primary)))
+    reasons = F.filter(F.array(F.when(F.size(knowledge) == 0, "knowledge_unclassified"), F.when(primary.isNull(), "question_type_unclassified")), lambda x: x.isNotNull())
+    return F.struct(F.array_distinct(knowledge).alias("knowledge"), primary.alias("primary_type"), others.alias("secondary"), reasons.alias("reasons"))
+
+
 def select(questions: DataFrame, classified: DataFrame, nodes: DataFrame, modules=None, exams=None, kinds=None, topics=None, only: DataFrame | None = None, unclassified: bool = False) -> DataFrame:
     """questions that meet all facets given; a topic stands for its children too; ``only`` is a list of ids (such as wrong ones)."""
     out = questions
@@ -116,7 +138,7 @@ def any_of(conditions: list[Column]) -> Column:
 
 def source_list(text: Column) -> Column:
     """A comma-separated list, trimmed, without blanks and repeats, in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def toggled(chosen: Column, one: Column) -> Column:

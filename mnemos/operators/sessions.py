@@ -25,6 +25,40 @@ def answered(answer: Column) -> Column:
     return F.coalesce(F.rlike(answer, F.lit("^[1-5]$")), F.lit(False))
 
 
+def question_answered(kind: Column, choice: Column, parts: Column) -> Column:
+    """a choice from one to five, or of several parts one that isn't blank; null parts are blank."""
+    some = F.exists(F.coalesce(parts, F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
+    return F.when(kind == "multiple_choice", answered(choice)).otherwise(some)
+
+
+def unit_check(text: Column, unit: Column, value: Column, wanted: Column, tolerance: Column) -> Column:
+    """C11: the number within the tolerance and exactly the unit; null if it isn't a number."""
+    near = numeric_check(text, value, tolerance)
+    return F.when(near.isNotNull(), near & F.coalesce(F.trim(unit) == wanted, F.lit(False)))
+
+
+def for_analysis() -> Column:
+    """completed, and neither discarded nor deleted."""
+    return (F.col("status") == "completed") & F.col("discarded_at").isNull() & F.col("deleted_at").isNull()
+
+
+def archived(status: Column) -> Column:
+    """F11."""
+    return status.isin(*ARCHIVED)
+
+
+def exams_of(mix: Column, own: Column) -> Column:
+    """the distinct exams of a session's questions in order, or its own."""
+    return F.when(F.size(F.coalesce(mix, F.array().cast("array<string>"))) > 0, F.array_distinct(mix)).otherwise(F.array(own))
+
+
+def restored() -> Column:
+    """what a discarded session goes back to, null if it can't."""
+    was = F.col("previous_status")
+    back = F.when(was == "active", "paused").when(was.isin("paused", "completed", "abandoned"), was)
+    return F.when((F.col("status") == "discarded") & F.col("deleted_at").isNull(), back)
+
+
 def numeric_check(text: Column, value: Column, tolerance: Column) -> Column:
     """C11: a decimal comma counts as a point; null if it isn't a number."""
     number = F.regexp_replace(F.trim(text), ",", ".").try_cast("double")

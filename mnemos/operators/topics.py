@@ -76,6 +76,32 @@ def usable(text: Column) -> Column:
     return (F.length(F.trim(text)) >= 30) & (F.regexp_count(text, F.lit("[A-Za-z]{2,}")) >= 5) & ~F.contains(text, F.lit("�"))
 
 
+#: Reasons that ask for an ordinary review (fixed values).
+CHANGES = ("source_changed_since_confirmation", "source_changed", "taxonomy_labels_inactive", "proposed_new_wiso_topic")
+
+
+def ordinary_review(topics: Column, confidence: Column, reasons: Column) -> Column:
+    """no classification, no topic, unsure, or a reason that says that something changed."""
+    listed = F.coalesce(F.exists(reasons, lambda r: r.isin(*CHANGES)), F.lit(False))
+    return topics.isNull() | (F.size(topics) == 0) | F.coalesce(confidence < 0.8, F.lit(True)) | listed
+
+
+def legal_review(reasons: Column) -> Column:
+    """F19."""
+    return F.coalesce(F.exists(reasons, lambda r: F.startswith(r, F.lit("legal_"))), F.lit(False))
+
+
+def legal_reasons(relevant: Column, current: Column, begins: Column, supersedes: Column) -> Column:
+    """why a summary needs a legal look; none where the law doesn't matter. ``supersedes``: number of versions replaced."""
+    all_ = F.array(F.when(~F.coalesce(current, F.lit(False)), "validity"), F.when(current.isNotNull() & begins.isNull(), "begin_unknown"), F.when(supersedes > 0, "replacement"))
+    return F.when(relevant, F.filter(all_, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+
+
+def trusted_text(text: Column, confidence: Column) -> Column:
+    """The text, or an empty one if it isn't usable or sure enough."""
+    return F.when(F.coalesce(usable(text) & (confidence >= 0.85), F.lit(False)), text).otherwise("")
+
+
 def stem(text: Column) -> Column:
     """What stands before the first question mark, 700 characters at most."""
     return F.substring(F.split_part(text, F.lit("?"), F.lit(1)), 1, 700)

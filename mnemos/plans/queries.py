@@ -9,23 +9,16 @@ from pyspark.sql import functions as F
 from mnemos.adapters import NOW, SQL, attempts, inventory, table
 from mnemos.functions import text as fn
 from mnemos.operators import bank, geometry, progress, registry, replay, results, review, sessions, topics, validators
+from mnemos.plans import base
+from mnemos.plans.base import ORACLE
 from mnemos.sources import tables
 from mnemos.streaming import replication
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(sql: str | None = None, prelude: str = SQL):
-    """Registers a query under its name; ``sql`` goes behind the adapters' common table expressions."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = prelude + sql
-        return f
-
-    return add
+    """Behind the adapters' common table expressions, unless told otherwise."""
+    return base.query(sql, prelude)
 
 
 def _formal(s, d) -> DataFrame:

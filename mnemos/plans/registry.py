@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from mnemos.plans.queries import ORACLE as SQL
-from mnemos.plans.queries import QUERIES
+from mnemos.plans import lookups, queries, releases, scalars, states  # noqa: F401  (each registers its queries)
+from mnemos.plans.base import ORACLE as SQL
+from mnemos.plans.base import QUERIES
 
 FLAGSHIP = "a05_module_progress"
 
