@@ -1 +1,831 @@
-"""Registers queries."""
+"""Releases, evidence, entity rules, sources and replication over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from mnemos.adapters import SQL, attempts, inventory, table
+from mnemos.operators import bank, geometry, lookups, progress, registry, releases, replay, results, review, sessions, topics, validators
+from mnemos.plans.base import SESSIONS, cases, query
+from mnemos.plans.base import sessions as all_sessions
+from mnemos.plans.queries import RECTS, _rects
+from mnemos.sources import tables
+from mnemos.streaming import replication
+
+# --- scopes of numbers, answers and solutions: an order's lines ----------------------------------------------------
+
+LINES = """WITH li AS (SELECT l_orderkey AS scope, CASE WHEN l_suppkey % 4 = 0 THEN 'U' || l_linenumber ELSE l_linenumber::VARCHAR END AS number, l_orderkey * 100 + l_linenumber AS question_id, l_partkey, l_suppkey FROM lineitem),
+q AS (SELECT scope, number, min(question_id) AS question_id FROM li WHERE l_partkey % 7 > 0 GROUP BY ALL),
+a AS (SELECT scope, number, question_id + (l_partkey % 13 = 0)::INT AS question_id, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE 1 + l_partkey % 5 END AS answer, CASE WHEN l_partkey % 9 = 0 THEN 'needs_review' ELSE 'auto_ready' END AS status FROM li WHERE l_suppkey % 4 > 0 AND l_partkey % 5 > 0),
+u AS (SELECT scope, number, question_id + (l_partkey % 13 = 0)::INT AS question_id FROM li WHERE l_suppkey % 4 = 0 AND l_partkey % 5 > 0)
+"""
+
+
+def _li(s, d):
+    n = F.col("l_linenumber")
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("scope"), F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("U"), n.cast("string"))).otherwise(n.cast("string")).alias("number"), (F.col("l_orderkey") * 100 + n).alias("question_id"), "l_partkey", "l_suppkey")
+
+
+def _released(s, d):
+    li, p = _li(s, d), F.col("l_partkey")
+    q = li.where(p % 7 > 0).groupBy("scope", "number").agg(F.min("question_id").alias("question_id"))
+    other = (F.col("question_id") + (p % 13 == 0).cast("int")).alias("question_id")
+    a = li.where((F.col("l_suppkey") % 4 > 0) & (p % 5 > 0)).select("scope", "number", other, F.when(p % 11 != 0, p % 5 + 1).alias("answer"), F.when(p % 9 == 0, "needs_review").otherwise("auto_ready").alias("status"))
+    return q, a, li.where((F.col("l_suppkey") % 4 == 0) & (p % 5 > 0)).select("scope", "number", other)
+
+
+@query(
+    """, ag AS (SELECT scope, number, count(*) AS n, min(question_id) AS aid, bool_and(answer BETWEEN 1 AND 5 AND status = 'auto_ready') AS safe FROM a GROUP BY ALL), ug AS (SELECT scope, number, count(*) AS m, min(question_id) AS uid FROM u GROUP BY ALL),
+k AS (SELECT scope, number FROM q UNION SELECT scope, number FROM ag UNION SELECT scope, number FROM ug),
+x AS (SELECT k.scope, k.number, question_id, coalesce(n, 0) AS n, coalesce(m, 0) AS m, aid, uid, coalesce(safe, FALSE) AS safe, k.number NOT LIKE 'U%' AS num FROM k LEFT JOIN q ON q.scope = k.scope AND q.number = k.number LEFT JOIN ag ON ag.scope = k.scope AND ag.number = k.number LEFT JOIN ug ON ug.scope = k.scope AND ug.number = k.number),
+y AS (SELECT scope, number, CASE WHEN question_id IS NULL THEN 'extra' WHEN num AND n <> 1 THEN 'answer_coverage' WHEN num AND NOT safe THEN 'unsafe_answer' WHEN num AND aid <> question_id THEN 'answer_identity' WHEN NOT num AND m <> 1 THEN 'solution_coverage' WHEN NOT num AND uid <> question_id THEN 'solution_identity' END AS problem FROM x)
+SELECT * FROM y WHERE problem IS NOT NULL""",
+    LINES,
+)
+def j13_bundle(s, d):
+    return releases.bundle(*_released(s, d))
+
+
+@query(
+    """, e AS (SELECT DISTINCT scope, unnest(['1', '2', 'U3']) AS number FROM li), f AS (SELECT scope, number, count(*) AS n FROM li GROUP BY ALL),
+x AS (SELECT coalesce(e.scope, f.scope) AS scope, CASE WHEN f.n IS NULL THEN 'missing' WHEN e.scope IS NULL THEN 'unexpected' WHEN f.n > 1 THEN 'number_twice' END AS problem FROM e FULL JOIN f ON e.scope = f.scope AND e.number = f.number)
+SELECT scope, problem, count(*) AS rows FROM (SELECT * FROM x WHERE problem IS NOT NULL UNION ALL SELECT scope, 'id_twice' FROM li GROUP BY scope, question_id HAVING count(*) > 1) GROUP BY ALL""",
+    LINES,
+)
+def j29_identities(s, d):
+    li = _li(s, d)
+    expected = li.select("scope").distinct().select("scope", F.explode(F.array(F.lit("1"), F.lit("2"), F.lit("U3"))).alias("number"))
+    return releases.identity_problems(li.select("scope", "number", "question_id"), expected)
+
+
+@query(
+    """WITH k AS (SELECT o_orderkey AS i FROM orders),
+x AS (SELECT i, i % 9 > 0 AS item, i % 8 > 0 AS anchor, i % 5 AS number, CASE WHEN i % 7 = 0 THEN 99 ELSE i % 5 END AS anchor_number, i % 11 = 0 AS other_sha, i % 3 AS regions, CASE WHEN i % 13 = 0 THEN 0 ELSE i % 3 END AS found FROM k WHERE i % 9 > 0 OR i % 8 > 0)
+SELECT i AS anchor_id, CASE WHEN NOT anchor THEN 'no_anchor' WHEN NOT item THEN 'no_item' WHEN number <> anchor_number THEN 'number' WHEN other_sha THEN 'hash' WHEN found <> regions THEN 'regions' END AS problem FROM x WHERE NOT anchor OR NOT item OR number <> anchor_number OR other_sha OR found <> regions"""
+)
+def j31_preview(s, d):
+    i = F.col("anchor_id")
+    k = table(s, d, "orders").select(F.col("o_orderkey").alias("anchor_id"))
+    items = k.where(i % 9 > 0).select("anchor_id", (i % 5).alias("number"), F.lit("a").alias("sha"), (i % 3).alias("regions"))
+    anchors = k.where(i % 8 > 0).select("anchor_id", F.when(i % 7 == 0, 99).otherwise(i % 5).alias("number"), F.when(i % 11 == 0, "b").otherwise("a").alias("sha"))
+    regions = k.where((i % 13 > 0) & (i % 3 > 0)).select(i.alias("owner"), F.explode(F.sequence(F.lit(1).cast("long"), i % 3)).alias("n"))
+    return releases.preview_problems(items, anchors, regions)
+
+
+GATES = """WITH g AS (SELECT l_orderkey AS source_id, CASE WHEN l_suppkey % 2 = 0 THEN 'public/' ELSE 'data/' END || l_linenumber || CASE WHEN l_partkey % 3 = 0 THEN '_answers.json' ELSE '_segmented.json' END AS path, 's' || CASE WHEN l_orderkey % 4 = 0 THEN l_partkey % 2 ELSE 0 END AS sha FROM lineitem),
+b AS (SELECT source_id, CASE WHEN count(DISTINCT sha) = 1 THEN coalesce(min(path) FILTER (path LIKE 'public/%'), min(path)) END AS path, CASE WHEN count(DISTINCT sha) = 1 THEN min(sha) END AS sha FROM g WHERE path LIKE '%\\_segmented.json' ESCAPE '\\' GROUP BY source_id)
+"""
+
+
+def _bindings(s, d):
+    p, k = F.col("l_partkey"), F.col("l_orderkey")
+    path = F.concat(F.when(F.col("l_suppkey") % 2 == 0, "public/").otherwise("data/"), F.col("l_linenumber").cast("string"), F.when(p % 3 == 0, "_answers.json").otherwise("_segmented.json"))
+    return releases.dataset_bindings(table(s, d, "lineitem").select(k.alias("source_id"), path.alias("path"), F.concat(F.lit("s"), F.when(k % 4 == 0, p % 2).otherwise(0).cast("string")).alias("sha")))
+
+
+@query("SELECT * FROM b", GATES)
+def j33_dataset_bindings(s, d):
+    return _bindings(s, d)
+
+
+@query("SELECT o_orderkey AS source_id, o.path AS old_path, n.path AS new_path, o.sha AS old_sha, n.sha AS new_sha FROM orders LEFT JOIN b o ON o.source_id = o_orderkey - 1 LEFT JOIN b n ON n.source_id = o_orderkey WHERE o_orderkey % 3 > 0", GATES)
+def j32_identity_bindings(s, d):
+    k = F.col("o_orderkey")
+    return releases.identity_bindings(table(s, d, "orders").select(k.alias("source_id"), F.when(k % 3 > 0, k - 1).alias("supersedes")), _bindings(s, d)).drop("supersedes")
+
+
+SOURCES = "WITH s AS (SELECT o_orderkey AS source_id, o_custkey AS scope, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version, 'h' || o_orderkey AS sha FROM orders) "
+
+
+def _sources(s, d):
+    k = F.col("o_orderkey")
+    return table(s, d, "orders").select(k.alias("source_id"), F.col("o_custkey").alias("scope"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("version"), F.concat(F.lit("h"), k.cast("string")).alias("sha256"))
+
+
+FIRST = ", f AS (SELECT a.source_id, sha256(string_agg(b.source_id || ':' || b.sha, ',' ORDER BY b.source_id || ':' || b.sha)) AS predecessors FROM s a JOIN s b ON a.scope = b.scope AND b.version < a.version GROUP BY a.source_id HAVING NOT bool_or(b.source_id % 6 = 0)) "
+
+
+def _first(s, d):
+    src = _sources(s, d)
+    stages = src.select("source_id", F.when(F.col("source_id") % 6 == 0, "validated").when(F.col("source_id") % 2 == 0, "registered").alias("stage"))
+    return releases.first_formal(src, stages)
+
+
+@query("SELECT * FROM f", SOURCES + FIRST)
+def j35_first_formal(s, d):
+    return _first(s, d)
+
+
+@query("SELECT source_id, scope, version FROM s WHERE source_id IN (SELECT source_id FROM f) AND source_id % 4 > 0", SOURCES + FIRST)
+def t32_first_identity(s, d):
+    decided = _sources(s, d).where("source_id % 4 > 0").select("source_id", "scope", "version")
+    return decided.join(_first(s, d), "source_id", "left_semi")
+
+
+DECIDED = "WITH x AS (SELECT o_orderkey AS i FROM orders) "
+
+
+@query(
+    """SELECT i AS source_id, rule FROM x, (VALUES ('bound'), ('repeats'), ('mapping'), ('old'), ('new'), ('reviewed')) r(rule) WHERE CASE rule WHEN 'bound' THEN i % 6 = 0 WHEN 'repeats' THEN i % 5 = 0 WHEN 'mapping' THEN i % 4 = 0 WHEN 'old' THEN i % 6 = 0 WHEN 'new' THEN i % 6 = 0 OR (i % 4 = 0) ELSE i % 7 = 0 OR i % 8 = 0 END""",
+    DECIDED,
+)
+def j34_identity_decisions(s, d):
+    i = F.col("source_id")
+    x = table(s, d, "orders").select(F.col("o_orderkey").alias("source_id"))
+    ids = lambda *v: F.array(*map(F.lit, v))
+    old = F.when(i % 5 == 0, ids("a", "b", "a")).otherwise(ids("b", "a"))
+    decisions = x.select("source_id", old.alias("old_ids"), F.when(i % 4 == 0, ids("a")).otherwise(ids("a", "b")).alias("new_ids"), F.when(i % 7 == 0, " ").when(i % 8 != 0, "me").alias("reviewed_by"))
+    bound = x.where(i % 6 > 0).select("source_id", ids("a", "b").alias("old_dataset_ids"), ids("a", "b").alias("new_dataset_ids"))
+    return releases.decision_problems(decisions, bound)
+
+
+@query("SELECT i AS source_id, (i % 3 > 0) AS same FROM x", DECIDED)
+def u05_set_equality(s, d):
+    i = F.col("o_orderkey")
+    return table(s, d, "orders").select(i.alias("source_id"), bank.set_equal(F.array(i, i + 1, i), F.when(i % 3 > 0, F.array(i + 1, i)).otherwise(F.array(i, i + 2))).alias("same"))
+
+
+PLAN = (
+    SQL
+    + """, mach AS (SELECT question_id, question_id % 9 AS module, CASE WHEN question_id % 4 > 0 THEN 'auto_ready' WHEN question_id % 8 = 0 THEN 'needs_review' END AS status FROM inventory),
+p AS (SELECT module, count(*) AS answers, count(*) FILTER (coalesce(status, '') <> 'auto_ready' AND question_id % 3 > 0) AS unresolved FROM mach GROUP BY module),
+plan AS (SELECT module, answers, unresolved, module % 5 = 2 AS held, unresolved = 0 AND module % 5 <> 2 AS ready FROM p)
+"""
+)
+
+
+def _plan(s, d):
+    q = F.col("question_id")
+    machine = inventory(s, d).select("question_id", (q % 9).alias("module"), F.when(q % 4 > 0, "auto_ready").when(q % 8 == 0, "needs_review").alias("status"))
+    machine = machine.withColumn("status", F.coalesce("status", F.lit("unknown")))
+    return machine, releases.promotion_plan(machine, machine.where(q % 3 == 0), machine.where("module % 5 = 2"))
+
+
+@query("SELECT * FROM plan", PLAN)
+def j37_promotion_plan(s, d):
+    return _plan(s, d)[1]
+
+
+@query("SELECT question_id, module, CASE WHEN module IN (SELECT module FROM plan WHERE ready) THEN 'new' ELSE 'old' END AS release FROM mach", PLAN)
+def j38_applied_plan(s, d):
+    machine, plan = _plan(s, d)
+    rows = machine.select("question_id", "module")
+    return releases.applied_plan(rows.withColumn("release", F.lit("old")), rows.withColumn("release", F.lit("new")), plan)
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 > 0 THEN 'U3' ELSE '25,U3' END AS owners, o_orderkey % 3 = 0 AND o_orderkey % 5 > 0 AS rewritten FROM orders")
+def j40_rewritten_owners(s, d):
+    k = F.col("o_orderkey")
+    owners = lambda *v: F.array(*map(F.lit, v))
+    a = table(s, d, "orders").select(k.alias("id"), F.lit("e").alias("evidence"), owners("25", "U3").alias("owners"))
+    dec = table(s, d, "orders").select(k.alias("id"), F.when(k % 5 > 0, "e").otherwise("other").alias("evidence"), F.when(k % 3 == 0, "confirmed").otherwise("change_requested").alias("decision"), owners("U3").alias("owners"))
+    return releases.rewritten_owners(a, dec).select("id", F.array_join("owners", ",").alias("owners"), "rewritten")
+
+
+@query(
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'missing' WHEN o_orderkey % 7 = 0 THEN 'frozen' ELSE 'not_allowed' END AS problem FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 7 = 0 OR (o_orderkey % 3 = 0 AND o_orderkey % 2 > 0)"""
+)
+def j41_frozen_changes(s, d):
+    k = F.col("id")
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("answer"), F.col("o_totalprice").alias("box"))
+    new = o.where(k % 11 > 0).withColumns({"answer": F.when(k % 7 != 0, F.col("answer")), "box": F.when(k % 3 == 0, F.col("box") + 1).otherwise(F.col("box"))})
+    return releases.frozen_changes(o, new, ["box"], o.where(k % 2 == 0))
+
+
+@query("SELECT source_id, proposal_hash FROM (SELECT o_custkey AS source_id, 'p' || max(o_orderkey) FILTER (o_orderkey % 3 > 0) AS proposal_hash FROM orders GROUP BY o_custkey) WHERE proposal_hash IS NOT NULL")
+def w14_current_proposals(s, d):
+    k = F.col("o_orderkey")
+    e = table(s, d, "orders").select(F.col("o_custkey").alias("source_id"), k.alias("seq"), F.when(k % 3 > 0, "profile_revision_proposed").otherwise("other").alias("stage"), F.concat(F.lit("p"), k.cast("string")).alias("proposal_hash"))
+    return releases.current_proposals(e, e.select("source_id", "proposal_hash"))
+
+
+@query(
+    """SELECT o_orderkey AS source_id, rule FROM orders, (VALUES ('hash'), ('passed'), ('artifacts')) r(rule) WHERE CASE rule WHEN 'hash' THEN o_orderkey % 5 = 0 WHEN 'passed' THEN o_orderkey % 3 = 0 ELSE o_orderkey % 4 < 2 END"""
+)
+def v29_gate_evidence(s, d):
+    k = F.col("o_orderkey")
+    sha = F.sha2(k.cast("string"), 256)
+    artifacts = F.when(k % 4 == 0, F.create_map().cast("map<string,string>")).when(k % 4 == 1, F.create_map(F.lit("a"), F.upper(sha), F.lit("b"), sha)).otherwise(F.create_map(F.lit("a"), sha))
+    g = table(s, d, "orders").select(k.alias("source_id"), sha.alias("sha256"), F.when(k % 5 > 0, sha).alias("source_sha256"), F.when(k % 3 > 0, "passed").alias("result"), artifacts.alias("artifacts"))
+    return releases.evidence_problems(g)
+
+
+ARTIFACTS = "SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 5 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0"
+
+
+def _artifacts(s, d):
+    k = F.col("doc_id")
+    x = table(s, d, "documents").select(k, k.cast("string").alias("path"), F.sha2("text", 256).alias("sha"))
+    return releases.artifact_problems(x, x.where(k % 5 > 0).select("path", F.when(k % 7 > 0, F.col("sha")).otherwise("x").alias("sha")))
+
+
+@query(ARTIFACTS)
+def s12_artifacts(s, d):
+    return _artifacts(s, d)
+
+
+@query(ARTIFACTS)
+def v16_registry_artifacts(s, d):
+    return _artifacts(s, d)
+
+
+@query("SELECT path FROM (" + ARTIFACTS + ") WHERE problem = 'changed'")
+def v30_proposal_hashes(s, d):
+    return _artifacts(s, d).where("problem = 'changed'").select("path")
+
+
+@query(
+    """, a AS (SELECT *, id % 3 > 0 AS ready FROM r)
+SELECT id, rule FROM a, (VALUES ('answer'), ('box'), ('rows')) t(rule) WHERE CASE rule WHEN 'answer' THEN CASE WHEN ready THEN id % 7 = 0 OR id % 4 = 0 ELSE id % 7 > 0 OR id % 4 > 0 END WHEN 'box' THEN x1 > 520 OR y1 > 740 ELSE id % 11 = 0 END""",
+    RECTS,
+)
+def v17_answer_rows(s, d):
+    k = F.col("id")
+    reasons = F.when(k % 4 == 0, F.array(F.lit("r"))).otherwise(F.array().cast("array<string>"))
+    x = _rects(s, d).withColumns({"status": F.when(k % 3 > 0, "auto_ready").otherwise("needs_review"), "answer": F.when(k % 7 > 0, k % 5 + 1), "reasons": reasons, "width": F.lit(520.0), "height": F.lit(740.0), "measurements": F.when(k % 11 > 0, 5)})
+    return releases.answer_problems(x)
+
+
+@query(
+    """WITH x AS (SELECT p_partkey AS id, p_partkey % 6 AS n FROM part)
+SELECT id, rule FROM x, (VALUES ('question'), ('status'), ('parts')) t(rule) WHERE CASE rule WHEN 'question' THEN n > 3 OR id % 5 = 0 WHEN 'status' THEN id % 7 = 0 ELSE id % 4 = 0 END"""
+)
+def v18_solution_rows(s, d):
+    k = F.col("p_partkey")
+    number = F.concat(F.lit("U"), (k % 6).cast("string"))
+    x = table(s, d, "part").select(k.alias("id"), number.alias("number"), F.when(k % 5 > 0, k % 6).alias("question_id"), F.when(k % 7 > 0, "auto_ready").alias("status"), F.when(k % 4 == 0, F.array(F.lit("a"), F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("parts"))
+    q = s.range(4).select(F.concat(F.lit("U"), F.col("id").cast("string")).alias("number"), F.col("id").alias("question_id"))
+    return releases.solution_problems(x, q)
+
+
+@query(
+    """WITH x AS (SELECT p_partkey % 150 AS card, p_partkey AS i, p_partkey % 8 AS topic FROM part)
+SELECT DISTINCT card, rule FROM x, (VALUES ('text'), ('questions'), ('version'), ('date'), ('sources')) t(rule) WHERE CASE rule WHEN 'text' THEN i % 9 = 0 WHEN 'questions' THEN i % 5 = 0 OR topic = 7 WHEN 'version' THEN topic = 7 OR topic = 3 WHEN 'date' THEN topic = 7 OR i % 7 = 0 ELSE i % 4 = 0 END
+UNION ALL SELECT card, 'unique' FROM x GROUP BY card HAVING count(*) > 1"""
+)
+def v19_card_rows(s, d):
+    k = F.col("p_partkey")
+    day = lambda x: F.lit(x).cast("date")
+    cards = table(s, d, "part").select((k % 150).alias("card"), (k % 8).alias("topic"), F.lit(1).alias("version"), F.when(k % 7 > 0, day("2024-01-01")).otherwise(day("2024-01-02")).alias("verified_at"), F.lit("q").alias("question"), F.when(k % 9 > 0, "a").otherwise(" ").alias("answer"),
+                                    F.when(k % 5 > 0, F.array(F.lit(1))).otherwise(F.array(F.lit(9))).alias("question_ids"), F.when(k % 4 == 0, F.array(F.lit("http://x"))).otherwise(F.array(F.lit("https://x"))).alias("urls"))
+    known = s.range(7).select(F.col("id").alias("topic"))
+    return releases.card_problems(cards, known.select("topic", F.lit(1).alias("version"), day("2024-01-01").alias("verified_at"), F.lit(True).alias("verified"), (F.col("topic") != 3).alias("current")), known.select("topic", F.array(F.lit(1), F.lit(2)).alias("question_ids")))
+
+
+CLIP = "SELECT id, x0, y0, least(x1, 500) AS x1, least(y1, 600) AS y1, x1 > 500 OR y1 > 600 AS changed, x0 >= 500 OR y0 >= 600 AS empty FROM r"
+
+
+@query(CLIP, RECTS)
+def g19_clipped_boxes(s, d):
+    return releases.clipped(_rects(s, d).withColumns({"width": F.lit(500.0), "height": F.lit(600.0)}))
+
+
+@query("SELECT id FROM r WHERE id % 5 = 0 OR x0 >= 500 OR y0 >= 600", RECTS)
+def v21_bounds_revision(s, d):
+    old = _rects(s, d).withColumns({"width": F.lit(500.0), "height": F.lit(600.0)})
+    new = releases.clipped(old).withColumn("x0", F.when(F.col("id") % 5 > 0, F.col("x0")).otherwise(-1.0))
+    return releases.bounds_problems(old, new)
+
+
+@query(
+    """SELECT o_orderkey AS id, rule FROM orders, (VALUES ('proposal'), ('sha'), ('profile'), ('status'), ('time')) r(rule) WHERE CASE rule WHEN 'proposal' THEN o_orderkey % 9 = 0 WHEN 'sha' THEN o_orderkey % 9 > 0 AND o_orderkey % 5 = 0 WHEN 'profile' THEN FALSE WHEN 'status' THEN o_orderkey % 3 = 0 ELSE o_orderkey % 4 = 0 END"""
+)
+def v22_confirmation_binding(s, d):
+    k = F.col("o_orderkey")
+    o = table(s, d, "orders").select(k.alias("id"), F.lit("s").alias("sha"), F.when(k % 2 == 0, "p").alias("profile"))
+    conf = table(s, d, "orders").select(k.alias("id"), F.when(k % 5 > 0, "s").alias("sha"), F.when(k % 2 == 0, "p").alias("profile"), F.when(k % 3 > 0, "confirmed").alias("status"), F.when(k % 4 > 0, "2024-01-01T00:00:00Z").otherwise("later").alias("confirmed_at"))
+    return releases.binding_problems(conf, o.where("id % 9 > 0"), ["sha", "profile"])
+
+
+@query("SELECT o_orderkey AS source_id, CASE WHEN o_custkey % 4 = 1 AND o_orderkey % 3 > 0 THEN 'profile ' || o_custkey % 4 END AS profile FROM orders")
+def g16_profiles(s, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 4
+    src = table(s, d, "orders").select(k.alias("source_id"), c.alias("exam"), F.lit("m").alias("module"), F.when(k % 3 > 0, "h").alias("sha256"))
+    profiles = s.range(1, 2).select(F.col("id").alias("exam"), F.lit("m").alias("module"), F.lit("h").alias("sha256"), F.concat(F.lit("profile "), F.col("id").cast("string")).alias("profile"))
+    return releases.profile_of(src, profiles)
+
+
+@query("SELECT p_partkey, (abs(p_size * 20 - 595) < 1 OR abs(p_size * 20 - 600) < 1) AS accepted FROM part")
+def g17_geometry(s, d):
+    n = (F.col("p_size") * 20).cast("double")
+    return releases.accepted_geometry(table(s, d, "part").select("p_partkey", n.alias("width"), F.lit(842.0).alias("height")), [(595.0, 842.0), (600.0, 841.9)]).select("p_partkey", "accepted")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN '' ELSE p_name[3:2 + p_size % 4] || p_name[8:7 + p_size % 4] END AS patch FROM (SELECT p_partkey, p_size, rpad(p_name, 20, ' ') AS p_name FROM part)")
+def g26_patches(s, d):
+    w = F.col("p_size") % 4
+    image = F.encode(F.rpad("p_name", 20, " "), "utf-8")
+    return table(s, d, "part").select("p_partkey", F.decode(releases.patch(image, F.lit(5), F.lit(2), F.lit(0), w + 2, F.lit(2)), "utf-8").alias("patch"))
+
+
+@query("SELECT p_partkey, sha256(p_size || 'x2:' || p_name) AS hash FROM part")
+def g10_pixel_hashes(s, d):
+    return table(s, d, "part").select("p_partkey", releases.pixel_hash(F.encode("p_name", "utf-8"), F.col("p_size"), F.lit(2)).alias("hash"))
+
+
+@query("""SELECT p_partkey, sha256('{"name":"' || p_name || '","size":' || p_size || '}') AS revision FROM part""")
+def g27_config_hashes(s, d):
+    from mnemos.functions import text as fn
+
+    return table(s, d, "part").select("p_partkey", fn.object_digest(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"))).alias("revision"))
+
+
+# --- rules of the entities -----------------------------------------------------------------------------------------
+
+
+def _rules(key: str, **broken: str) -> str:
+    """SQL of the rows that break a rule, by what breaks it."""
+    return " UNION ALL ".join(f"SELECT {key} AS key, '{rule}' AS rule FROM orders WHERE {when}" for rule, when in broken.items())
+
+
+def _o(s, d, **columns):
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("key"), *[F.expr(x).alias(n) for n, x in columns.items()])
+
+
+K = "o_orderkey"
+STAMP = "if(o_orderkey % 13 = 0, 'never', '2024-01-01T00:00:00')"
+
+
+@query(_rules(K, stage=f"{K} % 5 = 4", entered=f"{K} % 13 = 0", updated=f"{K} % 13 = 0", revision=f"{K} % 7 = 0", counts=f"{K} % 3 = 0", dismissed=f"{K} % 4 = 0"))
+def v05_wrong_states(s, d):
+    x = _o(s, d, stage="element_at(array('1', 'mastered', null, '3', '4'), int(o_orderkey % 5 + 1))", entered_at=STAMP, updated_at=STAMP, revision="o_orderkey % 7", wrong_count="if(o_orderkey % 3 = 0, -1, 2)", streak="0", dismissed="if(o_orderkey % 4 = 0, array('a', ''), array())")
+    return validators.wrong_states(x, "key")
+
+
+@query(_rules(K, kind=f"{K} % 5 = 0", content=f"({K} % 5 > 0 AND {K} % 2 = 0 AND ({K} % 3 = 0 OR {K} % 7 = 6)) OR ({K} % 5 > 0 AND {K} % 2 = 1 AND {K} % 3 <> 0) OR ({K} % 5 = 0 AND {K} % 3 <> 0)", page=f"{K} % 11 = 0", size=f"{K} % 13 = 0"))
+def v06_snapshots(s, d):
+    x = _o(s, d, question_id="o_orderkey", kind="if(o_orderkey % 5 = 0, 'other', if(o_orderkey % 2 = 0, 'multiple_choice', 'multi_part'))", answer_of="if(o_orderkey % 3 = 0, null, o_orderkey)", answer="if(o_orderkey % 7 = 0, null, o_orderkey % 7)", solution_of="if(o_orderkey % 3 = 0, o_orderkey, null)", page="o_orderkey % 11", width="1.0", height="if(o_orderkey % 13 = 0, 0.0, 2.0)")
+    return validators.snapshots(x, "key")
+
+
+@query(_rules(K, questions=f"{K} % 4 = 0", cursor=f"{K} % 5 = 0", kind=f"{K} % 7 = 0", stage=f"{K} % 3 = 0", snapshots=f"{K} % 4 = 0 OR {K} % 6 = 1", drafts=f"{K} % 9 = 0", revision=f"{K} % 8 = 0"))
+def v07_training_runs(s, d):
+    x = _o(s, d, question_ids="if(o_orderkey % 4 = 0, array('a', 'b', 'a'), array('a', 'b'))", current_question="if(o_orderkey % 5 = 0, 'c', 'a')", kind="if(o_orderkey % 7 = 0, 'x', 'bank')", stage="if(o_orderkey % 3 = 0, '1', null)", snapshots="if(o_orderkey % 6 = 1, map('a', 1), map('a', 1, 'b', 2))", drafts="if(o_orderkey % 9 = 0, map('z', 1), map('a', 1))", attempt_ids="map('b', 1)", revision="o_orderkey % 8")
+    return validators.training_runs(x, "key")
+
+
+@query(_rules(K, id=f"{K} % 3 = 0", generation=f"{K} % 5 = 0", revision=f"{K} % 7 = 0", states=f"{K} % 4 = 0"))
+def v08_module_states(s, d):
+    x = _o(s, d, id="if(o_orderkey % 3 = 0, 'e-m', 'e/m')", exam="'e'", module="'m'", generation="o_orderkey % 5", revision="o_orderkey % 7", question_ids="array('b', 'a')", states="if(o_orderkey % 4 = 0, map('a', 1), map('a', 1, 'b', 2))")
+    return validators.module_states(x, "key")
+
+
+@query(_rules(K, user=f"{K} % 5 = 0", question=f"{K} % 11 = 0", entered=f"{K} % 3 = 0 AND {K} % 2 = 0", updated=f"{K} % 13 = 0", revision=f"{K} % 7 = 0"))
+def v09_uncertainties(s, d):
+    x = _o(s, d, user_id="if(o_orderkey % 5 = 0, ' ', 'u')", question_id="if(o_orderkey % 11 = 0, null, 'q')", active="o_orderkey % 2 = 0", entered_at="if(o_orderkey % 3 = 0, null, '2024-01-01')", updated_at=STAMP, revision="o_orderkey % 7")
+    return validators.uncertainties(x, "key")
+
+
+@query(_rules(K, user=f"{K} % 5 = 0", text=f"{K} % 11 = 0", created=f"{K} % 13 = 0", updated=f"{K} % 13 = 0", revision=f"{K} % 7 = 0"))
+def v10_notes(s, d):
+    x = _o(s, d, user_id="if(o_orderkey % 5 = 0, '', 'u')", question_id="'q'", text="if(o_orderkey % 11 = 0, null, '')", created_at=STAMP, updated_at=STAMP, revision="o_orderkey % 7")
+    return validators.notes(x, "key")
+
+
+REVIEWED = dict(status="element_at(array('confirmed', 'needs_review', 'unknown', null), int(o_orderkey % 4 + 1))", answer="if(o_orderkey % 5 = 0, null, o_orderkey % 7)", locked="o_orderkey % 3 > 0", user_corrected="if(o_orderkey % 11 = 0, null, true)")
+BROKEN = dict(status=f"{K} % 4 >= 2", answer=f"({K} % 4 = 0 AND ({K} % 5 = 0 OR {K} % 7 NOT BETWEEN 1 AND 5)) OR ({K} % 4 > 0 AND {K} % 5 > 0 AND {K} % 7 NOT BETWEEN 1 AND 5)", lock=f"({K} % 4 = 0 AND ({K} % 3 = 0 OR {K} % 11 = 0)) OR ({K} % 4 = 3 AND ({K} % 3 = 0 OR {K} % 11 = 0))")
+
+
+@query(_rules(K, **BROKEN))
+def v11_reviews(s, d):
+    return validators.reviews(_o(s, d, **REVIEWED), "key")
+
+
+@query("SELECT key, rule FROM (" + _rules(K, **BROKEN) + ") WHERE key % 2 = 0")
+def v25_answer_reviews(s, d):
+    return validators.reviews(_o(s, d, **REVIEWED).where("key % 2 = 0"), "key")
+
+
+@query(_rules(K, type=f"{K} % 3 = 0", status=f"{K} % 4 = 0", questions=f"{K} % 5 = 0", cursor=f"{K} % 5 = 0 OR {K} % 7 = 0", answers=f"{K} % 5 = 0 OR {K} % 9 = 0", started=f"{K} % 13 = 0", completed=f"{K} % 13 = 0", revision=f"{K} % 8 = 0"))
+def v12_sessions(s, d):
+    x = _o(s, d, test_type="if(o_orderkey % 3 = 0, 'x', 'module')", status="if(o_orderkey % 4 = 0, null, 'paused')", question_ids="if(o_orderkey % 5 = 0, cast(array() as array<string>), array('a', 'b'))", current_question="if(o_orderkey % 7 = 0, 'z', 'a')", answers="if(o_orderkey % 9 = 0, map('z', 1), map('b', 1))", started_at=STAMP, completed_at=STAMP, revision="if(o_orderkey % 8 = 0, -1, 0)")
+    return validators.sessions(x, "key")
+
+
+ENVELOPE = dict(entity="if(o_orderkey % 5 = 0, 'other', 'note')", id="if(o_orderkey % 7 = 0, '', 'i')", mutation_id="if(o_orderkey % 11 = 0, repeat('m', 201), 'm')", base_revision="if(o_orderkey % 3 = 0, -1, 0)", deleted="o_orderkey % 2 = 0", value="if(o_orderkey % 4 = 0, null, if(o_orderkey % 13 = 0, repeat('v', 101), 'v'))")
+LIMITS = dict(entity=f"{K} % 5 = 0", id=f"{K} % 7 = 0", mutation=f"{K} % 11 = 0", base=f"{K} % 3 = 0", value=f"{K} % 4 = 2", size=f"{K} % 13 = 0 AND {K} % 4 > 0")
+
+
+@query(_rules(K, **{k: v for k, v in LIMITS.items() if k != "size"}))
+def v13_envelopes(s, d):
+    return validators.envelopes(_o(s, d, **ENVELOPE), "key", ["note"])
+
+
+@query(_rules(K, **LIMITS))
+def v14_mutation_limits(s, d):
+    return validators.envelopes(_o(s, d, **ENVELOPE), "key", ["note"], 100)
+
+
+@query("SELECT o_orderkey AS key FROM orders WHERE NOT (" + " OR ".join(f"({x})" for x in LIMITS.values()) + ")")
+def v15_accepted(s, d):
+    return validators.accepted(_o(s, d, **ENVELOPE), "key", ["note"], 100).select("key")
+
+
+@query(_rules(K, user=f"{K} % 5 = 0", run=f"{K} % 3 = 0", revision=f"{K} % 7 = 0", updated=f"{K} % 13 = 0"))
+def v26_training_progress(s, d):
+    return validators.training_progress(_o(s, d, user_id="if(o_orderkey % 5 = 0, '', 'u')", definition_key="'d'", run_id="if(o_orderkey % 3 = 0, null, 'r')", revision="o_orderkey % 7", updated_at=STAMP), "key")
+
+
+@query(_rules(K, exam=f"{K} % 5 = 0", questions=f"{K} % 4 < 3"))
+def v27_descriptors(s, d):
+    return validators.descriptors(_o(s, d, exam="if(o_orderkey % 5 = 0, '', 'e')", module="'m'", question_ids="element_at(array(cast(array() as array<string>), array('a', 'a'), array('a', ' '), array('a', 'b')), int(o_orderkey % 4 + 1))"), "key")
+
+
+@query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 2 THEN 'entity' ELSE 'revision' END AS rule FROM orders WHERE o_orderkey % 3 = 2 OR o_orderkey % 7 = 0 UNION ALL SELECT o_orderkey, 'text' FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 11 = 0")
+def v24_by_entity(s, d):
+    x = _o(s, d, entity="element_at(array('notes', 'marks', 'other'), int(o_orderkey % 3 + 1))", user_id="'u'", question_id="'q'", text="if(o_orderkey % 11 = 0, null, 't')", created_at="'2024-01-01'", updated_at="'2024-01-01'", active="false", entered_at="cast(null as string)", revision="o_orderkey % 7")
+    return validators.by_entity(x, "key", {"notes": validators.notes, "marks": validators.uncertainties}).where("not (key % 3 = 2 and rule = 'revision')")
+
+
+OVERRIDES = """SELECT key AS question_id, rule FROM (SELECT DISTINCT o_custkey AS key, o_custkey % 5 AS a, o_custkey % 7 AS b, o_custkey % 4 AS c, o_custkey % 3 AS e, o_custkey % 11 AS g FROM orders), (VALUES ('question'), ('revision'), ('confirmed'), ('version'), ('confidence'), ('topic')) r(rule)
+WHERE CASE rule WHEN 'question' THEN a = 0 WHEN 'revision' THEN a > 0 AND b = 0 WHEN 'confirmed' THEN c = 0 WHEN 'version' THEN e = 0 WHEN 'confidence' THEN g = 0 ELSE key % 6 = 0 END"""
+
+
+def _overrides(s, d, **options):
+    q = table(s, d, "orders").select(F.col("o_custkey").alias("question_id")).distinct()
+    k = F.col("question_id")
+    x = q.select("question_id", F.when(k % 7 > 0, 1).otherwise(0).alias("revision"), F.lit("human_confirmed").alias("source"), F.when(k % 4 > 0, True).alias("locked"), F.when(k % 3 > 0, "v2").otherwise("v1").alias("taxonomy_version"), F.when(k % 11 > 0, 0.5).otherwise(1.5).alias("confidence"), F.array(F.lit(1), F.when(k % 6 > 0, 2).otherwise(3)).alias("topic_ids"))
+    nodes = s.range(1, 4).select("id", (F.col("id") < 3).alias("active"))
+    return validators.overrides(x, nodes, q.where(k % 5 > 0).select("question_id", F.lit(1).alias("revision")), "v2", **options)
+
+
+@query(OVERRIDES)
+def v03_overrides(s, d):
+    return _overrides(s, d)
+
+
+@query("SELECT question_id, rule FROM (" + OVERRIDES + ") WHERE rule IN ('confirmed', 'confidence')")
+def v04_stale_overrides(s, d):
+    return _overrides(s, d, stale=True, orphans=True)
+
+
+@query("SELECT DISTINCT o_custkey AS scope FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) = 2)")
+def v28_without_source(s, d):
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("scope"), F.col("o_orderstatus").alias("kind"))
+    return validators.without_source(o, o.where("kind in ('F', 'O')"), ["scope"])
+
+
+@query("SELECT id FROM r WHERE owner NOT IN (0, 1, 2, 3, 4)", RECTS)
+def v20_region_owners(s, d):
+    return validators.dangling(_rects(s, d), s.range(5).select(F.col("id").alias("anchor")), "owner", "anchor").select("id")
+
+
+# --- sources, sinks and replication --------------------------------------------------------------------------------
+
+
+@query("SELECT session_id FROM sessions WHERE user_id = 7", SESSIONS)
+def s20_scan_by_owner(s, d):
+    return all_sessions(s, d).where("user_id = 7").select("session_id")
+
+
+@query("SELECT session_id, status FROM sessions WHERE user_id = 7 AND session_id = (SELECT min(session_id) FROM sessions WHERE user_id = 7)", SESSIONS)
+def s21_point_lookup(s, d):
+    x = all_sessions(s, d)
+    key = x.where("user_id = 7").agg(F.min("session_id").alias("session_id")).withColumn("user_id", F.lit(7).cast("long"))
+    return x.join(key, ["user_id", "session_id"]).select("session_id", "status")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0")
+def s10_checkpoint(s, d):
+    k = F.col("o_orderkey")
+    work = table(s, d, "orders").select("o_orderkey", F.sha2(F.concat_ws("|", k.cast("string"), "o_orderstatus"), 256).alias("value"))
+    return tables.to_do(work, work.where(k % 3 > 0).withColumn("value", F.when(k % 5 > 0, F.col("value"))), "o_orderkey", "value").select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 4 <> 1")
+def s16_resumed_pages(s, d):
+    o = table(s, d, "orders").select("o_orderkey", "o_custkey")
+    return tables.to_do(o, o.where("o_orderkey % 4 = 1"), "o_custkey", "o_orderkey").select("o_orderkey")
+
+
+@query("SELECT doc_id, quality FROM labels WHERE doc_id % 4 = 0")
+def s18_index_references(s, d):
+    return validators.dangling(table(s, d, "labels"), table(s, d, "documents").where("doc_id % 4 > 0"), "doc_id", "doc_id").select("doc_id", "quality")
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 0")
+def s29_override_export(s, d):
+    k = F.col("o_orderkey")
+    x = table(s, d, "orders").select(k.alias("id"), "o_orderstatus", F.when(k % 3 == 0, "human_confirmed").alias("source"), (k % 2 == 0).alias("locked"))
+    return x.where("source = 'human_confirmed' and locked").select("id", "o_orderstatus")
+
+
+@query("SELECT o_custkey AS scope, list_sort(list(o_orderkey))::VARCHAR AS items FROM orders WHERE o_orderkey % 5 > 0 GROUP BY o_custkey")
+def s32_review_bundles(s, d):
+    x = table(s, d, "orders").where("o_orderkey % 5 > 0")
+    return tables.export(x, "o_custkey", F.col("o_orderkey")).select(F.col("o_custkey").alias("scope"), F.concat(F.lit("["), F.array_join(F.col("items").cast("array<string>"), ", "), F.lit("]")).alias("items"))
+
+
+CONFIRMED = "SELECT o_orderkey AS id, 1 + o_orderkey % 5 AS answer FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 4 > 0 AND o_orderkey % 7 > 0"
+
+
+def _confirmed(s, d):
+    k = F.col("o_orderkey")
+    queue = table(s, d, "orders").select(k.alias("id"), F.lit("e").alias("evidence"), F.when(k % 2 == 0, "r").alias("revision"))
+    c = table(s, d, "orders").where(k % 3 == 0).select(k.alias("id"), F.when(k % 4 > 0, "e").alias("evidence"), F.when(k % 7 > 0, "r").otherwise("x").alias("revision"), (k % 5 + 1).alias("answer"), F.lit("u").alias("user_id"))
+    return review.confirmed(queue.withColumn("revision", F.coalesce("revision", F.lit("r"))), c, ["evidence", "revision"])
+
+
+@query(CONFIRMED)
+def f36_confirmed_reviews(s, d):
+    return _confirmed(s, d)[0].select("id", "answer")
+
+
+@query(CONFIRMED)
+def s31_confirmation_export(s, d):
+    return _confirmed(s, d)[0].drop("user_id", "evidence", "revision")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0 AND NOT (o_orderkey % 4 > 0 AND o_orderkey % 7 > 0)")
+def j43_unbound_confirmations(s, d):
+    return _confirmed(s, d)[1].select("id")
+
+
+@query("SELECT o_custkey AS module, CASE WHEN o_custkey % 5 = 0 THEN 'unregistered' WHEN o_custkey % 3 = 0 THEN 'blocked' WHEN o_custkey % 4 = 0 THEN 'incomplete' END AS reason FROM (SELECT DISTINCT o_custkey FROM orders)")
+def f40_availability(s, d):
+    m = table(s, d, "orders").select(F.col("o_custkey").alias("module")).distinct()
+    k = F.col("module")
+    reg = m.where(k % 5 > 0).select("module", F.when(k % 3 == 0, "blocked").otherwise("production").alias("status"), F.when(k % 4 == 0, F.array(F.lit("page missing"))).otherwise(F.array(F.lit("fine"))).alias("events"))
+    return review.availability(m, reg).select("module", "reason")
+
+
+REMOTE = "WITH p AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 4 = 0), r AS (SELECT o_orderkey AS id, o_custkey % 6 AS revision FROM orders) "
+
+
+def _received(s, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(s, d, "orders").select(F.lit("note").alias("entity"), k.alias("id"), (c % 6).alias("revision"), F.lit("v").alias("value"), F.lit(False).alias("deleted"))
+    return replication.receive(o.where("id % 3 = 0").withColumn("revision", F.lit(3)), o.where("id % 4 = 0").select("entity", "id"), o)
+
+
+@query("SELECT id, revision FROM r WHERE revision > CASE WHEN id % 3 = 0 THEN 3 ELSE 0 END AND id % 4 = 0", REMOTE)
+def t06_conflicts(s, d):
+    return _received(s, d)[1].select("id", "revision")
+
+
+OUTBOX = "SELECT user_id::VARCHAR AS id, arg_max(event_id, event_id) AS mutation_id FROM events WHERE user_id % 5 > 0 GROUP BY user_id"
+
+
+@query(OUTBOX)
+def j09_outbox(s, d):
+    e = table(s, d, "events").select(F.lit("a").alias("entity"), F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("mutation_id"), F.lit(0).alias("base_revision"), F.col("props").alias("value"), F.col("event_id").alias("seq"))
+    return replication.outbox(e, e.where(F.col("id").cast("int") % 5 == 0).select("entity", "id").distinct()).select("id", "mutation_id")
+
+
+def _changes(s, d):
+    e = table(s, d, "events")
+    k = F.col("event_id")
+    return e.select(F.lit("note").alias("entity"), F.col("user_id").cast("string").alias("id"), k.alias("seq"), k.cast("string").alias("mutation_id"), F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long").alias("n"), (F.col("event_type") == "error").alias("deleted"), F.col("props").alias("value")).withColumn("base_revision", F.col("n") - 1)
+
+
+@query("SELECT user_id::VARCHAR AS id, count(*) AS revision, CASE WHEN arg_max(event_type, event_id) <> 'error' THEN arg_max(props, event_id) END AS value FROM events GROUP BY user_id")
+def t01_change_records(s, d):
+    return replication.fold(_changes(s, d)).select("id", "revision", "value")
+
+
+@query("SELECT user_id::VARCHAR AS id, arg_max(props, event_id) AS value FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
+def t02_upserts(s, d):
+    return replication.fold(_changes(s, d)).where("not deleted").select("id", "value")
+
+
+@query("SELECT user_id::VARCHAR AS id, count(*) AS revision FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) = 'error'")
+def t03_tombstones(s, d):
+    return replication.fold(_changes(s, d)).where("deleted").select("id", "revision")
+
+
+@query("SELECT DISTINCT o_custkey AS k, 'same' AS v FROM orders WHERE o_custkey % 3 > 0 AND o_custkey % 2 = 1")
+def t26_audit_events(s, d):
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("k"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderkey").cast("string")).otherwise("same").alias("v"))
+    o = o.unionByName(o.where("k % 2 = 0").select("k", F.lit("again").alias("v")))
+    one = o.groupBy("k").agg(F.min("v").alias("v"))
+    return registry.append(one.where("k % 3 = 0"), o, "k", "v")[0]
+
+
+@query("SELECT o_custkey AS k FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1")
+def s45_differing_payloads(s, d):
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("v"))
+    return registry.append(o.limit(0), o, "k", "v")[1]
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'person' ELSE 'machine' END AS value FROM orders")
+def t41_corrections(s, d):
+    k = F.col("o_orderkey")
+    return table(s, d, "orders").select("o_orderkey", registry.locked_write(F.lit("person"), F.lit("machine"), F.when(k % 3 == 0, True), k % 2 == 0).alias("value"))
+
+
+IMPORT = "SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0"
+
+
+def _imported(s, d):
+    k = F.col("o_orderkey")
+    now = table(s, d, "orders").select("o_orderkey", F.lit("account").alias("user_id"), "o_orderstatus")
+    incoming = now.withColumn("user_id", F.lit("local")).withColumn("user_id", F.lit("account"))  # the owner becomes the account
+    return tables.merge_import(now.where(k % 4 > 0), incoming.withColumn("o_orderstatus", F.when(k % 6 != 1, F.col("o_orderstatus"))), "o_orderkey")
+
+
+@query(IMPORT)
+def s47_account_migration(s, d):
+    return _imported(s, d)[0].select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 4 > 0 AND o_orderkey % 6 = 1")
+def s46_import_conflicts(s, d):
+    return _imported(s, d)[1]
+
+
+# --- the rest of the groups -----------------------------------------------------------------------------------------
+
+
+@query("SELECT a.page, a.id AS first, b.id AS second FROM r a JOIN r b ON a.page = b.page AND a.id < b.id AND a.owner <> b.owner WHERE (least(a.x1, b.x1) - greatest(a.x0, b.x0)) > 0 AND (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 0 AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 0.1", RECTS)
+def j16_small_overlaps(s, d):
+    return geometry.overlaps(_rects(s, d), least=0.1).select("page", "first", "second")
+
+
+@query("SELECT a.page, count(*) AS pairs FROM r a JOIN r b ON a.page = b.page AND a.id < b.id AND a.owner <> b.owner WHERE least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) GROUP BY a.page", RECTS)
+def j17_strict_overlaps(s, d):
+    return geometry.overlaps(_rects(s, d), least=0.0).groupBy("page").agg(F.count("*").alias("pairs"))
+
+
+@query(
+    """, l AS (SELECT id, page, 't' || id AS text, x0 AS lx, x0 + 2 AS mx, y0 + 3 AS my FROM r), m AS (SELECT r.page, r.id, l.text, l.lx, round(l.my / 6) AS band FROM r JOIN l ON l.page = r.page AND mx BETWEEN x0 AND x1 AND my BETWEEN y0 AND y1)
+SELECT id, string_agg(text, ' ' ORDER BY band, lx, text) AS text FROM m GROUP BY page, id""",
+    RECTS,
+)
+def j18_region_texts(s, d):
+    r = _rects(s, d)
+    lines = r.select("page", F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), "x0", "y0", (F.col("x0") + 4).alias("x1"), (F.col("y0") + 6).alias("y1"))
+    return geometry.texts_in(lines, r)
+
+
+@query("SELECT scope, number, problem FROM (SELECT l_orderkey % 50 AS scope, l_linenumber AS number, CASE WHEN count(*) > 1 THEN 'duplicate' END AS problem FROM lineitem WHERE l_linenumber <= 6 GROUP BY ALL) WHERE problem IS NOT NULL UNION ALL SELECT s, n, 'missing' FROM (SELECT DISTINCT l_orderkey % 50 AS s FROM lineitem), range(1, 9) t(n) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey % 50 = s AND l_linenumber = n AND n <= 6)")
+def a25_answer_completeness(s, d):
+    li = table(s, d, "lineitem").select((F.col("l_orderkey") % 50).alias("scope"), F.col("l_linenumber").alias("number"))
+    expected = li.select("scope").distinct().select("scope", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("number"))
+    return geometry.number_coverage(li.where("number <= 6"), expected)
+
+
+@query("SELECT conv_id AS scope, n::BIGINT AS number, 'missing' AS problem FROM (SELECT DISTINCT conv_id FROM conversations), range(0, 5) t(n) WHERE NOT EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = conversations.conv_id AND c.turn = n) UNION ALL SELECT conv_id, turn, 'unexpected' FROM conversations WHERE turn > 4 GROUP BY ALL UNION ALL SELECT conv_id, turn, 'duplicate' FROM conversations WHERE turn <= 4 GROUP BY ALL HAVING count(*) > 1".replace("FROM (SELECT DISTINCT conv_id FROM conversations), range", "FROM (SELECT DISTINCT conv_id FROM conversations) conversations, range"))
+def a22_page_coverage(s, d):
+    c = table(s, d, "conversations").select(F.col("conv_id").alias("scope"), F.col("turn").alias("number"))
+    expected = c.select("scope").distinct().select("scope", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("number"))
+    return geometry.number_coverage(c, expected)
+
+
+@query("SELECT topic, count(DISTINCT season) AS seasons, count(*) AS questions, row_number() OVER (ORDER BY count(DISTINCT season) DESC, count(*) DESC, topic)::INT AS place FROM (SELECT o_orderpriority AS topic, year(o_orderdate) AS season FROM orders) GROUP BY topic HAVING count(DISTINCT season) >= 2")
+def a28_topic_ranking(s, d):
+    x = topics.proposals(table(s, d, "orders").select(F.array("o_orderpriority").alias("topics"), F.year("o_orderdate").alias("season")), "season", 2)
+    return x.withColumn("place", F.row_number().over(W.orderBy(F.desc("seasons"), F.desc("questions"), "topic")))
+
+
+@query("SELECT rule, count(*) AS rows FROM (SELECT 'user' AS rule FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT 'text' FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT 'revision' FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'created' FROM orders WHERE o_orderkey % 13 = 0 UNION ALL SELECT 'updated' FROM orders WHERE o_orderkey % 13 = 0) GROUP BY rule")
+def a32_error_totals(s, d):
+    return v10_notes(s, d).groupBy("rule").agg(F.count("*").alias("rows"))
+
+
+@query("SELECT user_id, count(DISTINCT ts::DATE) FILTER (ts::DATE >= DATE '2024-01-29') AS week_days FROM formal GROUP BY user_id", SQL)
+def w04_week_days(s, d):
+    from mnemos.plans.queries import _formal
+
+    return results.streaks(_formal(s, d), "2024-01-31 00:00:00").select("user_id", "week_days")
+
+
+@query("SELECT attempt_id, user_id, question_id, ts, correctness FROM attempts WHERE correctness IS NOT NULL AND NOT test_linked UNION ALL SELECT attempt_id + 1000000, user_id, question_id, ts, 'richtig' FROM attempts WHERE test_linked", SQL)
+def u06_union_of_results(s, d):
+    a = attempts(s, d)
+    tests = a.where("test_linked").withColumns({"attempt_id": F.col("attempt_id") + 1000000, "correctness": F.lit("richtig")})
+    return results.formal(a, tests)
+
+
+@query("SELECT question_id, topics, reasons FROM (SELECT question_id, CASE WHEN question_id % 6 = 0 THEN 'old' ELSE 'new' END AS topics, CASE WHEN question_id % 6 = 0 THEN CASE WHEN question_id % 4 = 0 THEN 'legal_a,legal_b' ELSE 'legal_a,legal_b' END ELSE 'legal_b' END AS reasons FROM inventory)", SQL)
+def f21_legal_concerns(s, d):
+    q = inventory(s, d)
+    one = lambda *v: F.array(*map(F.lit, v))
+    old = q.select(F.col("question_id").alias("id"), one("old").alias("topics"), one("legal_a").alias("reasons"), (F.col("question_id") % 6 == 0).alias("locked"))
+    x = review.reconciled(old, q.select(F.col("question_id").alias("id"), one("new").alias("topics"), one("legal_b").alias("reasons")))
+    return x.select(F.col("id").alias("question_id"), F.array_join("topics", ",").alias("topics"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("SELECT question_id, CASE WHEN question_id % 3 = 0 THEN 'reviewed' ELSE kind END AS kind FROM inventory", SQL)
+def f28_reviewed_questions(s, d):
+    q = inventory(s, d).select("question_id", "kind")
+    return bank.override(q, q.where("question_id % 3 = 0").withColumn("kind", F.lit("reviewed")))
+
+
+@query("SELECT question_id, CASE WHEN question_id % 3 = 0 AND question_id % 2 = 0 THEN 9 ELSE question_id % 5 END AS answer FROM inventory", SQL)
+def f29_locked_answers(s, d):
+    q = inventory(s, d).select("question_id", (F.col("question_id") % 5).alias("answer"))
+    saved = q.where("question_id % 3 = 0").withColumns({"answer": F.lit(9), "locked": F.col("question_id") % 2 == 0})
+    return bank.override(q, saved.where("locked").drop("locked"))
+
+
+@query("SELECT question_id FROM inventory WHERE question_id % 19 = 4", SQL)
+def j06_topic_edit_conflicts(s, d):
+    now = inventory(s, d).select("question_id", "exam")
+    return bank.edit_conflicts(now, now.withColumn("exam", F.when(F.col("question_id") % 19 == 4, -1).otherwise(F.col("exam"))))
+
+
+@query("SELECT question_id, CASE WHEN question_id % 5 = 0 THEN 'removed' WHEN question_id % 8 = 1 AND question_id % 6 = 0 THEN 'locked_changed' WHEN question_id % 8 = 1 THEN 'changed' ELSE 'same' END AS status FROM inventory", SQL)
+def j03_reconciled_topics(s, d):
+    q, k = inventory(s, d), F.col("question_id")
+    previous = q.select("question_id", (k % 4).alias("revision"), F.array(k).alias("topic_ids"), (k % 6 == 0).alias("locked"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"))
+    return bank.reconcile(q.where(k % 5 > 0).select("question_id", F.when(k % 8 == 1, 9).otherwise(k % 4).alias("revision")), previous, "2024-01-31 00:00:00").select("question_id", "status")
+
+
+@query("SELECT user_id, question_id, arg_max(correctness, (ts, attempt_id)) AS note FROM attempts WHERE correctness IS NOT NULL AND question_id % 4 > 0 GROUP BY ALL", SQL)
+def j08_notes_not_taken(s, d):
+    from mnemos.operators import guards
+
+    a = attempts(s, d)
+    notes = progress.latest_note(a.withColumn("note", F.col("correctness")), a.limit(0).select("user_id", "question_id", F.lit("").alias("draft")))
+    return guards.migrated_notes(notes, a.where("question_id % 4 = 0"), a.limit(0), a.limit(0).select("user_id")).select("user_id", "question_id", "note")
+
+
+@query(
+    """SELECT o_orderkey AS question_id, CASE WHEN o_orderkey % 3 = 0 THEN 'own' WHEN o_custkey % 4 > 0 THEN 'alias' || o_custkey WHEN o_orderkey % 5 > 0 THEN 'question' || o_orderkey END AS url FROM orders"""
+)
+def f57_source_urls(s, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(s, d, "orders")
+    rows = o.select(k.alias("question_id"), c.alias("alias"), F.when(k % 3 == 0, "own").alias("sha"))
+    x = progress.resolved(rows, o.where(c % 4 > 0).select(c.alias("alias")).distinct().withColumn("sha", F.concat(F.lit("alias"), F.col("alias").cast("string"))), o.where(k % 5 > 0).select(k.alias("question_id"), F.concat(F.lit("question"), k.cast("string")).alias("sha")))
+    return x.select("question_id", F.col("resolved").alias("url"))
+
+
+@query("SELECT l_orderkey AS source_id, l_linenumber AS part, coalesce(a, b) AS page FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 2 = 0 THEN 'answer ' || l_linenumber END AS a, CASE WHEN l_orderkey % 3 = 0 THEN 'solution ' || l_linenumber END AS b FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))")
+def j14_solution_page_of_question(s, d):
+    q = table(s, d, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.col("l_linenumber").alias("part")).distinct()
+    k, n = F.col("source_id"), F.col("part").cast("string")
+    a = q.where(k % 2 == 0).withColumn("a", F.concat(F.lit("answer "), n))
+    u = q.where(k % 3 == 0).withColumn("b", F.concat(F.lit("solution "), n))
+    return q.join(a, ["source_id", "part"], "left").join(u, ["source_id", "part"], "left").select("source_id", "part", F.coalesce("a", "b").alias("page"))
+
+
+@query("SELECT scope, arg_max(source_id, (version, source_id)) AS source_id FROM (SELECT o_custkey AS scope, o_orderkey AS source_id, o_orderkey % 7 AS version FROM orders WHERE o_orderstatus = 'F') GROUP BY scope")
+def j20_production_sources(s, d):
+    x = table(s, d, "orders").select(F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("source_id"), (F.col("o_orderkey") % 7).alias("version"), (F.col("o_orderstatus") == "F").alias("approved"))
+    return registry.latest_approved(x, "scope").select("scope", "source_id")
+
+
+@query("SELECT o_custkey AS scope, o_orderkey AS question_id, 1 + o_orderkey % 5 AS answer FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 3 > 0")
+def j25_review_queue(s, d):
+    k = F.col("o_orderkey")
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("scope"), k.alias("question_id"), k.alias("number"))
+    answers = o.where(F.col("number") % 3 > 0).select("question_id", (F.col("question_id") % 5 + 1).alias("answer"))
+    return lookups.corrections(o.where("number % 4 = 0"), answers).select("scope", "question_id", "answer")
+
+
+@query("SELECT session_id, exam, row_number() OVER (ORDER BY exam, module, session_id)::INT AS place FROM sessions", SESSIONS)
+def o11_review_order(s, d):
+    return all_sessions(s, d).select("session_id", "exam", F.row_number().over(W.orderBy(F.col("exam").cast("int"), "module", "session_id")).alias("place"))
+
+
+@query("SELECT session_id FROM sessions ORDER BY started_at DESC, session_id LIMIT 20", SESSIONS)
+def o07_history_page(s, d):
+    return all_sessions(s, d).orderBy(F.desc("started_at"), "session_id").limit(20).select("session_id")
+
+
+@query("SELECT question_id, row_number() OVER (ORDER BY md5('9:' || question_id))::INT AS place FROM inventory", SQL)
+def o16_shuffled(s, d):
+    return inventory(s, d).select("question_id", F.row_number().over(W.orderBy(F.md5(F.concat_ws(":", F.lit("9"), F.col("question_id").cast("string"))))).alias("place"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand || ',' || p_type WHEN 1 THEN p_brand ELSE p_type || ',' || p_brand END AS items FROM part")
+def u01_distinct_in_order(s, d):
+    k = F.col("p_partkey")
+    text = F.when(k % 3 == 0, F.concat_ws(",", "p_brand", "p_type", "p_brand")).when(k % 3 == 1, F.concat_ws(",", "p_brand", "p_brand")).otherwise(F.concat_ws(",", "p_type", "p_brand", "p_type"))
+    return table(s, d, "part").select("p_partkey", F.array_join(bank.source_list(text), ",").alias("items"))
+
+
+@query("SELECT o_custkey AS bundle, count(*) % 2 = 0 OR o_custkey % 3 = 0 AS same FROM orders GROUP BY o_custkey")
+def u09_bundles_equal(s, d):
+    x = table(s, d, "orders").groupBy(F.col("o_custkey").alias("bundle")).agg(F.collect_list("o_orderkey").alias("a"))
+    whole = (F.size("a") % 2 == 0) | (F.col("bundle") % 3 == 0)
+    other = F.when(whole, F.reverse("a")).otherwise(F.slice("a", 2, 100000))
+    return x.select("bundle", bank.set_equal(F.col("a"), other).alias("same"))
+
+
+@query("SELECT doc_id, regexp_matches(lower(substr(split_part(text, '?', 1), 1, 700)), ' und ') AS hit FROM documents")
+def c06_stem_rules(s, d):
+    x = topics.cue_hits(table(s, d, "documents").select("doc_id", "text"), {"und": " und "})
+    return x.select("doc_id", F.array_contains("topics", "und").alias("hit"))
+
+
+@query("SELECT user_id, correct AS correct, answered, round(100.0::DOUBLE * correct / answered) AS rate FROM (SELECT user_id, count(*) AS answered, count(*) FILTER (correctness = 'richtig') AS correct FROM latest GROUP BY user_id)", SQL)
+def a16_progress_summary(s, d):
+    from mnemos.plans.queries import _latest
+
+    x = _latest(s, d).select("user_id", "question_id", F.col("question_id").alias("pos"), F.col("correctness").alias("state"))
+    return sessions.next_question(x).select("user_id", "correct", "answered", "rate")
+
+
+@query("SELECT user_id, this_n >= 5 AND previous_n >= 5 AS supported FROM (SELECT user_id, count(DISTINCT question_id) FILTER (ts >= TIMESTAMP '2024-01-24') AS this_n, count(DISTINCT question_id) FILTER (ts >= TIMESTAMP '2024-01-17' AND ts < TIMESTAMP '2024-01-24') AS previous_n FROM formal WHERE ts >= TIMESTAMP '2024-01-17' GROUP BY user_id)", SQL)
+def w02_supported_trends(s, d):
+    from mnemos.plans.queries import _formal
+
+    return results.weeks(_formal(s, d), "2024-01-31 00:00:00").select("user_id", F.col("change").isNotNull().alias("supported"))
+
+
+#: The stages that the replay knows, by label.
+STAGES = replay.LABELS
+KINDS = cases
