@@ -382,9 +382,15 @@ def a15_combined_assessment(s, d):
     return x.select("session_id", sessions.combined(F.transform("p", lambda a: F.nullif(a["c"], F.lit("")))).alias("assessment"))
 
 
+def _actions(events: DataFrame) -> DataFrame:
+    kind = F.col("event_type")
+    action = F.when(kind == "view", "pause").when(kind == "click", "resume").when(kind == "signup", "complete").when(kind == "error", "abandon").otherwise("discard")
+    return events.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("at"), action.alias("action"))
+
+
 @query(
     """WITH RECURSIVE acts AS (SELECT user_id AS session_id, event_id AS seq, (epoch_us(ts) // 1000)::BIGINT AS at, CASE event_type WHEN 'view' THEN 'pause' WHEN 'click' THEN 'resume' WHEN 'signup' THEN 'complete' WHEN 'error' THEN 'abandon' ELSE 'discard' END AS action,
-  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, min_by((epoch_us(ts) // 1000)::BIGINT, event_id) OVER (PARTITION BY user_id) AS first_at FROM events WHERE event_id % 5 < 2),
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, min_by((epoch_us(ts) // 1000)::BIGINT, event_id) OVER (PARTITION BY user_id) AS first_at FROM events),
 f AS (SELECT session_id, 0::BIGINT AS n, 'active' AS status, 0::BIGINT AS revision, 0::BIGINT AS elapsed, first_at AS since FROM acts WHERE n = 1
  UNION ALL SELECT f.session_id, a.n, coalesce(t.target, f.status), f.revision + (t.target IS NOT NULL)::BIGINT, f.elapsed + CASE WHEN t.target IS NOT NULL AND f.status = 'active' THEN greatest(0, a.at - f.since) ELSE 0 END, CASE WHEN t.target = 'active' THEN a.at ELSE f.since END
  FROM f JOIN acts a ON a.session_id = f.session_id AND a.n = f.n + 1
@@ -393,17 +399,6 @@ f AS (SELECT session_id, 0::BIGINT AS n, 'active' AS status, 0::BIGINT AS revisi
 SELECT session_id, status, revision, elapsed FROM f QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC) = 1""",
     "",
 )
-def t14_session_machine(s, d):
-    return sessions.fold(_actions(table(s, d, "events").where("event_id % 5 < 2")))
-
-
-def _actions(events: DataFrame) -> DataFrame:
-    kind = F.col("event_type")
-    action = F.when(kind == "view", "pause").when(kind == "click", "resume").when(kind == "signup", "complete").when(kind == "error", "abandon").otherwise("discard")
-    return events.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("at"), action.alias("action"))
-
-
-@query(ORACLE["t14_session_machine"].replace(" WHERE event_id % 5 < 2", ""), "")
 def t14_session_machine_whole(s, d):
     """Over all events."""
     return sessions.fold(_actions(table(s, d, "events")))
@@ -419,19 +414,10 @@ def o17_stratified_sample(s, d):
 
 
 @query(
-    """, g AS (SELECT u.user_id, i.question_id, i.question_id AS pos, l.correctness AS state FROM (SELECT DISTINCT user_id FROM latest) u CROSS JOIN (SELECT * FROM inventory WHERE question_id < 12) i LEFT JOIN latest l ON l.user_id = u.user_id AND l.question_id = i.question_id)
+    """, g AS (SELECT u.user_id, i.question_id, i.question_id AS pos, l.correctness AS state FROM (SELECT DISTINCT user_id FROM latest) u CROSS JOIN inventory i LEFT JOIN latest l ON l.user_id = u.user_id AND l.question_id = i.question_id)
 SELECT user_id, arg_min(question_id, (CASE WHEN state IS NULL THEN 0 WHEN state <> 'richtig' THEN 1 ELSE 2 END, pos)) AS next_question, count(state) AS answered, count(*) FILTER (state = 'richtig') AS correct,
  round(100.0::DOUBLE * count(*) FILTER (state = 'richtig') / nullif(count(state), 0)) AS rate FROM g GROUP BY user_id"""
 )
-def w09_next_question(s, d):
-    latest = _latest(s, d)
-    ids = [r.question_id for r in inventory(s, d).where("question_id < 12").select("question_id").collect()]  # the twelve questions of a module
-    grid = latest.select("user_id").distinct().withColumn("question_id", F.explode(F.array(*[F.lit(i) for i in sorted(ids)])))
-    grid = grid.join(latest.select("user_id", "question_id", F.col("correctness").alias("state")), ["user_id", "question_id"], "left").withColumn("pos", F.col("question_id"))
-    return sessions.next_question(grid)
-
-
-@query(ORACLE["w09_next_question"].removeprefix(SQL).replace("(SELECT * FROM inventory WHERE question_id < 12) i", "inventory i"))
 def w09_next_question_whole(s, d):
     """Over all questions."""
     latest = _latest(s, d)
@@ -570,22 +556,17 @@ def w13_carried_owners(s, d):
     return geometry.carried(cells)
 
 
-@query(
-    """WITH f AS (SELECT l_orderkey % 200 AS scope, l_linenumber + l_partkey % 2 AS number FROM lineitem WHERE l_orderkey % 3 = 0), c AS (SELECT scope, number, count(*) AS n FROM f GROUP BY ALL), e AS (SELECT DISTINCT o_orderkey % 210 AS scope, unnest(range(1, 8)) AS number FROM orders)
-SELECT scope, number, CASE WHEN c.n IS NULL THEN 'missing' WHEN e.scope IS NULL THEN 'unexpected' ELSE 'duplicate' END AS problem FROM c FULL JOIN e USING (scope, number) WHERE c.n IS NULL OR e.scope IS NULL OR c.n > 1""",
-    "",
-)
-def a21_number_coverage(s, d):
-    return _coverage(table(s, d, "lineitem").where("l_orderkey % 3 = 0"), table(s, d, "orders"))
-
-
 def _coverage(lines: DataFrame, orders: DataFrame) -> DataFrame:
     f = lines.select((F.col("l_orderkey") % 200).alias("scope"), (F.col("l_linenumber") + F.col("l_partkey") % 2).cast("long").alias("number"))
     e = orders.select((F.col("o_orderkey") % 210).alias("scope")).distinct().withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(7).cast("long"))))
     return geometry.number_coverage(f, e)
 
 
-@query(ORACLE["a21_number_coverage"].replace(" WHERE l_orderkey % 3 = 0", ""), "")
+@query(
+    """WITH f AS (SELECT l_orderkey % 200 AS scope, l_linenumber + l_partkey % 2 AS number FROM lineitem), c AS (SELECT scope, number, count(*) AS n FROM f GROUP BY ALL), e AS (SELECT DISTINCT o_orderkey % 210 AS scope, unnest(range(1, 8)) AS number FROM orders)
+SELECT scope, number, CASE WHEN c.n IS NULL THEN 'missing' WHEN e.scope IS NULL THEN 'unexpected' ELSE 'duplicate' END AS problem FROM c FULL JOIN e USING (scope, number) WHERE c.n IS NULL OR e.scope IS NULL OR c.n > 1""",
+    "",
+)
 def a21_number_coverage_whole(s, d):
     """Over all lines."""
     return _coverage(table(s, d, "lineitem"), table(s, d, "orders"))
