@@ -1,8 +1,10 @@
 """Exact deduplication by counting quotient filters.
 
-Each task keeps the 64-bit fingerprints of its texts in counting quotient filters: the high bits (quotient) choose a
-slot, the slot's run holds sorted remainders with counts. Filters with the same range of quotients merge losslessly,
-as sorted runs do. Fingerprints counted more than once are verified byte by byte; all others are unique.
+Each partition keeps the 64-bit fingerprints of its texts in counting quotient filters, one for each range: the high
+bits (quotient) choose a slot, the slot's run holds sorted remainders with counts. Filters of one range merge losslessly:
+their runs are sorted by quotient and remainder already, so one is inserted into the other place by place, and equal
+remainders add their counts; nothing is sorted anew. Fingerprints counted more than once are verified byte by byte; all
+others are unique.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 
 from mnemos.llm.common import materialize, table, text_of
 
-#: Quotient bits of a filter; its slots are one byte of run length each.
+#: Quotient bits of a filter; its slots are one run length each.
 QUOTIENT = 14
+#: Filters of one range that a task holds before it merges them.
+HELD = 8
 
 
 class CountingQuotientFilter:
@@ -29,17 +33,14 @@ class CountingQuotientFilter:
         self.runs, self.remainders, self.counts = runs, remainders, counts
 
     @classmethod
-    def build(cls, values: np.ndarray, bits: int, counts: np.ndarray | None = None) -> CountingQuotientFilter:
-        """Of unsigned fingerprints below 2**bits."""
+    def build(cls, values: np.ndarray, bits: int) -> CountingQuotientFilter:
+        """Of unsigned fingerprints below 2**bits, in any order and with repeats."""
+        return cls.of_sorted(*np.unique(values, return_counts=True), bits)
+
+    @classmethod
+    def of_sorted(cls, values: np.ndarray, counts: np.ndarray, bits: int) -> CountingQuotientFilter:
+        """Of distinct fingerprints in ascending order."""
         low = np.uint64(bits - QUOTIENT)
-        order = np.argsort(values, kind="stable")
-        values = values[order]
-        first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, int)
-        if counts is None:
-            counts = np.diff(np.append(first, len(values)))
-        else:
-            counts = np.add.reduceat(counts[order], first) if len(values) else counts
-        values = values[first]
         runs = np.bincount((values >> low).astype(np.int64), minlength=1 << QUOTIENT)
         return cls(runs.astype("<u4"), (values & ((np.uint64(1) << low) - np.uint64(1))).astype("<u8"), counts.astype("<u8"))
 
@@ -49,8 +50,11 @@ class CountingQuotientFilter:
 
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter], bits: int) -> CountingQuotientFilter:
-        """Runs with the same quotient merge by sorted remainders; equal remainders add their counts."""
-        return cls.build(np.concatenate([f.values(bits) for f in filters]), bits, np.concatenate([f.counts for f in filters]))
+        """Two at a time, as sorted runs: equal remainders of a quotient add their counts, others go in at their place."""
+        held = [(f.values(bits), f.counts) for f in filters]
+        while len(held) > 1:
+            held = [_merged(*held[i], *held[i + 1]) if i + 1 < len(held) else held[i] for i in range(0, len(held), 2)]
+        return cls.of_sorted(*held[0], bits)
 
     def dump(self) -> bytes:
         slots = np.flatnonzero(self.runs).astype("<u2")
@@ -66,12 +70,25 @@ class CountingQuotientFilter:
         return cls(runs, np.frombuffer(data, "<u8", m, 4 + 6 * n), np.frombuffer(data, "<u8", m, 4 + 6 * n + 8 * m))
 
 
+def _merged(values: np.ndarray, counts: np.ndarray, more: np.ndarray, more_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two ascending lists of distinct values with counts as one."""
+    if len(values) < len(more):
+        values, counts, more, more_counts = more, more_counts, values, counts
+    at = np.searchsorted(values, more)
+    known = at < len(values)
+    known[known] = values[at[known]] == more[known]
+    counts = counts.copy()
+    counts[at[known]] += more_counts[known]
+    return np.insert(values, at[~known], more[~known]), np.insert(counts, at[~known], more_counts[~known])
+
+
 def repeated(fingerprints: DataFrame, column: str, ranges: int) -> DataFrame:
-    """The fingerprints (long) that stand in more than one row, with ``n``: one filter for each task's batch and range, merged by range."""
+    """The fingerprints (long) that stand in more than one row, with ``n``: one filter for each partition and range, merged by range."""
     top = max(1, (ranges - 1).bit_length())
     bits = 64 - top
 
     def build(batches):
+        held: dict[int, list[CountingQuotientFilter]] = {}
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             where = values >> np.uint64(bits)
@@ -79,9 +96,13 @@ def repeated(fingerprints: DataFrame, column: str, ranges: int) -> DataFrame:
             cuts = np.flatnonzero(np.diff(where[order])) + 1
             parts = np.split(values[order], cuts) if len(values) else []
             low = (np.uint64(1) << np.uint64(bits)) - np.uint64(1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(p[0] >> np.uint64(bits)) for p in parts], pa.int64()), pa.array([CountingQuotientFilter.build(p & low, bits).dump() for p in parts], pa.binary())], names=["range", "filter"]
-            )
+            for p in parts:
+                own = held.setdefault(int(p[0] >> np.uint64(bits)), [])
+                own.append(CountingQuotientFilter.build(p & low, bits))
+                if len(own) == HELD:
+                    own[:] = [CountingQuotientFilter.merge(own, bits)]
+        for at, own in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([CountingQuotientFilter.merge(own, bits).dump()], pa.binary())], names=["range", "filter"])
 
     def merge(key, rows):
         held = [CountingQuotientFilter.load(data) for data in rows.column("filter").to_pylist()]
@@ -133,7 +154,13 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay; of rows with one key and one text exactly one."""
+    """The rows of ``df`` that stay; of rows with one key and one text exactly one.
+
+    Null texts are empty ones, whole texts count, however long, and a null key stays only if its text has no other key.
+    Columns may have any names but ``__k``, ``__s`` and ``__sha``, which raise ValueError. An empty table stays empty.
+    """
+    if {"__k", "__s", "__sha"} & set(df.columns):
+        raise ValueError("__k, __s and __sha are names of helper columns")
     found = groups(df, key, text).select(F.col(key).alias("__k"), F.col("text_sha256").alias("__s"), "kept")
     marked = df.withColumn("__sha", F.sha2(normalised(text), 256))
     kept = materialize(found.groupBy("__k", "__s").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "kept")

@@ -30,3 +30,15 @@ def test_odd_tables(spark):
     assert three == [[3, 4, False], [3, 4, True]]
     assert [k for d, *k in got if d != "3"] == [[1, 1, True], [2, 2, True], [2, 2, False], [3, 4, False], [8, 2, True], [8, 2, False], [3, 4, False]]
     assert x.groups(df.limit(0)).count() == 0
+
+
+def test_filters_of_a_partition(spark):
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.integers(-(1 << 62), 1 << 62, 4000), np.repeat(rng.integers(-(1 << 62), 1 << 62, 5), [2, 3, 500, 2, 7])])
+    rng.shuffle(values)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    df = spark.createDataFrame([(int(v),) for v in values], "f long").repartition(3)
+    got = {r.fingerprint: r.n for r in x.repeated(df, "f", 16).collect()}
+    own, counts = np.unique(values, return_counts=True)
+    assert got == {int(v): int(n) for v, n in zip(own, counts) if n > 1}
+    assert x.repeated(df.limit(0), "f", 16).count() == 0
