@@ -5,7 +5,8 @@ The Manhattan distance of two embeddings is at most the Hamming distance of the
 gathered in GROUPS groups of axes; embeddings within Manhattan distance r differ in at most r groups, so such a pair
 shares its grid cell on at least GROUPS - r of them, whichever. Each fingerprint enters one cell for each choice of
 so many groups; within a cell, rows are ordered by their total bit count, another Manhattan lower bound, so that a row
-meets only the range within r of its own, and is then verified by its exact Hamming distance. A cell reports a
+meets only the range within r of its own; a pair goes on if the Manhattan distance of its whole embeddings is within r,
+and is then verified by its exact Hamming distance. A cell reports a
 spanning forest of its links, not all pairs; cells beyond CELL rows are cut into pairs of blocks, so that every task's
 memory is bounded and no link is lost.
 """
@@ -75,24 +76,40 @@ def cells(prints: DataFrame, distance: int, groups: int) -> DataFrame:
     return rows.select("f", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("e").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])).alias("cell"))
 
 
+def embedded(f: np.ndarray) -> np.ndarray:
+    """The bit counts of all segments, packed as the fingerprint is."""
+    half = np.uint64(0x5555555555555555)
+    one, other = f & half, (f >> np.uint64(1)) & half
+    return (one ^ other) | ((one & other) << np.uint64(1))
+
+
+def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of packed embeddings: counts 0 and 2 are two apart (only the high bit differs), any other unequal ones one."""
+    half = np.uint64(0x5555555555555555)
+    x = a ^ b
+    low = x & half
+    return np.bitwise_count(low) + 2 * np.bitwise_count((x >> np.uint64(1)) & half & ~low)
+
+
 def forest(own: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """A spanning forest of the links within ``distance`` among distinct fingerprints."""
     total = np.bitwise_count(own).astype(np.int64)
     order = np.argsort(total, kind="stable")
     rest, total = own[order], total[order]
-    edges = []
+    embeddings, edges = embedded(rest), []
     while len(rest):
-        queue, rest, total = [rest[0]], rest[1:], total[1:]
+        queue, rest, total, embeddings = [rest[0]], rest[1:], total[1:], embeddings[1:]
         while queue and len(rest):
             f = queue.pop()
             mid = int(np.bitwise_count(f))
             a, b = np.searchsorted(total, mid - distance), np.searchsorted(total, mid + distance, "right")
-            near = a + np.flatnonzero(np.bitwise_count(rest[a:b] ^ f) <= distance)
+            near = a + np.flatnonzero(manhattan(embeddings[a:b], embedded(np.uint64(f))) <= distance)
+            near = near[np.bitwise_count(rest[near] ^ f) <= distance]
             if len(near):
                 found = rest[near]
                 edges += [(f, x) for x in found]
                 queue += list(found)
-                rest, total = np.delete(rest, near), np.delete(total, near)
+                rest, total, embeddings = np.delete(rest, near), np.delete(total, near), np.delete(embeddings, near)
     return edges
 
 
@@ -103,10 +120,12 @@ def _verify(distance: int):
         first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
         size = np.diff(np.append(first, len(cell)))
         few = np.repeat(size <= FEW, size)
-        out = []
+        e, out = embedded(f), []
         for step in range(1, min(FEW, int(size.max()))):
             a, b = f[:-step], f[step:]
-            near = (cell[:-step] == cell[step:]) & few[:-step] & (np.bitwise_count(a ^ b) <= distance) & (a != b)
+            near = np.flatnonzero((cell[:-step] == cell[step:]) & few[:-step] & (a != b))
+            near = near[manhattan(e[near], e[near + step]) <= distance]
+            near = near[np.bitwise_count(a[near] ^ b[near]) <= distance]
             out.append(np.stack([a[near], b[near]], axis=1))
         for at, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
             if edges := forest(np.unique(f[at : at + n]), distance):
@@ -135,13 +154,25 @@ def _verify(distance: int):
     return run
 
 
+def groups_for(n: int, distance: int, mates: int = 16) -> int:
+    """The fewest groups of axes, ``distance`` + 3 at least, at which n unrelated fingerprints share a cell with about ``mates`` others at most.
+
+    An axis holds 1.5 bits; a cell fixes all but ``distance`` groups. So the work for each row grows slowly (35 cells up to
+    some 25 million fingerprints at distance 4, 70 up to 270 million, 126 up to 1.7 billion), not with the rows of a cell.
+    """
+    groups = distance + 3
+    while n > mates * 2.0 ** (48 * (groups - distance) / groups) and groups < 32:
+        groups += 1
+    return groups
+
+
 def links(prints: DataFrame, distance: int, groups: int | None = None) -> DataFrame:
     """Links (u, v) that connect all distinct fingerprints ``f`` which are reachable by steps of at most ``distance`` bits.
 
     ``groups``: how many groups of axes; more make more and smaller cells, and the links found are the same. By default
-    ``distance`` + 3: with that, ten million unrelated fingerprints share a cell with 15 others (distance 4) or 290 (6).
+    groups_for() the number of rows.
     """
-    rows = cells(prints, distance, groups or distance + 3)
+    rows = cells(prints, distance, groups or groups_for(prints.count(), distance))
     large = materialize(rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL), "large")
     # larger cells: block i meets block j in the cell (i, j); a block's own links come up in each of its pairs
     split = rows.join(large, "cell").withColumn("parts", F.ceil(F.col("n") / CELL).cast("int"))
@@ -174,7 +205,13 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``df`` with the smallest key of their component; of components with null keys only, all rows."""
+    """The rows of ``df`` with the smallest key of their component; of components with null keys only, all rows.
+
+    Null, empty and blank texts are near-duplicates of each other; rows with the key that stays all stay. A column named
+    ``__k`` raises ValueError. An empty table stays empty.
+    """
+    if "__k" in df.columns:
+        raise ValueError("__k is the name of a helper column")
     found = near_groups(df, key, text, **how)
     gone = materialize(found.where(F.col("component_id").isNotNull() & ~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__k")).distinct(), "gone")
     return df.join(gone, df[key].eqNullSafe(gone["__k"]), "left_anti").select(df.columns)

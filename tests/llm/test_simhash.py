@@ -77,3 +77,18 @@ def test_odd_tables(spark):
     assert sorted(repr((repr(r.doc_id), r.component_id)) for r in found) == sorted(map(repr, [("5", 4), ("4", 4), ("3", 3), ("9", 3), ("9", 3), ("None", 3), ("None", None), ("1", 1), ("2", 1)]))
     assert {r.f & (1 << 64) - 1 for r in found if r.doc_id == 1} == {brute_print(long, 4)}
     assert simhash.near_groups(df.limit(0)).count() == 0
+
+
+def test_manhattan_distance_of_embeddings_is_a_lower_bound():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 1 << 63, (2, 5000), dtype=np.uint64)
+    b[:2500] = a[:2500] ^ (np.uint64(1) << rng.integers(0, 64, 2500).astype(np.uint64))
+    counts = lambda f: np.stack([np.bitwise_count((f >> np.uint64(2 * i)) & np.uint64(3)) for i in range(32)], axis=1).astype(int)
+    want = np.abs(counts(a) - counts(b)).sum(1)
+    got = simhash.manhattan(simhash.embedded(a), simhash.embedded(b))
+    assert (got == want).all() and (got <= np.bitwise_count(a ^ b)).all()
+
+
+def test_groups_grow_with_the_fingerprints():
+    found = [simhash.groups_for(n, 4) for n in (0, 10**6, 10**8, 10**9, 10**10)]
+    assert found == sorted(found) and found[0] == found[1] == 7 < found[2] < found[4]
