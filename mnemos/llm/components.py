@@ -23,11 +23,11 @@ def _round(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` (the least node reachable) for each node of ``edges`` (columns u, v of one orderable type).
 
     Loops and repeated edges don't matter; no edges give no rows. Each round is a table in the shared folder; the
-    driver sees its row count and checksum only.
+    driver sees its row count and checksum only. Rounds go on until nothing changes: the sum of the labels sinks with each.
     """
     now = materialize(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
 
@@ -35,12 +35,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     mark = state(now)
-    for _ in range(rounds):
+    while True:
         new = materialize(_round(now), "edges")
         forget(now)
         seen, mark, now = mark, state(new), new
         if seen == mark:
             break
-    else:
-        raise RuntimeError("components didn't settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -91,12 +91,13 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", texts=TEXTS, st
     """
     spark = df.sparkSession
     lines = known(spark, statements, line)
-    most = max([0, *[len(s) for _, s in statements]])
+    listed = lines.collect()  # the caller's own list
+    most = max([0, *[len(s) for _, s in statements], *[r["size"] for r in listed]])
     rows = df.select(F.col(key).alias("key"), text_of(text).alias("text"))
-    # spelling changes a form by a few letters a word: a form over twice as long as every statement is none of them
+    # spelling changes a form by a few letters a word: a form over twice as long as every statement, as it is given and as it is spelled, is none of them
     forms = F.filter(F.transform(F.split(marked(F.col("text")), "\n"), lambda x: F.trim(x)), lambda x: F.length(x).between(1, 2 * most + 8))
     rows = rows.select("key", F.sha2(whole(F.col("text")), 256).alias("text_digest"), forms.alias("forms"))
-    ids = {r.digest: r.license_id for r in lines.collect()}  # the caller's own list
+    ids = {r.digest: r.license_id for r in listed}
     rows = rows.select("key", "text_digest", F.transform("forms", lambda x: F.sha2(spelled(x), 256)).alias("digests"))
     if ids:
         # the map is searched from its start: only known digests are looked up

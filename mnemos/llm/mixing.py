@@ -85,9 +85,12 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
 def mixed(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
     """The rows of ``df`` that the mix takes, one copy for each epoch that takes them; a row that a cut goes through stays whole.
 
-    Rows that the mix takes no word of go, those without words among them. Rows alike in key and size get the copies of
-    the one that has most.
+    Rows that the mix takes no word of go, those without words (null, empty and blank texts) among them. Rows alike in
+    key and size get the copies of the one that has most; null keys and sources are values like any other. Columns named
+    ``__key``, ``__size``, ``__words``, ``__copies`` or ``__copy`` raise ValueError. An empty table stays empty.
     """
+    if {"__key", "__size", "__words", "__copies", "__copy"} & set(df.columns):
+        raise ValueError("__key, __size, __words, __copies and __copy are names of helper columns")
     copies = mix(df, key, source, text, **how).where("taken > 0").groupBy(F.col(key).alias("__key"), F.col("size").alias("__size")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__copies"))
     sized = df.withColumn("__words", words(text))
     met = sized.join(copies, sized[key].eqNullSafe(copies["__key"]) & (sized["__words"] == copies["__size"]))

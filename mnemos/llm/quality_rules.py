@@ -154,12 +154,13 @@ def expression(rules: list[tuple[Condition, ...]], stats: str) -> Column:
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = LABELLED) -> list[tuple[Condition, ...]]:
     """Rules from the labelled rows (``label`` 0: bad); at most ``most`` of them, chosen by the hash of their key.
 
-    Rows without a label, a key or a text, and labels other than 0 and 1, teach nothing. Without labels there are no rules.
+    Rows without a label, a key or a text, and labels other than 0 and 1, teach nothing; of rows with one key the least
+    statistics teach, so that no more than ``most`` rows reach the driver. Without labels there are no rules.
     """
     own = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).where("key is not null and label in (0, 1)").groupBy("key").agg(F.min("label").alias("label"))
     own = own.orderBy(F.xxhash64("key"), "key").limit(most)  # bounded: it may be broadcast
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text is not null").join(F.broadcast(own), "key")
-    rows = rows.select("key", "label", statistics(F.col("text")).alias("s")).select("key", "label", "s.*").toPandas().sort_values(["key", *COUNTS])
+    rows = rows.select("key", "label", statistics(F.col("text")).alias("s")).groupBy("key", "label").agg(F.min("s").alias("s")).select("key", "label", "s.*").toPandas().sort_values(["key", *COUNTS])
     x = np.stack([rows[a].to_numpy(float) / np.maximum(rows[b].to_numpy(float), 1) for a, b in RATIOS], axis=1)
     return learn(x, rows["label"].to_numpy() == 0)
 
