@@ -65,8 +65,8 @@ def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Memo:
     """Codes blocks of texts by a function from new chunks to (ids of all, number of each), which a subclass gives as ``code``.
 
-    The known chunks are an Arrow array, their ids lie one after the other in another. Beyond ``kept`` chunks, all but
-    those of the block at hand are forgotten; chunks of over LONG bytes always are.
+    The known chunks are an Arrow array, their ids lie one after the other in another. Beyond ``kept`` chunks, those of
+    the block at hand stay and about half as many as are kept, which came in most blocks; chunks of over LONG bytes never do.
     """
 
     special: tuple[str, ...] = ()
@@ -75,6 +75,7 @@ class Memo:
         self.kept = kept
         self.known = pa.array([], pa.string())
         self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.came = np.zeros(0, np.int64)  # the blocks that each chunk came in
 
     def code(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
@@ -82,7 +83,7 @@ class Memo:
     def _only(self, stay: np.ndarray) -> None:
         """Forgets the chunks at all other places."""
         self.flat = self.flat[ranges((np.cumsum(self.sizes) - self.sizes)[stay], self.sizes[stay])]
-        self.known, self.sizes = self.known.take(pa.array(stay)), self.sizes[stay]
+        self.known, self.sizes, self.came = self.known.take(pa.array(stay)), self.sizes[stay], self.came[stay]
 
     def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """The block's distinct chunks, which of them stand where, and how many each text has."""
@@ -105,15 +106,23 @@ class Memo:
         """The ids of all texts one after another, and how many each has."""
         distinct, which, counts = self._cut(texts)
         place = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        old = place[place >= 0]
+        self.came[old] += 1
         if len(self.known) + np.count_nonzero(place < 0) > self.kept:
-            self._only(place[place >= 0])
-            place[place >= 0] = np.arange(len(self.known))
+            least = 2
+            while np.count_nonzero(self.came >= least) > self.kept // 2:
+                least += 1
+            stays = self.came >= least
+            stays[old] = True
+            moved = np.cumsum(stays) - 1
+            self._only(np.flatnonzero(stays))
+            place[place >= 0] = moved[old]
         new = np.flatnonzero(place < 0)
         if len(new):
             place[new] = np.arange(len(self.known), len(self.known) + len(new))
             found = distinct.take(pa.array(new))
             ids, sizes = self.code(found.to_pylist())
-            self.known = pa.concat_arrays([self.known, found])
+            self.known, self.came = pa.concat_arrays([self.known, found]), np.concatenate([self.came, np.ones(len(new), np.int64)])
             self.flat, self.sizes = np.concatenate([self.flat, ids.astype(np.int32)]), np.concatenate([self.sizes, sizes.astype(np.int64)])
         size, start = self.sizes[place][which], (np.cumsum(self.sizes) - self.sizes)[place][which]
         ids = self.flat[ranges(start, size)]
