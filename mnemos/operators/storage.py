@@ -94,3 +94,42 @@ def preview_counts(items: DataFrame, expected: int) -> DataFrame:
     x = items.groupBy("folder").agg(F.count("*").alias("n"), F.count_distinct("number").alias("numbers"), F.count_distinct("anchor").alias("anchors"), F.count_if(~F.col("sha").eqNullSafe(F.col("actual"))).alias("bad"))
     rules = F.filter(F.array(F.when(F.col("n") != expected, "count"), F.when(F.col("numbers") != F.col("n"), "numbers"), F.when(F.col("anchors") != F.col("n"), "anchors"), F.when(F.col("bad") > 0, "hash")), lambda r: r.isNotNull())
     return x.select("folder", F.explode(rules).alias("rule"))
+
+
+def gated_members(members: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Archive members (member, sha256) whose hash is registered and not blocked, and registered sources that no member has."""
+    good = registry.where("status <> 'blocked'").select("source_id", "sha256")
+    return members.join(good, "sha256"), good.join(members, "sha256", "left_anti").select("source_id")
+
+
+def artifact_digest(path: Column, content: Column, entries: str) -> Column:
+    """Of a .json artifact the digest of its canonical form (``entries``: its top level as a map), of any other that of its bytes."""
+    canonical = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
+    return F.sha2(F.when(F.endswith(path, F.lit(".json")), canonical).otherwise(content), 256)
+
+
+def backup(current: DataFrame, incoming: DataFrame, key: str, synced: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a backup's import adds, its conflicts, and the rows to send: those added if the account is synced, else none."""
+    from mnemos.sources.tables import merge_import
+
+    new, conflicts = merge_import(current, incoming, key)
+    return new, conflicts, new if synced else new.limit(0)
+
+
+def extracted(questions: DataFrame, cache: DataFrame, clip: DataFrame, ocr: DataFrame, least: float = 0.5) -> DataFrame:
+    """A question's text by the first that has one: the cache of its revision, the page's text, its own, or OCR at ``least`` confidence; with the method, ``none`` if all fail.
+
+    Blank texts count as missing.
+    """
+    some = lambda c: F.when(F.trim(F.col(c)) != "", F.col(c))
+    x = questions.join(cache.select("question_id", "revision", F.col("text").alias("cached")), ["question_id", "revision"], "left")
+    x = x.join(clip.select("question_id", F.col("text").alias("clipped")), "question_id", "left").join(ocr.select("question_id", F.col("text").alias("read"), "confidence"), "question_id", "left")
+    read = F.when(F.col("confidence") >= least, some("read"))
+    method = F.when(some("cached").isNotNull(), "cache").when(some("clipped").isNotNull(), "pdf_text").when(some("text").isNotNull(), "existing").when(read.isNotNull(), "ocr").otherwise("none")
+    return x.select("question_id", F.coalesce(some("cached"), some("clipped"), some("text"), read).alias("text"), method.alias("method"))
+
+
+def grid_centres(columns: DataFrame, rows: int = 5) -> DataFrame:
+    """(item, row, x, y): the centres of a column's fields, ``pitch`` apart from the first one down; columns off the page have none."""
+    inside = columns.where((F.col("x").between(0, F.col("width"))) & (F.col("y") >= 0) & (F.col("y") + (rows - 1) * F.col("pitch") <= F.col("height")))
+    return inside.select("item", F.explode(F.sequence(F.lit(1), F.lit(rows))).alias("row"), "x", "y", "pitch").select("item", "row", "x", (F.col("y") + (F.col("row") - 1) * F.col("pitch")).alias("y"))

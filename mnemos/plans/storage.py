@@ -166,3 +166,44 @@ def j36_decided_datasets(s, d):
     k = F.col("path").cast("bigint")
     x = table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.md5("o_orderstatus").alias("sha"))
     return releases.artifact_problems(x, x.where(k % 4 > 0).withColumn("sha", F.when(k % 6 > 0, F.col("sha")).otherwise("x"))).select(k.alias("source_id"), "problem")
+
+
+@query("SELECT o_orderkey AS source_id FROM orders WHERE o_orderkey % 4 > 0 AND o_orderkey % 3 > 0")
+def s02_gated_members(s, d):
+    k = F.col("o_orderkey")
+    o = table(s, d, "orders").select(k.alias("source_id"), F.md5(k.cast("string")).alias("sha256"), F.when(k % 4 > 0, "validated").otherwise("blocked").alias("status"))
+    members = table(s, d, "orders").where(k % 3 > 0).select(F.concat(F.lit("m"), k.cast("string")).alias("member"), F.md5(k.cast("string")).alias("sha256"))
+    return storage.gated_members(members, o)[0].select("source_id")
+
+
+@query("""SELECT p_partkey, sha256(CASE WHEN p_partkey % 2 = 0 THEN '{"a":"' || p_brand || '","b":"' || p_type || '"}' ELSE p_name END) AS digest FROM part""")
+def s11_artifact_digests(s, d):
+    k = F.col("p_partkey")
+    m = F.when(k % 4 == 0, F.create_map(F.lit("b"), "p_type", F.lit("a"), "p_brand")).otherwise(F.create_map(F.lit("a"), "p_brand", F.lit("b"), "p_type"))
+    x = table(s, d, "part").withColumns({"entries": m, "path": F.when(k % 2 == 0, "x.json").otherwise("x.png")})
+    return x.select("p_partkey", storage.artifact_digest(F.col("path"), F.col("p_name"), "entries").alias("digest"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0")
+def s48_backup_to_send(s, d):
+    o = table(s, d, "orders").select("o_orderkey", "o_orderstatus")
+    return storage.backup(o.where("o_orderkey % 5 > 0"), o, "o_orderkey", True)[2].select("o_orderkey")
+
+
+@query(
+    """SELECT question_id, CASE WHEN question_id % 3 = 0 AND question_id % 2 = 0 THEN 'c' WHEN question_id % 5 = 0 THEN 'p' WHEN question_id % 7 > 3 THEN 'own' WHEN question_id % 4 > 1 THEN 'o' END AS text,
+ CASE WHEN question_id % 3 = 0 AND question_id % 2 = 0 THEN 'cache' WHEN question_id % 5 = 0 THEN 'pdf_text' WHEN question_id % 7 > 3 THEN 'existing' WHEN question_id % 4 > 1 THEN 'ocr' ELSE 'none' END AS method FROM inventory""",
+    SQL,
+)
+def g18_extracted_texts(s, d):
+    q, k = inventory(s, d), F.col("question_id")
+    own = q.select("question_id", F.lit("r").alias("revision"), F.when(k % 7 > 3, "own").when(k % 7 == 3, " ").alias("text"))
+    cache = q.where(k % 3 == 0).select("question_id", F.when(k % 2 == 0, "r").otherwise("old").alias("revision"), F.lit("c").alias("text"))
+    return storage.extracted(own, cache, q.where(k % 5 == 0).select("question_id", F.lit("p").alias("text")), q.select("question_id", F.lit("o").alias("text"), F.when(k % 4 > 1, 0.5).when(k % 4 == 1, 0.4).alias("confidence")))
+
+
+@query("SELECT p_partkey AS item, i::INT AS row, (p_size * 14)::DOUBLE AS x, (p_partkey % 800 + (i - 1) * 12)::DOUBLE AS y FROM part, range(1, 6) t(i) WHERE p_size * 14 <= 595 AND p_partkey % 800 + 48 <= 842")
+def g04_grid_centres(s, d):
+    k = F.col("p_partkey")
+    c = table(s, d, "part").select(k.alias("item"), (F.col("p_size") * 14).cast("double").alias("x"), (k % 800).cast("double").alias("y"), F.lit(12.0).alias("pitch"), F.lit(595.0).alias("width"), F.lit(842.0).alias("height"))
+    return storage.grid_centres(c)
