@@ -8,6 +8,7 @@ from mnemos.adapters import SQL, attempts, inventory, table
 from mnemos.operators import bank, geometry, releases, results, storage
 from mnemos.plans.base import query
 from mnemos.plans.scalars import FLAGS, _flags
+from mnemos.streaming import replication
 
 
 @query("SELECT count(*) AS rows, count(*) FILTER (invalidated) AS invalid FROM a WHERE NOT coalesce(invalidated, FALSE) AND deleted_at IS NULL AND discarded_at IS NULL AND coalesce(valid, TRUE)", FLAGS)
@@ -207,3 +208,29 @@ def g04_grid_centres(s, d):
     k = F.col("p_partkey")
     c = table(s, d, "part").select(k.alias("item"), (F.col("p_size") * 14).cast("double").alias("x"), (k % 800).cast("double").alias("y"), F.lit(12.0).alias("pitch"), F.lit(595.0).alias("width"), F.lit(842.0).alias("height"))
     return storage.grid_centres(c)
+
+
+LOG = "WITH l AS (SELECT user_id, event_id, CASE WHEN user_id % 3 > 0 THEN user_id * 10 ELSE 0 END + row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS cursor FROM events) "
+
+
+def _log(s, d):
+    e = table(s, d, "events").select("user_id", "event_id", F.col("event_id").alias("seq"))
+    last = e.where("user_id % 3 > 0").select("user_id", (F.col("user_id") * 10).alias("cursor")).distinct()
+    return replication.cursors(e, last).select("user_id", "event_id", "cursor")
+
+
+@query("SELECT * FROM l", LOG)
+def t09_allocated_cursors(s, d):
+    return _log(s, d)
+
+
+@query(
+    """, dv AS (SELECT DISTINCT user_id || '-' || event_id % 2 AS device, user_id, CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id * 10 + 7 END AS seen FROM events),
+x AS (SELECT device, user_id, cursor, row_number() OVER w AS n, count(*) OVER (PARTITION BY device) AS c FROM dv JOIN l USING (user_id) WHERE cursor > seen WINDOW w AS (PARTITION BY device ORDER BY cursor))
+SELECT device, user_id, cursor, (n - 1) // 20 AS page, ((n - 1) // 20 + 1) * 20 < c AS more FROM x""",
+    LOG,
+)
+def t12_pulled_pages(s, d):
+    u, k = F.col("user_id"), F.col("event_id") % 2
+    devices = table(s, d, "events").select(F.concat_ws("-", u.cast("string"), k.cast("string")).alias("device"), "user_id", F.when(k == 0, 0).otherwise(u * 10 + 7).alias("cursor")).distinct()
+    return replication.pulls(_log(s, d), devices, 20)

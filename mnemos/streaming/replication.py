@@ -74,6 +74,24 @@ def outbox(changes: DataFrame, conflicts: DataFrame) -> DataFrame:
     return latest.join(conflicts, ["entity", "id"], "left_anti")
 
 
+def cursors(applied: DataFrame, last: DataFrame) -> DataFrame:
+    """The applied changes (user_id, seq, ...) with the next numbers of their user's log, in the order of ``seq``; ``last``: (user_id, cursor) so far, none is zero."""
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("seq"))
+    return applied.withColumn("place", place).join(last.select("user_id", F.col("cursor").alias("before")), "user_id", "left").withColumn("cursor", F.coalesce("before", F.lit(0)) + F.col("place")).drop("before", "place")
+
+
+def pulls(log: DataFrame, devices: DataFrame, limit: int = 100) -> DataFrame:
+    """(device, user_id, cursor, page, more): all that a device hasn't seen of its user's log, in pages of ``limit``, and whether another page follows.
+
+    ``devices``: device, user_id, cursor. A device that has seen everything has no row.
+    """
+    x = devices.select("device", "user_id", F.col("cursor").alias("seen")).join(log.select("user_id", "cursor"), "user_id").where("cursor > seen")
+    by = W.partitionBy("device")
+    x = x.withColumns({"n": F.row_number().over(by.orderBy("cursor")), "all": F.count("*").over(by)})
+    page = F.floor((F.col("n") - 1) / limit)
+    return x.select("device", "user_id", "cursor", page.alias("page"), ((page + 1) * limit < F.col("all")).alias("more"))
+
+
 def stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, trigger: dict | None = None):
     """A stream of mutation files into the state at ``target``, one folder for each batch.
 
