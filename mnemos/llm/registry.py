@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from mnemos.llm import bpe, exact_dedup, kneser_ney, license_scan, merkle, mixing, quality_rules, simhash, suffix_dedup, tokens, url_filter
+from mnemos.llm import bpe, exact_dedup, kneser_ney, license_scan, merkle, mixing, quality_rules, resampling, simhash, suffix_dedup, tokens, url_filter
 
 QUERIES: dict[str, Callable] = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable] = {
     "op9_kneser_ney_quality": kneser_ney.op9_kneser_ney_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
 }
 
 SQL: dict[str, str] = {
@@ -25,4 +26,5 @@ SQL: dict[str, str] = {
     "op8_mix_sources": mixing.OP8_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_importance_resampling": resampling.OP12_SQL,
 }
