@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from mnemos.llm import bpe, exact_dedup, kneser_ney, license_scan, merkle, mixing, quality_rules, resampling, simhash, suffix_dedup, tokens, url_filter
+from mnemos.llm import bpe, exact_dedup, kneser_ney, license_scan, merkle, minhash, mixing, quality_rules, resampling, simhash, suffix_dedup, tokens, url_filter
 
 QUERIES: dict[str, Callable] = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable] = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_minhash_near_dedup": minhash.op13_minhash_near_dedup,
 }
 
 SQL: dict[str, str] = {
