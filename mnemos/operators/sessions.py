@@ -1,9 +1,8 @@
-"""Exam sessions: scoring, their state machine, history and stratified selection."""
+"""Exam sessions: scoring, their state machine, and history."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ARCHIVED = ("abandoned", "discarded")
@@ -124,18 +123,6 @@ def history(sessions: DataFrame, status=None, exam=None, archived: bool = False)
     return out.orderBy(F.desc("started_at"), "session_id")
 
 
-def stratified(pool: DataFrame, quotas: dict[str, int], seed: int) -> DataFrame:
-    """For each kind its quota of questions, in turn from each exam, in an order that the seed fixes."""
-    random = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("question_id").cast("string")))
-    x = pool.withColumn("random", random)
-    x = x.withColumn("turn", F.row_number().over(W.partitionBy("kind", "exam").orderBy("random")))
-    x = x.withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy("turn", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("exam").cast("string"))), "random")))
-    quota = F.lit(0)
-    for kind, n in quotas.items():
-        quota = F.when(F.col("kind") == kind, n).otherwise(quota)
-    return x.where(F.col("place") <= quota).select("question_id", "kind", "exam", "place")
-
-
 def next_question(states: DataFrame) -> DataFrame:
     """Of (user_id, question_id, pos, state): where to go on (first unanswered, else first not right, else first), the counts, and the rounded rate."""
     rank = F.when(F.col("state").isNull(), 0).when(F.col("state") != "richtig", 1).otherwise(2)

@@ -404,15 +404,6 @@ def t14_session_machine_whole(s, d):
     return sessions.fold(_actions(table(s, d, "events")))
 
 
-@query(
-    """, x AS (SELECT *, md5('7:' || question_id) AS random FROM inventory), t AS (SELECT *, row_number() OVER (PARTITION BY kind, exam ORDER BY random) AS turn FROM x),
-p AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY turn, md5('7:' || exam), random) AS place FROM t)
-SELECT question_id, kind, exam, place FROM p WHERE place <= CASE kind WHEN 'multiple_choice' THEN 20 ELSE 6 END"""
-)
-def o17_stratified_sample(s, d):
-    return sessions.stratified(inventory(s, d), {"multiple_choice": 20, "multi_part": 6}, 7)
-
-
 @query(
     """, g AS (SELECT u.user_id, i.question_id, i.question_id AS pos, l.correctness AS state FROM (SELECT DISTINCT user_id FROM latest) u CROSS JOIN inventory i LEFT JOIN latest l ON l.user_id = u.user_id AND l.question_id = i.question_id)
 SELECT user_id, arg_min(question_id, (CASE WHEN state IS NULL THEN 0 WHEN state <> 'richtig' THEN 1 ELSE 2 END, pos)) AS next_question, count(state) AS answered, count(*) FILTER (state = 'richtig') AS correct,

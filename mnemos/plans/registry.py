@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemos.plans import lookups, queries, releases, scalars, states, storage  # noqa: F401  (each registers its queries)
+from mnemos.plans import lookups, queries, releases, sampling, scalars, states, storage  # noqa: F401  (each registers its queries)
 from mnemos.plans.base import ORACLE as SQL
 from mnemos.plans.base import QUERIES
 

@@ -785,11 +785,6 @@ def o07_history_page(s, d):
     return all_sessions(s, d).orderBy(F.desc("started_at"), "session_id").limit(20).select("session_id")
 
 
-@query("SELECT question_id, row_number() OVER (ORDER BY md5('9:' || question_id))::INT AS place FROM inventory", SQL)
-def o16_shuffled(s, d):
-    return inventory(s, d).select("question_id", F.row_number().over(W.orderBy(F.md5(F.concat_ws(":", F.lit("9"), F.col("question_id").cast("string"))))).alias("place"))
-
-
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand || ',' || p_type WHEN 1 THEN p_brand ELSE p_type || ',' || p_brand END AS items FROM part")
 def u01_distinct_in_order(s, d):
     k = F.col("p_partkey")
