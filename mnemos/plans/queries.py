@@ -565,22 +565,6 @@ def a21_number_coverage_whole(s, d):
 
 # --- change logs and validators ---------------------------------------------------------------------------------
 
-@query(
-    """, b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1) SELECT entity, id, revision, value, deleted, conflicts, repeats FROM b""",
-    """WITH RECURSIVE m AS (SELECT user_id::VARCHAR AS id, event_id AS seq, (event_id // 3)::VARCHAR AS mutation_id, (event_id % 3)::BIGINT AS base, event_type = 'error' AS deleted, props AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-f AS (SELECT DISTINCT 'attempt' AS entity, id, 0::BIGINT AS n, 0::BIGINT AS revision, NULL::VARCHAR AS value, FALSE AS deleted, []::VARCHAR[] AS seen, 0::BIGINT AS conflicts, 0::BIGINT AS repeats FROM m
- UNION ALL SELECT f.entity, f.id, m.n, f.revision + (NOT list_contains(seen, mutation_id) AND base = f.revision)::BIGINT,
-  CASE WHEN NOT list_contains(seen, mutation_id) AND base = f.revision THEN CASE WHEN m.deleted THEN NULL ELSE m.value END ELSE f.value END,
-  CASE WHEN NOT list_contains(seen, mutation_id) AND base = f.revision THEN m.deleted ELSE f.deleted END,
-  CASE WHEN list_contains(seen, mutation_id) THEN seen ELSE list_append(seen, mutation_id) END,
-  f.conflicts + (NOT list_contains(seen, mutation_id) AND base <> f.revision)::BIGINT, f.repeats + list_contains(seen, mutation_id)::BIGINT
- FROM f JOIN m ON m.id = f.id AND m.n = f.n + 1)""",
-)
-def t09_compare_and_swap(s, d):
-    e = table(s, d, "events")
-    return replication.fold(e.select(F.lit("attempt").alias("entity"), F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 3).cast("string").alias("mutation_id"), (F.col("event_id") % 3).alias("base_revision"), (F.col("event_type") == "error").alias("deleted"), F.col("props").alias("value")))
-
-
 @query(
     """WITH r AS (SELECT user_id, max(event_id) AS revision, arg_max(event_type, event_id) AS value FROM events GROUP BY user_id), l AS (SELECT user_id, max(event_id) AS known FROM events WHERE event_id % 10 < 9 GROUP BY user_id)
 SELECT r.user_id::VARCHAR AS id, revision, value, user_id % 3 = 0 AS conflict FROM r LEFT JOIN l USING (user_id) WHERE revision > coalesce(known, 0)""",

@@ -332,12 +332,6 @@ def c27_pixel_boxes(s, d):
     return table(s, d, "part").select("p_partkey", geometry.pixel_box(F.lit(2.5).cast("double"), a, b, a + 1, b + 3).alias("b")).select("p_partkey", "b.*")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'repeated' WHEN event_id % 4 = CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 3 END THEN 'applied' ELSE 'conflict' END AS decision FROM events")
-def t10_decisions(s, d):
-    k = F.col("event_id")
-    return table(s, d, "events").select("event_id", replication.decision(k % 4, F.when(k % 5 != 0, k % 3), k % 6 == 0).alias("decision"))
-
-
 @query("SELECT event_id FROM events WHERE event_id % 5 > 0 AND event_id % 7 > 0 AND length(props) <= 200000")
 def t11_valid_mutations(s, d):
     k = F.col("event_id")
