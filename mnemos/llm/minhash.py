@@ -20,6 +20,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ BINS, BANDS, ROWS = 128, 25, 5
 GROUP, SHINGLES = 256, 2 << 20
 #: Bytes of a text that are split to words at a time, and words whose hashes a task keeps.
 PIECE, KEPT = 4 << 20, 500_000
+#: Of compression of the texts that wait for the exact step: most are never read again, but all move once.
+LEVEL = 6
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 MIX, MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 FIRST = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
@@ -110,30 +113,34 @@ def buckets(own: np.ndarray) -> np.ndarray:
 
 
 def sketches(text: Column, shingle: int, num: int, den: int) -> Column:
-    """``n``, the size of the set, two halves of its 128-bit hash, and its buckets: none where no other set can be similar."""
+    """``n``, the size of the set, two halves of its 128-bit hash, its buckets (none where no other set can be similar), and the text, compressed."""
 
-    @F.arrow_udf("struct<n: long, h1: long, h2: long, cells: array<long>>")
+    @F.arrow_udf("struct<n: long, h1: long, h2: long, cells: array<long>, packed: binary>")
     def sketched(texts: pa.Array) -> pa.Array:
-        n, hashes, cells = [], [], []
+        n, hashes, cells, packed = [], [], [], []
+        pack = zstandard.ZstdCompressor(level=LEVEL).compress
         for x in texts:
-            own = shingles(x.as_py() or "", shingle)
+            text = x.as_py() or ""
+            own = shingles(text, shingle)
             n.append(len(own))
+            packed.append(pack(text.encode()))
             hashes.append(xxhash.xxh3_128_digest(own.tobytes()))
             # the most similar other set has one shingle more
             cells.append(buckets(own).view(np.int64) if len(own) * den >= num * (len(own) + 1) else None)
         halves = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-        arrays = [pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(cells, pa.list_(pa.int64()))]
-        return pa.StructArray.from_arrays(arrays, names=["n", "h1", "h2", "cells"])
+        arrays = [pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(cells, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
+        return pa.StructArray.from_arrays(arrays, names=["n", "h1", "h2", "cells", "packed"])
 
     return sketched.asNondeterministic()(text)
 
 
-def sets_of(text: Column, shingle: int) -> Column:
+def sets_of(packed: Column, shingle: int) -> Column:
     @F.arrow_udf("array<long>")
     def made(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles(x.as_py() or "", shingle).view(np.int64) for x in texts], pa.list_(pa.int64()))
+        unpack = zstandard.ZstdDecompressor().decompress
+        return pa.array([shingles(unpack(x.as_py()).decode(), shingle).view(np.int64) for x in texts], pa.list_(pa.int64()))
 
-    return made.asNondeterministic()(text)
+    return made.asNondeterministic()(packed)
 
 
 def _close(a: Column, b: Column, num: int, den: int) -> Column:
@@ -235,10 +242,10 @@ def rest(shared: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: i
 
 
 def sketched(df: DataFrame, key: str, text: str, shingle: int, num: int, den: int) -> DataFrame:
-    """``key``, ``row``, ``text`` and the sketch of each row, materialized."""
+    """``key``, ``row`` and the sketch of each row, materialized."""
     small_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), text_of(text).alias("text"))
-    return materialize(rows.withColumn("s", sketches(F.col("text"), shingle, num, den)).select("key", "row", "text", "s.*"), "sketches")
+    return materialize(rows.withColumn("s", sketches(F.col("text"), shingle, num, den)).select("key", "row", "s.*"), "sketches")
 
 
 def linked(rows: DataFrame, nodes: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -249,7 +256,7 @@ def linked(rows: DataFrame, nodes: DataFrame, shingle: int, num: int, den: int)
     shared = materialize(cells.join(several, "cell"), "shared")
     forget(cells)
     there = materialize(shared.select(F.col("node").alias("row")).distinct(), "there")
-    sets = rows.select("row", "text").join(there, "row").select(F.col("row").alias("node"), sets_of(F.col("text"), shingle).alias("members"))
+    sets = rows.where("cells IS NOT NULL").select("row", "packed").join(there, "row").select(F.col("row").alias("node"), sets_of(F.col("packed"), shingle).alias("members"))
     sets = materialize(sets, "sets")
     links = materialize(verified(stars(shared, num, den), sets, num, den), "links")
     more = materialize(rest(shared, materialize(components(links), "labels"), sets, num, den), "links")
