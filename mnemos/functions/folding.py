@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KINDS = {
-    "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64()),
+    "string": pa.string(), "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64()),
 }
 #: Result rows of an Arrow batch, at most.
 ROWS = 10_000

@@ -1,4 +1,4 @@
-"""Change logs: compare-and-swap per key, as a batch fold and as a stream over it.
+"""Change logs: compare-and-swap per key as a batch fold, outboxes, pulls and remote rows.
 
 A mutation names the revision it was made on. It applies if that is the current one, is a conflict otherwise, and does
 nothing if its id has been seen. Late rows are those with a revision at or below the known one; they are dropped.
@@ -6,55 +6,54 @@ nothing if its id has been seen. Late rows are those with a revision at or below
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mnemos.sources.tables import exists
+from mnemos.functions.folding import sorted_fold
 
 #: Bytes of a mutation, at most.
 LIMIT = 200_000
 
 
-def decision(base: Column, current: Column, seen: Column) -> Column:
-    """What becomes of a mutation."""
-    return F.when(seen, "repeated").when(base == F.coalesce(current, F.lit(0)), "applied").otherwise("conflict")
-
-
 def valid(mutations: DataFrame) -> DataFrame:
     """Mutations with ids, a base revision and a bounded value."""
     return mutations.where("mutation_id is not null and entity is not null and id is not null and base_revision >= 0").where(F.octet_length(F.coalesce("value", F.lit(""))) <= LIMIT)
 
 
 def fold(mutations: DataFrame, state: DataFrame | None = None, receipts: DataFrame | None = None) -> DataFrame:
-    """For each (entity, id) the revision, value, deletion and counts after its mutations, in the order of ``seq``.
+    """For each (entity, id) the revision, value, deletion and counts after its mutations, in the order of ``seq``.
 
     ``state``: (entity, id, revision, value, deleted) before; ``receipts``: (entity, id, mutation_id) that came before,
-    whose repetition does nothing, as within the batch. A key's mutations fold in one row: they are what one record went
-    through since the last batch.
+    whose repetition does nothing, as within the batch. A key's mutations pass one after the other, so its log may be of
+    any length. ``streaming.sync`` has the whole protocol, with answers to each mutation.
     """
     first = F.row_number().over(W.partitionBy("entity", "id", "mutation_id").orderBy("seq", "base_revision", "deleted", "value"))
     rows = mutations.withColumn("again", first > 1)
     if receipts is not None:
         known = receipts.select("entity", "id", "mutation_id").distinct().withColumn("known", F.lit(True))
         rows = rows.join(known, ["entity", "id", "mutation_id"], "left").withColumn("again", F.col("again") | F.coalesce("known", F.lit(False)))
-    acts = F.array_sort(F.collect_list(F.when(~F.col("again"), F.struct("seq", "mutation_id", "base_revision", "deleted", "value"))))
-    x = rows.groupBy("entity", "id").agg(acts.alias("acts"), F.count_if("again").alias("repeats"))
     if state is not None:
-        x = x.join(state.select("entity", "id", F.col("revision").alias("r0"), F.col("value").alias("v0"), F.col("deleted").alias("d0")), ["entity", "id"], "left")
+        rows = rows.join(state.select("entity", "id", F.col("revision").alias("r0"), F.col("value").alias("v0"), F.col("deleted").alias("d0")), ["entity", "id"], "left")
     else:
-        x = x.withColumn("r0", F.lit(None).cast("long")).withColumn("v0", F.lit(None).cast("string")).withColumn("d0", F.lit(None).cast("boolean"))
-    zero = F.lit(0).cast("long")
-    start = F.struct(F.coalesce("r0", zero).alias("revision"), F.col("v0").alias("value"), F.coalesce("d0", F.lit(False)).alias("deleted"), zero.alias("conflicts"))
+        rows = rows.withColumns({"r0": F.lit(None).cast("long"), "v0": F.lit(None).cast("string"), "d0": F.lit(None).cast("boolean")})
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("entity", "id")}
 
-    def step(s, a):
-        fits = a["base_revision"] == s["revision"]
-        return F.struct(
-            (s["revision"] + fits.cast("long")).alias("revision"), F.when(fits, F.when(a["deleted"], None).otherwise(a["value"])).otherwise(s["value"]).alias("value"), F.when(fits, a["deleted"]).otherwise(s["deleted"]).alias("deleted"),
-            (s["conflicts"] + (~fits).cast("long")).alias("conflicts"),
-        )
+    def start(m: dict) -> dict:
+        return {"entity": m["entity"], "id": m["id"], "revision": m["r0"] or 0, "value": m["v0"], "deleted": m["d0"] or False, "conflicts": 0, "repeats": 0}
 
-    return x.select("entity", "id", F.aggregate("acts", start, step).alias("s"), "repeats").select("entity", "id", "s.revision", "s.value", "s.deleted", "s.conflicts", "repeats")
+    def step(s: dict, m: dict) -> tuple:
+        if m["again"]:
+            s["repeats"] += 1
+        elif m["base_revision"] != s["revision"]:
+            s["conflicts"] += 1
+        else:
+            s |= {"revision": s["revision"] + 1, "value": None if m["deleted"] else m["value"], "deleted": m["deleted"]}
+        return ()
+
+    rows = rows.select("entity", "id", "seq", "mutation_id", F.col("base_revision").cast("long").alias("base_revision"), "deleted", F.col("value").cast("string").alias("value"), "again", "r0", "v0", "d0")
+    out = kinds | {"revision": "long", "value": "string", "deleted": "boolean", "conflicts": "long", "repeats": "long"}
+    return sorted_fold(rows, ["entity", "id"], ["seq", "mutation_id"], start, step, lambda s: (s,), out)
 
 
 def receive(local: DataFrame, pending: DataFrame, remote: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,29 +89,3 @@ def pulls(log: DataFrame, devices: DataFrame, limit: int = 100) -> DataFrame:
     x = x.withColumns({"n": F.row_number().over(by.orderBy("cursor")), "all": F.count("*").over(by)})
     page = F.floor((F.col("n") - 1) / limit)
     return x.select("device", "user_id", "cursor", page.alias("page"), ((page + 1) * limit < F.col("all")).alias("more"))
-
-
-def stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, trigger: dict | None = None):
-    """A stream of mutation files into the state at ``target``, one folder for each batch.
-
-    A batch joins the state of the batch before, and the receipts of all batches before; a batch that runs again
-    overwrites its own folders, so replays change nothing, and a mutation that comes again in a later batch does nothing.
-    Only one query may run for a checkpoint.
-    """
-
-    def apply(batch: DataFrame, n: int) -> None:
-        s = batch.sparkSession
-        before = next((f"{target}/batch={i}" for i in range(n - 1, -1, -1) if exists(s, f"{target}/batch={i}/_SUCCESS")), None)
-        state = s.read.parquet(before) if before else None
-        columns = ["entity", "id", "revision", "value", "deleted"]
-        fine = valid(batch).persist()
-        old = [p for i in range(n) if exists(s, p := f"{target}/receipts/batch={i}")]
-        receipts = s.read.parquet(*old) if old else None
-        new = fold(fine, state, receipts).select(columns)
-        if state is not None:
-            new = new.unionByName(state.select(columns).join(new.select("entity", "id"), ["entity", "id"], "left_anti"))
-        fine.select("entity", "id", "mutation_id").distinct().write.mode("overwrite").parquet(f"{target}/receipts/batch={n}")
-        new.write.mode("overwrite").parquet(f"{target}/batch={n}")
-        fine.unpersist()
-
-    return spark.readStream.schema(schema).json(source).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
