@@ -1,7 +1,8 @@
-"""The corpus pipeline: quality rules, exact dedup, SimHash near-dedup, mixing, byte-level BPE.
+"""The corpus pipeline: quality rules, exact dedup, near-dedup by SimHash and MinHash candidates, mixing, byte-level BPE.
 
 Each stage takes what its predecessor kept, whole texts, and returns the columns of documents; the last one returns
-the token ids. A caller may write each stage's result and read it again; run() does so in the shared folder.
+the token ids. A caller may write each stage's result and read it again; run() does so in the shared folder. All stages
+take null and empty texts, repeated rows and an empty table, which stays empty; a text of any length is taken whole.
 """
 
 from __future__ import annotations
@@ -15,8 +16,6 @@ from mnemos.llm.common import materialize, table
 
 #: Near-duplicate stage: words of a shingle, and the Jaccard similarity from which on texts link, as a fraction.
 SHINGLE, SIMILARITY = 5, (4, 5)
-#: Of the earlier stage, which linked fingerprints within so many bits; tests/llm/test_pipeline.py still reads it.
-DISTANCE = 6
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +29,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest doc_id stays."""
+    """Of each group of near-duplicates the smallest doc_id stays: SimHash links and MinHash buckets give candidates, the whole sets decide."""
     return similar.representatives(docs, shingle=SHINGLE, num=SIMILARITY[0], den=SIMILARITY[1])
 
 

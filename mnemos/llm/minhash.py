@@ -16,6 +16,7 @@ its pair shares no bucket.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -241,27 +242,34 @@ def rest(shared: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: i
     return met.repartition("group").sortWithinPartitions("group").mapInArrow(_search(num, den), "u long, v long")
 
 
-def sketched(df: DataFrame, key: str, text: str, shingle: int, num: int, den: int) -> DataFrame:
-    """``key``, ``row`` and the sketch of each row, materialized."""
+def sketched(df: DataFrame, key: str, text: str, shingle: int, num: int, den: int, also: dict[str, Column] | None = None) -> DataFrame:
+    """``key``, ``row`` and the sketch of each row, materialized; ``also``: other columns made of ``text``."""
     small_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), text_of(text).alias("text"))
-    return materialize(rows.withColumn("s", sketches(F.col("text"), shingle, num, den)).select("key", "row", "s.*"), "sketches")
+    return materialize(rows.withColumn("s", sketches(F.col("text"), shingle, num, den)).select("key", "row", "s.*", *[c.alias(n) for n, c in (also or {}).items()]), "sketches")
 
 
-def linked(rows: DataFrame, nodes: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """``node``, ``root`` of every node that links with another; of sketched() rows, and their distinct sets' first rows ``node``."""
+def linked(rows: DataFrame, nodes: DataFrame, shingle: int, num: int, den: int, more: DataFrame | None = None) -> DataFrame:
+    """``node``, ``root`` of every node that links with another; of sketched() rows, and their distinct sets' first rows ``node``.
+
+    ``more``: candidate edges (u, v) beside those of the buckets.
+    """
     cells = rows.select("row", "n", "cells").where("cells IS NOT NULL").join(nodes.select(F.col("node").alias("row")), "row")
     cells = materialize(cells.select(F.col("row").alias("node"), "n", F.explode("cells").alias("cell")), "cells")
     several = materialize(cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1"), "several")
     shared = materialize(cells.join(several, "cell"), "shared")
     forget(cells)
-    there = materialize(shared.select(F.col("node").alias("row")).distinct(), "there")
+    edges, there = stars(shared, num, den), shared.select(F.col("node").alias("row"))
+    if more is not None:
+        more = materialize(more, "more")
+        edges, there = edges.unionByName(more).distinct(), there.union(more.select("u")).union(more.select("v"))
+    there = materialize(there.distinct(), "there")
     sets = rows.where("cells IS NOT NULL").select("row", "packed").join(there, "row").select(F.col("row").alias("node"), sets_of(F.col("packed"), shingle).alias("members"))
     sets = materialize(sets, "sets")
-    links = materialize(verified(stars(shared, num, den), sets, num, den), "links")
-    more = materialize(rest(shared, materialize(components(links), "labels"), sets, num, den), "links")
+    links = materialize(verified(edges, sets, num, den), "links")
+    between = materialize(rest(shared, materialize(components(links), "labels"), sets, num, den), "links")
     forget(sets)
-    return materialize(components(links.unionByName(more)), "roots")
+    return materialize(components(links.unionByName(between)), "roots")
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 17, den: int = 20) -> DataFrame:
@@ -273,9 +281,14 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     each is its own component. Rows that repeat a key are rows of their own. An empty table gives no rows; other columns
     are not read.
     """
-    rows = sketched(df, key, text, shingle, num, den)
+    return grouped(sketched(df, key, text, shingle, num, den), key, shingle, num, den)
+
+
+def grouped(rows: DataFrame, key: str, shingle: int, num: int, den: int, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """groups() of sketched() rows; ``more`` gives further candidate edges (u, v) between the first rows of the distinct sets, of these rows."""
     nodes = materialize(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("key").alias("least")), "nodes")
-    roots = linked(rows, nodes, shingle, num, den)
+    edges = more(rows.join(nodes.select(F.col("node").alias("row")), "row")) if more else None
+    roots = linked(rows, nodes, shingle, num, den, edges)
     named = materialize(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
     smallest = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     own = materialize(named.join(smallest, "root").select("h1", "h2", "component_id"), "own")

@@ -1,188 +1,50 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: candidates by MinHash bands, each group of them verified exactly.
+"""Near-duplicates by the Jaccard similarity of word shingles, from two kinds of candidates.
 
-A text's shingles are hashed to a set; texts with equal sets are one node. A node enters a cell for each of BANDS bands of
-ROWS minima of its set. Of two sets with similarity s, a cell is shared with probability 1 - (1 - s^ROWS)^BANDS: all but
-0.007% of the pairs at 0.8. Nodes that share cells, directly or by way of others, are a group of candidates. All pairs of
-a group are compared by their whole sets, and only those at the threshold or above link. Groups beyond GROUP nodes are
-cut into pairs of blocks, so that every task's memory is bounded and no pair is lost.
+Fingerprints within a few bits of each other (operator 4's grid of segment counts) and sets that share a MinHash bucket
+(operator 13's stars) are candidates. Each candidate edge is verified on the whole sets, buckets that hold several
+components are searched whole, and only verified links are closed to groups. SimHash alone can't give a similarity of
+0.8: such pairs lie some ten bits apart, and a radius that covers them has too many unrelated neighbours.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemos.llm.common import materialize, small_batches, text_of
-from mnemos.llm.components import components
-from mnemos.llm.simhash import LOWER
+from mnemos.llm import minhash, simhash
+from mnemos.llm.common import materialize
 
-#: Bands of a set, and minima of a band.
-BANDS, ROWS = 24, 5
-#: Nodes, and characters of text, of a group that one task compares at once (twice as many for a pair of blocks).
-GROUP, CHARS = 512, 16 << 20
-#: Shingles whose minima are taken at a time.
-SLICE = 1 << 20
-_DRAWN = np.random.default_rng(42).integers(0, 1 << 64, size=(2, BANDS * ROWS), dtype=np.uint64)
-TIMES, PLUS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
-MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bits in which the fingerprints of candidates differ at most.
+DISTANCE = 4
 
 
-def shingles(text: str, shingle: int) -> np.ndarray:
-    """The sorted distinct XXH64 (seed 42) of the runs of ``shingle`` words; fewer words are one shingle, none no shingle."""
-    words = text.encode().translate(LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    size = np.array([len(w) for w in words])
-    joined = b" ".join(words)
-    ends = np.cumsum(size + 1) - 1
-    n = min(shingle, len(words))
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(joined[a:b], 42) for a, b in zip((ends - size)[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)], dtype=np.uint64))
-
-
-def bands(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BANDS cells for each set; none of the sets is empty."""
-    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
-    own = np.concatenate(sets)
-    out = np.zeros((len(sets), BANDS), np.uint64)
-    for i in range(BANDS):
-        cell = np.full(len(sets), i + 1, np.uint64)
-        for j in range(i * ROWS, (i + 1) * ROWS):
-            cell = (cell ^ np.minimum.reduceat((own ^ PLUS[j]) * TIMES[j], at)) * MIX
-            cell ^= cell >> np.uint64(32)
-        out[:, i] = cell
-    return out
-
-
-def sketches(text: Column, shingle: int) -> Column:
-    """``node`` (a hash of the set of shingles) and ``cells`` (empty for texts without words)."""
-
-    @F.arrow_udf("struct<node: long, cells: array<long>>")
-    def sketched(texts: pa.Array) -> pa.Array:
-        nodes, cells, held, places, size = [], [None] * len(texts), [], [], 0
-
-        def give():
-            for place, row in zip(places, bands(held).view(np.int64), strict=True):
-                cells[place] = row
-
-        for place, x in enumerate(texts):
-            own = shingles(x.as_py() or "", shingle)
-            nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
-            if not len(own):
-                cells[place] = np.zeros(0, np.int64)
-                continue
-            held.append(own)
-            places.append(place)
-            size += len(own)
-            if size >= SLICE:
-                give()
-                held, places, size = [], [], 0
-        if held:
-            give()
-        found = [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(cells, pa.list_(pa.int64()))]
-        return pa.StructArray.from_arrays(found, names=["node", "cells"])
-
-    return sketched.asNondeterministic()(text)
-
-
-def forest(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest, as places in ``sets``, of the pairs with a Jaccard similarity of ``num / den`` or more."""
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(ids, kind="stable")
-    first = np.concatenate([[0], np.cumsum(np.bincount(ids))])
-    posts, at = owner[order], np.concatenate([[0], np.cumsum(sizes)])
-    alive, edges = np.ones(len(sets), bool), []
-    for start in range(len(sets)):
-        if not alive[start]:
-            continue
-        alive[start] = False
-        queue = [start]
-        while queue and alive.any():
-            q = queue.pop()
-            own = ids[at[q] : at[q + 1]]
-            lengths = first[own + 1] - first[own]
-            ends = np.cumsum(lengths)
-            met = posts[np.repeat(first[own] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-            common = np.bincount(met, minlength=len(sets))
-            near = np.flatnonzero(alive & (common > 0) & (common * den >= num * (sizes + sizes[q] - common)))
-            alive[near] = False
-            edges += [(q, int(x)) for x in near]
-            queue += near.tolist()
-    return edges
-
-
-def _verify(shingle: int, num: int, den: int):
-    """Of rows (group, node, text) sorted by group: the links (u, v) of each group."""
-
-    def run(batches):
-        group, nodes, sets = None, [], []
-
-        def give():
-            got = forest(sets, num, den) if len(sets) > 1 else []
-            u, v = ([nodes[e[i]] for e in got] for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-        for batch in batches:
-            for g, node, text in zip(batch.column("group").to_pylist(), batch.column("node").to_pylist(), batch.column("text"), strict=True):
-                if g != group:
-                    yield give()
-                    group, nodes, sets = g, [], []
-                nodes.append(node)
-                sets.append(shingles(text.as_py(), shingle))
-        yield give()
-
-    return run
-
-
-def candidates(rows: DataFrame) -> DataFrame:
-    """``node``, ``root`` of the nodes that share cells, directly or by way of others; of (node, cells)."""
-    nodes = rows.groupBy("node").agg(F.any_value("cells").alias("cells"))
-    cells = materialize(nodes.select("node", F.explode("cells").alias("cell")), "cells")
-    least = materialize(cells.groupBy("cell").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("cell", "least"), "shared")
-    return components(cells.join(least, "cell").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct())
-
-
-def links(rows: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """Links (u, v) that connect all nodes of (node, cells, text) which candidates reach by steps of ``num / den`` or more."""
-    roots = materialize(candidates(rows), "candidates")
-    texts = rows.select("node", "text").join(roots, "node").groupBy("node", "root").agg(F.any_value("text").alias("text"))
-    texts = materialize(texts, "texts")
-    size = texts.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum(F.length("text").cast("long")) / CHARS), F.lit(1)).cast("int").alias("parts"))
-    dealt = texts.join(materialize(size, "sizes"), "root").withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
-    # larger groups: block i meets block j in the group (i, j); a block's own links come up in each of its pairs
-    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != F.col("i")))
-    dealt = dealt.withColumn("j", F.explode(others)).select(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("group"), "node", "text")
-    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_verify(shingle, num, den), "u long, v long")
+def by_fingerprint(rows: DataFrame) -> DataFrame:
+    """Candidate edges (u, v) of rows (row, f): each row with the first one of its fingerprint, and those of linked fingerprints."""
+    first = materialize(rows.groupBy("f").agg(F.min("row").alias("first")), "prints")
+    same = rows.select("f", "row").join(first, "f").where("row <> first").select(F.col("first").alias("u"), F.col("row").alias("v"))
+    near = materialize(simhash.links(first.select("f"), DISTANCE), "near")
+    one, other = (first.select(F.col("f").alias(f"f{c}"), F.col("first").alias(c)) for c in "uv")
+    near = near.select(F.col("u").alias("fu"), F.col("v").alias("fv")).join(one, "fu").join(other, "fv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return same.unionByName(near).distinct()
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """One row for each row of ``df``: ``key``, ``node`` (its set of shingles) and ``component_id``.
+    """One row for each row of ``df``: ``key``, ``n_shingles`` and ``component_id``.
 
     Rows link when the Jaccard similarity of their sets is ``num / den`` or more; ``component_id`` is the smallest key
     reachable (null keys aside). Null, empty and blank texts have the empty set and link with each other only.
     """
-    small_batches(df.sparkSession)
-    rows = df.select(F.col(key).alias("key"), text_of(text).alias("text")).withColumn("s", sketches(F.col("text"), shingle))
-    rows = materialize(rows, "sketches").select("key", "text", "s.node", "s.cells")
-    roots = materialize(components(links(rows, shingle, num, den)), "roots")
-    least = materialize(rows.groupBy("node").agg(F.min("key").alias("least")), "nodes")
-    named = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # each component's smallest key, by way of its root; both sides of the last join are dealt anew, so a hot node can be split
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    own = materialize(named.join(materialize(smallest, "smallest"), "root").select("node", "component_id"), "named")
-    return rows.select("key", "node").join(own, "node").select(F.col("key").alias(key), "node", "component_id")
+    also = {"f": simhash.fingerprints(F.col("text"), shingle)}
+    found = minhash.grouped(minhash.sketched(df, key, text, shingle, num, den, also), key, shingle, num, den, by_fingerprint)
+    blank = found.where("n_shingles = 0").agg(F.min(key)).first()[0]
+    return found.select(key, "n_shingles", F.when(F.col("n_shingles") == 0, F.lit(blank).cast(found.schema["component_id"].dataType)).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``df`` with the smallest key of their component; of components with null keys only, all rows.
 
-    Null, empty and blank texts are near-duplicates of each other; rows with the key that stays all stay. A column named
-    ``__k`` raises ValueError. An empty table stays empty.
+    Null, empty and blank texts are near-duplicates of each other; rows with the key that stays all stay, however long their
+    texts are. A column named ``__k`` raises ValueError. An empty table stays empty.
     """
     if "__k" in df.columns:
         raise ValueError("__k is the name of a helper column")

@@ -9,7 +9,7 @@ import corpus_pipeline as c
 from mnemos.llm import bpe, mixing, quality_rules
 from tests.llm.test_mixing import level
 from tests.llm.test_quality_rules import brute as base
-from tests.llm.test_simhash import brute_groups, brute_print
+from tests.llm.test_similar import brute_least
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,9 +31,9 @@ def test_stages_against_brute_force(spark):
     got = c.exact(spark, got, SF)
     assert got.columns == docs.columns and {r.doc_id: r for r in got.collect()} == kept
 
-    prints = {k: brute_print(r.text, c.SHINGLE) for k, r in kept.items()}
-    least = brute_groups([(k, f) for k, f in prints.items()], c.DISTANCE)
-    kept = {k: r for k, r in kept.items() if least[prints[k]] == k}
+    least = brute_least([(k, r.text) for k, r in kept.items()])
+    assert any(least[k] != k for k in kept)
+    kept = {k: r for k, r in kept.items() if least[k] == k}
     got = c.near(spark, got, SF)
     assert got.columns == docs.columns and {r.doc_id: r for r in got.collect()} == kept
 

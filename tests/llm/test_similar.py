@@ -3,7 +3,7 @@ import re
 from itertools import combinations
 
 import corpus_pipeline as c
-from mnemos.llm import similar
+from mnemos.llm import minhash, similar
 
 
 def brute_set(text, n):
@@ -51,7 +51,7 @@ def test_groups_against_brute_force(spark, monkeypatch):
     assert len(set(want.values())) < len(rows) - 20
     # one group of candidates, cut into pairs of blocks
     rows = [(k, " ".join(f"w{i}" for i in range(40)) + " " + t) for k, t in copies(2, 12, 30)]
-    monkeypatch.setattr(similar, "GROUP", 3)
+    monkeypatch.setattr(minhash, "GROUP", 3)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in similar.near_groups(df).collect()} == brute_least(rows)
 
@@ -72,3 +72,22 @@ def test_odd_tables(spark):
     found = similar.near_groups(df).collect()
     assert sorted((repr(r.doc_id), repr(r.component_id)) for r in found) == sorted([("5", "4"), ("4", "4"), ("3", "3"), ("9", "3"), ("9", "3"), ("None", "3"), ("None", "None"), ("1", "1"), ("2", "1")])
     assert similar.near_groups(df.limit(0)).count() == 0
+
+
+def test_fingerprints_give_candidates(spark):
+    """Operator 4's links are edges between first rows; only the whole sets decide on them."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = minhash.sketched(docs, "doc_id", "text", 5, 4, 5, {"f": similar.simhash.fingerprints(similar.F.col("text"), 5)})
+    edges = similar.by_fingerprint(rows).collect()
+    prints = {r.row: r.f & (1 << 64) - 1 for r in rows.collect()}
+    assert edges and all(r.u < r.v and (prints[r.u] ^ prints[r.v]).bit_count() <= similar.DISTANCE for r in edges)
+
+
+def test_shared_boilerplate(spark):
+    """5,000 texts that share a long passage: none is near another, and no group is larger than its verified links make it."""
+    rng = random.Random(4)
+    shared = " ".join(f"b{i}" for i in range(60))
+    rows = [(k, shared + " " + " ".join(f"z{rng.randrange(10**6)}" for _ in range(30))) for k in range(5000)]
+    rows += [(10_000 + k, rows[k][1] + " tail") for k in range(0, 5000, 100)]
+    found = {r.doc_id: r.component_id for r in similar.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {k: k - 10_000 if k >= 10_000 else k for k, _ in rows}
