@@ -3,14 +3,14 @@
 A text's shingles are hashed to a set. One hash does for all minima: its high bits choose a bin, and a bin's minimum is its
 first value in the sorted set. An empty bin takes the minimum of another one, drawn by a hash of the bin and the attempt
 until that one holds something, so two sets agree in a bin with a probability of their Jaccard similarity. ROWS bins
-are a band, and equal bands a bucket; of two sets at 0.85 all but one in two million pairs share a bucket (at 0.8, one in
-twenty thousand don't).
+are a band, and equal bands a bucket; of pairs of sets at 0.85 one in a million shares no bucket (at 0.8, one in five
+thousand), while of pairs at 0.2 fewer than one in two thousand share any.
 
 Each bucket is a star: its candidate edges go from the node whose buckets hold most to every other one, so n nodes give
 n - 1 edges, each verified on the whole sets, and verified links are closed to components. A bucket whose nodes are then
-of one component is done. The others may hold links that no star has: these buckets, one of each set of members, are
-searched whole through an inverted index of their shingles, in pairs of blocks of bounded size. So a link is lost only if
-its pair shares no bucket.
+of one component is done. The others may hold links that no star has: what such a bucket has beside its centre, one of each set of
+members, is searched whole through an inverted index of its shingles, in pairs of blocks of bounded size. So a link is
+lost only if its pair shares no bucket.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +29,11 @@ from mnemos.llm.components import components
 from mnemos.llm.simhash import LOWER
 
 #: Bins of a set, a power of two; bands, and bins of a band.
-BINS, BANDS, ROWS = 128, 25, 5
+BINS, BANDS, ROWS = 256, 36, 7
 #: Nodes, and shingles, of a bucket that one task searches at once (twice as many for a pair of blocks).
 GROUP, SHINGLES = 256, 2 << 20
 #: Bytes of a text that are split to words at a time, and words whose hashes a task keeps.
 PIECE, KEPT = 4 << 20, 500_000
-#: Of compression of the texts that wait for the exact step: most are never read again, but all move once.
-LEVEL = 6
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 MIX, MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 FIRST = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
@@ -114,34 +111,30 @@ def buckets(own: np.ndarray) -> np.ndarray:
 
 
 def sketches(text: Column, shingle: int, num: int, den: int) -> Column:
-    """``n``, the size of the set, two halves of its 128-bit hash, its buckets (none where no other set can be similar), and the text, compressed."""
+    """``n``, the size of the set, two halves of its 128-bit hash, and its buckets: none where no other set can be similar."""
 
-    @F.arrow_udf("struct<n: long, h1: long, h2: long, cells: array<long>, packed: binary>")
+    @F.arrow_udf("struct<n: long, h1: long, h2: long, cells: array<long>>")
     def sketched(texts: pa.Array) -> pa.Array:
-        n, hashes, cells, packed = [], [], [], []
-        pack = zstandard.ZstdCompressor(level=LEVEL).compress
+        n, hashes, cells = [], [], []
         for x in texts:
-            text = x.as_py() or ""
-            own = shingles(text, shingle)
+            own = shingles(x.as_py() or "", shingle)
             n.append(len(own))
-            packed.append(pack(text.encode()))
             hashes.append(xxhash.xxh3_128_digest(own.tobytes()))
             # the most similar other set has one shingle more
             cells.append(buckets(own).view(np.int64) if len(own) * den >= num * (len(own) + 1) else None)
         halves = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-        arrays = [pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(cells, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
-        return pa.StructArray.from_arrays(arrays, names=["n", "h1", "h2", "cells", "packed"])
+        arrays = [pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(cells, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(arrays, names=["n", "h1", "h2", "cells"])
 
     return sketched.asNondeterministic()(text)
 
 
-def sets_of(packed: Column, shingle: int) -> Column:
+def sets_of(text: Column, shingle: int) -> Column:
     @F.arrow_udf("array<long>")
     def made(texts: pa.Array) -> pa.Array:
-        unpack = zstandard.ZstdDecompressor().decompress
-        return pa.array([shingles(unpack(x.as_py()).decode(), shingle).view(np.int64) for x in texts], pa.list_(pa.int64()))
+        return pa.array([shingles(x.as_py() or "", shingle).view(np.int64) for x in texts], pa.list_(pa.int64()))
 
-    return made.asNondeterministic()(packed)
+    return made.asNondeterministic()(text)
 
 
 def _close(a: Column, b: Column, num: int, den: int) -> Column:
@@ -149,14 +142,14 @@ def _close(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def stars(shared: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate edges (u, v) of the nodes that share buckets, of (node, n, cell, size): a bucket's others with its centre."""
+def stars(shared: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate edges (u, v) of the nodes that share buckets, of (node, n, cell, size): a bucket's others with its centre; and (cell, v), the centres."""
     popular = materialize(shared.groupBy("node").agg(F.sum("size").alias("popular")), "popular")
     known = shared.join(popular, "node")
     centre = F.max(F.struct("popular", (-F.col("node")).alias("minus"), F.col("n"))).alias("c")
     centres = materialize(known.groupBy("cell").agg(centre).select("cell", (-F.col("c.minus")).alias("v"), F.col("c.n").alias("m")), "centres")
     met = shared.join(centres, "cell").where((F.col("node") != F.col("v")) & _close(F.col("n"), F.col("m"), num, den))
-    return materialize(met.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct(), "stars")
+    return materialize(met.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct(), "stars"), centres.select("cell", "v")
 
 
 def verified(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -222,16 +215,18 @@ def _search(num: int, den: int):
     return run
 
 
-def rest(shared: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (u, v) between components within the buckets of three nodes or more that still hold several.
+def rest(shared: DataFrame, centres: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (u, v) between components within the buckets that hold several beside their centre, which has met all others.
 
-    Buckets with the same members count once. A large bucket is cut into blocks by node, and block i meets block j in the
-    group (i, j).
+    Buckets with the same members count once; two members that sizes alone tell apart don't. A large bucket is cut into blocks
+    by node, and block i meets block j in the group (i, j).
     """
-    named = shared.where("size > 2").join(labels, "node", "left").select("cell", "node", "n", F.coalesce("root", "node").alias("label"))
+    named = shared.where("size > 2").join(centres, "cell").where("node <> v")
+    named = named.join(labels, "node", "left").select("cell", "node", "n", F.coalesce("root", "node").alias("label"))
     named = materialize(named, "named")
     mark = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-    open_cells = named.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("all"), F.min("label").alias("a"), F.max("label").alias("b"), *mark).where("a < b")
+    open_cells = named.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("all"), F.min("label").alias("a"), F.max("label").alias("b"), F.min("n").alias("least"), F.max("n").alias("most"), *mark)
+    open_cells = open_cells.where("a < b").where((F.col("size") > 2) | _close(F.col("least"), F.col("most"), num, den))
     once = open_cells.groupBy("size", "x1", "x2").agg(F.min("cell").alias("cell"), F.max("all").alias("all"))
     parts = F.greatest(F.ceil(F.col("size") / GROUP), F.ceil(F.col("all") / SHINGLES)).cast("int")
     once = materialize(once.select("cell", parts.alias("parts")), "open")
@@ -243,10 +238,10 @@ def rest(shared: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: i
 
 
 def sketched(df: DataFrame, key: str, text: str, shingle: int, num: int, den: int, also: dict[str, Column] | None = None) -> DataFrame:
-    """``key``, ``row`` and the sketch of each row, materialized; ``also``: other columns made of ``text``."""
+    """``key``, ``row``, ``text`` and the sketch of each row, materialized; ``also``: other columns made of ``text``."""
     small_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), text_of(text).alias("text"))
-    return materialize(rows.withColumn("s", sketches(F.col("text"), shingle, num, den)).select("key", "row", "s.*", *[c.alias(n) for n, c in (also or {}).items()]), "sketches")
+    return materialize(rows.withColumn("s", sketches(F.col("text"), shingle, num, den)).select("key", "row", "text", "s.*", *[c.alias(n) for n, c in (also or {}).items()]), "sketches")
 
 
 def linked(rows: DataFrame, nodes: DataFrame, shingle: int, num: int, den: int, more: DataFrame | None = None) -> DataFrame:
@@ -259,15 +254,16 @@ def linked(rows: DataFrame, nodes: DataFrame, shingle: int, num: int, den: int,
     several = materialize(cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1"), "several")
     shared = materialize(cells.join(several, "cell"), "shared")
     forget(cells)
-    edges, there = stars(shared, num, den), shared.select(F.col("node").alias("row"))
+    edges, centres = stars(shared, num, den)
+    there = shared.select(F.col("node").alias("row"))
     if more is not None:
         more = materialize(more, "more")
         edges, there = edges.unionByName(more).distinct(), there.union(more.select("u")).union(more.select("v"))
     there = materialize(there.distinct(), "there")
-    sets = rows.where("cells IS NOT NULL").select("row", "packed").join(there, "row").select(F.col("row").alias("node"), sets_of(F.col("packed"), shingle).alias("members"))
+    sets = rows.where("cells IS NOT NULL").select("row", "text").join(there, "row").select(F.col("row").alias("node"), sets_of(F.col("text"), shingle).alias("members"))
     sets = materialize(sets, "sets")
     links = materialize(verified(edges, sets, num, den), "links")
-    between = materialize(rest(shared, materialize(components(links), "labels"), sets, num, den), "links")
+    between = materialize(rest(shared, centres, materialize(components(links), "labels"), sets, num, den), "links")
     forget(sets)
     return materialize(components(links.unionByName(between)), "roots")
 

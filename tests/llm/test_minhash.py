@@ -76,14 +76,14 @@ def test_groups_against_brute_force(spark, monkeypatch):
 def test_boilerplate_is_no_link(spark):
     """Texts that share a long passage and fall into common buckets, none similar enough; no candidate edge a pair."""
     rng = random.Random(3)
-    shared = " ".join(f"b{i}" for i in range(150))
-    rows = [(k, shared + " " + " ".join(f"z{rng.randrange(10**6)}" for _ in range(40))) for k in range(400)]
+    shared = " ".join(f"b{i}" for i in range(220))
+    rows = [(k, shared + " " + " ".join(f"z{rng.randrange(10**6)}" for _ in range(30))) for k in range(400)]
     assert all(c == k for k, (_, c, _) in mine(minhash.groups(spark.createDataFrame(rows, "doc_id long, text string"))).items())
     sketched = minhash.sketched(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5, 17, 20)
     cells = sketched.select(F.col("row").alias("node"), "n", F.explode("cells").alias("cell"))
     shared = cells.join(cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1"), "cell")
     assert shared.groupBy("cell").count().agg(F.max("count")).first()[0] > 50
-    assert minhash.stars(shared, 17, 20).count() <= len(rows) * minhash.BANDS
+    assert minhash.stars(shared, 17, 20)[0].count() <= len(rows) * minhash.BANDS
 
 
 def test_bins_agree_as_often_as_sets_do():
