@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemos.plans import layout, lookups, queries, raster, releases, sampling, scalars, states, storage, sync  # noqa: F401  (each registers its queries)
+from mnemos.plans import commits, layout, lookups, queries, raster, releases, sampling, scalars, states, storage, sync  # noqa: F401  (each registers its queries)
 from mnemos.plans.base import ORACLE as SQL
 from mnemos.plans.base import QUERIES
 
