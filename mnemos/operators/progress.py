@@ -12,8 +12,8 @@ def free(test: str = "test_id", training: str = "training_run_id") -> Column:
 
 
 def state_of(correctness: Column) -> Column:
-    """F27."""
-    return F.when(correctness == "richtig", "correct").when(correctness == "teilweise", "partial").when(correctness == "falsch", "incorrect").otherwise("open")
+    """without a grade unanswered; any grade but right and wrong is partial."""
+    return F.when(correctness.isNull(), "unanswered").when(correctness == "richtig", "correct").when(correctness == "falsch", "incorrect").otherwise("partial")
 
 
 def in_run(generation: Column, run: Column, legacy: Column) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-STAGES = ("registered", "cached", "profiled", "segmented", "validated", "answered", "reviewed", "approved", "production")
+#: The stages of a source in order. Beside them stands ``blocked``, which ends a source.
+STAGES = ("registered", "hash_verified", "profile_matched", "layout_validated", "preview_ready", "formal_segmented", "answers_extracted", "validated", "production")
+BLOCKED = "blocked"
 
 
 def latest_approved(sources: DataFrame, *scope: str) -> DataFrame:
@@ -48,11 +50,19 @@ def stage_index(stage: Column) -> Column:
 
 
 def stage_violations(events: DataFrame) -> DataFrame:
-    """(source_id, at, stage, before) of events that skip, repeat or go back a stage."""
+    """(source_id, seq, stage, before) of events that skip, repeat or go back a stage, or have an unknown one.
+
+    ``before`` is the stage of the event before (null for the first). A source in any stage but production may be blocked, with a
+    ``reason``; nothing follows that. Null stages are unknown ones.
+    """
     at = W.partitionBy("source_id").orderBy("at", "seq")
-    x = events.withColumn("index", stage_index(F.col("stage")))
-    x = x.withColumn("before", F.coalesce(F.lag("index").over(at), F.lit(-1).cast("long")))
-    return x.where("index <> before + 1").select("source_id", "seq", "stage", "before")
+    x = events.withColumn("before", F.lag("stage").over(at)).withColumn("first", F.lag(F.lit(1)).over(at).isNull())
+    index, last = stage_index(F.col("stage")), stage_index(F.col("before"))
+    step = F.when(F.col("first"), index == 0).otherwise((last >= 0) & (index == last + 1))
+    reason = F.coalesce(F.trim("reason") != "", F.lit(False)) if "reason" in events.columns else F.lit(False)
+    block = reason & ~F.col("first") & (last >= 0) & (F.col("before") != STAGES[-1])
+    fine = F.when(F.col("stage") == BLOCKED, block).otherwise(step & (index >= 0))
+    return x.where(~F.coalesce(fine, F.lit(False))).select("source_id", "seq", "stage", "before")
 
 
 def append(log: DataFrame, new: DataFrame, key: str, payload: str) -> tuple[DataFrame, DataFrame]:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemos.operators.registry import STAGES
 from mnemos.operators.validators import violations
 
-FORMAL = ("formal_segmented", "answers_extracted", "validated", "production")
+FORMAL = STAGES[STAGES.index("formal_segmented") :]
 
 
 def hashed(column: Column) -> Column:

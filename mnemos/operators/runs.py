@@ -94,7 +94,7 @@ def reset(progress: DataFrame, commands: DataFrame) -> DataFrame:
 
 
 def module_progress(questions: DataFrame, states: DataFrame) -> DataFrame:
-    """Of each (user_id, module) completed, correct, the rounded rate, the done question ids and where to resume.
+    """Of each (user_id, module) completed, correct, the rounded rate of the completed ones (null for none), the done question ids and where to resume.
 
     ``questions``: module, question_id, pos; ``states``: user_id, question_id, state. Resume: the first unanswered, else the
     first not right, else the first.
@@ -107,7 +107,7 @@ def module_progress(questions: DataFrame, states: DataFrame) -> DataFrame:
     rank = F.when(F.coalesce("state", F.lit(UNANSWERED)) == UNANSWERED, 0).when(F.col("state") != "correct", 1).otherwise(2)
     resume = grid.groupBy("user_id", "module").agg(F.min_by("question_id", F.struct(rank, "pos")).alias("resume"))
     x = resume.join(done, ["user_id", "module"], "left").join(size, "module")
-    return x.select("user_id", "module", "total", F.coalesce("completed", F.lit(0)).alias("completed"), F.coalesce("correct", F.lit(0)).alias("correct"), F.round(F.try_divide(100.0 * F.coalesce("correct", F.lit(0)), "total")).alias("rate"), "done", "resume")
+    return x.select("user_id", "module", "total", F.coalesce("completed", F.lit(0)).alias("completed"), F.coalesce("correct", F.lit(0)).alias("correct"), F.round(F.try_divide(100.0 * F.col("correct"), F.col("completed"))).alias("rate"), "done", "resume")
 
 
 def incomplete(runs: DataFrame, drafts: DataFrame) -> DataFrame:

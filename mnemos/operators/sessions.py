@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ARCHIVED = ("abandoned", "discarded")
@@ -123,10 +124,19 @@ def history(sessions: DataFrame, status=None, exam=None, archived: bool = False)
     return out.orderBy(F.desc("started_at"), "session_id")
 
 
-def next_question(states: DataFrame) -> DataFrame:
-    """Of (user_id, question_id, pos, state): where to go on (first unanswered, else first not right, else first), the counts, and the rounded rate."""
-    rank = F.when(F.col("state").isNull(), 0).when(F.col("state") != "richtig", 1).otherwise(2)
-    return states.groupBy("user_id").agg(
-        F.min_by("question_id", F.struct(rank, "pos")).alias("next_question"), F.count("state").alias("answered"), F.count_if(F.col("state") == "richtig").alias("correct"),
-        F.round(F.try_divide(F.lit(100.0) * F.count_if(F.col("state") == "richtig"), F.count("state"))).alias("rate"),
-    )
+def next_question(questions: DataFrame, states: DataFrame, right: str = "richtig") -> DataFrame:
+    """Of questions (question_id, pos) and states (user_id, question_id, state; null: unanswered): where each user goes on, the counts, and the rounded rate.
+
+    That is the first unanswered question, else the first that isn't right, else the first. A user's answers are numbered in
+    the order of the questions: the first whose number isn't its question's place shows the first gap. So users meet only
+    the questions that they have answered; no user is paired with all questions.
+    """
+    place = F.row_number().over(W.orderBy("pos", "question_id"))  # one row for each question of the bank
+    placed = questions.select("question_id", "pos").distinct().select("question_id", place.alias("place"))
+    size = placed.count()
+    own = states.where("state is not null").join(placed, "question_id").withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("place")))
+    found = own.groupBy("user_id").agg(F.min(F.when(F.col("n") != F.col("place"), F.col("n"))).alias("gap"), F.min(F.when(F.col("state") != right, F.col("place"))).alias("wrong"), F.count("*").alias("answered"), F.count_if(F.col("state") == right).alias("correct"))
+    x = states.select("user_id").distinct().join(found, "user_id", "left").na.fill(0, ["answered", "correct"])
+    after = F.when(F.col("answered") < size, F.col("answered") + 1)
+    x = x.withColumn("place", F.coalesce("gap", after, "wrong", F.lit(1)).cast("int")).join(placed, "place", "left")
+    return x.select("user_id", F.col("question_id").alias("next_question"), "answered", "correct", F.round(F.try_divide(F.lit(100.0) * F.col("correct"), F.col("answered"))).alias("rate"))

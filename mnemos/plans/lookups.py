@@ -263,7 +263,7 @@ SEASONED = (
 rs AS (SELECT season FROM (SELECT DISTINCT season FROM q) ORDER BY substr(season, 1, 4)::INT DESC, CASE WHEN contains(season, 'sommer') THEN 0 ELSE 1 END DESC LIMIT 4),
 st AS (SELECT topic, count(DISTINCT question_id) AS questions, count(DISTINCT season) AS seasons, count(DISTINCT CASE WHEN season IN (SELECT season FROM rs) THEN season END) AS recent_seasons FROM membership JOIN q USING (question_id) GROUP BY topic),
 an AS (SELECT topic, count(DISTINCT question_id) AS aq, count(*) AS answers, count(*) FILTER (correctness = 'richtig') AS correct, max(ts) AS last FROM membership JOIN latest USING (question_id) GROUP BY topic),
-rel AS (SELECT st.*, round(50.0::DOUBLE * questions / (SELECT count(*) FROM q) + 30.0::DOUBLE * seasons / (SELECT count(DISTINCT season) FROM q) + 20.0::DOUBLE * recent_seasons / 4, 6) AS relevance FROM st)
+rel AS (SELECT st.*, round(0.4::DOUBLE * questions / (SELECT count(*) FROM q) + 0.4::DOUBLE * seasons / (SELECT count(DISTINCT season) FROM q) + 0.2::DOUBLE * recent_seasons / 4, 6) AS relevance FROM st)
 """
 )
 
@@ -277,15 +277,15 @@ def _relevant(s, d):
     return topics.relevance(stats, size[0], size[1], 4)
 
 
-@query("SELECT topic, relevance, CASE WHEN relevance >= 60 THEN 'very_high' WHEN relevance >= 45 THEN 'high' WHEN relevance >= 25 THEN 'medium' ELSE 'low' END AS relevance_label FROM rel", SEASONED)
+@query("SELECT topic, relevance, CASE WHEN relevance >= 0.7 THEN 'very_high' WHEN relevance >= 0.5 THEN 'high' WHEN relevance >= 0.25 THEN 'medium' ELSE 'low' END AS relevance_label FROM rel", SEASONED)
 def a09_relevance(s, d):
     return _relevant(s, d).select("topic", "relevance", "relevance_label")
 
 
 @query(
     """, nd AS (SELECT topic, count(DISTINCT question_id) AS needed FROM membership JOIN latest USING (question_id) WHERE correctness = 'falsch' GROUP BY topic),
-p AS (SELECT topic, round(relevance + 25 * coalesce(needed / questions, 0) + 25 * coalesce((100 - CASE WHEN aq >= 3 THEN round(100.0::DOUBLE * correct / answers, 6) END) / 100, 0) + CASE WHEN coalesce(answers, 0) = 0 THEN 15 ELSE 0 END, 6) AS priority FROM rel LEFT JOIN an USING (topic) LEFT JOIN nd USING (topic))
-SELECT topic, priority, CASE WHEN priority >= 90 THEN 'now' WHEN priority >= 60 THEN 'soon' ELSE 'later' END AS priority_label FROM p""",
+p AS (SELECT topic, round(relevance + 2 * coalesce(needed / questions, 0) + CASE WHEN aq >= 3 AND round(100.0::DOUBLE * correct / answers, 6) < 60 THEN 1 - round(100.0::DOUBLE * correct / answers, 6) / 100 ELSE 0 END + CASE WHEN coalesce(answers, 0) = 0 THEN 0.25 ELSE 0 END, 6) AS priority FROM rel LEFT JOIN an USING (topic) LEFT JOIN nd USING (topic))
+SELECT topic, priority, CASE WHEN priority >= 0.9 THEN 'now' WHEN priority >= 0.5 THEN 'soon' ELSE 'later' END AS priority_label FROM p""",
     SEASONED,
 )
 def a10_priority(s, d):

@@ -285,8 +285,9 @@ sz AS (SELECT topic, count(*) AS questions, count(DISTINCT season) AS seasons, c
   arg_min(season, season[1:4]::INT * 2 + CASE WHEN contains(season, 'sommer') THEN 0 ELSE 1 END) AS first_season, arg_max(season, season[1:4]::INT * 2 + CASE WHEN contains(season, 'sommer') THEN 0 ELSE 1 END) AS last_season FROM membership JOIN seasons USING (question_id) GROUP BY topic),
 an AS (SELECT topic, count(DISTINCT question_id) AS aq, count(*) AS answers, count(*) FILTER (correctness = 'richtig') AS correct, max(ts) AS last_practiced FROM membership JOIN latest USING (question_id) GROUP BY topic),
 stats AS (SELECT sz.*, coalesce(aq, 0) AS answered_questions, coalesce(answers, 0) AS answers, coalesce(correct, 0) AS correct, last_practiced, CASE WHEN aq >= 3 THEN round(100.0::DOUBLE * correct / answers, 6) END AS accuracy,
-  round(50.0::DOUBLE * questions / (SELECT count(*) FROM inventory) + 30.0::DOUBLE * seasons / 10 + 20.0::DOUBLE * recent_seasons / 3, 6) AS relevance FROM sz LEFT JOIN an USING (topic)),
-labelled AS (SELECT *, CASE WHEN relevance >= 60 THEN 'very_high' WHEN relevance >= 45 THEN 'high' WHEN relevance >= 25 THEN 'medium' ELSE 'low' END AS relevance_label FROM stats)
+  round(0.4::DOUBLE * questions / (SELECT count(*) FROM inventory) + 0.4::DOUBLE * seasons / 10 + 0.2::DOUBLE * recent_seasons / 3, 6) AS relevance FROM sz LEFT JOIN an USING (topic)),
+labelled AS (SELECT *, CASE WHEN relevance >= 0.7 THEN 'very_high' WHEN relevance >= 0.5 THEN 'high' WHEN relevance >= 0.25 THEN 'medium' ELSE 'low' END AS relevance_label FROM stats),
+candidates AS (SELECT DISTINCT topic FROM membership m WHERE NOT EXISTS (SELECT 1 FROM membership c JOIN nodes n ON n.id = c.topic WHERE n.parent_id = m.topic AND c.question_id = m.question_id))
 """
 )
 
@@ -298,6 +299,10 @@ def _stats(s, d) -> DataFrame:
     return topics.relevance(out, q.count(), 10, 3)
 
 
+def _candidates(s, d) -> DataFrame:
+    return topics.candidates(topics.members(_classified(s, d), _nodes(s, d)), _nodes(s, d))
+
+
 @query("SELECT * FROM membership", BANK)
 def j12_topic_membership(s, d):
     return topics.members(_classified(s, d), _nodes(s, d))
@@ -308,27 +313,27 @@ def a08_topic_statistics(s, d):
     return _stats(s, d)
 
 
-@query("SELECT topic, relevance, questions FROM labelled ORDER BY relevance DESC, questions DESC, topic LIMIT 8", SEASONS)
+@query("SELECT topic, relevance, questions FROM labelled SEMI JOIN candidates USING (topic) ORDER BY relevance DESC, questions DESC, topic LIMIT 8", SEASONS)
 def o09_frequent_topics(s, d):
-    return topics.frequent(_stats(s, d)).select("topic", "relevance", "questions")
+    return topics.frequent(_stats(s, d).join(_candidates(s, d), "topic", "left_semi")).select("topic", "relevance", "questions")
 
 
 @query(
     """, need AS (SELECT topic, count(DISTINCT question_id) AS needed FROM membership JOIN latest USING (question_id) WHERE correctness = 'falsch' GROUP BY topic),
-p AS (SELECT l.topic, last_practiced, round(relevance + 25 * coalesce(needed, 0)::DOUBLE / questions + 25 * coalesce((100 - accuracy) / 100, 0) + CASE WHEN answers = 0 THEN 15 ELSE 0 END, 6) AS priority FROM labelled l LEFT JOIN need USING (topic))
-SELECT topic, priority, CASE WHEN priority >= 90 THEN 'now' WHEN priority >= 60 THEN 'soon' ELSE 'later' END AS priority_label, row_number() OVER (ORDER BY priority DESC, coalesce(last_practiced, TIMESTAMP '1970-01-01'), topic) AS rank FROM p""",
+p AS (SELECT l.topic, last_practiced, round(relevance + 2 * coalesce(needed, 0)::DOUBLE / questions + CASE WHEN accuracy < 60 THEN 1 - accuracy / 100 ELSE 0 END + CASE WHEN answers = 0 THEN 0.25 ELSE 0 END, 6) AS priority FROM labelled l SEMI JOIN candidates c ON c.topic = l.topic LEFT JOIN need USING (topic))
+SELECT topic, priority, CASE WHEN priority >= 0.9 THEN 'now' WHEN priority >= 0.5 THEN 'soon' ELSE 'later' END AS priority_label, row_number() OVER (ORDER BY priority DESC, coalesce(last_practiced, TIMESTAMP '1970-01-01'), topic) AS rank FROM p""",
     SEASONS,
 )
 def o10_ranked_topics(s, d):
     needs = topics.members(_classified(s, d), _nodes(s, d)).join(_latest(s, d).where("correctness = 'falsch'"), "question_id").groupBy("topic").agg(F.count_distinct("question_id").alias("needed"))
-    return topics.ranked(topics.priority(_stats(s, d), needs)).select("topic", "priority", "priority_label", "rank")
+    return topics.ranked(topics.priority(_stats(s, d).join(_candidates(s, d), "topic", "left_semi"), needs)).select("topic", "priority", "priority_label", "rank")
 
 
-CUES = {"contract": r"(^|[^a-z])the [a-z]+ of ", "law": r"(^|[^a-z])der ", "tax": r"(^|[^a-z])que ", "pay": r"(^|[^a-z])les? ", "rent": r"\$\$\$"}
+CUES = {"contract": r"of the [aeiou]", "law": r"uber|fur [bdf]", "tax": r"que .{0,3}est", "pay": r"les [aeiou]", "rent": r"\$\$\$"}
 TEXTS = (
-    """WITH st AS (SELECT doc_id, source, lang, text, lower(substr(split_part(text, '?', 1), 1, 700)) AS stem FROM documents),
+    """WITH st AS (SELECT doc_id, source, lang, text, replace(replace(replace(regexp_replace(strip_accents(replace(lower(substr(split_part(text, '?', 1), 1, 700)), 'ß', 'ss')), '[^\x00-\x7F]', '', 'g'), '-' || chr(10), ''), chr(10), ''), ' ', '') AS stem FROM documents),
 hits AS (SELECT doc_id, source, list_filter(["""
-    + ", ".join(f"CASE WHEN regexp_matches(stem, '{p}') THEN '{t}' END" for t, p in CUES.items())
+    + ", ".join(f"CASE WHEN regexp_matches(stem, '{p.replace(" ", "")}') THEN '{t}' END" for t, p in CUES.items())
     + """], lambda x: x IS NOT NULL) AS topics, text FROM st)
 """
 )
@@ -339,19 +344,33 @@ def _hits(s, d) -> DataFrame:
     return topics.cue_hits(docs, CUES)
 
 
-@query("SELECT doc_id, array_to_string(topics, ',') AS topics, length(trim(text)) >= 30 AND len(regexp_extract_all(text, '[A-Za-z]{2,}')) >= 5 AND NOT contains(text, chr(65533)) AS usable FROM hits", TEXTS)
+@query("SELECT doc_id, array_to_string(topics, ',') AS topics, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 60 AND len(regexp_extract_all(text, '[A-Za-zÄÖÜäöüß]{3,}')) >= 4 AND len(regexp_extract_all(text, '[A-Za-zÄÖÜäöüß]')) >= 45 AND len(regexp_extract_all(text, chr(65533))) < 3 AS usable FROM hits", TEXTS)
 def c05_text_topics(s, d):
     return _hits(s, d).select("doc_id", F.array_join("topics", ",").alias("topics"), topics.usable(F.col("text")).alias("usable"))
 
 
-@query("SELECT topic, count(DISTINCT source) AS seasons, count(*) AS questions FROM (SELECT source, unnest(topics) AS topic FROM hits) GROUP BY topic HAVING count(DISTINCT source) >= 3", TEXTS)
+@query(
+    """SELECT topic, count(DISTINCT source) AS seasons, count(*) AS questions FROM (SELECT source, unnest(topics) AS topic FROM hits WHERE doc_id % 3 > 0 AND doc_id % 5 <> 1 AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 60 AND len(regexp_extract_all(text, '[A-Za-zÄÖÜäöüß]{3,}')) >= 4
+  AND len(regexp_extract_all(text, '[A-Za-zÄÖÜäöüß]')) >= 45 AND len(regexp_extract_all(text, chr(65533))) < 3) GROUP BY topic HAVING count(DISTINCT source) >= 3""",
+    TEXTS,
+)
 def a27_topic_proposals(s, d):
-    return topics.proposals(_hits(s, d), "source")
+    """Of unclassified and certain texts."""
+    k = F.col("doc_id")
+    return topics.proposals(_hits(s, d).withColumns({"classified": k % 3 == 0, "confidence": F.when(k % 5 == 1, 0.8).otherwise(0.85)}), "source")
 
 
-@query("SELECT doc_id, CASE WHEN n_chars % 100 >= 95 THEN 'accepted' WHEN n_chars % 100 >= 80 THEN 'review' ELSE 'rejected' END AS status FROM documents", "")
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'locked' WHEN doc_id % 5 = 0 OR score IS NULL OR score < 0.8 THEN 'classification_needs_review' WHEN score < 0.95 THEN 'machine_suggested' ELSE 'machine_accepted_high_confidence' END AS status
+FROM (SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN (n_chars % 100) / 100::DOUBLE END AS score FROM documents)""",
+    "",
+)
 def c08_policy(s, d):
-    return table(s, d, "documents").select("doc_id", topics.policy((F.col("n_chars") % 100) / F.lit(100.0)).alias("status"))
+    """Scores of every hundredth and null, locked rows, rows without topics."""
+    k = F.col("doc_id")
+    score = F.when(k % 7 > 0, F.col("n_chars") % 100 / F.lit(100.0))
+    topic = F.when(k % 5 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))
+    return table(s, d, "documents").select("doc_id", topics.policy(score, topic, F.when(k % 9 == 0, True)).alias("status"))
 
 
 # --- sessions: conversations as sessions, events as their actions -----------------------------------------------
@@ -411,10 +430,8 @@ SELECT user_id, arg_min(question_id, (CASE WHEN state IS NULL THEN 0 WHEN state
 )
 def w09_next_question_whole(s, d):
     """Over all questions."""
-    latest = _latest(s, d)
-    grid = latest.select("user_id").distinct().crossJoin(inventory(s, d).select("question_id"))
-    grid = grid.join(latest.select("user_id", "question_id", F.col("correctness").alias("state")), ["user_id", "question_id"], "left").withColumn("pos", F.col("question_id"))
-    return sessions.next_question(grid)
+    states = _latest(s, d).select("user_id", "question_id", F.col("correctness").alias("state"))
+    return sessions.next_question(inventory(s, d).select("question_id", F.col("question_id").alias("pos")), states)
 
 
 @query("SELECT c_custkey, count(*) AS open FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'O' GROUP BY c_custkey HAVING count(*) > 1", "")
@@ -471,21 +488,24 @@ def j22_knowledge_as_of(s, d):
     return registry.resolve(v, "1997-06-01")
 
 
-STAGE_SQL = "list_position(['registered', 'cached', 'profiled', 'segmented', 'validated', 'answered', 'reviewed', 'approved', 'production'], stage) - 1"
+STAGE_SQL = "list_position(['registered', 'hash_verified', 'profile_matched', 'layout_validated', 'preview_ready', 'formal_segmented', 'answers_extracted', 'validated', 'production'], stage) - 1"
 
 
 @query(
-    f"""WITH e AS (SELECT l_orderkey AS source_id, l_linenumber AS seq, ['registered', 'cached', 'profiled', 'segmented', 'validated', 'answered', 'reviewed', 'approved', 'production'][1 + (CASE WHEN l_partkey % 6 = 0 THEN l_linenumber ELSE l_linenumber - 1 END)::INT % 9] AS stage FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS l_linenumber FROM lineitem)),
-x AS (SELECT *, {STAGE_SQL} AS i, coalesce(lag({STAGE_SQL}) OVER (PARTITION BY source_id ORDER BY seq), -1) AS before FROM e)
-SELECT source_id, seq::INT AS seq, stage, before::BIGINT AS before FROM x WHERE i <> before + 1""",
+    f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq FROM lineitem),
+e AS (SELECT l_orderkey AS source_id, seq, CASE WHEN l_suppkey % 11 = 0 THEN 'blocked' ELSE ['registered', 'hash_verified', 'profile_matched', 'layout_validated', 'preview_ready', 'formal_segmented', 'answers_extracted', 'validated', 'production'][1 + ((seq + CASE WHEN l_partkey % 6 = 0 THEN 0 ELSE 8 END + 4 * (l_orderkey % 2)) % 9)::INT] END AS stage,
+ CASE WHEN l_suppkey % 2 = 0 THEN 'why' END AS reason FROM n),
+x AS (SELECT *, {STAGE_SQL} AS i, lag(stage) OVER w AS before, lag({STAGE_SQL}) OVER w AS last, row_number() OVER w = 1 AS first FROM e WINDOW w AS (PARTITION BY source_id ORDER BY seq))
+SELECT source_id, seq::INT AS seq, stage, before FROM x WHERE NOT coalesce(CASE WHEN stage = 'blocked' THEN reason IS NOT NULL AND NOT first AND before <> 'production' AND before <> 'blocked' WHEN first THEN i = 0 ELSE before <> 'blocked' AND i = last + 1 END, FALSE)""",
     "",
 )
 def t25_stage_order(s, d):
+    """Each order's lines as the events of a source, some of them blocks with and without a reason; half of the sources begin late."""
     n = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("source_id"), "l_partkey", n.alias("seq"))
-    index = F.when(F.col("l_partkey") % 6 == 0, F.col("seq")).otherwise(F.col("seq") - 1) % 9
-    stage = F.element_at(F.array(*[F.lit(x) for x in registry.STAGES]), (index + 1).cast("int"))
-    return registry.stage_violations(li.select("source_id", "seq", F.col("seq").alias("at"), stage.alias("stage")))
+    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("source_id"), "l_partkey", "l_suppkey", n.alias("seq"))
+    index = (F.col("seq") + F.when(F.col("l_partkey") % 6 == 0, 0).otherwise(8) + 4 * (F.col("source_id") % 2)) % 9
+    stage = F.when(F.col("l_suppkey") % 11 == 0, registry.BLOCKED).otherwise(F.element_at(F.array(*[F.lit(x) for x in registry.STAGES]), (index + 1).cast("int")))
+    return registry.stage_violations(li.select("source_id", "seq", F.col("seq").alias("at"), stage.alias("stage"), F.when(F.col("l_suppkey") % 2 == 0, "why").alias("reason")))
 
 
 @query("SELECT o_orderkey, substr(sha256(concat_ws('|', o_custkey, o_orderpriority)), 1, 24) AS id FROM orders", "")
@@ -618,7 +638,7 @@ def c23_route(s, d):
 # --- progress, history, lookups ---------------------------------------------------------------------------------
 
 RUNS = """WITH a AS (SELECT event_id AS attempt_id, user_id, CAST(props->>'$.k' AS INT) AS question_id, 1 + CAST(props->>'$.k' AS INT) % 3 AS generation, event_id % 17 AS progress_order, ts,
-  CASE event_type WHEN 'purchase' THEN 'correct' WHEN 'click' THEN 'partial' WHEN 'error' THEN 'incorrect' ELSE 'open' END AS state, CASE WHEN event_id % 3 = 0 THEN event_type ELSE ' ' END AS note FROM events),
+  CASE event_type WHEN 'purchase' THEN 'correct' WHEN 'click' THEN 'partial' WHEN 'error' THEN 'incorrect' ELSE 'unanswered' END AS state, CASE WHEN event_id % 3 = 0 THEN event_type ELSE ' ' END AS note FROM events),
 n AS (SELECT user_id, max(generation) AS generation FROM a GROUP BY user_id)
 """
 

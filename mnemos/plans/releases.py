@@ -800,9 +800,12 @@ def u09_bundles_equal(s, d):
     return x.select("bundle", bank.set_equal(F.col("a"), other).alias("same"))
 
 
-@query("SELECT doc_id, regexp_matches(lower(substr(split_part(text, '?', 1), 1, 700)), ' und ') AS hit FROM documents")
+@query(
+    "SELECT doc_id, regexp_matches(replace(replace(replace(regexp_replace(strip_accents(replace(lower(substr(split_part(text, '?', 1), 1, 700)), 'ß', 'ss')), '[^\\x00-\\x7F]', '', 'g'), '-' || chr(10), ''), chr(10), ''), ' ', ''), 'und[aeiou]|mussen') AS hit FROM documents"
+)
 def c06_stem_rules(s, d):
-    x = topics.cue_hits(table(s, d, "documents").select("doc_id", "text"), {"und": " und "})
+    """One rule on stems without blanks and accents."""
+    x = topics.cue_hits(table(s, d, "documents").select("doc_id", "text"), {"und": " und [aeiou]|mussen"})
     return x.select("doc_id", F.array_contains("topics", "und").alias("hit"))
 
 

@@ -149,9 +149,11 @@ def f26_in_run(s, d):
     return table(s, d, "events").where(progress.in_run(F.when(k % 3 > 0, k % 3), F.col("user_id") % 2 + 1, k % 5 == 0)).select("event_id")
 
 
-@query("SELECT attempt_id, CASE correctness WHEN 'richtig' THEN 'correct' WHEN 'teilweise' THEN 'partial' WHEN 'falsch' THEN 'incorrect' ELSE 'open' END AS state FROM attempts", SQL)
+@query("SELECT attempt_id, CASE WHEN attempt_id % 7 = 0 THEN 'partial' WHEN correctness IS NULL THEN 'unanswered' WHEN correctness = 'richtig' THEN 'correct' WHEN correctness = 'falsch' THEN 'incorrect' ELSE 'partial' END AS state FROM attempts", SQL)
 def f27_states(s, d):
-    return attempts(s, d).select("attempt_id", progress.state_of(F.col("correctness")).alias("state"))
+    """Every seventh attempt has a grade that no rule names."""
+    grade = F.when(F.col("attempt_id") % 7 == 0, "fast richtig").otherwise(F.col("correctness"))
+    return attempts(s, d).select("attempt_id", progress.state_of(grade).alias("state"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 2 = 0 THEN l_linenumber BETWEEN 1 AND 5 ELSE l_suppkey % 3 = 1 END AS answered FROM lineitem")
@@ -174,9 +176,19 @@ def f33_modules_of_files(s, d):
     return table(s, d, "part").select("p_partkey", fn.module_of(name).alias("module"))
 
 
-@query("SELECT doc_id, length(trim(text, ' ')) >= 30 AND len(regexp_extract_all(text, '[A-Za-z]{2,}')) >= 5 AND NOT contains(text, chr(65533)) AS usable FROM documents")
+#: The rule on a text that is cut by key to every length, with replacement characters in some.
+USABLE = """length(regexp_replace(cut, '^\\s+|\\s+$', '', 'g')) >= 60 AND len(regexp_extract_all(cut, '[A-Za-zÄÖÜäöüß]{3,}')) >= 4 AND len(regexp_extract_all(cut, '[A-Za-zÄÖÜäöüß]')) >= 45 AND len(regexp_extract_all(cut, chr(65533))) < 3"""
+CUT = """WITH c AS (SELECT doc_id, left(text, (30 + doc_id % 90)::INT) || repeat(chr(65533), (doc_id % 5)::INT) || repeat(' ', (doc_id % 3)::INT) AS cut FROM documents) """
+
+
+def _cut(s, d):
+    text = F.concat(F.substring(F.col("text"), F.lit(1), (30 + F.col("doc_id") % 90).cast("int")), F.repeat(F.lit("\ufffd"), (F.col("doc_id") % 5).cast("int")), F.repeat(F.lit(" "), (F.col("doc_id") % 3).cast("int")))
+    return table(s, d, "documents").select("doc_id", text.alias("text"))
+
+
+@query(f"SELECT doc_id, {USABLE} AS usable FROM c", CUT)
 def f34_usable_texts(s, d):
-    return table(s, d, "documents").select("doc_id", topics.usable(F.col("text")).alias("usable"))
+    return _cut(s, d).select("doc_id", topics.usable(F.col("text")).alias("usable"))
 
 
 @query("SELECT session_id FROM sessions WHERE discarded_at IS DISTINCT FROM deleted_at", SESSIONS)
@@ -233,10 +245,10 @@ def c07_stems(s, d):
     return table(s, d, "documents").select("doc_id", F.md5(topics.stem(F.col("text"))).alias("stem"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 10 >= 8 AND length(trim(text, ' ')) >= 30 AND len(regexp_extract_all(text, '[A-Za-z]{2,}')) >= 5 AND NOT contains(text, chr(65533)) THEN length(text) ELSE 0 END AS n FROM documents")
+@query(f"SELECT doc_id, CASE WHEN doc_id % 10 >= 8 AND {USABLE} THEN length(cut) ELSE 0 END AS n FROM c", CUT)
 def c09_trusted_texts(s, d):
     sure = F.when(F.col("doc_id") % 10 >= 8, 0.85).when(F.col("doc_id") % 10 < 7, 0.8)
-    return table(s, d, "documents").select("doc_id", F.length(topics.trusted_text(F.col("text"), sure)).cast("long").alias("n"))
+    return _cut(s, d).select("doc_id", F.length(topics.trusted_text(F.col("text"), sure)).cast("long").alias("n"))
 
 
 @query(
@@ -283,9 +295,12 @@ def c18_minutes(s, d):
     return table(s, d, "part").select("p_partkey", fn.minutes(text).alias("minutes"))
 
 
-@query("SELECT o_orderkey, CASE WHEN month(o_orderdate) < 7 THEN 'Sommer ' ELSE 'Winter ' END || year(o_orderdate) AS label FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN o_orderpriority WHEN month(o_orderdate) < 7 THEN 'Sommer ' || year(o_orderdate) ELSE 'Winter ' || year(o_orderdate) || '/' || lpad(((year(o_orderdate) + 1) % 100)::VARCHAR, 2, '0') END AS label FROM orders")
 def c19_season_labels(s, d):
-    season = F.concat(F.year("o_orderdate").cast("string"), F.when(F.month("o_orderdate") < 7, "-sommer").otherwise("-winter"))
+    """Winter terms name two years; what is no term stays as it is."""
+    year = F.year("o_orderdate")
+    winter = F.concat(year.cast("string"), F.lit("-"), F.lpad(((year + 1) % 100).cast("string"), 2, "0"), F.lit("-winter"))
+    season = F.when(F.col("o_orderkey") % 10 == 0, F.col("o_orderpriority")).when(F.month("o_orderdate") < 7, F.concat(year.cast("string"), F.lit("-sommer"))).otherwise(winter)
     return table(s, d, "orders").select("o_orderkey", fn.season_label(season).alias("label"))
 
 

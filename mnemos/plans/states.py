@@ -299,7 +299,7 @@ def t23_started_trainings(s, d):
 
 @query(
     """, g AS (SELECT u.user_id, i.module, i.question_id, l.correctness FROM (SELECT DISTINCT user_id FROM latest) u CROSS JOIN inventory i LEFT JOIN latest l ON l.user_id = u.user_id AND l.question_id = i.question_id)
-SELECT user_id, module, count(*) AS total, count(correctness) AS completed, count(*) FILTER (correctness = 'richtig') AS correct, round(100.0::DOUBLE * count(*) FILTER (correctness = 'richtig') / count(*)) AS rate,
+SELECT user_id, module, count(*) AS total, count(correctness) AS completed, count(*) FILTER (correctness = 'richtig') AS correct, round(100.0::DOUBLE * count(*) FILTER (correctness = 'richtig') / nullif(count(correctness), 0)) AS rate,
  coalesce(list_sort(list(question_id) FILTER (correctness IS NOT NULL)), [])::VARCHAR AS done, arg_min(question_id, (CASE WHEN correctness IS NULL THEN 0 WHEN correctness <> 'richtig' THEN 1 ELSE 2 END, question_id)) AS resume FROM g GROUP BY user_id, module""",
     SQL,
 )

@@ -74,8 +74,21 @@ def test_combined_and_numbers(spark):
 
 
 def test_policy_edges(spark):
-    df = spark.createDataFrame([(x,) for x in (0.799, 0.8, 0.949, 0.95, 1.0)], "s double")
-    assert [r[0] for r in df.select(topics.policy(F.col("s"))).collect()] == ["rejected", "review", "review", "accepted", "accepted"]
+    rows = [(0.799, [1], None), (0.8, [1], False), (0.949, [1], False), (0.95, [1], None), (1.0, [], False), (1.0, None, None), (None, [1], None), (0.1, [], True)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "s double, t array<int>, l boolean, i int").orderBy("i")
+    review, suggested, accepted = "classification_needs_review", "machine_suggested", "machine_accepted_high_confidence"
+    assert [r[0] for r in df.select(topics.policy(F.col("s"), F.col("t"), F.col("l"))).collect()] == [review, suggested, suggested, accepted, review, review, review, "locked"]
+    texts = spark.createDataFrame([(t, i) for i, t in enumerate(["wörter " * 9, "wörter " * 8, "wörter " * 9 + "\ufffd" * 3, "a1 " * 40, "\n" + "wör ter " * 8 + "\t"])], "t string, i int").orderBy("i")
+    assert [r[0] for r in texts.select(topics.usable(F.col("t"))).collect()] == [True, False, False, False, False]
+    seasons = spark.createDataFrame([(x, i) for i, x in enumerate(["2024-25-winter", "2018-sommer", "2017-18-Winter", "x", None])], "s string, i int").orderBy("i")
+    assert [r[0] for r in seasons.select(fn.season_label(F.col("s"))).collect()] == ["Winter 2024/25", "Sommer 2018", "2017-18-Winter", "x", None]
+
+
+def test_where_to_go_on(spark):
+    questions = spark.createDataFrame([(10, 1), (11, 2), (12, 3)], "question_id int, pos int")
+    states = [("none", 10, None), ("gap", 10, "richtig"), ("gap", 12, "falsch"), ("tail", 10, "falsch"), ("tail", 11, "richtig"), ("wrong", 10, "richtig"), ("wrong", 11, "teilweise"), ("wrong", 12, "falsch"), *[("done", q, "richtig") for q in (10, 11, 12)], ("alien", 99, "richtig")]
+    got = {r.user_id: r.next_question for r in sessions.next_question(questions, spark.createDataFrame(states, "user_id string, question_id int, state string")).collect()}
+    assert got == {"none": 10, "gap": 11, "tail": 12, "wrong": 11, "done": 10, "alien": 10}
 
 
 def test_canonical_definition(spark):
