@@ -44,7 +44,7 @@ def season_label(season: Column) -> Column:
     """2024-sommer as Sommer 2024, 2024-25-winter as Winter 2024/25; anything else as it is."""
     part = lambda i: F.regexp_extract(season, r"^(\d{4})(?:-(\d{2}))?-(sommer|winter)$", i)
     years = F.when(part(2) == "", part(1)).otherwise(F.concat_ws("/", part(1), part(2)))
-    return F.when(part(1) == "", season).otherwise(F.concat_ws(" ", F.initcap(part(3)), years))
+    return F.when(season.isNull() | (part(1) == ""), season).otherwise(F.concat_ws(" ", F.initcap(part(3)), years))
 
 
 def route(url: Column, key: str) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemos.functions.folding import sorted_fold
+
 ARCHIVED = ("abandoned", "discarded")
 
 
@@ -74,28 +79,96 @@ def score(items: DataFrame) -> DataFrame:
     )
 
 
-#: Which action leads where; all others leave a session as it is.
-MOVES = {("active", "pause"): "paused", ("paused", "resume"): "active", ("active", "complete"): "completed", ("paused", "complete"): "completed", ("active", "abandon"): "abandoned", ("paused", "abandon"): "abandoned", ("completed", "discard"): "discarded", ("abandoned", "discard"): "discarded"}
+#: Which action leads where, of those that only need a status; discard, restore, answer, move and assess have rules of their own.
+MOVES = {("active", "pause"): "paused", ("paused", "resume"): "active", ("active", "submit"): "completed", ("paused", "submit"): "completed", ("active", "abandon"): "abandoned", ("paused", "abandon"): "abandoned"}
+GRADES = ("richtig", "teilweise", "falsch")
+
+
+@dataclass
+class Session:
+    """One session's state; ``since`` is set while it runs."""
+
+    status: str = "active"
+    revision: int = 0
+    elapsed: int = 0
+    since: int | None = None
+    previous: str | None = None
+    current: int | None = None
+    answers: dict = field(default_factory=dict)
+    assessments: dict = field(default_factory=dict)
+    refused: int = 0
+
+    def ran(self, at: int) -> int:
+        return self.elapsed + (max(0, at - self.since) if self.status == "active" and self.since is not None else 0)
+
+    def answered(self, question: int, kind: str) -> bool:
+        own = self.answers.get(question, {})
+        return own.get("choice", "") in ("1", "2", "3", "4", "5") if kind == "multiple_choice" else any(v.strip() for v in own.values())
+
+    def act(self, a: dict) -> bool:
+        """Applies an action that fits; the revision counts those."""
+        fits = self._apply(a)
+        self.revision, self.refused = self.revision + fits, self.refused + (not fits)
+        return fits
+
+    def _apply(self, a: dict) -> bool:
+        action, at, question, kind, parts, value = a["action"], a["at"], a["question_id"], a["kind"], a["parts"] or [], a["value"]
+        if action == "answer":
+            own = json.loads(value) if value else {}
+            allowed = ["choice"] if kind == "multiple_choice" else parts
+            if self.status != "active" or kind is None or any(k not in allowed or not isinstance(v, str) for k, v in own.items()) or (kind == "multiple_choice" and own.get("choice", "") not in ("", "1", "2", "3", "4", "5")):
+                return False
+            self.answers[question] = own
+        elif action == "move":
+            if self.status in ARCHIVED or kind is None:
+                return False
+            self.current = question
+        elif action == "assess":
+            own = json.loads(value) if value else {}
+            if self.status != "completed" or kind != "multi_part" or not self.answered(question, kind) or any(k not in parts or v not in GRADES for k, v in own.items()):
+                return False
+            self.assessments[question] = own
+        elif action == "discard":
+            if self.status == "discarded":
+                return False
+            self.elapsed, self.since, self.previous, self.status = self.ran(at), None, self.status, "discarded"
+        elif action == "restore":
+            if self.status != "discarded" or self.previous is None:
+                return False
+            self.status, self.previous, self.since = "paused" if self.previous == "active" else self.previous, None, None
+        else:
+            to = MOVES.get((self.status, action))
+            if to is None:
+                return False
+            self.elapsed = self.ran(at)
+            self.status, self.since = to, at if to == "active" else None
+        return True
+
+
+def fold(actions: DataFrame, models: DataFrame, key: str = "session_id") -> DataFrame:
+    """Each session after its actions in order: status, revision (accepted actions), elapsed milliseconds, current question, answered and assessed questions, refused actions.
+
+    ``actions``: key, seq, at in ms, action, question_id and value (JSON: ``choice`` or parts of an answer, or grades of parts);
+    ``models``: key, question_id, kind and parts of the session's questions. A session begins, running, at its first action. An action
+    that its status, question or value doesn't allow changes nothing. Actions pass one after the other, however many they are.
+    """
+    rows = actions.join(models.select(key, "question_id", "kind", "parts"), [key, "question_id"], "left")
+    rows = rows.select(key, F.col("seq").cast("long").alias("seq"), F.col("at").cast("long").alias("at"), "action", F.col("question_id").cast("long").alias("question_id"), "value", "kind", "parts")
 
+    def start(row: dict) -> tuple:
+        return row[key], Session(since=row["at"])
 
-def fold(actions: DataFrame, key: str = "session_id") -> DataFrame:
-    """Status, revision (accepted actions) and elapsed milliseconds of a session after its actions (action, at in ms, seq), in order.
+    def step(state: tuple, row: dict) -> tuple:
+        state[1].act(row)
+        return ()
 
-    A session's actions are folded in one row: they are bounded by what one person does in one exam.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "action", "at")))
-    x = actions.groupBy(key).agg(ordered.alias("acts"))
-    start = F.struct(F.lit("active").alias("status"), F.lit(0).cast("long").alias("revision"), F.lit(0).cast("long").alias("elapsed"), F.col("acts")[0]["at"].alias("since"))
-
-    def step(s, a):
-        to = F.lit(None).cast("string")
-        for (status, action), target in MOVES.items():
-            to = F.when((s["status"] == status) & (a["action"] == action), target).otherwise(to)
-        moved = to.isNotNull()
-        ran = F.when(moved & (s["status"] == "active"), F.greatest(F.lit(0).cast("long"), a["at"] - s["since"])).otherwise(F.lit(0).cast("long"))
-        return F.struct(F.coalesce(to, s["status"]).alias("status"), (s["revision"] + moved.cast("long")).alias("revision"), (s["elapsed"] + ran).alias("elapsed"), F.when(moved & (to == "active"), a["at"]).otherwise(s["since"]).alias("since"))
-
-    return x.select(key, F.aggregate("acts", start, step).alias("s")).select(key, "s.status", "s.revision", "s.elapsed")
+    def finish(state: tuple) -> tuple:
+        own, s = state
+        answered = sum(any(v.strip() for v in x.values()) for x in s.answers.values())
+        return ({key: own, "status": s.status, "revision": s.revision, "elapsed": s.elapsed, "current_question": s.current, "answered": answered, "assessed": len(s.assessments), "refused": s.refused},)
+
+    kinds = {key: rows.schema[key].dataType.simpleString(), "status": "string", "revision": "long", "elapsed": "long", "current_question": "long", "answered": "long", "assessed": "long", "refused": "long"}
+    return sorted_fold(rows, [key], ["seq"], start, step, finish, kinds)
 
 
 def elapsed(base: Column, since: Column, now: Column, active: Column) -> Column:

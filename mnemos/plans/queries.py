@@ -402,25 +402,43 @@ def a15_combined_assessment(s, d):
 
 
 def _actions(events: DataFrame) -> DataFrame:
-    kind = F.col("event_type")
-    action = F.when(kind == "view", "pause").when(kind == "click", "resume").when(kind == "signup", "complete").when(kind == "error", "abandon").otherwise("discard")
-    return events.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("at"), action.alias("action"))
-
-
-@query(
-    """WITH RECURSIVE acts AS (SELECT user_id AS session_id, event_id AS seq, (epoch_us(ts) // 1000)::BIGINT AS at, CASE event_type WHEN 'view' THEN 'pause' WHEN 'click' THEN 'resume' WHEN 'signup' THEN 'complete' WHEN 'error' THEN 'abandon' ELSE 'discard' END AS action,
-  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, min_by((epoch_us(ts) // 1000)::BIGINT, event_id) OVER (PARTITION BY user_id) AS first_at FROM events),
-f AS (SELECT session_id, 0::BIGINT AS n, 'active' AS status, 0::BIGINT AS revision, 0::BIGINT AS elapsed, first_at AS since FROM acts WHERE n = 1
- UNION ALL SELECT f.session_id, a.n, coalesce(t.target, f.status), f.revision + (t.target IS NOT NULL)::BIGINT, f.elapsed + CASE WHEN t.target IS NOT NULL AND f.status = 'active' THEN greatest(0, a.at - f.since) ELSE 0 END, CASE WHEN t.target = 'active' THEN a.at ELSE f.since END
- FROM f JOIN acts a ON a.session_id = f.session_id AND a.n = f.n + 1
- LEFT JOIN (VALUES ('active', 'pause', 'paused'), ('paused', 'resume', 'active'), ('active', 'complete', 'completed'), ('paused', 'complete', 'completed'), ('active', 'abandon', 'abandoned'), ('paused', 'abandon', 'abandoned'), ('completed', 'discard', 'discarded'), ('abandoned', 'discard', 'discarded')) t(status, action, target)
- ON t.status = f.status AND t.action = a.action)
-SELECT session_id, status, revision, elapsed FROM f QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC) = 1""",
+    """Each event as one of nine actions on a question of its user's session, with values that fit and others."""
+    e, k, kind = F.col("event_id"), F.get_json_object("props", "$.k").cast("int"), F.col("event_type")
+    action = F.when(e % 13 == 0, "restore").when(e % 11 == 0, "discard").when(kind == "view", F.when(k % 3 == 0, "pause").otherwise("move")).when(kind == "click", "answer").when(kind == "signup", F.when(k % 4 == 0, "submit").otherwise("resume")).when(kind == "error", F.when(k % 6 == 0, "abandon").otherwise("resume")).otherwise("assess")
+    part = F.when(k % 7 == 0, "9").otherwise((k % 2 + 1).cast("string"))
+    text = F.when(k % 2 == 0, F.concat(F.lit('{"choice":"'), (k % 7).cast("string"), F.lit('"}'))).otherwise(F.concat(F.lit('{"'), part, F.lit('":"'), F.when(k % 5 == 0, " ").otherwise("text"), F.lit('"}')))
+    grade = F.concat(F.lit('{"'), part, F.lit('":"'), F.when(k % 9 == 0, "gut").when(k % 3 == 0, "richtig").otherwise("falsch"), F.lit('"}'))
+    return events.select(F.col("user_id").alias("session_id"), e.alias("seq"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("at"), action.alias("action"), (k % 12).cast("long").alias("question_id"), F.when(action == "answer", text).when(action == "assess", grade).alias("value"))
+
+
+def _models(events: DataFrame) -> DataFrame:
+    """Ten questions of each session: even ones have a choice, odd ones two parts."""
+    q = events.select(F.col("user_id").alias("session_id")).distinct().withColumn("question_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
+    even = F.col("question_id") % 2 == 0
+    return q.select("session_id", "question_id", F.when(even, "multiple_choice").otherwise("multi_part").alias("kind"), F.when(even, F.array().cast("array<string>")).otherwise(F.array(F.lit("1"), F.lit("2"))).alias("parts"))
+
+
+@query(
+    """WITH RECURSIVE acts AS (SELECT user_id AS session_id, event_id AS seq, (epoch_us(ts) // 1000)::BIGINT AS ms, k % 12 AS q, k,
+  CASE WHEN event_id % 13 = 0 THEN 'restore' WHEN event_id % 11 = 0 THEN 'discard' WHEN event_type = 'view' THEN CASE WHEN k % 3 = 0 THEN 'pause' ELSE 'move' END WHEN event_type = 'click' THEN 'answer' WHEN event_type = 'signup' THEN CASE WHEN k % 4 = 0 THEN 'submit' ELSE 'resume' END
+   WHEN event_type = 'error' THEN CASE WHEN k % 6 = 0 THEN 'abandon' ELSE 'resume' END ELSE 'assess' END AS action, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, min_by((epoch_us(ts) // 1000)::BIGINT, event_id) OVER (PARTITION BY user_id) AS first_ms
+  FROM (SELECT *, CAST(props->>'$.k' AS INT) AS k FROM events)),
+-- k is even where q is: a choice for a choice question, a part for one in parts; choices 0 and 6 and part 9 don't exist
+f AS (SELECT session_id, 0::BIGINT AS n, 'active' AS status, 0::BIGINT AS revision, 0::BIGINT AS elapsed, first_ms AS since, NULL::VARCHAR AS previous, NULL::BIGINT AS current, []::BIGINT[] AS filled, []::BIGINT[] AS assessed, 0::BIGINT AS refused FROM acts WHERE n = 1
+ UNION ALL SELECT session_id, n, CASE WHEN NOT ok THEN status WHEN action = 'discard' THEN 'discarded' WHEN action = 'restore' THEN CASE previous WHEN 'active' THEN 'paused' ELSE previous END WHEN action = 'pause' THEN 'paused' WHEN action = 'resume' THEN 'active' WHEN action = 'submit' THEN 'completed' WHEN action = 'abandon' THEN 'abandoned' ELSE status END,
+  revision + ok::BIGINT, elapsed + CASE WHEN ok AND action IN ('pause', 'submit', 'abandon', 'discard') AND status = 'active' THEN greatest(0, ms - since) ELSE 0 END, CASE WHEN NOT ok OR action IN ('answer', 'move', 'assess') THEN since WHEN action = 'resume' THEN ms END,
+  CASE WHEN ok AND action = 'discard' THEN status WHEN ok AND action = 'restore' THEN NULL ELSE previous END, CASE WHEN ok AND action = 'move' THEN q ELSE current END,
+  CASE WHEN ok AND action = 'answer' THEN CASE WHEN q % 2 = 0 OR k % 5 > 0 THEN list_distinct(list_append(filled, q)) ELSE list_filter(filled, lambda x: x <> q) END ELSE filled END, CASE WHEN ok AND action = 'assess' THEN list_distinct(list_append(assessed, q)) ELSE assessed END, refused + (NOT ok)::BIGINT
+ FROM (SELECT f.*, a.n, a.ms, a.q, a.k, a.action, CASE a.action WHEN 'answer' THEN f.status = 'active' AND q < 10 AND CASE WHEN q % 2 = 0 THEN k % 7 BETWEEN 1 AND 5 ELSE k % 7 > 0 END WHEN 'move' THEN f.status NOT IN ('abandoned', 'discarded') AND q < 10
+   WHEN 'assess' THEN f.status = 'completed' AND q < 10 AND q % 2 = 1 AND list_contains(filled, q) AND k % 7 > 0 AND k % 9 > 0 WHEN 'discard' THEN f.status <> 'discarded' WHEN 'restore' THEN f.status = 'discarded' AND f.previous IS NOT NULL WHEN 'pause' THEN f.status = 'active' WHEN 'resume' THEN f.status = 'paused' ELSE f.status IN ('active', 'paused') END AS ok
+  FROM (SELECT * EXCLUDE (n), n AS before FROM f) f JOIN acts a ON a.session_id = f.session_id AND a.n = f.before + 1))
+SELECT session_id, status, revision, elapsed, current AS current_question, len(filled) AS answered, len(assessed) AS assessed, refused FROM f QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC) = 1""",
     "",
 )
 def t14_session_machine_whole(s, d):
-    """Over all events."""
-    return sessions.fold(_actions(table(s, d, "events")))
+    """Over all events, by all nine actions."""
+    e = table(s, d, "events")
+    return sessions.fold(_actions(e), _models(e))
 
 
 @query(

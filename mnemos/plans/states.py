@@ -115,7 +115,7 @@ def t38_annotated(s, d):
 
 # --- sessions: actions from all order lines -----------------------------------------------------------------------
 
-ACTS = SESSIONS + """, acts AS (SELECT l_orderkey AS session_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, CASE l_partkey % 5 WHEN 0 THEN 'pause' WHEN 1 THEN 'resume' WHEN 2 THEN 'restore' WHEN 3 THEN 'discard' ELSE 'complete' END AS action,
+ACTS = SESSIONS + """, acts AS (SELECT l_orderkey AS session_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, CASE l_partkey % 5 WHEN 0 THEN 'pause' WHEN 1 THEN 'resume' WHEN 2 THEN 'restore' WHEN 3 THEN 'discard' ELSE 'submit' END AS action,
   CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_suppkey % 2 = 0 THEN l_orderkey % 9 ELSE l_suppkey % 9 END AS expected FROM lineitem),
 kept AS (SELECT * FROM sessions WHERE session_id % 13 > 0)
 """
@@ -124,7 +124,7 @@ kept AS (SELECT * FROM sessions WHERE session_id % 13 > 0)
 def _acts(s, d):
     n = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     p, u, k = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_orderkey")
-    action = F.element_at(F.array(*[F.lit(x) for x in ("pause", "resume", "restore", "discard", "complete")]), (p % 5 + 1).cast("int"))
+    action = F.element_at(F.array(*[F.lit(x) for x in ("pause", "resume", "restore", "discard", "submit")]), (p % 5 + 1).cast("int"))
     return table(s, d, "lineitem").select(k.alias("session_id"), n.alias("seq"), action.alias("action"), F.when(u % 7 == 0, None).when(u % 2 == 0, k % 9).otherwise(u % 9).alias("expected"))
 
 
@@ -132,7 +132,7 @@ def _acts(s, d):
     """, o AS (SELECT *, CASE WHEN test_type = 'module' THEN '' ELSE exam END AS own_exam FROM kept), oc AS (SELECT user_id, test_type, module, own_exam, count(*) AS n FROM o WHERE status IN ('active', 'paused') GROUP BY ALL),
 x AS (SELECT a.*, o.status, coalesce(a.expected = o.revision, FALSE) AS fits, coalesce(oc.n, 0) - (o.status IN ('active', 'paused'))::INT AS others,
  CASE WHEN action = 'restore' THEN CASE WHEN o.status = 'discarded' THEN CASE WHEN o.previous_status = 'active' THEN 'paused' ELSE o.previous_status END END WHEN action = 'discard' THEN CASE WHEN o.status <> 'discarded' THEN 'discarded' END
-  WHEN o.status = 'active' AND action = 'pause' THEN 'paused' WHEN o.status = 'paused' AND action = 'resume' THEN 'active' WHEN o.status IN ('active', 'paused') AND action = 'complete' THEN 'completed' END AS target
+  WHEN o.status = 'active' AND action = 'pause' THEN 'paused' WHEN o.status = 'paused' AND action = 'resume' THEN 'active' WHEN o.status IN ('active', 'paused') AND action = 'submit' THEN 'completed' END AS target
  FROM acts a LEFT JOIN o USING (session_id) LEFT JOIN oc USING (user_id, test_type, module, own_exam)),
 y AS (SELECT *, coalesce(action IN ('resume', 'restore') AND target IN ('active', 'paused') AND others > 0, FALSE) AS competing FROM x),
 z AS (SELECT *, target IS NOT NULL AND NOT competing AS allowed, row_number() OVER (PARTITION BY session_id, fits AND target IS NOT NULL AND NOT competing ORDER BY seq) AS place FROM y),
