@@ -53,12 +53,16 @@ def measures(correct: Column) -> list[Column]:
 
 
 def by_module(latest: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Of each module its questions, the latest results over all users, accuracy and coverage in percent (0 if none)."""
-    size = inventory.groupBy("module").agg(F.count("*").alias("total"))
-    users = latest.agg(F.count_distinct("user_id").alias("users"))  # one row
-    own = inventory.select("question_id", "module").join(latest.select("question_id", "correctness"), "question_id", "left").groupBy("module").agg(*measures(F.col("correctness")))
-    covered = F.round(F.coalesce(F.try_divide(100.0 * F.col("answered"), F.col("total") * F.col("users")), F.lit(0.0)), 6)
-    return own.join(size, "module").join(users).withColumn("coverage", covered).drop("users")
+    """Of each user and module the questions, the latest results, accuracy (null if none) and coverage in percent.
+
+    Every user has a row for every module of the inventory, answered or not; results of questions that aren't in it don't count.
+    """
+    size = inventory.groupBy("module").agg(F.count_distinct("question_id").alias("total"))
+    listed = size.agg(F.collect_list(F.struct("module", "total")).alias("modules"))  # one row
+    users = latest.select("user_id").distinct().join(listed).select("user_id", F.explode("modules").alias("m")).select("user_id", "m.*")
+    own = latest.join(inventory.select("question_id", "module").distinct(), "question_id").groupBy("user_id", "module").agg(*measures(F.col("correctness")))
+    x = users.join(own, ["user_id", "module"], "left").na.fill(0, ["answered", "correct", "partial"])
+    return x.withColumn("coverage", F.round(100.0 * F.col("answered") / F.col("total"), 6))
 
 
 def coverage(latest: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -41,10 +41,9 @@ def a02_latest_results(s, d):
 
 @query(
     """, q AS (SELECT module, count(*) AS total FROM inventory GROUP BY module)
-SELECT module, count(correctness) AS answered, count(*) FILTER (correctness = 'richtig') AS correct, count(*) FILTER (correctness = 'teilweise') AS partial,
- round(100.0::DOUBLE * count(*) FILTER (correctness = 'richtig') / nullif(count(correctness), 0), 6) AS accuracy, any_value(total) AS total,
- round(coalesce(100.0::DOUBLE * count(correctness) / (any_value(total) * (SELECT count(DISTINCT user_id) FROM latest)), 0), 6) AS coverage
-FROM inventory LEFT JOIN latest USING (question_id) JOIN q USING (module) GROUP BY module"""
+SELECT u.user_id, module, count(correctness) AS answered, count(*) FILTER (correctness = 'richtig') AS correct, count(*) FILTER (correctness = 'teilweise') AS partial,
+ round(100.0::DOUBLE * count(*) FILTER (correctness = 'richtig') / nullif(count(correctness), 0), 6) AS accuracy, any_value(total) AS total, round(100.0::DOUBLE * count(correctness) / any_value(total), 6) AS coverage
+FROM (SELECT DISTINCT user_id FROM latest) u CROSS JOIN inventory i JOIN q USING (module) LEFT JOIN latest l ON l.user_id = u.user_id AND l.question_id = i.question_id GROUP BY u.user_id, module"""
 )
 def a05_module_progress(s, d):
     return results.by_module(_latest(s, d), inventory(s, d))
