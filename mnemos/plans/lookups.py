@@ -151,8 +151,9 @@ def f45_suspected_labels(s, d):
 
 @query(
     """WITH q AS (SELECT c_custkey AS question_id, (c_custkey % 12)::VARCHAR AS number, c_mktsegment AS module FROM customer),
-p AS (SELECT o_orderkey AS page, CASE o_orderkey % 3 WHEN 0 THEN 'furniture: Aufgabe  ' || o_custkey % 15 || ', U' || o_orderkey % 4 || ' und Aufgabe 3' WHEN 1 THEN 'MACHINERY u ' || o_custkey % 15 || '.' ELSE 'Aufgabe 1 alone' END AS text FROM orders)
-SELECT question_id, page FROM q JOIN p ON contains(lower(text), lower(module)) AND regexp_matches(text, '(?i)(?:Aufgabe|U)\\s*' || number || '\\b')"""
+p AS (SELECT o_orderkey AS page, CASE o_orderkey % 3 WHEN 0 THEN 'furniture: Aufgabe  ' || o_custkey % 15 || ', U' || o_orderkey % 4 || ' und Aufgabe 3' WHEN 1 THEN 'MACHINERY u ' || o_custkey % 15 || '.' ELSE 'Aufgabe 1 alone' END AS text FROM orders),
+n AS (SELECT DISTINCT page, lower(text) AS text, unnest(regexp_extract_all(text, '(?i)(?:Aufgabe|U)\\s*(\\d+)\\b', 1)) AS number FROM p)
+SELECT question_id, page FROM q JOIN n USING (number) WHERE contains(text, lower(module))"""
 )
 def j10_solution_pages(s, d):
     k, c = F.col("o_orderkey"), (F.col("o_custkey") % 15).cast("string")
