@@ -32,7 +32,7 @@ from mnemos.llm.simhash import LOWER
 #: Bins of a set, a power of two; bands, and bins of a band.
 BINS, BANDS, ROWS = 256, 36, 7
 #: Nodes, and shingles, of a bucket that one task searches at once (twice as many for a pair of blocks).
-GROUP, SHINGLES = 256, 2 << 20
+GROUP, SHINGLES = 2048, 2 << 20
 #: Bytes of a text that are split to words at a time, and words whose hashes a task keeps.
 PIECE, KEPT = 4 << 20, 500_000
 #: Of 256 bins, those in which two sets must agree before they are read; at 0.8 the mean is 205, with a deviation of 6.4.
