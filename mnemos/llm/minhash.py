@@ -9,8 +9,8 @@ thousand), while of pairs at 0.2 fewer than one in two thousand share any.
 Each bucket is a star: its candidate edges go from the node whose buckets hold most to every other one, so n nodes give
 n - 1 edges. Edges whose signatures (a byte of each minimum) disagree far more than similar sets' could are dropped, all
 others are verified on the whole sets, and verified links are closed to components. A bucket whose nodes are then
-of one component is done. The others may hold links that no star has: what such a bucket has beside its centre, one of each set of
-members, is searched whole through an inverted index of its shingles, in pairs of blocks of bounded size. So a link is
+of one component is done. The others may hold links that no star has: what such buckets have beside their centres, together
+where they have the same first member, is searched whole through an inverted index of its shingles, in pairs of blocks of bounded size. So a link is
 lost only if its pair shares no bucket.
 """
 
@@ -267,22 +267,20 @@ def _search(num: int, den: int):
 def rest(shared: DataFrame, centres: DataFrame, labels: DataFrame, signatures: DataFrame, sets_for: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """Links (u, v) between components within the buckets that hold several beside their centre, which has met all others.
 
-    Buckets with the same members count once; two members that sizes alone tell apart don't. A large bucket is cut into blocks
-    by node, and block i meets block j in the group (i, j). Signatures meet first; only nodes that have a promising other in
+    Buckets with the same first member are searched as one, so that nodes which share many buckets meet once; two members that
+    sizes alone tell apart don't. A large group is cut into blocks by node, and block i meets block j in the group (i, j). Signatures meet first; only nodes that have a promising other in
     their group come again with their whole sets.
     """
     named = shared.where("size > 2").join(centres, "cell").where("node <> v")
     named = named.join(labels, "node", "left").select("cell", "node", "n", F.coalesce("root", "node").alias("label"))
     named = materialize(named, "named")
-    mark = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-    open_cells = named.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("all"), F.min("label").alias("a"), F.max("label").alias("b"), F.min("n").alias("least"), F.max("n").alias("most"), *mark)
-    open_cells = open_cells.where("a < b").where((F.col("size") > 2) | _close(F.col("least"), F.col("most"), num, den))
-    once = open_cells.groupBy("size", "x1", "x2").agg(F.min("cell").alias("cell"), F.max("all").alias("all"))
-    parts = F.greatest(F.ceil(F.col("size") / GROUP), F.ceil(F.col("all") / SHINGLES)).cast("int")
-    once = materialize(once.select("cell", parts.alias("parts")), "open")
-    dealt = named.join(once, "cell").withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+    cells = named.groupBy("cell").agg(F.count("*").alias("size"), F.min("node").alias("head"), F.min("label").alias("a"), F.max("label").alias("b"), F.min("n").alias("least"), F.max("n").alias("most"))
+    cells = cells.where("a < b").where((F.col("size") > 2) | _close(F.col("least"), F.col("most"), num, den))
+    members = materialize(named.join(materialize(cells.select("cell", "head"), "open"), "cell").select("head", "node", "n", "label").distinct(), "members")
+    sizes = members.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("parts"))
+    dealt = members.join(materialize(sizes, "sizes"), "head").withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != F.col("i")))
-    dealt = dealt.withColumn("j", F.explode(others)).select(F.xxhash64("cell", F.least("i", "j"), F.greatest("i", "j")).alias("group"), "node", "n", "label")
+    dealt = dealt.withColumn("j", F.explode(others)).select(F.xxhash64("head", F.least("i", "j"), F.greatest("i", "j")).alias("group"), "node", "n", "label")
     dealt = materialize(dealt, "dealt")
     met = dealt.join(signatures, "node").repartition("group").sortWithinPartitions("group")
     some = materialize(met.select("group", "node", "label", "n", "signature").mapInArrow(_promising(num, den), "node long").distinct(), "promising")
@@ -309,7 +307,8 @@ def linked(rows: DataFrame, nodes: DataFrame, shingle: int, num: int, den: int,
     forget(cells)
     edges, centres = stars(shared, num, den)
     signatures = rows.select(F.col("row").alias("node"), "signature").join(shared.select("node").distinct(), "node", "left_semi")
-    edges = likely(edges, materialize(signatures, "signatures"))
+    signatures = materialize(signatures, "signatures")
+    edges = likely(edges, signatures)
     if more is not None:
         edges = materialize(edges.unionByName(more).distinct(), "edges")
 
