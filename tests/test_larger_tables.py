@@ -24,3 +24,10 @@ def compared(spark, folder, name, **changed):
 def test_summary_of_users_with_many_answers(spark, tmp_path):
     got, want = compared(spark, tmp_path, "a16_progress_summary", events="* REPLACE (user_id % 3 AS user_id)")
     assert got == want and len(got) == 3
+
+
+def test_results_of_tests_and_attempts_whose_numbers_meet(spark, tmp_path):
+    # two events of one user, a million apart: a test's row must not replace an attempt's
+    near = "event_id - event_id % 2 + event_id % 2 * 1000000 AS event_id, user_id % 3 AS user_id, CASE WHEN event_id % 2 = 0 THEN 'signup' ELSE 'click' END AS event_type"
+    got, want = compared(spark, tmp_path, "u06_union_of_results", events=f"* REPLACE ({near})")
+    assert got == want and got
