@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WHITE = 255
+#: Side of the squares through which centres meet pixels.
+TILE = 16
 
 
 def pixels(rows: DataFrame) -> DataFrame:
@@ -79,21 +81,29 @@ TWOFOLD = Rule((8, 12), 3, 0.18, True, (0.48, 0.75), (0.40, 0.58), 0.1, 0.15, 2,
 FIXED = Rule((4.8, 6.5), 1.7, 0.12, True, (0.24, 0.75), (0.18, 0.58), 0.05, None, 2, ("five_dots_not_clear", "no_unique_circle", "insufficient_margin", "threshold_disagreement"), 8)
 
 
-def _places(centres: DataFrame, reach: int) -> DataFrame:
-    """Each centre with the pixel places of the square around it."""
-    square = F.sequence(F.lit(-reach), F.lit(reach))
-    x = centres.withColumn("__dy", F.explode(square)).withColumn("__dx", F.explode(square))
-    return x.withColumns({"y": (F.rint("cy") + F.col("__dy")).cast("int"), "x": (F.rint("cx") + F.col("__dx")).cast("int")}).drop("__dy", "__dx")
+def _met(raster: DataFrame, centres: DataFrame, reach: int) -> DataFrame:
+    """The pixels in the square of ``reach`` around each centre, with the centre's columns.
+
+    They meet by tiles, so that a centre moves as a few rows and not as all places of its square. Both sides are dealt out by
+    tile: from the size of the files Spark would take the pixels for few and send them all through the driver.
+    """
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / TILE).cast("int"), F.floor((F.col(c) + reach) / TILE).cast("int")))
+    own = centres.withColumns({"__y": F.rint("cy").cast("int"), "__x": F.rint("cx").cast("int")}).withColumn("__ty", tiles("__y")).withColumn("__tx", tiles("__x"))
+    each = raster.withColumns({"__ty": F.floor(F.col("y") / TILE).cast("int"), "__tx": F.floor(F.col("x") / TILE).cast("int")})
+    near = (F.abs(F.col("y") - F.col("__y")) <= reach) & (F.abs(F.col("x") - F.col("__x")) <= reach)
+    return each.join(own.hint("shuffle_hash"), ["page", "__ty", "__tx"]).where(near).drop("__ty", "__tx")
 
 
 def snapped(raster: DataFrame, centres: DataFrame, far: int = 3, size: int = 2) -> DataFrame:
     """Centres (page, item, row, cx, cy) moved by up to ``far`` pixels to the darkest square of ``size``; the first in reading order of ties."""
-    moves = F.sequence(F.lit(-far), F.lit(far))
-    moved = centres.withColumn("oy", F.explode(moves)).withColumn("ox", F.explode(moves))
-    moved = moved.withColumns({"cx": F.col("cx") + F.col("ox"), "cy": F.col("cy") + F.col("oy")})
-    around = _places(moved, size).join(raster, ["page", "y", "x"])
+    # one more, as halves are rounded to even; of the moves that may do those are kept whose square holds the pixel
+    met = _met(raster, centres, far + size + 1)
+    moves = lambda at, c: F.explode(F.sequence(F.greatest(F.lit(-far), F.col(at) - F.col(c) - size - 1), F.least(F.lit(far), F.col(at) - F.col(c) + size + 1)))
+    holds = lambda at, c, o: F.abs(F.col(at) - F.rint(F.col(c) + F.col(o))) <= size
+    around = met.withColumn("oy", moves("y", "__y")).where(holds("y", "cy", "oy")).withColumn("ox", moves("x", "__x")).where(holds("x", "cx", "ox"))
     dark = around.groupBy("page", "item", "row", "oy", "ox", "cx", "cy").agg(F.avg("v").alias("grey"))
-    return dark.groupBy("page", "item", "row").agg(F.min_by(F.struct("cx", "cy"), F.struct("grey", "oy", "ox")).alias("c")).select("page", "item", "row", "c.*")
+    best = dark.groupBy("page", "item", "row").agg(F.min_by(F.struct((F.col("cx") + F.col("ox")).alias("cx"), (F.col("cy") + F.col("oy")).alias("cy")), F.struct("grey", "oy", "ox")).alias("c"))
+    return best.select("page", "item", "row", "c.*")
 
 
 def rings(ink: DataFrame, centres: DataFrame, rule: Rule) -> DataFrame:
@@ -102,13 +112,12 @@ def rings(ink: DataFrame, centres: DataFrame, rule: Rule) -> DataFrame:
     Centres meet pixels by place, not by page. The ring's pixels count in twelve sectors, so partial sums of a centre are
     thirteen rows, however many pixels it has.
     """
-    x = _places(centres, rule.reach)
+    met = _met(ink, centres, rule.reach)
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     r = F.sqrt(dx * dx + dy * dy)
     sector = (F.floor((F.atan2(dy, dx) + math.pi) / (2 * math.pi) * 12) % 12).cast("int")
     zone = F.when((r >= rule.ring[0]) & (r <= rule.ring[1]), sector).when(r <= rule.dot, -1).otherwise(-2)
-    met = x.withColumn("zone", zone).join(ink, ["page", "y", "x"])
-    sums = met.groupBy("page", "item", "row", "threshold", "zone").agg(F.count("*").alias("n"), F.count_if("ink").alias("k"))
+    sums = met.withColumn("zone", zone).groupBy("page", "item", "row", "threshold", "zone").agg(F.count("*").alias("n"), F.count_if("ink").alias("k"))
     on, dot = F.col("zone") >= 0, F.col("zone") == -1
     share = F.col("k") / F.col("n")
     supported = on & ((share > rule.sector) if rule.strict else (share >= rule.sector))
@@ -137,7 +146,7 @@ def decided(measured: DataFrame, columns: DataFrame, rule: Rule) -> DataFrame:
         F.count("*").alias("seen"), F.count_if((F.col("rows") != 5) | (F.col("dot") < rule.least_dot)).alias("dots"), F.count_if(~one | (F.col("possible") != 1)).alias("unclear"), F.count_if(close).alias("close"),
         F.count_if(one).alias("found"), F.count_distinct(F.when(one, F.col("row"))).alias("answers"), F.max(F.when(one, F.col("row"))).alias("answer"),
     )
-    x = columns.join(per, ["page", "item"], "left").na.fill(0, ["seen", "dots", "unclear", "close", "found", "answers"])
+    x = columns.join(per.hint("merge"), ["page", "item"], "left").na.fill(0, ["seen", "dots", "unclear", "close", "found", "answers"])
     said = [
         (F.col("dots") + (F.col("seen") < rule.thresholds).cast("int") > 0, rule.names[0]), (F.col("unclear") > 0, rule.names[1]), (F.col("close") > 0, rule.names[2]),
         ((F.col("found") != rule.thresholds) | (F.col("answers") != 1), rule.names[3]), (~F.col("numbered"), "question_number_uncertain"),
@@ -157,16 +166,16 @@ def edges(raster: DataFrame, least: int) -> DataFrame:
 def segments(cells: DataFrame, votes: int, least: float, gap: int, tilt: int = 12) -> DataFrame:
     """(page, angle, offset, x0, x1, y0, y1) of nearly level lines; ``angle`` in tenths of a degree from -tilt to tilt.
 
-    Every edge cell votes for the lines through it, one for each angle; counts are taken in each task before they move. A
+    Every edge cell votes for the lines through it, one for each angle; a bin is sorted once for its count and its cuts. A
     bin with ``votes`` cells is a peak; its cells in the order of x are cut where ``gap`` is exceeded, and pieces as long
     as ``least`` are segments.
     """
     angle = F.explode(F.sequence(F.lit(-tilt), F.lit(tilt)))
     turn = F.radians(F.col("angle") / 10)
     bins = cells.select("page", "y", "x", angle.alias("angle")).withColumn("offset", F.round(F.round(F.col("y") * F.cos(turn) - F.col("x") * F.sin(turn), 9)).cast("int"))
-    peaks = bins.groupBy("page", "angle", "offset").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
     line = W.partitionBy("page", "angle", "offset").orderBy("x", "y")
-    on = bins.join(peaks, ["page", "angle", "offset"]).withColumn("cut", (F.col("x") - F.lag("x").over(line) > gap).cast("int"))
+    counted = bins.withColumn("votes", F.count("*").over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    on = counted.where(F.col("votes") >= votes).withColumn("cut", (F.col("x") - F.lag("x").over(line) > gap).cast("int"))
     on = on.withColumn("piece", F.sum(F.coalesce("cut", F.lit(0))).over(line))
     ends = on.groupBy("page", "angle", "offset", "piece").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min_by("y", F.struct("x", "y")).alias("y0"), F.max_by("y", F.struct("x", "y")).alias("y1"))
     return ends.where(F.col("x1") - F.col("x0") >= least).drop("piece")
@@ -179,7 +188,7 @@ def seams(found: DataFrame, bands: DataFrame, near: float, least: float) -> Data
     uppermost counts.
     """
     middle = (F.col("y0") + F.col("y1")) / 2
-    x = bands.join(found.withColumn("middle", middle), "page", "left")
+    x = bands.join(found.withColumn("middle", middle).hint("merge"), "page", "left")
     fits = (F.abs(F.col("y1") - F.col("y0")) < 4) & (F.abs(F.col("middle") - F.col("nominal")) < near) & F.col("x0").between(F.col("lo"), F.col("hi")) & (F.col("x1") <= F.col("end")) & (F.col("x1") - F.col("x0") > least)
     best = F.max_by("middle", F.when(F.coalesce(fits, F.lit(False)), F.struct(F.col("x1") - F.col("x0"), -F.col("middle"))))
     y = x.groupBy("page", "band", "nominal").agg(best.alias("seam"), F.count_if(F.coalesce(fits, F.lit(False))).alias("n"))
@@ -246,9 +255,10 @@ def picture_hashes(rows: DataFrame) -> DataFrame:
 
 def choices(found: DataFrame, centres: DataFrame, reach: float = 12.0, pad: tuple[float, float] = (24.0, 14.0)) -> DataFrame:
     """(page, item, answer, reasons, crop, circle) of decided() columns: the column's box, and the box of the ring that was found."""
-    own = centres.groupBy("page", "item").agg(F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1"))
-    ring = centres.select("page", "item", F.col("row").alias("answer"), "cx", "cy")
-    x = found.join(own, ["page", "item"]).join(ring, ["page", "item", "answer"], "left")
+    rows = F.collect_list(F.struct("row", "cx", "cy"))  # of one column
+    own = centres.groupBy("page", "item").agg(F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1"), rows.alias("rows"))
+    x = found.join(own.hint("merge"), ["page", "item"])
+    x = x.select("*", F.explode_outer(F.filter("rows", lambda r: r["row"] == F.col("answer"))).alias("ring")).withColumns({"cx": F.col("ring")["cx"], "cy": F.col("ring")["cy"]})
     crop = F.array(F.col("x0") - pad[0], F.col("y0") - pad[1], F.col("x1") + pad[0], F.col("y1") + pad[1])
     circle = F.when(F.col("answer").isNotNull(), F.array(F.col("cx") - reach, F.col("cy") - reach, F.col("cx") + reach, F.col("cy") + reach))
     return x.select("page", "item", "answer", "reasons", crop.alias("crop"), circle.alias("circle"))

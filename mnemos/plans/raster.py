@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemos.adapters import table
+from mnemos.functions.dealing import dealt
 from mnemos.operators import raster
 from mnemos.operators.raster import ADAPTIVE, FIXED, TWOFOLD, Rule
 from mnemos.plans.base import query
 
-#: Of a drawn page.
+#: Of a drawn page, and how many a task draws.
 WIDE, HIGH = 40, 120
+PAGES = 200
+
+
+def _suppliers(s, d):
+    return dealt(table(s, d, "supplier"), "s_suppkey", rows=PAGES)
 
 
 def _page(s, d, lo: float, hi: float, dot: float):
     """A page for each supplier: five dots below each other, a ring around one or two or half of one, some faint, some dots missing."""
     k = F.col("s_suppkey")
-    x = table(s, d, "supplier").select(k, "s_name", F.explode(F.sequence(F.lit(0), F.lit(HIGH - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(WIDE - 1))).alias("x"))
+    x = _suppliers(s, d).select(k, "s_name", F.explode(F.sequence(F.lit(0), F.lit(HIGH - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(WIDE - 1))).alias("x"))
     noise = F.ascii(F.substring(F.col("s_name"), (F.pmod(F.col("x") + F.col("y") * WIDE + k, F.length("s_name")) + 1).cast("int"), F.lit(1)))
     row = F.least(F.lit(5), F.greatest(F.lit(1), F.floor((F.col("y") - 9) / 20) + 1))
     x = x.withColumns({"noise": noise, "row": row}).withColumn("dy", F.col("y") - 19 - 20 * (F.col("row") - 1))
@@ -139,7 +145,7 @@ px AS (SELECT page, y, x, CASE WHEN y >= 15 + page % 4 + (x * (page % 3)) // 60
 
 def _lined(s, d):
     k = F.col("s_suppkey")
-    x = table(s, d, "supplier").select(k.alias("page"), "s_name", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("x"))
+    x = _suppliers(s, d).select(k.alias("page"), "s_name", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("x"))
     p, y, c = F.col("page"), F.col("y"), F.col("x")
     tilt = 15 + p % 4 + F.floor(c * (p % 3) / 60)
     noise = F.ascii(F.substring(F.col("s_name"), (F.pmod(c + y * 60 + p, F.length("s_name")) + 1).cast("int"), F.lit(1)))
