@@ -1,4 +1,8 @@
-"""Questions on a printed grid: headings at anchors, bands, owners that go on through L shapes, one rectangle for each run of cells."""
+"""Questions on a printed grid: headings at anchors, bands, owners that go on through L shapes, one rectangle for each run of cells.
+
+Pages meet by merging sorted sides: half pages, anchors and marks are made of few columns of small files, and Spark would take
+them for small and send them through the driver to every task.
+"""
 
 from __future__ import annotations
 
@@ -32,7 +36,7 @@ def headings(lines: DataFrame, halves: DataFrame, heading_x: tuple[float, ...],
     near = lambda lo, hi: F.sequence(F.floor(lo / SQUARE), F.floor(hi / SQUARE))
     spot = spot.withColumn("sx", F.explode(near(F.col("ax") - LEFT, F.col("ax") + LEFT))).withColumn("sy", F.explode(near(F.col("ay") - ABOVE, F.col("ay") + BELOW)))
     own = lines.select("page", F.trim("text").alias("word"), "x0", "y0", "y1", F.floor(F.col("x0") / SQUARE).alias("sx"), F.floor(F.col("y0") / SQUARE).alias("sy"))
-    met = spot.join(own, ["page", "sx", "sy"]).where((F.abs(F.col("x0") - F.col("ax")) < LEFT) & F.col("y0").between(F.col("ay") - ABOVE, F.col("ay") + BELOW))
+    met = spot.join(own.hint("merge"), ["page", "sx", "sy"]).where((F.abs(F.col("x0") - F.col("ax")) < LEFT) & F.col("y0").between(F.col("ay") - ABOVE, F.col("ay") + BELOW))
     tall = F.col("y1") - F.col("y0")
     digits = F.rlike("word", F.lit(r"^\d{1,2}$")) & F.coalesce(F.col("word").try_cast("int").between(1, most), F.lit(False)) & (tall >= TALL)
     odd = (F.length("word") <= 4) & (tall >= TALL_UNREAD)
@@ -46,14 +50,14 @@ def bands(halves: DataFrame, marks: DataFrame) -> DataFrame:
     """``halves`` with ``ys`` moved to just above the uppermost heading of each band but the first."""
     tops = marks.where("row > 0").groupBy("page", "side", "row").agg(F.round(F.min("top") - 5, 1).alias("y"))
     tops = tops.groupBy("page", "side").agg(F.map_from_entries(F.collect_list(F.struct("row", "y"))).alias("moved"))
-    return halves.join(tops, ["page", "side"], "left").withColumn("ys", F.transform("ys", lambda y, i: F.coalesce(F.col("moved")[i], y))).drop("moved")
+    return halves.join(tops.hint("merge"), ["page", "side"], "left").withColumn("ys", F.transform("ys", lambda y, i: F.coalesce(F.col("moved")[i], y))).drop("moved")
 
 
 def workspaces(lines: DataFrame, halves: DataFrame, marks: DataFrame, body_x: tuple[float, float, float]) -> DataFrame:
     """(page, side, row, col, owner) of the cells that a line gives to a question of the half; of several the lowest line, then the rightmost."""
     said = lines.withColumn("owner", F.regexp_extract("text", WORKSPACE, 1)).where("owner <> ''").select("page", "owner", F.col("x0").alias("lx"), F.col("y0").alias("ly"))
-    x = said.join(halves.select("page", "side", "offset", "ys"), "page").where((F.col("lx") >= F.col("offset") + body_x[0]) & (F.col("lx") < F.col("offset") + body_x[2]))
-    x = x.join(marks.select("page", "side", F.col("number").alias("owner")).distinct(), ["page", "side", "owner"])
+    x = said.join(halves.select("page", "side", "offset", "ys").hint("merge"), "page").where((F.col("lx") >= F.col("offset") + body_x[0]) & (F.col("lx") < F.col("offset") + body_x[2]))
+    x = x.join(marks.select("page", "side", F.col("number").alias("owner")).distinct().hint("merge"), ["page", "side", "owner"])
     x = x.select("*", F.posexplode(F.slice("ys", 1, F.size("ys") - 1)).alias("row", "top")).where((F.col("ly") >= F.col("top")) & (F.col("ly") < F.get("ys", F.col("row") + 1)))
     col = F.when(F.col("lx") < F.col("offset") + body_x[1], 0).otherwise(1)
     return x.withColumn("col", col).groupBy("page", "side", "row", "col").agg(F.max_by("owner", F.struct("ly", "lx", "owner")).alias("owner"))
@@ -68,7 +72,7 @@ def owners(marks: DataFrame, given: DataFrame, rows: int) -> DataFrame:
     at = lambda value, c: [F.max(F.when((F.col("row") == r) & (F.col("col") == c), F.col(value))).alias(f"{value}{r}{c}") for r in range(rows)]
     x = marks.groupBy("page", "side").agg(*at("number", 0), *at("number", 1))
     w = given.groupBy("page", "side").agg(*at("owner", 0), *at("owner", 1))
-    x = x.join(w, ["page", "side"], "left")
+    x = x.join(w.hint("merge"), ["page", "side"], "left")
     left = right = F.lit(None).cast("string")
     cells = []
     for r in range(rows):
@@ -82,7 +86,7 @@ def owners(marks: DataFrame, given: DataFrame, rows: int) -> DataFrame:
 
 def regions(held: DataFrame, halves: DataFrame, body_x: tuple[float, float, float]) -> DataFrame:
     """(page, side, number, seq, x0, y0, x1, y1): cells of one owner side by side fused, then runs of equal width below each other merged."""
-    x = held.join(halves.select("page", "side", "offset", "ys"), ["page", "side"])
+    x = held.join(halves.select("page", "side", "offset", "ys").hint("merge"), ["page", "side"])
     place = lambda i: F.col("offset") + body_x[i]
     box = lambda owner, a, b: F.struct(owner.alias("number"), place(a).alias("x0"), place(b).alias("x1"))
     fused = F.coalesce(F.col("left") == F.col("right"), F.lit(False))
@@ -104,9 +108,9 @@ def detected(lines: DataFrame, halves: DataFrame, heading_x: tuple[float, float]
     marks = headings(lines, halves, heading_x, most)
     placed = bands(halves, marks)
     held = owners(marks, workspaces(lines, placed, marks, body_x), rows)
-    found = regions(held, placed, body_x).join(marks.where("read").select("page", "side", "number", "row", "col"), ["page", "side", "number"])
+    found = regions(held, placed, body_x).join(marks.where("read").select("page", "side", "number", "row", "col").hint("merge"), ["page", "side", "number"])
     many = F.count("*").over(W.partitionBy("page", "side", "number", "row", "col")) > 1
-    found = found.join(halves.select("page", "side", "supported"), ["page", "side"]).withColumn("many", many)
+    found = found.join(halves.select("page", "side", "supported").hint("merge"), ["page", "side"]).withColumn("many", many)
     confidence = F.least(F.lit(READ), F.when(F.col("many"), BROKEN), F.when(F.col("supported") < 2, LOOSE))
     reasons: Column = F.when(F.col("many"), F.array(F.lit("non_rectangular_layout"))).otherwise(F.array().cast("array<string>"))
     out = found.select("page", "side", "number", "seq", "x0", "y0", "x1", "y1", confidence.alias("confidence"), reasons.alias("reasons"), F.format_string("h%d-r%d-c%d", F.col("side").cast("int"), "row", "col").alias("anchor"))

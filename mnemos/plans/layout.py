@@ -15,7 +15,7 @@ def _printed(s, d):
     """Headings near their anchors, too small or unreadable ones, notes that name the first line's number, and other text."""
     k = F.col("l_partkey")
     first = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.min_by(k % 28 + 1, F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("first"))
-    x = table(s, d, "lineitem").join(first, "l_orderkey")
+    x = table(s, d, "lineitem").join(first.hint("merge"), "l_orderkey")
     kind, row, col, offset = F.floor(k / 6) % 8, F.floor(k % 6 / 2), k % 2, F.col("l_orderkey") % 2 * 421
     top = 100 + 100 * row + F.col("l_orderkey") % 3
     text = F.when((kind <= 3) | (kind == 6), (k % 28 + 1).cast("string")).when(kind == 4, "I ").when(kind == 5, F.concat(F.lit("Nebenrechnung Aufgabe "), F.col("first").cast("string"), F.lit(":"))).otherwise(F.col("l_returnflag"))

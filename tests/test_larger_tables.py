@@ -31,3 +31,11 @@ def test_results_of_tests_and_attempts_whose_numbers_meet(spark, tmp_path):
     near = "event_id - event_id % 2 + event_id % 2 * 1000000 AS event_id, user_id % 3 AS user_id, CASE WHEN event_id % 2 = 0 THEN 'signup' ELSE 'click' END AS event_type"
     got, want = compared(spark, tmp_path, "u06_union_of_results", events=f"* REPLACE ({near})")
     assert got == want and got
+
+
+@pytest.mark.parametrize("name", ["a35_marks_from_pixels", "g01_adaptive_marks", "g02_twofold_marks", "g03_ring_figures", "g11_seams", "g24_choices", "g13_page_regions", "g13_unread_headings", "g28_cell_owners"])
+def test_nothing_of_pages_goes_through_the_driver(spark, capsys, name):
+    # pixels and anchors are many, however small the file that they're made of
+    QUERIES[name](spark, SF).explain()
+    plan = capsys.readouterr().out
+    assert "Join" in plan and "Broadcast" not in plan
