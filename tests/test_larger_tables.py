@@ -1,8 +1,11 @@
 """Queries on tables like the given ones, but larger or with other keys; each against its SQL."""
 
+from math import floor
+
 import duckdb
 import pytest
 
+from mnemos.operators import geometry
 from mnemos.plans.registry import QUERIES, SQL
 from tests.test_queries import SF, TABLES, plain
 
@@ -39,3 +42,33 @@ def test_nothing_of_pages_goes_through_the_driver(spark, capsys, name):
     QUERIES[name](spark, SF).explain()
     plan = capsys.readouterr().out
     assert "Join" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["j10_solution_pages", "j15_overlaps", "j16_small_overlaps"])
+def test_pairs_are_made_in_several_tasks(spark, name):
+    # a small file is one task, and its pairs are many
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() > 1
+
+
+@pytest.mark.parametrize("name", ["j10_solution_pages", "j17_strict_overlaps", "j18_region_texts"])
+def test_lists_meet_without_the_driver(spark, capsys, name):
+    QUERIES[name](spark, SF).explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_equal_rectangles_meet_in_lists(spark):
+    # more copies than a list holds, an id under two owners, and squares' edges
+    boxes = [(1, i, i % 3, *b) for i, b in enumerate([(0.0, 0.0, 120.0, 150.0)] * 150 + [(100.0, 100.0, 110.0, 110.0)] * 70)] + [(1, 7, 2, 5.0, 5.0, 9.0, 9.0), (2, 1, 0, 0.0, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(boxes, "page int, id int, owner int, x0 double, y0 double, x1 double, y1 double")
+    area = lambda a, b: max(0.0, min(a[5], b[5]) - max(a[3], b[3])) * max(0.0, min(a[6], b[6]) - max(a[4], b[4]))
+    want = sorted((a[0], a[1], b[1], area(a, b)) for a in boxes for b in boxes if a[0] == b[0] and a[1] < b[1] and a[2] != b[2] and area(a, b) > 1)
+    assert sorted(map(tuple, geometry.overlaps(df).collect())) == want
+    assert [tuple(r) for r in geometry.overlap_counts(df).collect()] == [(1, len(want))]
+    lines = [(1, f"t{n}", 2.0 + n % 2, 2.0 + n % 5, 4.0, 4.0) for n in range(40)]
+    inside = lambda b, l: b[0] == l[0] and b[3] <= (l[2] + l[4]) / 2 <= b[5] and b[4] <= (l[3] + l[5]) / 2 <= b[6]  # noqa: E731, E741
+    texts = {}
+    for b in boxes:
+        texts.setdefault((b[0], b[1]), []).extend((floor((l[3] + l[5]) / 2 / 6 + 0.5), l[2], l[1]) for l in lines if inside(b, l))  # noqa: E741
+    want = sorted((k[1], " ".join(t for *_, t in sorted(v))) for k, v in texts.items() if v)
+    rows = spark.createDataFrame(lines, "page int, text string, x0 double, y0 double, x1 double, y1 double")
+    assert sorted(map(tuple, geometry.texts_in(rows, df).collect())) == want
