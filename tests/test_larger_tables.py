@@ -72,3 +72,12 @@ def test_equal_rectangles_meet_in_lists(spark):
     want = sorted((k[1], " ".join(t for *_, t in sorted(v))) for k, v in texts.items() if v)
     rows = spark.createDataFrame(lines, "page int, text string, x0 double, y0 double, x1 double, y1 double")
     assert sorted(map(tuple, geometry.texts_in(rows, df).collect())) == want
+
+
+def test_review_order_has_no_window_over_all_sessions(spark, tmp_path, capsys):
+    got, want = compared(spark, tmp_path, "o11_review_order", orders="* REPLACE (o_orderkey * 37000 AS o_orderkey)")
+    assert got == want and got
+    QUERIES["o11_review_order"](spark, str(tmp_path)).explain()
+    numbered = [x for x in capsys.readouterr().out.splitlines() if "Window [row_number()" in x]
+    # rows are numbered in parts: a key stands before the order
+    assert numbered and not any(" ASC" in x.split("windowspecdefinition(")[1].split(",")[0] for x in numbered)
