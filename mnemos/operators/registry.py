@@ -70,12 +70,14 @@ def append(log: DataFrame, new: DataFrame, key: str, payload: str) -> tuple[Data
 
     Identical rows are no-ops; a null payload is one like any other.
     """
-    mark = F.sha2(F.to_json(F.struct(F.col(payload).alias("x")), {"ignoreNullFields": "false"}), 256)
-    came = new.withColumn("__mark", mark)
-    marks = came.select(key, "__mark", F.lit(False).alias("__old")).unionByName(log.select(key, mark.alias("__mark"), F.lit(True).alias("__old")))
-    bad = marks.join(new.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.min("__mark").alias("a"), F.max("__mark").alias("b")).where("a <> b").select(key)
-    fresh = came.join(log.select(key).distinct(), key, "left_anti").join(bad, key, "left_anti")
-    return fresh.dropDuplicates([key, "__mark"]).drop("__mark"), bad
+    mark = F.unhex(F.sha2(F.to_json(F.struct(F.col(payload).alias("x")), {"ignoreNullFields": "false"}), 256))
+    came = new.select(key, mark.alias("__mark"), F.lit(False).alias("__old"), F.struct(*[c for c in new.columns if c != key]).alias("__row"))
+    seen = log.select(key, mark.alias("__mark"), F.lit(True).alias("__old"), F.lit(None).cast(came.schema["__row"].dataType).alias("__row"))
+    # rows without key are each their own; all else of a key is told in one grouping, so its rows move once and no join sorts them again
+    none = F.when(F.col(key).isNull(), F.col("__mark")).alias("__none")
+    keys = came.unionByName(seen).groupBy(key, none).agg(F.min("__mark").alias("a"), F.max("__mark").alias("b"), F.bool_or("__old").alias("known"), F.first("__row", ignorenulls=True).alias("__row")).where("__row is not null")
+    fresh = keys.where((~F.col("known") | F.col(key).isNull()) & (F.col("a") == F.col("b")))
+    return fresh.select(key, "__row.*").select(new.columns), keys.where("a <> b").select(key)
 
 
 def locked_write(old: Column, new: Column, locked: Column, machine: Column) -> Column:

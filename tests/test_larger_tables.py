@@ -5,7 +5,7 @@ from math import floor
 import duckdb
 import pytest
 
-from mnemos.operators import geometry
+from mnemos.operators import geometry, registry
 from mnemos.plans.registry import QUERIES, SQL
 from tests.test_queries import SF, TABLES, plain
 
@@ -81,3 +81,15 @@ def test_review_order_has_no_window_over_all_sessions(spark, tmp_path, capsys):
     numbered = [x for x in capsys.readouterr().out.splitlines() if "Window [row_number()" in x]
     # rows are numbered in parts: a key stands before the order
     assert numbered and not any(" ASC" in x.split("windowspecdefinition(")[1].split(",")[0] for x in numbered)
+
+
+def test_appended_rows_are_told_apart_in_one_grouping(spark, tmp_path, capsys):
+    log = spark.createDataFrame([(1, "a"), (2, "a"), (None, "a")], "k int, v string")
+    new = spark.createDataFrame([(1, "a", 0), (2, "b", 0), (3, None, 7), (3, None, 7), (4, None, 0), (4, "c", 0), (None, "a", 0), (None, "b", 0), (None, "a", 0)], "k int, v string, n int")
+    rows, bad = registry.append(log, new, "k", "v")
+    assert rows.columns == new.columns and sorted(map(tuple, rows.collect()), key=str) == [(3, None, 7), (None, "a", 0), (None, "b", 0)]
+    assert sorted(r.k for r in bad.collect()) == [2, 4]
+    got, want = compared(spark, tmp_path, "t26_audit_events", orders="* REPLACE (o_custkey % 40 AS o_custkey)")
+    assert got == want and got
+    QUERIES["t26_audit_events"](spark, str(tmp_path)).explain()
+    assert "Join" not in capsys.readouterr().out
