@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from mnemos.operators import geometry, registry
+from mnemos.plans import states
 from mnemos.plans.registry import QUERIES, SQL
 from tests.test_queries import SF, TABLES, plain
 
@@ -93,3 +94,15 @@ def test_appended_rows_are_told_apart_in_one_grouping(spark, tmp_path, capsys):
     assert got == want and got
     QUERIES["t26_audit_events"](spark, str(tmp_path)).explain()
     assert "Join" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("name", ["t16_updated_sessions", "t42_saved_drafts"])
+def test_order_lines_are_dealt_out_by_their_number(spark, tmp_path, capsys, monkeypatch, name):
+    monkeypatch.setattr(states, "LINES", 500)
+    got, want = compared(spark, tmp_path, name)
+    assert got == want and got
+    QUERIES[name](spark, str(tmp_path)).explain()
+    moved = [x for x in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning(l_orderkey" in x]
+    # as many tasks as there are 500 lines, and no second move by order before they are numbered
+    parts = -(-spark.read.parquet(f"{tmp_path}/lineitem.parquet").count() // 500)
+    assert moved and all(f", {parts}), REPARTITION_BY_NUM" in x for x in moved)
