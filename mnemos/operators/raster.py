@@ -218,7 +218,8 @@ def composed(rows: DataFrame, regions: DataFrame, gap: int = 24) -> DataFrame:
     padded with white to the widest. Where a region leaves the page, it is white. Questions with several owners or a null one
     raise no error and give no row: see refused(). Only slices of rows move.
     """
-    kept = regions.join(refused(regions).select("question"), "question", "left_anti").where("x1 > x0 and y1 > y0")
+    # from the size of the files Spark would take regions and slices for few and send them all through the driver
+    kept = regions.join(refused(regions).select("question").hint("merge"), "question", "left_anti").where("x1 > x0 and y1 > y0")
     panels = kept.groupBy("question", "page").agg(F.min("seq").alias("first"), F.min("x0").alias("left"), F.min("y0").alias("top"), F.max("x1").alias("right"), F.max("y1").alias("bottom"))
     order = W.partitionBy("question").orderBy("first")
     before = F.coalesce(F.sum(F.col("bottom") - F.col("top") + gap).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -228,9 +229,9 @@ def composed(rows: DataFrame, regions: DataFrame, gap: int = 24) -> DataFrame:
     lines = panels.select("question", "page", "left", "wide", "at", "top", F.explode(F.sequence(F.col("top"), F.col("bottom") - 1)).alias("py"))
     slices = kept.select("question", "page", "seq", "x0", "x1", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("py"))
     cut = F.substring(F.col("bytes"), F.col("x0") + 1, F.col("x1") - F.col("x0"))
-    slices = slices.join(rows.select("page", F.col("y").alias("py"), "bytes"), ["page", "py"]).select("question", "page", "py", "seq", "x0", cut.alias("cut"))
+    slices = slices.join(rows.select("page", F.col("y").alias("py"), "bytes").hint("merge"), ["page", "py"]).select("question", "page", "py", "seq", "x0", cut.alias("cut"))
     slices = slices.groupBy("question", "page", "py").agg(F.array_sort(F.collect_list(F.struct("seq", "x0", "cut"))).alias("cuts"))
-    x = lines.join(slices, ["question", "page", "py"], "left")
+    x = lines.join(slices.hint("merge"), ["question", "page", "py"], "left")
     # a row's slices are laid over white; an empty slice would stretch it
     laid = F.aggregate(
         F.filter(F.coalesce("cuts", F.array().cast(slices.schema["cuts"].dataType)), lambda c: F.octet_length(c["cut"]) > 0), _white(F.col("wide")), lambda acc, c: F.overlay(acc, c["cut"], (c["x0"] - F.col("left") + 1).cast("int"), F.octet_length(c["cut"]))

@@ -187,10 +187,18 @@ def g11_seams(s, d):
 # --- composition ---------------------------------------------------------------------------------------------------
 
 
+#: Parts of a task.
+PARTS = 20_000
+
+
+def _parts(s, d):
+    return dealt(table(s, d, "part"), "p_partkey", rows=PARTS)
+
+
 def _rows(s, d):
     """Each part's page: its name's bytes, sixteen to a row, four rows."""
     y = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("y")
-    return table(s, d, "part").select(F.col("p_partkey").alias("page"), F.rpad("p_name", 64, ".").alias("n"), y).select("page", "y", F.encode(F.substring(F.col("n"), F.col("y") * 16 + 1, F.lit(16)), "utf-8").alias("bytes"))
+    return _parts(s, d).select(F.col("p_partkey").alias("page"), F.rpad("p_name", 64, ".").alias("n"), y).select("page", "y", F.encode(F.substring(F.col("n"), F.col("y") * 16 + 1, F.lit(16)), "utf-8").alias("bytes"))
 
 
 def _regions(s, d):
@@ -203,7 +211,7 @@ def _regions(s, d):
         F.struct(F.lit("q").alias("owner"), F.lit(2).alias("seq"), k.alias("page"), F.lit(2).alias("x0"), F.lit(1).alias("y0"), F.lit(9).alias("x1"), (k % 3 + 2).cast("int").alias("y1")),
         F.struct(F.when(k % 10 == 0, "r").otherwise("q").alias("owner"), F.lit(3).alias("seq"), F.when(k % 4 == 0, F.lit(last) + 1 - k).otherwise(k).alias("page"), F.lit(3).alias("x0"), F.lit(2).alias("y0"), (k % 13 + 6).cast("int").alias("x1"), F.lit(4).alias("y1")),
     ]
-    return table(s, d, "part").select(k.alias("question"), F.explode(F.array(*boxes)).alias("b")).select("question", "b.*")
+    return _parts(s, d).select(k.alias("question"), F.explode(F.array(*boxes)).alias("b")).select("question", "b.*")
 
 
 #: Every pixel of every panel is the last region's that covers it, or white.

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from mnemos.operators import geometry, registry
+from mnemos.plans import raster as pictures
 from mnemos.plans import states
 from mnemos.plans.registry import QUERIES, SQL
 from tests.test_queries import SF, TABLES, plain
@@ -106,3 +107,13 @@ def test_order_lines_are_dealt_out_by_their_number(spark, tmp_path, capsys, monk
     # as many tasks as there are 500 lines, and no second move by order before they are numbered
     parts = -(-spark.read.parquet(f"{tmp_path}/lineitem.parquet").count() // 500)
     assert moved and all(f", {parts}), REPARTITION_BY_NUM" in x for x in moved)
+
+
+def test_parts_are_dealt_out_by_their_number(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(pictures, "PARTS", 30)
+    got, want = compared(spark, tmp_path, "g08_composed")
+    assert got == want and got
+    QUERIES["g08_composed"](spark, str(tmp_path)).explain()
+    plan = capsys.readouterr().out
+    parts = -(-spark.read.parquet(f"{tmp_path}/part.parquet").count() // 30)
+    assert f", {parts}), REPARTITION_BY_NUM" in plan and "Broadcast" not in plan
