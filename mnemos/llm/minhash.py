@@ -22,7 +22,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemos.llm.common import forget, materialize, small_batches, table, text_of
@@ -149,6 +149,14 @@ def _close(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
+def in_several(cells: DataFrame) -> DataFrame:
+    """The rows (node, n, cell) of buckets that hold several, with the bucket's ``size``.
+
+    They move once and are counted where they lie: nearly all buckets hold one node, so a table of counts would be as many rows.
+    """
+    return cells.withColumn("size", F.count("*").over(Window.partitionBy("cell"))).where("size > 1")
+
+
 def stars(shared: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Candidate edges (u, v) of the nodes that share buckets, of (node, n, cell, size): a bucket's others with its centre; and (cell, v), the centres."""
     popular = materialize(shared.groupBy("node").agg(F.sum("size").alias("popular")), "popular")
@@ -302,8 +310,7 @@ def linked(rows: DataFrame, nodes: DataFrame, shingle: int, num: int, den: int,
     """
     cells = rows.select("row", "n", "cells").where("cells IS NOT NULL").join(nodes.select(F.col("node").alias("row")), "row")
     cells = materialize(cells.select(F.col("row").alias("node"), "n", F.explode("cells").alias("cell")), "cells")
-    several = materialize(cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1"), "several")
-    shared = materialize(cells.join(several, "cell"), "shared")
+    shared = materialize(in_several(cells), "shared")
     forget(cells)
     edges, centres = stars(shared, num, den)
     signatures = rows.select(F.col("row").alias("node"), "signature").join(shared.select("node").distinct(), "node", "left_semi")

@@ -86,6 +86,15 @@ def test_boilerplate_is_no_link(spark):
     assert minhash.stars(shared, 17, 20)[0].count() <= len(rows) * minhash.BANDS
 
 
+def test_buckets_move_once_to_be_counted(spark, tmp_path):
+    rows = [(k, 5, k // 3 if k < 30 else k) for k in range(90)]
+    spark.createDataFrame(rows, "node long, n long, cell long").write.parquet(f"{tmp_path}/cells")
+    df = minhash.in_several(spark.read.parquet(f"{tmp_path}/cells"))
+    assert sorted((r.node, r.n, r.cell, r.size) for r in df.collect()) == [(*r, 3) for r in rows[:30]]
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_bins_agree_as_often_as_sets_do():
     rng, agree = np.random.default_rng(1), {}
     for size in (20, 60, 1000):
