@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ from mnemos.sources.commits import work_folder
 from mnemos.streaming import sync
 
 
+#: Buckets of the state at least, and events that come to one.
+BUCKETS, EVENTS = 512, 2_000
+
+
 def _stream(s: SparkSession, d: str) -> DataFrame:
     """The events as a stream of files."""
     return s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events*.parquet")
@@ -53,7 +59,8 @@ outcomes AS (SELECT t.user_id, t.entity, t.id, t.seq, t.mutation_id, CASE t.kind
 def t09_compare_and_swap(s, d):
     """The answer to every mutation of a stream: by user and id first, then by record, both with state in the state store."""
     at = work_folder(s, "swaps")
-    sync.started(sync.swapped(_mutations(_stream(s, d))), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    buckets = max(BUCKETS, ceil(table(s, d, "events").count() / EVENTS))
+    sync.started(sync.swapped(_mutations(_stream(s, d)), buckets=buckets), f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return s.read.schema(sync._DDL(sync.OUTCOMES)).parquet(f"{at}/out")
 
 

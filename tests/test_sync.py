@@ -123,6 +123,27 @@ def test_swaps(spark, tmp_path):
     assert {r[5] for r in want} == {"applied", "conflict", "duplicate", "reused"} and "immutable_history" in {r[6] for r in want}
 
 
+def test_swaps_in_buckets(spark, tmp_path):
+    """Users, ids and records that share a bucket, over two queries; the state has a key for a bucket, not for each id and record."""
+    rng, rows = random.Random(4), []
+    for seq in range(200):
+        user, id_, grade = rng.choice("uvw"), rng.choice("123"), rng.choice("ab")
+        rows.append((user, rng.choice(["attempts", "notes"]), id_, seq, f"m{rng.randrange(60)}", rng.randrange(3), seq % 9 == 0, None if seq % 9 == 0 else json.dumps({"grade": grade})))
+        rows += [(*rows[-1][:3], 1000 + seq, *rows[-1][4:])] * (seq % 4 == 0)  # sent again
+    rows.sort(key=lambda r: r[3])
+    schema = ddl(sync.MUTATIONS)
+    for part in (rows[:120], rows[120:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run = sync.started(sync.swapped(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), buckets=2), f"{tmp_path}/out", f"{tmp_path}/check")
+        run.awaitTermination()
+    want = brute_swaps(rows)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select(*sync.OUTCOMES).collect()), key=repr) == want
+    assert {r[5] for r in want} == {"applied", "conflict", "duplicate", "reused"}
+    held = [x["numRowsTotal"] for p in run.recentProgress for x in p["stateOperators"]]
+    print(held)
+    assert len(held) >= 2 and max(held) <= 2 * 2
+
+
 def test_frozen_fields():
     """A completed exam keeps its answers; what may change may; a run never does; a generation only grows."""
     exam = {"test_id": 1, "seed": "s", "status": "completed", "completed_at": "t", "answers": {"a": 1}, "note": "x"}
