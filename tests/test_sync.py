@@ -140,7 +140,6 @@ def test_swaps_in_buckets(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select(*sync.OUTCOMES).collect()), key=repr) == want
     assert {r[5] for r in want} == {"applied", "conflict", "duplicate", "reused"}
     held = [x["numRowsTotal"] for p in run.recentProgress for x in p["stateOperators"]]
-    print(held)
     assert len(held) >= 2 and max(held) <= 2 * 2
 
 
