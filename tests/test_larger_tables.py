@@ -46,6 +46,20 @@ def test_nothing_of_pages_goes_through_the_driver(spark, capsys, name):
     assert "Join" in plan and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("name", ["g01_adaptive_marks", "g02_twofold_marks", "g03_ring_figures"])
+def test_no_pixels_are_sent_to_the_driver_while_running(spark, name):
+    # adaptive execution plans joins anew once it knows their sizes; the plan that ran counts
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        df = QUERIES[name](spark, SF)
+        assert df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "isFinalPlan=true" in plan and "Join" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("name", ["j10_solution_pages", "j15_overlaps", "j16_small_overlaps"])
 def test_pairs_are_made_in_several_tasks(spark, name):
     # a small file is one task, and its pairs are many
