@@ -31,16 +31,16 @@ def box_means(raster: DataFrame, radius: int) -> DataFrame:
     the same cost for any radius.
     """
 
-    def spans(df: DataFrame, value: str, along: str, by: list[str], out: str) -> DataFrame:
+    def spans(df: DataFrame, along: str, by: list[str], **sums: str) -> DataFrame:
+        # all running sums in one window, all differences in a second: each window holds and copies every pixel once more
         line = W.partitionBy(*by).orderBy(along)
-        df = df.withColumn("__sum", F.sum(value).over(line))
-        ahead = F.coalesce(F.lead("__sum", radius).over(line), F.last("__sum").over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-        return df.withColumn(out, ahead - F.coalesce(F.lag("__sum", radius + 1).over(line), F.lit(0))).drop("__sum")
-
-    x = spans(raster.withColumn("__one", F.lit(1)), "v", "x", ["page", "y"], "__row")
-    x = spans(x, "__one", "x", ["page", "y"], "__wide")
-    x = spans(x, "__row", "y", ["page", "x"], "total")
-    return spans(x, "__wide", "y", ["page", "x"], "cells").drop("__row", "__wide", "__one")
+        so_far, whole = line.rowsBetween(W.unboundedPreceding, W.currentRow), line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        df = df.withColumns({f"__sum_{out}": F.sum(value).over(so_far) for out, value in sums.items()})
+        ahead = lambda c: F.coalesce(F.lead(c, radius).over(line), F.last(c).over(whole))
+        return df.withColumns({out: ahead(c) - F.coalesce(F.lag(c, radius + 1).over(line), F.lit(0)) for out in sums for c in [f"__sum_{out}"]}).drop(*[f"__sum_{out}" for out in sums])
+
+    x = spans(raster.withColumn("__one", F.lit(1)), "x", ["page", "y"], __row="v", __wide="__one")
+    return spans(x, "y", ["page", "x"], total="__row", cells="__wide").drop("__row", "__wide", "__one")
 
 
 def adaptive_ink(raster: DataFrame, offsets: list[int], radius: int = 15) -> DataFrame:

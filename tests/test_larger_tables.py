@@ -60,6 +60,12 @@ def test_no_pixels_are_sent_to_the_driver_while_running(spark, name):
     assert "isFinalPlan=true" in plan and "Join" in plan and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("name", ["g01_adaptive_marks", "g02_twofold_marks"])
+def test_means_take_two_windows_along_rows_and_two_along_columns(spark, capsys, name):
+    QUERIES[name](spark, SF).explain()
+    assert sum("- Window [" in x for x in capsys.readouterr().out.splitlines()) == 4
+
+
 @pytest.mark.parametrize("name", ["j10_solution_pages", "j15_overlaps", "j16_small_overlaps"])
 def test_pairs_are_made_in_several_tasks(spark, name):
     # a small file is one task, and its pairs are many
