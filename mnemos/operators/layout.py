@@ -10,57 +10,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Side of the squares through which anchors meet lines.
-SQUARE = 40
 #: How far a heading may lie from its anchor, its least height, that of an unreadable one, and the certainty of results.
 LEFT, ABOVE, BELOW, TALL, TALL_UNREAD = 14, 8, 24, 16, 18
 READ, BROKEN, LOOSE = 0.96, 0.84, 0.93
 WORKSPACE = r"Nebenrechnung Aufgabe\s+(\d+)\s*[:;]"
 
 
-def anchors(halves: DataFrame, heading_x: tuple[float, ...]) -> DataFrame:
-    """(page, side, row, col, ax, ay) of every place where a heading may stand."""
-    rows = halves.select("page", "side", "offset", F.posexplode(F.slice("ys", 1, F.size("ys") - 1)).alias("row", "top"))
-    cols = F.posexplode(F.array(*[F.lit(float(x)) for x in heading_x])).alias("col", "hx")
-    return rows.select("page", "side", "row", (F.col("top") + 2).alias("ay"), F.col("offset"), cols).select("page", "side", "row", "col", (F.col("offset") + F.col("hx")).alias("ax"), "ay")
+def marked(lines: DataFrame, halves: DataFrame, heading_x: tuple[float, ...], most: int) -> DataFrame:
+    """``halves`` with a heading, one row each: ``marks``, an array of struct (row, col, number, top, read), and ``ys`` moved to just above the uppermost heading of each band but the first.
 
-
-def headings(lines: DataFrame, halves: DataFrame, heading_x: tuple[float, ...], most: int) -> DataFrame:
-    """(page, side, row, col, number, top, read) of the anchors with a heading.
-
-    A heading is one or two digits up to ``most`` near the anchor, tall enough, and the only one there. Where there is none but
-    a tall text of four letters or fewer, the number is ``UNRESOLVED-`` and the place, and ``read`` false. Anchors meet
-    lines by squares, not by page.
+    A heading is one or two digits up to ``most`` near its place, tall enough, and the only one there. Where there is none but
+    a tall text of four letters or fewer, the number is ``UNRESOLVED-`` and the place, and ``read`` false. Lines meet
+    half pages by page, once, and are held against the few places of theirs where they lie; all that follows stays by page.
     """
-    spot = anchors(halves, heading_x)
-    near = lambda lo, hi: F.sequence(F.floor(lo / SQUARE), F.floor(hi / SQUARE))
-    spot = spot.withColumn("sx", F.explode(near(F.col("ax") - LEFT, F.col("ax") + LEFT))).withColumn("sy", F.explode(near(F.col("ay") - ABOVE, F.col("ay") + BELOW)))
-    own = lines.select("page", F.trim("text").alias("word"), "x0", "y0", "y1", F.floor(F.col("x0") / SQUARE).alias("sx"), F.floor(F.col("y0") / SQUARE).alias("sy"))
-    met = spot.join(own.hint("merge"), ["page", "sx", "sy"]).where((F.abs(F.col("x0") - F.col("ax")) < LEFT) & F.col("y0").between(F.col("ay") - ABOVE, F.col("ay") + BELOW))
     tall = F.col("y1") - F.col("y0")
     digits = F.rlike("word", F.lit(r"^\d{1,2}$")) & F.coalesce(F.col("word").try_cast("int").between(1, most), F.lit(False)) & (tall >= TALL)
     odd = (F.length("word") <= 4) & (tall >= TALL_UNREAD)
-    found = met.groupBy("page", "side", "row", "col", "ay").agg(F.count_if(digits).alias("n"), F.max(F.when(digits, F.col("word"))).alias("word"), F.max(F.when(digits, F.col("y0"))).alias("y"), F.count_if(odd).alias("odd"))
-    unread = F.concat_ws("-", F.lit("UNRESOLVED"), "side", "row", "col")
+    own = lines.withColumn("word", F.trim("text")).select("page", "word", "x0", "y0", digits.alias("digits"), odd.alias("odd")).where("digits or odd")
+    met = own.join(halves.select("page", "side", "offset", "ys", "supported").hint("merge"), "page")
+    met = met.select("*", F.posexplode(F.slice("ys", 1, F.size("ys") - 1)).alias("row", "top")).withColumn("ay", F.col("top") + 2).where(F.col("y0").between(F.col("ay") - ABOVE, F.col("ay") + BELOW))
+    met = met.select("*", F.posexplode(F.array(*[F.lit(float(x)) for x in heading_x])).alias("col", "hx")).where(F.abs(F.col("x0") - (F.col("offset") + F.col("hx"))) < LEFT)
+    of_half = [F.any_value(c).alias(c) for c in ("offset", "ys", "supported")]
+    found = met.groupBy("page", "side", "row", "col", "ay").agg(F.count_if("digits").alias("n"), F.max(F.when(F.col("digits"), F.col("word"))).alias("word"), F.max(F.when(F.col("digits"), F.col("y0"))).alias("y"), F.count_if("odd").alias("odds"), *of_half)
     one = F.col("n") == 1
-    return found.where(one | (F.col("odd") > 0)).select("page", "side", "row", "col", F.when(one, F.col("word")).otherwise(unread).alias("number"), F.when(one, F.col("y")).otherwise(F.col("ay") + 6).alias("top"), one.alias("read"))
-
+    unread = F.concat_ws("-", F.lit("UNRESOLVED"), "side", "row", "col")
+    mark = F.struct("row", "col", F.when(one, F.col("word")).otherwise(unread).alias("number"), F.when(one, F.col("y")).otherwise(F.col("ay") + 6).alias("top"), one.alias("read"))
+    x = found.where(one | (F.col("odds") > 0)).groupBy("page", "side").agg(F.collect_list(mark).alias("marks"), *of_half)
+    above = lambda i: F.round(F.array_min(F.transform(F.filter("marks", lambda m: (m["row"] == i) & (m["row"] > 0)), lambda m: m["top"])) - 5, 1)
+    return x.withColumn("ys", F.transform("ys", lambda y, i: F.coalesce(above(i), y)))
 
-def bands(halves: DataFrame, marks: DataFrame) -> DataFrame:
-    """``halves`` with ``ys`` moved to just above the uppermost heading of each band but the first."""
-    tops = marks.where("row > 0").groupBy("page", "side", "row").agg(F.round(F.min("top") - 5, 1).alias("y"))
-    tops = tops.groupBy("page", "side").agg(F.map_from_entries(F.collect_list(F.struct("row", "y"))).alias("moved"))
-    return halves.join(tops.hint("merge"), ["page", "side"], "left").withColumn("ys", F.transform("ys", lambda y, i: F.coalesce(F.col("moved")[i], y))).drop("moved")
 
+def held(sheets: DataFrame, lines: DataFrame, body_x: tuple[float, float, float], rows: int) -> DataFrame:
+    """``sheets`` as marked() gives them, with a row for each band (row, left, right): who owns its two cells.
 
-def workspaces(lines: DataFrame, halves: DataFrame, marks: DataFrame, body_x: tuple[float, float, float]) -> DataFrame:
-    """(page, side, row, col, owner) of the cells that a line gives to a question of the half; of several the lowest line, then the rightmost."""
-    said = lines.withColumn("owner", F.regexp_extract("text", WORKSPACE, 1)).where("owner <> ''").select("page", "owner", F.col("x0").alias("lx"), F.col("y0").alias("ly"))
-    x = said.join(halves.select("page", "side", "offset", "ys").hint("merge"), "page").where((F.col("lx") >= F.col("offset") + body_x[0]) & (F.col("lx") < F.col("offset") + body_x[2]))
-    x = x.join(marks.select("page", "side", F.col("number").alias("owner")).distinct().hint("merge"), ["page", "side", "owner"])
-    x = x.select("*", F.posexplode(F.slice("ys", 1, F.size("ys") - 1)).alias("row", "top")).where((F.col("ly") >= F.col("top")) & (F.col("ly") < F.get("ys", F.col("row") + 1)))
+    A line that names a number of the half as a workspace gives its cell to that; of several the lowest line counts, then the
+    rightmost. Lines meet sheets by page, where both lie already.
+    """
+    said = lines.withColumn("owner", F.regexp_extract("text", WORKSPACE, 1)).where("owner <> ''").select(F.col("page").alias("said_on"), "owner", F.col("x0").alias("lx"), F.col("y0").alias("ly"))
+    inside = (F.col("lx") >= F.col("offset") + body_x[0]) & (F.col("lx") < F.col("offset") + body_x[2]) & F.array_contains(F.col("marks.number"), F.col("owner"))
+    x = sheets.join(said.hint("merge"), (F.col("page") == F.col("said_on")) & inside, "left")
     col = F.when(F.col("lx") < F.col("offset") + body_x[1], 0).otherwise(1)
-    return x.withColumn("col", col).groupBy("page", "side", "row", "col").agg(F.max_by("owner", F.struct("ly", "lx", "owner")).alias("owner"))
+    cells = [(r, c) for r in range(rows) for c in (0, 1)]
+    within = lambda r, c: (F.col("ly") >= F.get("ys", F.lit(r))) & (F.col("ly") < F.get("ys", F.lit(r + 1))) & (col == c)
+    given = [F.max_by("owner", F.when(within(r, c), F.struct("ly", "lx", "owner"))).alias(f"owner{r}{c}") for r, c in cells]
+    x = x.groupBy("page", "side").agg(*[F.any_value(n).alias(n) for n in ("offset", "ys", "supported", "marks")], *given)
+    number = lambda r, c: F.array_max(F.transform(F.filter("marks", lambda m: (m["row"] == r) & (m["col"] == c)), lambda m: m["number"]))
+    return _carried(x.withColumns({f"number{r}{c}": number(r, c) for r, c in cells}), rows, "offset", "ys", "supported", "marks")
 
 
 def owners(marks: DataFrame, given: DataFrame, rows: int) -> DataFrame:
@@ -72,7 +67,11 @@ def owners(marks: DataFrame, given: DataFrame, rows: int) -> DataFrame:
     at = lambda value, c: [F.max(F.when((F.col("row") == r) & (F.col("col") == c), F.col(value))).alias(f"{value}{r}{c}") for r in range(rows)]
     x = marks.groupBy("page", "side").agg(*at("number", 0), *at("number", 1))
     w = given.groupBy("page", "side").agg(*at("owner", 0), *at("owner", 1))
-    x = x.join(w.hint("merge"), ["page", "side"], "left")
+    return _carried(x.join(w.hint("merge"), ["page", "side"], "left"), rows)
+
+
+def _carried(x: DataFrame, rows: int, *also: str) -> DataFrame:
+    """Cells from columns number00, owner00 and so on of a half's row, and the columns ``also``."""
     left = right = F.lit(None).cast("string")
     cells = []
     for r in range(rows):
@@ -81,21 +80,25 @@ def owners(marks: DataFrame, given: DataFrame, rows: int) -> DataFrame:
         x = x.withColumn(f"right{r}", F.coalesce(F.col(f"owner{r}1"), beside, own, right))
         left, right = F.col(f"left{r}"), F.col(f"right{r}")
         cells.append(F.struct(F.lit(r).alias("row"), left.alias("left"), right.alias("right")))
-    return x.select("page", "side", F.explode(F.array(*cells)).alias("c")).select("page", "side", "c.*")
+    return x.select("page", "side", *also, F.explode(F.array(*cells)).alias("c")).select("page", "side", *also, "c.*")
 
 
 def regions(held: DataFrame, halves: DataFrame, body_x: tuple[float, float, float]) -> DataFrame:
     """(page, side, number, seq, x0, y0, x1, y1): cells of one owner side by side fused, then runs of equal width below each other merged."""
-    x = held.join(halves.select("page", "side", "offset", "ys").hint("merge"), ["page", "side"])
+    return _merged(held.join(halves.select("page", "side", "offset", "ys").hint("merge"), ["page", "side"]), body_x)
+
+
+def _merged(x: DataFrame, body_x: tuple[float, float, float], *also: str) -> DataFrame:
+    """regions() of cells that have their half's ``offset`` and ``ys``, and its columns ``also``."""
     place = lambda i: F.col("offset") + body_x[i]
     box = lambda owner, a, b: F.struct(owner.alias("number"), place(a).alias("x0"), place(b).alias("x1"))
     fused = F.coalesce(F.col("left") == F.col("right"), F.lit(False))
     boxes = F.when(fused, F.array(box(F.col("left"), 0, 2))).otherwise(F.array(box(F.col("left"), 0, 1), box(F.col("right"), 1, 2)))
-    x = x.select("page", "side", "row", F.get("ys", F.col("row")).alias("y0"), F.get("ys", F.col("row") + 1).alias("y1"), F.explode(boxes).alias("b")).select("page", "side", "row", "y0", "y1", "b.*").where("number is not null")
+    x = x.select("page", "side", *also, "row", F.get("ys", F.col("row")).alias("y0"), F.get("ys", F.col("row") + 1).alias("y1"), F.explode(boxes).alias("b")).select("page", "side", *also, "row", "y0", "y1", "b.*").where("number is not null")
     run = W.partitionBy("page", "side", "number").orderBy("row", "x0")
     goes_on = (F.lag("x0").over(run) == F.col("x0")) & (F.lag("x1").over(run) == F.col("x1")) & (F.lag("y1").over(run) == F.col("y0"))
     x = x.withColumn("begins", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("seq", F.sum("begins").over(run))
-    return x.groupBy("page", "side", "number", "seq").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return x.groupBy("page", "side", "number", "seq").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), *[F.any_value(c).alias(c) for c in also])
 
 
 def detected(lines: DataFrame, halves: DataFrame, heading_x: tuple[float, float], body_x: tuple[float, float, float], most: int = 28, rows: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -105,14 +108,13 @@ def detected(lines: DataFrame, halves: DataFrame, heading_x: tuple[float, float]
     them a printed line confirms). Regions have ``confidence``, ``reasons`` and the ``anchor`` of their heading; cells under
     an unread heading belong to nobody else. Numbers repeated in a half keep an anchor each.
     """
-    marks = headings(lines, halves, heading_x, most)
-    placed = bands(halves, marks)
-    held = owners(marks, workspaces(lines, placed, marks, body_x), rows)
-    found = regions(held, placed, body_x).join(marks.where("read").select("page", "side", "number", "row", "col").hint("merge"), ["page", "side", "number"])
-    many = F.count("*").over(W.partitionBy("page", "side", "number", "row", "col")) > 1
-    found = found.join(halves.select("page", "side", "supported").hint("merge"), ["page", "side"]).withColumn("many", many)
+    sheets = marked(lines, halves, heading_x, most)
+    found = _merged(held(sheets, lines, body_x, rows), body_x, "supported", "marks")
+    found = found.withColumn("many", F.count("*").over(W.partitionBy("page", "side", "number")) > 1)
+    found = found.withColumn("m", F.explode(F.filter("marks", lambda m: m["read"] & (m["number"] == F.col("number")))))
     confidence = F.least(F.lit(READ), F.when(F.col("many"), BROKEN), F.when(F.col("supported") < 2, LOOSE))
     reasons: Column = F.when(F.col("many"), F.array(F.lit("non_rectangular_layout"))).otherwise(F.array().cast("array<string>"))
-    out = found.select("page", "side", "number", "seq", "x0", "y0", "x1", "y1", confidence.alias("confidence"), reasons.alias("reasons"), F.format_string("h%d-r%d-c%d", F.col("side").cast("int"), "row", "col").alias("anchor"))
-    unread = marks.where("not read").select("page", "side", F.format_string("h%d-r%d-c%d", F.col("side").cast("int"), "row", "col").alias("anchor"), F.lit("unreadable_heading").alias("reason"))
+    anchor = F.format_string("h%d-r%d-c%d", F.col("side").cast("int"), "m.row", "m.col").alias("anchor")
+    out = found.select("page", "side", "number", "seq", "x0", "y0", "x1", "y1", confidence.alias("confidence"), reasons.alias("reasons"), anchor)
+    unread = sheets.select("page", "side", F.explode("marks").alias("m")).where("not m.read").select("page", "side", anchor, F.lit("unreadable_heading").alias("reason"))
     return out, unread

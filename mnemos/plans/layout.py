@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemos.adapters import table
+from mnemos.functions.dealing import tasks
 from mnemos.operators import layout
 from mnemos.plans.base import query
 
 HEADING_X, BODY_X = (40.0, 230.0), (30.0, 220.0, 410.0)
+#: Lines that a task prints and reads: lines and half pages move once, dealt out by page, and lie together from then on.
+LINES = 250_000
 
 
 def _printed(s, d):
     """Headings near their anchors, too small or unreadable ones, notes that name the first line's number, and other text."""
     k = F.col("l_partkey")
-    first = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.min_by(k % 28 + 1, F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("first"))
-    x = table(s, d, "lineitem").join(first.hint("merge"), "l_orderkey")
+    parts = tasks(table(s, d, "lineitem"), LINES)
+    x = table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag").where("l_orderkey is not null").repartition(parts, "l_orderkey")
+    x = x.withColumn("first", F.min_by(k % 28 + 1, F.struct("l_linenumber", "l_partkey", "l_suppkey")).over(W.partitionBy("l_orderkey")))
     kind, row, col, offset = F.floor(k / 6) % 8, F.floor(k % 6 / 2), k % 2, F.col("l_orderkey") % 2 * 421
     top = 100 + 100 * row + F.col("l_orderkey") % 3
     text = F.when((kind <= 3) | (kind == 6), (k % 28 + 1).cast("string")).when(kind == 4, "I ").when(kind == 5, F.concat(F.lit("Nebenrechnung Aufgabe "), F.col("first").cast("string"), F.lit(":"))).otherwise(F.col("l_returnflag"))
@@ -26,7 +31,7 @@ def _printed(s, d):
     lines = x.select(F.col("l_orderkey").alias("page"), text.alias("text"), num(x0).alias("x0"), num(y0).alias("y0"), num(x0 + 20).alias("x1"), num(y0 + tall).alias("y1"))
     o = F.col("o_orderkey")
     ys = F.array(*[num(100 + 100 * i + o % 3) for i in range(4)])
-    halves = table(s, d, "orders").select(o.alias("page"), (o % 2).alias("side"), num(o % 2 * 421).alias("offset"), ys.alias("ys"), (F.col("o_custkey") % 3).alias("supported"))
+    halves = table(s, d, "orders").select("o_orderkey", "o_custkey").where("o_orderkey is not null").repartition(parts, "o_orderkey").select(o.alias("page"), (o % 2).alias("side"), num(o % 2 * 421).alias("offset"), ys.alias("ys"), (F.col("o_custkey") % 3).alias("supported"))
     return lines, halves
 
 
@@ -75,5 +80,5 @@ def g13_unread_headings(s, d):
 def g28_cell_owners(s, d):
     """Who owns the two cells of each band."""
     lines, halves = _printed(s, d)
-    marks = layout.headings(lines, halves, HEADING_X, 28)
-    return layout.owners(marks, layout.workspaces(lines, layout.bands(halves, marks), marks, BODY_X), 3)
+    sheets = layout.marked(lines, halves, HEADING_X, 28)
+    return layout.held(sheets, lines, BODY_X, 3).select("page", "side", "row", "left", "right")

@@ -60,6 +60,16 @@ def test_no_pixels_are_sent_to_the_driver_while_running(spark, name):
     assert "isFinalPlan=true" in plan and "Join" in plan and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("name", ["g28_cell_owners"])
+def test_lines_and_half_pages_move_once(spark, name):
+    # each move of all lines is written to disk
+    df = QUERIES[name](spark, SF)
+    assert df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    moved = [x.split("hashpartitioning(")[1].split("#")[0] for x in plan.splitlines() if " Exchange hashpartitioning" in x and "ReusedExchange" not in x]
+    assert sorted(moved) == ["l_orderkey", "o_orderkey"]
+
+
 @pytest.mark.parametrize("name", ["g01_adaptive_marks", "g02_twofold_marks"])
 def test_means_take_two_windows_along_rows_and_two_along_columns(spark, capsys, name):
     QUERIES[name](spark, SF).explain()
