@@ -60,7 +60,7 @@ def test_no_pixels_are_sent_to_the_driver_while_running(spark, name):
     assert "isFinalPlan=true" in plan and "Join" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["g28_cell_owners"])
+@pytest.mark.parametrize("name", ["g28_cell_owners", "g13_page_regions"])
 def test_lines_and_half_pages_move_once(spark, name):
     # each move of all lines is written to disk
     df = QUERIES[name](spark, SF)
