@@ -31,6 +31,14 @@ def test_summary_of_users_with_many_answers(spark, tmp_path):
     assert got == want and len(got) == 3
 
 
+@pytest.mark.parametrize("name", ["a16_progress_summary", "a04_coverage"])
+def test_questions_beyond_a_hundred_are_their_own(spark, tmp_path, name):
+    # numbers far beyond those given: none is folded onto another or missed in the inventory
+    far = "'{\"k\": ' || (CAST(props->>'$.k' AS INT) * 37 + event_id % 3) || '}' AS props, user_id % 3 AS user_id"
+    got, want = compared(spark, tmp_path, name, events=f"* REPLACE ({far})")
+    assert got == want and len(got) == 3
+
+
 def test_results_of_tests_and_attempts_whose_numbers_meet(spark, tmp_path):
     # two events of one user, a million apart: a test's row must not replace an attempt's
     near = "event_id - event_id % 2 + event_id % 2 * 1000000 AS event_id, user_id % 3 AS user_id, CASE WHEN event_id % 2 = 0 THEN 'signup' ELSE 'click' END AS event_type"
